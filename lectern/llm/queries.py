@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, store, warc
+from . import bpe, langid, media, mixing, quality, store, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +63,31 @@ SELECT *, CAST('0x' || substr(md5(concat_ws('|', 'order', coalesce(CAST(doc_id A
 FROM x
 """
 
-QUERIES = {"op2_warc": op2_warc, "op3_language_id": op3_language_id, "op7_mixing": op7_mixing}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_grams, log_ratio, gumbel_key, kept: whether the importance sample holds the document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scores = store.saved(quality.scored(docs, model), store.new_folder(spark, "quality"), "scores")
+    end = quality.cut(scores, model)
+    return scores.withColumn("kept", end.holds(F.col("gumbel_key"), F.col("doc_id")))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(docs, path, bpe.compile_lexicon(docs, path, store.new_folder(spark, "bpe")), digests=True)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = media.write_shards(docs, store.new_folder(spark, "media"))
+    facts = media.read_payloads(media.places(rows)).drop("width", "height", "depth")
+    return rows.select("doc_id", "n_bytes", "digest").join(facts, "digest").drop("digest")
+
+
+QUERIES = {"op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op9_bpe": op9_bpe, "op10_media": op10_media, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op7_mixing": op7_mixing}
 ORACLE = {"op2_warc": OP2, "op7_mixing": OP7}

@@ -151,17 +151,133 @@ def classes() -> np.ndarray:
     return out
 
 
-def contractions(cp: np.ndarray, kind: np.ndarray, run: np.ndarray, last: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where an apostrophe that starts a run begins 's 't 'm 'd 're 've 'll, and the length of that.
+def codepoints(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of strings one after another, and the n + 1 offsets."""
+    cp = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+    return cp, np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
 
-    run: where runs of a class start; last: the end of the piece that holds a position; free: apostrophes that no
-    space before them joins.
+
+def code_values(cp: np.ndarray) -> np.ndarray:
+    """Values for `hashes` of code points."""
+    x = (cp.astype(U) + U(1)) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(32))
+
+
+def _runs(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of the code points, whether a run of one class starts there, and whether a piece starts or ends there."""
+    kind = classes()[cp]
+    edge = np.zeros(len(cp) + 1, bool)
+    edge[at] = True
+    run = edge[:-1].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    return kind, run, edge
+
+
+def _contractions(cp: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a token starts with 's 't 'm 'd 're 've 'll, where that ends, and where its piece ends."""
+    i = np.flatnonzero((cp == 39) & start)
+    end = at[np.searchsorted(at, i, "right")]
+    at_most = len(cp) - 1
+    one = np.where(i + 1 < end, cp[np.minimum(i + 1, at_most)], 0)
+    two = np.where(i + 2 < end, cp[np.minimum(i + 2, at_most)], 0)
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = np.zeros(len(i), bool)
+    for a, b in ("re", "ve", "ll"):
+        long |= (one == ord(a)) & (two == ord(b))
+    ok = short | long
+    return i[ok], i[ok] + np.where(short, 2, 3)[ok], end[ok]
+
+
+def byte_level_tokens(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pre-token starts that the byte-level pattern finds, and how many each piece has; none is left out.
+
+    The pattern takes contractions, then letters, numbers or others with one space before them, then white space, of
+    which the last character stays for what follows.
     """
     n = len(cp)
-    i = np.flatnonzero((cp == 39) & run & free)
-    i = i[(i + 1 < last[i])]
-    one = cp[i + 1]
-    two = cp[np.minimum(i + 2, n - 1)] * (i + 2 < last[i])
-    short = np.isin(one, [ord(c) for c in "stmd"])
-    long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-    return i[short | long], np.where(short, 2, 3)[short | long]
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
+    kind, start, edge = _runs(cp, at)
+    first = np.flatnonzero(start)
+    after = np.append(first[1:], n)
+    gap = (kind[first] == SPACE) & ~edge[after]
+    j = after[gap]
+    start[j - 1] = True
+    start[j[cp[j - 1] == 32]] = False
+    i, end, last = _contractions(cp, at, start)
+    start[i + 1] = False
+    start[end[end < last]] = True
+    first = np.flatnonzero(start)
+    return first, np.diff(np.searchsorted(first, at))
+
+
+def word_level_tokens(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each pre-token, and how many each piece has: contractions, letters, single numbers, others."""
+    n = len(cp)
+    if not n:
+        e = np.zeros(0, np.int64)
+        return e, e, np.zeros(len(at) - 1, np.int64)
+    kind, start, _ = _runs(cp, at)
+    start |= kind == NUMBER
+    i, end, last = _contractions(cp, at, start)
+    start[i + 1] = False
+    start[end[end < last]] = True
+    first = np.flatnonzero(start)
+    after = np.append(first[1:], n)
+    word = kind[first] != SPACE
+    first, after = first[word], after[word]
+    return first, after, np.diff(np.searchsorted(first, at))
+
+
+def split_special(texts: list[str | None], special: list[str]) -> tuple[list[str], np.ndarray, list[tuple[int, str]]]:
+    """Texts cut at special strings: the pieces, each one's text, and (piece that it stands before, string) of each."""
+    if not any(s in t for s in special for t in texts if t):
+        return [t or "" for t in texts], np.arange(len(texts)), []
+    import re
+
+    cut = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+    out, owner, found = [], [], []
+    for i, t in enumerate(texts):
+        for j, p in enumerate(cut.split(t or "")):
+            if j % 2:
+                found.append((len(out), p))
+            else:
+                out.append(p)
+                owner.append(i)
+    return out, np.array(owner), found
+
+
+class HashTable:
+    """64-bit keys to small numbers in two flat arrays, looked up for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, U), np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        slot, self.probes = self._slot(keys), 0
+        while len(left):
+            self.probes += 1
+            at = slot[left]
+            put, who = np.unique(np.where(self.values[at] < 0, at, -1), return_index=True)
+            put, who = put[put >= 0], who[put >= 0]
+            self.keys[put], self.values[put] = keys[left[who]], values[left[who]]
+            left = np.delete(left, who)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(BASE)) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        slot = self._slot(keys)
+        out = np.where(self.keys[slot] == keys, self.values[slot], -1)
+        left = np.flatnonzero((out < 0) & (self.values[slot] >= 0))
+        for _ in range(self.probes):
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            at = slot[left]
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (self.values[at] >= 0)]
+        return out
