@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, quality, store, token_counts, warc
+from . import bpe, kneser_ney, langid, media, mixing, quality, store, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,13 @@ SELECT *, CAST('0x' || substr(md5(concat_ws('|', 'order', coalesce(CAST(doc_id A
 FROM x
 """
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs, crc_mod("doc_id", 5) != 1, store.new_folder(spark, "lm"))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -89,5 +96,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "digest").join(facts, "digest").drop("digest")
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op9_bpe": op9_bpe, "op10_media": op10_media, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op7_mixing": op7_mixing}
+QUERIES = {"op4_lm_score": op4_lm_score, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op9_bpe": op9_bpe, "op10_media": op10_media, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op7_mixing": op7_mixing}
 ORACLE = {"op2_warc": OP2, "op7_mixing": OP7}
