@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, langid, media, mixing, quality, store, token_counts, warc
+from . import bpe, embed_dedup, kneser_ney, langid, media, mixing, ngram_join, quality, store, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,43 @@ def crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+_REACH = """
+     r(x, y) AS (SELECT v, v FROM nodes UNION SELECT r.x, l.y FROM r JOIN links l ON l.x = r.y)
+"""
+
+OP1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+     e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+     links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+               GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+     nodes AS (SELECT doc_id AS v FROM s),
+""" + _REACH + """
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.m AS component_id
+FROM s JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) c ON c.x = s.doc_id
+"""
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.deduplicate(table(spark, sf_dir, "embeddings"))
+
+
+OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+               WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+     nodes AS (SELECT vec_id AS v FROM v),
+""" + _REACH + """
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links, c.m AS component_id, v.vec_id = c.m AS kept
+FROM v JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) c ON c.x = v.vec_id
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     index = warc.write_archive(pages, store.new_folder(spark, "warc"))
@@ -96,5 +133,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "digest").join(facts, "digest").drop("digest")
 
 
-QUERIES = {"op4_lm_score": op4_lm_score, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op9_bpe": op9_bpe, "op10_media": op10_media, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op7_mixing": op7_mixing}
-ORACLE = {"op2_warc": OP2, "op7_mixing": OP7}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op8_embedding_dedup": op8_embedding_dedup, "op4_lm_score": op4_lm_score, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op9_bpe": op9_bpe, "op10_media": op10_media, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op7_mixing": op7_mixing}
+ORACLE = {"op1_ngram_join": OP1, "op8_embedding_dedup": OP8, "op2_warc": OP2, "op7_mixing": OP7}
