@@ -1,6 +1,69 @@
-STAGES = []
+"""A training corpus from documents: good ones, in a known language, one of each group of near copies, mixed, encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a table, which is written to the shared folder and read again as the next
+stage's docs.  All stages but the last return the columns of documents; the filters never alter a row.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import bpe, langid, mixing, ngram_join, quality, store
+
+#: Five-word shingles, and the least similarity of near copies in per cent.
+SHINGLE, NEAR = 5, 80
+#: The least probability of the predicted language.
+SURE = 0.5
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the importance sample: a Gumbel top-k with k the number of documents that the model prefers."""
+    store.prepare(spark)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = store.saved(quality.scored(docs, model), store.new_folder(spark, "quality"), "scores")
+    end = quality.cut(scores, model)
+    return quality.scored(docs, model, whole=True).where(end.holds(F.col("__key"), F.col("doc_id"))).select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose text has no letter or whose language can't be told."""
+    store.prepare(spark)
+    return langid.keep(docs, langid.fit(docs, F.lit(True)), SURE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each component, and documents without an id."""
+    store.prepare(spark)
+    found = ngram_join.components(docs, SHINGLE, NEAR)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and drops documents so that sources weigh as the square root of their sizes, in a global random order."""
+    store.prepare(spark)
+    return mixing.mix(docs).select(docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each copy."""
+    store.prepare(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(docs, path, bpe.compile_lexicon(docs, path, store.new_folder(spark, "bpe")), digests=True)
+
+
+STAGES = [("quality_classifier", quality_classifier), ("language_id", language_id), ("near_duplicates", near_duplicates), ("mixing_sources", mixing_sources), ("bpe_encoding", bpe_encoding)]
+
+#: The model stages can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    folder = store.new_folder(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = store.saved(stage(spark, docs, sf_dir), folder, name)
+    return docs
