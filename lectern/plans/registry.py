@@ -1,4 +1,6 @@
 """Registered queries and the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .oracle import ORACLE
+from .queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
