@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import tokens
+from .text import let, tokens
 
 #: So many distinct words of a pair get a character each; more go through the array distance.
 ALPHABET = 180
 
 
-def let(body, **values: Column) -> Column:
-    """body of values that are computed once a row: expressions inside a lambda would be computed for each element."""
-    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), lambda v: body(*[v[k] for k in values])), 1)
-
-
 def char_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 

@@ -34,6 +34,11 @@ def folding(compatible: bool, kept: str) -> tuple[str, str, tuple[tuple[str, str
     return "".join(one), "".join(to), tuple(many)
 
 
+def let(body, **values: Column) -> Column:
+    """body of values that are computed once a row: expressions inside a lambda would be computed for each element."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), lambda v: body(*[v[k] for k in values])), 1)
+
+
 def _fold(x: Column, compatible: bool, kept: str) -> Column:
     one, to, many = folding(compatible, kept)
     x = F.translate(x, one, to)
@@ -94,7 +99,7 @@ def wrapped(x: Column, width: int = 12) -> Column:
     def cut(t):
         return F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(1), F.size(t), F.lit(width)), lambda i: F.array_join(F.slice(t, i, F.lit(width)), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.element_at(F.transform(F.array(tokens(x)), cut), 1)  # the tokens are made once, not for each line
+    return let(cut, t=tokens(x))
 
 
 def plain_cedilla(x: Column) -> Column:
@@ -113,15 +118,18 @@ def variants(word: Column, pair: str, most: int = 5) -> Column:
     """All spellings with either letter of the pair wherever one stands, case kept; the word alone if there are none or
     over `most` such places."""
     low, high = pair.lower(), pair.upper()
-    places = F.length(F.regexp_replace(word, f"[^{low}{high}]", ""))
-    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    place = f"[{low}{high}]"
+
+    def spelled(found, between):
+        def step(acc, i):
+            own = F.element_at(found, i)
+            choice = F.when(own.isin(list(low)), F.array(*map(F.lit, low))).otherwise(F.array(*map(F.lit, high)))
+            return F.flatten(F.transform(acc, lambda a: F.transform(choice, lambda c: F.concat(a, c, F.element_at(between, i + 1)))))
 
-    def step(acc, c):
-        both = F.when(F.instr(F.lit(low), c) > 0, F.array(F.lit(low[0]), F.lit(low[1]))).when(F.instr(F.lit(high), c) > 0, F.array(F.lit(high[0]), F.lit(high[1]))).otherwise(F.array(c))
-        return F.flatten(F.transform(acc, lambda a: F.transform(both, lambda b: F.concat(a, b))))
+        return F.aggregate(F.sequence(F.lit(1), F.size(found)), F.array(F.element_at(between, 1)), step)
 
-    grown = F.aggregate(letters, F.array(F.lit("")), step)
-    return F.when((places > 0) & (places <= most), grown).otherwise(F.array(word))
+    found = F.regexp_extract_all(word, F.lit(place), F.lit(0))
+    return F.when(F.size(found).between(1, most), let(spelled, found=found, between=F.split(word, place))).otherwise(F.array(word))
 
 
 def same_letters(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 #: The nearest-match search holds all candidates in one array; more bytes than these go through a join in blocks.
 CANDIDATE_BYTES = 8 << 20
 #: Lines of a page that are aligned by expressions; longer pages go to a task's own table.
@@ -89,7 +91,7 @@ def align_pages(preds: DataFrame, truth: DataFrame) -> DataFrame:
     preds: page_id, pred_idx, pred; truth: page_id, gt_idx, gt.  One shuffle brings a page's lines together; pages of up
     to PAGE_LINES lines are aligned by expressions, longer ones by a table in the page's task.
     """
-    ordered = lambda d, i, x, name: d.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(i).cast("int").alias("i"), F.coalesce(F.col(x), F.lit("")).alias("x")))), lambda s: s["x"]).alias(name))
+    ordered = lambda d, i, x, name: spread(d, "page_id").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(i).cast("int").alias("i"), F.coalesce(F.col(x), F.lit("")).alias("x")))), lambda s: s["x"]).alias(name))
     pages = ordered(preds, "pred_idx", "pred", "p").join(ordered(truth, "gt_idx", "gt", "g"), "page_id", "left").withColumn("g", F.coalesce("g", F.array().cast("array<string>")))
     short = (F.size("p") <= PAGE_LINES) & (F.size("g") <= PAGE_LINES)
     by_expression = pages.where(short).withColumn("a", alignment_path(F.col("p"), F.col("g"))).select("page_id", "p", "g", F.col("a.cost").alias("cost"), F.col("a.path").alias("path"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .spread import spread
 
 
 def dictionary(texts: DataFrame, text_col: str) -> DataFrame:
@@ -24,13 +25,6 @@ def out_of_vocabulary(words: DataFrame, known: DataFrame, word_col: str = "word"
     return marked.groupBy(*keys).agg(F.sum(count_col).alias("tokens"), F.coalesce(F.sum(F.when(F.col("__known").isNull(), F.col(count_col))), F.lit(0)).alias("unknown"))
 
 
-def _best(words: DataFrame, known: DataFrame, of: str, spelled, name: str) -> DataFrame:
-    """words with `name`: the least listed variant of column `of` that differs from it, or null."""
-    cases = words.select(of).distinct().select(of, F.explode(spelled).alias("v")).where(F.col("v") != F.col(of))
-    hits = cases.withColumn("word", T.word_key(F.col("v"))).join(known, "word", "left_semi").groupBy(of).agg(F.min("v").alias(name))
-    return words.join(hits, of, "left")
-
-
 def corrections(tokens: DataFrame, known: DataFrame, token_col: str = "token") -> DataFrame:
     """(token, corrected) of every distinct token, after the line's cedillas were replaced.
 
@@ -43,13 +37,14 @@ def corrections(tokens: DataFrame, known: DataFrame, token_col: str = "token") -
     before, core, after = T.edges(F.col("token"))
     t = t.select("token", letters.alias("letters"), before.alias("before"), core.alias("core"), after.alias("after")).withColumn("word", T.word_key(F.col("letters")))
     open_ = t.where(F.length("letters") >= 2).join(known, "word", "left_anti").select("token", "before", "core", "after")
-    open_ = _best(open_, known, "core", T.variants(F.col("core"), "uv"), "uv").withColumn("base", F.coalesce("uv", "core"))
-    open_ = _best(open_, known, "base", T.variants(F.col("base"), "fs"), "fs")
-    both = F.flatten(F.transform(T.variants(F.col("core"), "uv"), lambda v: T.variants(v, "fs")))
-    rest = open_.where("uv is null and fs is null")
-    rest = _best(rest.select("token", "before", "core", "after"), known, "core", both, "both").select("token", F.col("both").alias("new"), "before", "after")
-    some = open_.where("uv is not null or fs is not null").select("token", F.coalesce("fs", "uv").alias("new"), "before", "after")
-    fixed = some.unionAll(rest).where("new is not null").select("token", F.concat("before", "new", "after").alias("corrected"))
+    spellings = F.flatten(F.transform(T.variants(F.col("core"), "uv"), lambda v: T.variants(v, "fs")))
+    cases = spread(open_.select("core").distinct()).select("core", F.explode(spellings).alias("v")).where("v <> core").withColumn("word", T.word_key(F.col("v")))
+    listed = cases.join(known, "word", "left_semi").groupBy("core").agg(F.collect_set("v").alias("hits"))
+    # every step's choices are among the spellings of the core, so one lookup serves them all
+    x = open_.join(listed, "core")
+    x = x.withColumn("uv", F.array_min(F.array_intersect("hits", T.variants(F.col("core"), "uv")))).withColumn("base", F.coalesce("uv", "core"))
+    x = x.withColumn("fs", F.array_min(F.filter(F.array_intersect("hits", T.variants(F.col("base"), "fs")), lambda v: v != F.col("base"))))
+    fixed = x.select("token", F.concat("before", F.coalesce("fs", "uv", F.array_min("hits")), "after").alias("corrected"))
     return t.select("token").join(fixed, "token", "left").withColumn("corrected", F.coalesce("corrected", "token"))
 
 
