@@ -30,9 +30,9 @@ U = np.uint64
 END = U(0xE0D5E0D5E0D5E0D5)
 BEGIN = U(0xBE61BE61BE61BE61)
 #: Tokens that a task gathers before it reduces them to distinct pairs.
-GATHER = 4 << 20
+GATHER = 3 << 19
 #: Bytes of input for each range of hashes; a range's arrays are a few times that.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 WORD = np.dtype([("raw", "<i8"), ("cont", "<i8"), ("total", "<i8"), ("one", "<i8"), ("two", "<i8"), ("more", "<i8")])
 
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, chosen: Column, folder: str, text_col: str = "text",
     """Count over all rows that `chosen` selects; arrays go to `folder`."""
     rows = docs.where(chosen).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if input_bytes is None:
-        input_bytes = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        input_bytes = store.input_bytes(docs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGE_BYTES)
     ranges = max(4, min(1 << 20, input_bytes // RANGE_BYTES + 1))
 
     def pairs(batches):

@@ -114,16 +114,20 @@ def _weights(k: int) -> np.ndarray:
     return mix(np.arange(1, k + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
 
 
+def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k words from each word on, whatever rows they are in."""
+    a, n = _weights(k), len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    x = h[:n] * a[0]
+    for j in range(1, k):
+        x = x + h[j : n + j] * a[j]
+    return mix(x + U(k))
+
+
 def shingles(h: np.ndarray, count: np.ndarray, k: int) -> list[np.ndarray]:
     """Each row's distinct k-word shingles, as sorted hashes; the whole sequence where a row has fewer words."""
-    a = _weights(k)
-    n = len(h) - k + 1
-    all_k = np.zeros(0, U)
-    if n > 0:
-        x = h[:n] * a[0]
-        for j in range(1, k):
-            x = x + h[j : n + j] * a[j]
-        all_k = mix(x + U(k))
+    a, all_k = _weights(k), shingle_hashes(h, k)
     out, i = [], 0
     for c in count.tolist():
         if c >= k:
