@@ -1,7 +1,8 @@
 """Self-join of documents by the Jaccard similarity of their word shingles, with adaptive multi-match prefixes.
 
 Two sets with |A & B| >= t |A | B| share at least L shingles of their prefixes when a prefix is the first
-|A| - ceil(t |A|) + L shingles in one global order.  The order is by a count sketch of the corpus, rare first.  Each
+|A| - ceil(t |A|) + L shingles in one global order.  The order is by the rarest word of a shingle, rare first: a sketch of the corpus's word
+counts gives a bound on how many documents can hold the shingle, and words are far fewer than shingles.  Each
 document takes the L of least estimated cost: where its prefix is common, it takes a longer one and asks for more matches.
 
 Sets that are equal are one class from the start.  A shingle that two prefixes share is a bucket; its documents meet in
@@ -27,7 +28,8 @@ from . import arrays, store, text
 from .components import connected_components
 
 U = np.uint64
-SKETCH = 20
+#: Slots of the word sketch: one for so many bytes of input, within these powers of two.
+SLOT_BYTES, SKETCH = 128, (16, 22)
 WORDS = 16  # of 64 bits in a parity bitmap
 LENGTHS = (1, 2, 4, 8, 16, 32)
 TILE = 512
@@ -52,16 +54,16 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).tobytes()
 
 
-def prefix(s: np.ndarray, count: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, int]:
+def prefix(s: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The prefix of a sorted set in the global order, and how many shingles of it a partner has to share.
 
-    count: the sketch's counts of the shingles; mean: what an unseen shingle would show there.
+    count: bounds on the numbers of documents with each shingle.
     """
     n = len(s)
     order = np.argsort(count, kind="stable")
     need = -(-percent * n // 100)
     shortest = n - need + 1
-    hot = np.cumsum(np.maximum(count[order[: min(n, shortest + LENGTHS[-1])]] - 2 * mean - 8, 0.0))
+    hot = np.cumsum(np.maximum(count[order[: min(n, shortest + LENGTHS[-1])]] - 1.0, 0.0))
     best, length = np.inf, 1
     for m in LENGTHS:
         p = shortest + m - 1
@@ -76,7 +78,27 @@ def prefix(s: np.ndarray, count: np.ndarray, mean: float, percent: int) -> tuple
 def _sets(batches, k: int):
     for batch, data, at in text.pieces(batches):
         h, n = text.word_hashes(data, at)
-        yield batch, text.shingles(h, n, k)
+        yield batch, text.shingles(h, n, k), h, n
+
+
+def rarest(h: np.ndarray, n: np.ndarray, sets: list[np.ndarray], count: np.ndarray, k: int):
+    """For each row the sketch's least count among the words of each shingle, in the order of the row's set."""
+    bits = U(64 - (len(count).bit_length() - 1))
+    c = count[(h >> bits).astype(np.int64)]
+    m = len(c) - k + 1
+    low = c[:m].copy() if m > 0 else c[:0]
+    for j in range(1, k):
+        if m > 0:
+            np.minimum(low, c[j : m + j], out=low)
+    at = text.shingle_hashes(h, k)
+    i = 0
+    for words, s in zip(n.tolist(), sets, strict=True):
+        if words >= k:
+            _, first = np.unique(at[i : i + words - k + 1], return_index=True)
+            yield low[i : i + words - k + 1][first]
+        else:
+            yield c[i : i + words].min(keepdims=True) if words else c[:0]
+        i += words
 
 
 def candidates(tile: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,25 +139,26 @@ class Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
         self.folder = store.new_folder(self.spark, "ngrams")
+        size = store.input_bytes(docs, SLOT_BYTES << SKETCH[0])
+        self.bits = min(max((max(size, 1) // SLOT_BYTES).bit_length(), SKETCH[0]), SKETCH[1])
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def first_pass(self) -> DataFrame:
-        """Set sizes and fingerprints, and the sketch's parts, from one reading of the texts."""
-        k = self.k
+        """Set sizes and fingerprints, and the word sketch's parts, from one reading of the texts."""
+        k, bits = self.k, self.bits
 
         def run(batches):
-            sketch, held, size = np.zeros(1 << SKETCH, np.int64), [], 0
-            for batch, sets in _sets(batches, k):
-                s = [(x >> U(64 - SKETCH)).astype(np.int32) for x in sets]
-                held += s
-                size += sum(map(len, s))
+            sketch, held, size = np.zeros(1 << bits, np.int64), [], 0
+            for batch, sets, h, _ in _sets(batches, k):
+                held.append((h >> U(64 - bits)).astype(np.int32))
+                size += len(h)
                 if size > 1 << 20:
-                    sketch += np.bincount(np.concatenate(held), minlength=1 << SKETCH)
+                    sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
                     held, size = [], 0
                 m = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.binary()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["id", "n", "fp", "name", "slice", "counts"])
             if held:
-                sketch += np.bincount(np.concatenate(held), minlength=1 << SKETCH)
+                sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
             r = arrays.rows({"sketch": sketch})
             m = r.num_rows
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *r.columns], names=["id", "n", "fp", "name", "slice", "counts"])
@@ -145,29 +168,29 @@ class Join:
     def cards(self, sketch: np.ndarray, classes: DataFrame) -> DataFrame:
         """Size, prefix, match number and bitmap of each class's document."""
         k, percent = self.k, self.percent
-        shared = self.spark.sparkContext.broadcast((sketch.astype(np.float32), float(sketch.mean())))
+        shared = self.spark.sparkContext.broadcast(sketch.astype(np.float32))
 
         def run(batches):
-            count, mean = shared.value
-            for batch, sets in _sets(batches, k):
-                got = [prefix(s, count[(s >> U(64 - SKETCH)).astype(np.int64)], mean, percent) if len(s) else (s, 1) for s in sets]
+            count = shared.value
+            for batch, sets, h, words in _sets(batches, k):
+                got = [prefix(s, c, percent) if len(s) else (s, 1) for s, c in zip(sets, rarest(h, words, sets, count, k), strict=True)]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p, _ in got])]).astype(np.int32)), pa.array(np.concatenate([p for p, _ in got]).view(np.int64)))
                 out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([m for _, m in got], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), tokens], names=["id", "fp", "n", "ell", "bits", "tokens"])
                 yield out.filter(pa.array([len(s) > 0 for s in sets]))
 
         rows = self.docs.where("id is not null and text is not null").mapInArrow(run, CARD)
         reps = classes.select("fp", F.col("rep").alias("id"))
-        return store.saved(rows.join(reps, ["fp", "id"], "left_semi"), self.folder, "cards")
+        return store.saved(rows.join(reps, ["fp", "id"], "left_semi").withColumn("card", F.xxhash64("id", "fp")).drop("fp"), self.folder, "cards")
 
     def live(self, cards: DataFrame) -> DataFrame:
         """Cards that share a prefix shingle with another, with those shingles and the sizes of their buckets."""
-        posts = cards.select("id", "fp", F.explode("tokens").alias("token"))
+        posts = cards.select("card", F.explode("tokens").alias("token"))
         buckets = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-        shared = posts.join(buckets, "token").groupBy("id", "fp").agg(F.collect_list(F.struct("token", "c")).alias("shared"))
-        return store.saved(cards.drop("tokens").join(shared, ["id", "fp"]), self.folder, "live")
+        shared = posts.join(buckets, "token").groupBy("card").agg(F.collect_list(F.struct("token", "c")).alias("shared"))
+        return store.saved(cards.drop("tokens").join(shared, "card").drop("card"), self.folder, "live")
 
     def tiles(self, live: DataFrame, labels: DataFrame | None, seed: int, every: bool) -> DataFrame:
-        """Rows (token, kind, i, j, id, n, ell, bits, tokens, label, side) of bounded tiles.
+        """Rows (tile, id, n, bits, label, side) of bounded tiles; a tile's number is a hash of what it is for.
 
         In the nearest rounds a large bucket is dealt into tiles by hash.  With `every`, all pairs of different labels
         meet: of a large bucket the rows with its commonest label stand on one side, the others on the other.
@@ -177,8 +200,8 @@ class Join:
             rows = rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         else:
             rows = rows.withColumn("label", F.col("id"))
-        rows = rows.withColumn("t", F.explode("shared")).select("id", "n", "ell", "bits", F.col("shared.token").alias("tokens"), "label", "t.token", "t.c")
-        columns = ["token", "kind", "i", "j", "id", "n", "ell", "bits", "tokens", "label", "side"]
+        rows = rows.withColumn("t", F.explode("shared")).select("id", "n", "bits", "label", "t.token", "t.c")
+        columns = [F.xxhash64("token", "kind", "i", "j").alias("tile"), "id", "n", "bits", "label", "side"]
         if not every:
             block = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.ceil(F.col("c") / TILE)).cast("int")
             return rows.withColumns({"kind": F.lit(0), "i": block, "j": F.lit(0), "side": F.lit(2)}).select(columns)
@@ -196,23 +219,20 @@ class Join:
         among = minor.withColumn("other", to("bn")).withColumns({"kind": F.lit(2), "i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.lit(2)})
         return small.unionAll(major.select(columns)).unionAll(across.select(columns)).unionAll(among.select(columns))
 
-    def pairs(self, tiles: DataFrame, every: bool) -> DataFrame:
+    def pairs(self, tiles: DataFrame, live: DataFrame, every: bool) -> DataFrame:
         """Candidate pairs (a, b), a < b, that share enough prefix shingles: each document's nearest, or every one."""
         percent = self.percent
 
-        def matched(t: pa.Table, batches_key: np.ndarray):
-            ids, n, ell, label, side = (t.column(c).to_numpy() for c in ("id", "n", "ell", "label", "side"))
+        def found(t: pa.Table):
+            ids, n, label, side, tile = (t.column(c).to_numpy() for c in ("id", "n", "label", "side", "tile"))
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U).reshape(-1, WORDS)
-            a, b, far = candidates(batches_key, ids, n, label, side, bits, percent)
+            a, b, far = candidates(tile, ids, n, label, side, bits, percent)
             if not every and len(a):
                 x, y, z = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
                 order = np.lexsort((ids[y], z, x))
                 order = order[np.r_[True, np.diff(x[order]) > 0]]
                 a, b, far = x[order], y[order], z[order]
-            tokens = t.column("tokens").combine_chunks()
-            at, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
-            keep = [i for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if len(set(flat[at[x] : at[x + 1]].tolist()) & set(flat[at[y] : at[y + 1]].tolist())) >= min(ell[x], ell[y])]
-            return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(far[keep])], names=["a", "b", "far"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(far)], names=["a", "b", "far"])
 
         def run(batches):
             """Whole tiles at a time; a tile that a batch cuts waits for its rest."""
@@ -220,27 +240,25 @@ class Join:
             for batch in batches:
                 held.append(batch)
                 size += batch.num_rows
-                if size >= 8192:
+                if size >= 4096:
                     t = pa.Table.from_batches(held).combine_chunks()
-                    k = np.stack([t.column(c).to_numpy() for c in ("token", "kind", "i", "j")], 1)
-                    new = np.r_[True, (k[1:] != k[:-1]).any(1)]
-                    last = int(np.flatnonzero(new)[-1])
+                    tile = t.column("tile").to_numpy()
+                    last = int(np.searchsorted(tile, tile[-1]))
                     if last:
-                        yield matched(t.slice(0, last).combine_chunks(), np.cumsum(new)[:last])
+                        yield found(t.slice(0, last).combine_chunks())
                     held = t.slice(last).combine_chunks().to_batches()
                     size = t.num_rows - last
-                    size = size if size < 8192 else 0
-            if held:
-                t = pa.Table.from_batches(held).combine_chunks()
-                if t.num_rows:
-                    k = np.stack([t.column(c).to_numpy() for c in ("token", "kind", "i", "j")], 1)
-                    yield matched(t, np.cumsum(np.r_[True, (k[1:] != k[:-1]).any(1)]))
+                    size = size if size < 4096 else 0
+            if held and (t := pa.Table.from_batches(held).combine_chunks()).num_rows:
+                yield found(t)
 
-        key = ["token", "kind", "i", "j"]
-        out = tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, far double")
+        out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, far double")
         if not every:
             out = out.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        own = lambda side: live.select(F.col("id").alias(side), F.col("ell").alias(f"ell_{side}"), F.col("shared.token").alias(f"tokens_{side}"))
+        both = pairs.join(own("a"), "a").join(own("b"), "b")
+        return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("ell_a", "ell_b")).select("a", "b").distinct()
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """Whole sets of these ids' documents.  A filter of fixed size lets few others pass, which the join drops."""
@@ -257,7 +275,7 @@ class Join:
 
         def run(batches):
             some = ((b, shared.value[(text.mix(b.column("id").to_numpy().view(U)) >> U(64 - FILTER)).astype(np.int64)]) for b in batches)
-            for batch, sets in _sets((b.filter(pa.array(m)) for b, m in some if m.any()), k):
+            for batch, sets, _, _ in _sets((b.filter(pa.array(m)) for b, m in some if m.any()), k):
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
         rows = self.docs.where("id is not null and text is not null").mapInArrow(run, "id long, set binary")
@@ -293,10 +311,10 @@ class Join:
     def run(self) -> DataFrame:
         first = self.first_pass()
         rows = first.where("name is null").select("id", "n", "fp")
-        sketch = arrays.collected(first.where("name is not null").select("name", "slice", "counts"), 1 << SKETCH).get("sketch", np.zeros(1 << SKETCH, np.int64))
+        sketch = arrays.collected(first.where("name is not null").select("name", "slice", "counts"), 1 << self.bits).get("sketch", np.zeros(1 << self.bits, np.int64))
         classes = store.saved(rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep")), self.folder, "classes")
         live = self.live(self.cards(sketch, classes))
-        near = store.saved(self.pairs(self.tiles(live, None, 0, False), False), self.folder, "near0")
+        near = store.saved(self.pairs(self.tiles(live, None, 0, False), live, False), self.folder, "near0")
         large = live.where(F.exists("shared", lambda x: x["c"] > TILE))
         touched = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct()
         live = store.saved(live.join(touched, "id", "left_semi"), self.folder, "touched")  # the others met all their partners, in vain
@@ -304,7 +322,7 @@ class Join:
         links = self.verified(near, sets, "links0")
         labels = connected_components(links)
         for step, every in ((1, False), (2, True)):
-            near = store.saved(self.pairs(self.tiles(live, labels, step, every), every), self.folder, f"near{step}")
+            near = store.saved(self.pairs(self.tiles(live, labels, step, every), live, every), self.folder, f"near{step}")
             if not near.isEmpty():
                 links = links.unionAll(self.verified(near, sets, f"links{step}"))
                 labels = connected_components(links)

@@ -94,3 +94,9 @@ def mapped(uri: str) -> np.ndarray:
             own.write(b)
         own.flush()
         return np.memmap(own.name, np.uint8, "r") if os.path.getsize(own.name) else np.zeros(0, np.uint8)
+
+
+def input_bytes(df: DataFrame, unknown: int) -> int:
+    """The size of a table's files by the plan's statistics; `unknown` where it comes from no files."""
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if n < 1 << 60 else unknown
