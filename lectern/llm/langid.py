@@ -93,7 +93,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     langs = sorted(counts)
     if len(langs) > MAX_LANGS:
         raise ValueError(f"{len(langs)} languages; the broadcast matrix is bounded at {MAX_LANGS}")
-    c = np.array([counts[k] for k in langs], np.float64).reshape(len(langs), -1)
+    c = np.array([counts[k] for k in langs], np.float64).reshape(len(langs), (1 << BITS) + 1)
     logs = np.log((c[:, :-1] + ALPHA) / (c[:, :-1].sum(1, keepdims=True) + ALPHA * (1 << BITS))) if langs else np.zeros((0, 1))
     return Model(langs, logs.astype(np.float32), np.log(c[:, -1] / c[:, -1].sum()) if langs else np.zeros(0))
 
