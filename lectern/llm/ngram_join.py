@@ -258,7 +258,7 @@ class Join:
         pairs = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         own = lambda side: live.select(F.col("id").alias(side), F.col("ell").alias(f"ell_{side}"), F.col("shared.token").alias(f"tokens_{side}"))
         both = pairs.join(own("a"), "a").join(own("b"), "b")
-        return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("ell_a", "ell_b")).select("a", "b").distinct()
+        return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("ell_a", "ell_b")).select("a", "b")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """Whole sets of these ids' documents.  A filter of fixed size lets few others pass, which the join drops."""
@@ -320,13 +320,14 @@ class Join:
         live = store.saved(live.join(touched, "id", "left_semi"), self.folder, "touched")  # the others met all their partners, in vain
         sets = self.sets(touched)
         links = self.verified(near, sets, "links0")
-        labels = connected_components(links)
+        labels = store.saved(connected_components(links), self.folder, "labels0")
         for step, every in ((1, False), (2, True)):
             near = store.saved(self.pairs(self.tiles(live, labels, step, every), live, every), self.folder, f"near{step}")
             if not near.isEmpty():
-                links = links.unionAll(self.verified(near, sets, f"links{step}"))
-                labels = connected_components(links)
-        # a class's component is that of its first document; equal sets under a repeated id meet through the id
+                links = self.verified(near, sets, f"links{step}")
+                if not links.isEmpty():  # what is known goes in as stars, which settle at once
+                    labels = store.saved(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), self.folder, f"labels{step}")
+        # a class's component is that of its first document
         known = classes.join(labels, F.col("node") == F.col("rep"), "left").select("fp", F.coalesce("component", "rep").alias("c"))
         out = rows.join(known, "fp", "left")
         return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
