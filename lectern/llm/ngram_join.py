@@ -308,6 +308,13 @@ class Join:
         rows = with_b.unionAll(with_a).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
         return store.saved(rows.mapInArrow(run, "a long, b long"), self.folder, name)
 
+    def same_ids(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links between an id that has several sets and the first documents of their classes; seldom any."""
+        several = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("id")
+        if several.isEmpty():
+            return self.spark.createDataFrame([], "a long, b long")
+        return rows.where("n > 0").join(several, "id").join(classes, "fp").where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
+
     def run(self) -> DataFrame:
         first = self.first_pass()
         rows = first.where("name is null").select("id", "n", "fp")
@@ -320,6 +327,7 @@ class Join:
         live = store.saved(live.join(touched, "id", "left_semi"), self.folder, "touched")  # the others met all their partners, in vain
         sets = self.sets(touched)
         links = self.verified(near, sets, "links0")
+        links = links.unionAll(self.same_ids(rows, classes))
         labels = store.saved(connected_components(links), self.folder, "labels0")
         for step, every in ((1, False), (2, True)):
             near = store.saved(self.pairs(self.tiles(live, labels, step, every), live, every), self.folder, f"near{step}")
