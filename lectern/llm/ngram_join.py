@@ -132,6 +132,11 @@ def candidates(tile: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarr
     return np.concatenate(left), np.concatenate(right), np.concatenate(far)
 
 
+def either(pairs: DataFrame) -> DataFrame:
+    """The ids of both sides."""
+    return pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
+
+
 CARD = "id long, fp binary, n long, ell int, bits binary, tokens array<long>"
 
 
@@ -219,8 +224,8 @@ class Join:
         among = minor.withColumn("other", to("bn")).withColumns({"kind": F.lit(2), "i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.lit(2)})
         return small.unionAll(major.select(columns)).unionAll(across.select(columns)).unionAll(among.select(columns))
 
-    def pairs(self, tiles: DataFrame, live: DataFrame, every: bool) -> DataFrame:
-        """Candidate pairs (a, b), a < b, that share enough prefix shingles: each document's nearest, or every one."""
+    def met(self, tiles: DataFrame, every: bool) -> DataFrame:
+        """Candidate pairs (a, b), a < b, that size and bitmap let pass: each document's nearest, or every one."""
         percent = self.percent
 
         def found(t: pa.Table):
@@ -255,13 +260,16 @@ class Join:
         out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, far double")
         if not every:
             out = out.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        pairs = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def agreeing(self, pairs: DataFrame, live: DataFrame) -> DataFrame:
+        """The pairs that share enough prefix shingles."""
         own = lambda side: live.select(F.col("id").alias(side), F.col("ell").alias(f"ell_{side}"), F.col("shared.token").alias(f"tokens_{side}"))
         both = pairs.join(own("a"), "a").join(own("b"), "b")
         return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("ell_a", "ell_b")).select("a", "b")
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """Whole sets of these ids' documents.  A filter of fixed size lets few others pass, which the join drops."""
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """Whole sets of these distinct ids' documents.  A filter of fixed size lets few others pass, which the join drops."""
         k = self.k
 
         def mark(batches):
@@ -279,7 +287,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
         rows = self.docs.where("id is not null and text is not null").mapInArrow(run, "id long, set binary")
-        return store.saved(rows.join(ids.select("id").distinct(), "id", "left_semi"), self.folder, "sets")
+        return store.saved(rows.join(ids.select("id"), "id", "left_semi"), self.folder, name)
 
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs whose whole sets are similar enough.  The partners of a document that many name are dealt out."""
@@ -321,20 +329,24 @@ class Join:
         sketch = arrays.collected(first.where("name is not null").select("name", "slice", "counts"), 1 << self.bits).get("sketch", np.zeros(1 << self.bits, np.int64))
         classes = store.saved(rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep")), self.folder, "classes")
         live = self.live(self.cards(sketch, classes))
-        near = store.saved(self.pairs(self.tiles(live, None, 0, False), live, False), self.folder, "near0")
+        met = store.saved(self.met(self.tiles(live, None, 0, False), False), self.folder, "met0")
+        near = store.saved(self.agreeing(met, live), self.folder, "near0")
         large = live.where(F.exists("shared", lambda x: x["c"] > TILE))
-        touched = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct()
-        live = store.saved(live.join(touched, "id", "left_semi"), self.folder, "touched")  # the others met all their partners, in vain
-        sets = self.sets(touched)
+        live = store.saved(live.join(either(met).unionAll(large.select("id")), "id", "left_semi"), self.folder, "touched")  # the others met nobody
+        sets = self.sets(either(near).distinct(), "sets0")
         links = self.verified(near, sets, "links0")
         links = links.unionAll(self.same_ids(rows, classes))
         labels = store.saved(connected_components(links), self.folder, "labels0")
         for step, every in ((1, False), (2, True)):
-            near = store.saved(self.pairs(self.tiles(live, labels, step, every), live, every), self.folder, f"near{step}")
-            if not near.isEmpty():
-                links = self.verified(near, sets, f"links{step}")
-                if not links.isEmpty():  # what is known goes in as stars, which settle at once
-                    labels = store.saved(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), self.folder, f"labels{step}")
+            near = store.saved(self.agreeing(self.met(self.tiles(live, labels, step, every), every), live), self.folder, f"near{step}")
+            if near.isEmpty():
+                continue
+            new = store.saved(either(near).distinct().join(sets, "id", "left_anti"), self.folder, f"new{step}")
+            if not new.isEmpty():
+                sets = sets.unionAll(self.sets(new, f"sets{step}"))
+            links = self.verified(near, sets, f"links{step}")
+            if not links.isEmpty():  # what is known goes in as stars, which settle at once
+                labels = store.saved(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), self.folder, f"labels{step}")
         # a class's component is that of its first document
         known = classes.join(labels, F.col("node") == F.col("rep"), "left").select("fp", F.coalesce("component", "rep").alias("c"))
         out = rows.join(known, "fp", "left")

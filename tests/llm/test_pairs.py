@@ -81,6 +81,21 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+def test_long_texts_whose_nearest_is_a_stranger(spark):
+    """Bitmaps of very long texts say little: strangers that share a few rare words look nearer than the near copy."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(5)]
+    body = lambda: passage + [f"c{r.randrange(3000)}" for _ in range(24000)]
+    base = body()
+    copy = list(base)
+    for i in range(100, 24000, 70):
+        copy[i] = f"c{r.randrange(3000)}"
+    rows = list(enumerate([" ".join(x) for x in [base, copy, *(body() for _ in range(40))]]))
+    assert brute(rows[:2], 3, 90) == {0: 0, 1: 0}
+    got = {x.doc_id: x.component_id for x in joined(spark, rows, 3, 90)}
+    assert got == {0: 0, 1: 0} | {i: i for i in range(2, 42)}
+
+
 def test_join_odd_rows(spark):
     rows = [(1, "a b c d"), (None, "a b c d"), (2, "a b c d"), (2, "x y z"), (7, "x y z"), (9, "very " * 60000 + "long"), (8, "very " * 60000 + "long")]
     got = sorted((x.doc_id or 0, x.n_shingles, x.component_id or 0) for x in joined(spark, rows, 3, 90))
