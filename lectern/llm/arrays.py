@@ -10,18 +10,24 @@ SLICE = 1 << 14
 ROWS = "name string, slice int, counts binary"
 
 
-def rows(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Slices of int64 arrays that hold anything."""
+def rows(arrays: dict[str, np.ndarray], first: int = 0) -> pa.RecordBatch:
+    """Slices of int64 arrays that hold anything; first is the number of the arrays' first slice."""
     name, number, blob = [], [], []
     for k, a in arrays.items():
         for i in range(0, len(a), SLICE):
             if (part := a[i : i + SLICE]).any():
                 name.append(k)
-                number.append(i // SLICE)
+                number.append(first + i // SLICE)
                 blob.append(part.astype("<i8").tobytes())
     return pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(number, pa.int32()), pa.array(blob, pa.binary())], names=["name", "slice", "counts"])
 
 
+def parts(name: str, a: np.ndarray, slices: int = 16):
+    """The rows of one array, a few slices at a time, so that a large array isn't held twice more."""
+    for i in range(0, len(a), slices * SLICE):
+        yield rows({name: a[i : i + slices * SLICE]}, i // SLICE)
+
+
 def summed(parts: DataFrame) -> DataFrame:
     """One row per name and slice; each task keeps only its own slices' sums."""
 

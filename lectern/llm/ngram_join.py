@@ -153,20 +153,14 @@ class Join:
         k, bits = self.k, self.bits
 
         def run(batches):
-            sketch, held, size = np.zeros(1 << bits, np.int64), [], 0
+            sketch = np.zeros(1 << bits, np.int64)
             for batch, sets, h, _ in _sets(batches, k):
-                held.append((h >> U(64 - bits)).astype(np.int32))
-                size += len(h)
-                if size > 1 << 20:
-                    sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
-                    held, size = [], 0
+                np.add.at(sketch, (h >> U(64 - bits)).astype(np.int64), 1)
                 m = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.binary()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["id", "n", "fp", "name", "slice", "counts"])
-            if held:
-                sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
-            r = arrays.rows({"sketch": sketch})
-            m = r.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *r.columns], names=["id", "n", "fp", "name", "slice", "counts"])
+            for r in arrays.parts("sketch", sketch):
+                m = r.num_rows
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *r.columns], names=["id", "n", "fp", "name", "slice", "counts"])
 
         return store.saved(self.docs.mapInArrow(run, "id long, n long, fp binary, " + arrays.ROWS), self.folder, "first")
 
