@@ -28,9 +28,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text has no letter or whose language can't be told."""
+    """Drops documents whose text has no letter, is in none of the languages of the labels, or can't be told between them.
+
+    The text's mean log probability an n-gram in its likeliest language decides, against a floor from held-out texts of that
+    language (`langid.fit_floors`); the probability of the language is a second condition.
+    """
     store.prepare(spark)
-    return langid.keep(docs, langid.fit(docs, F.lit(True)), SURE)
+    model, floors = langid.fit_floors(docs, F.lit(True))
+    return langid.keep(docs, model, SURE, floors=floors)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,54 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DIR).collect())) == a
 
 
+FOREIGN = {
+    "it": "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+    "ja": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "ru": "все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему",
+    "fi": "vaka vanha väinämöinen itse tuon sanoiksi virkkoi",
+    "pl": "litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić",
+    "soup": "xq zvk wjp qqz hbx kfw vbn pzx jqk wrtz gkhl",
+    "junk": "%%% x91 === z17 %%% x91 === z17",
+}
+
+
+def test_language_rejects_what_is_in_no_learned_language(spark):
+    from lectern.llm import langid
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    more = spark.createDataFrame([(-1 - i, t, None, "src0", len(t)) for i, t in enumerate(FOREIGN.values())], docs.schema)
+    both = docs.unionByName(more)
+    # the posterior is sure of each of them
+    model = langid.fit(both, F.lit(True))
+    assert min(model.predict(list(FOREIGN.values()))[1]) >= corpus_pipeline.SURE
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, DIR).select("doc_id").collect()}
+    assert not [k for i, k in enumerate(FOREIGN) if -1 - i in kept]
+    clean = {r.doc_id for r in docs.where(r"text rlike '^[\\p{L}\\s,.]+$' and not text rlike '\\p{Lu}{2}'").select("doc_id").collect()}
+    assert len(clean) > 50 and clean <= kept
+
+
+def test_floors_are_plain_counting(spark):
+    import numpy as np
+
+    from lectern.llm import langid
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("n_chars < 3000")
+    model, floors = langid.fit_floors(docs, F.lit(True))
+    rows = docs.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()
+    for k, floor in zip(model.langs, floors, strict=True):
+        mine = [(r.half, langid.grams([r.text])[0]) for r in rows if r.lang == k]
+        c = np.zeros((2, 1 << langid.BITS))
+        for h, g in mine:
+            np.add.at(c[h], g, 1)
+        logs = np.log((c + langid.ALPHA) / (c.sum(1, keepdims=True) + langid.ALPHA * 2**langid.BITS))
+        x = sorted((logs[1 - h][g].mean() for h, g in mine), reverse=True)
+        m, q = x[-(-len(x) // 2) - 1], x[-(-len(x) * 3 // 4) - 1]
+        assert floor == pytest.approx(m - max(langid.MARGIN, langid.FACTOR * (m - q)), abs=0.2)
+
+
 def rows(cursor):
     norm = lambda x: None if x is None or x != x else int(x) if isinstance(x, float) and x.is_integer() else x
     return sorted((tuple(map(norm, r)) for r in cursor), key=repr)
