@@ -39,11 +39,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component, and documents without an id."""
+    """Keeps the document with the smallest id of each component, and documents without an id.
+
+    Rows that repeat an id are one document: of a kept id, the row with the smallest hash of its columns stays.
+    """
     store.prepare(spark)
     found = ngram_join.components(docs, SHINGLE, NEAR)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = store.saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), store.new_folder(spark, "near"), "repeated")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    row, order = F.struct(*docs.columns), F.xxhash64(*docs.columns)
+    one = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row")).select("row.*")
+    once = docs.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(one).join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,6 +84,17 @@ def test_floors_are_plain_counting(spark):
         assert floor == pytest.approx(m - max(langid.MARGIN, langid.FACTOR * (m - q)), abs=0.2)
 
 
+def test_repeated_rows_of_an_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "en", "s", 2), (2, a + " z", "en", "s", 1), (2, a, "fr", "s", 1), (3, b, "en", "s", 1), (4, c, "en", "s", 1), (4, c + " z", "en", "s", 1)]
+    rows += [(None, a, "en", "s", 1), (None, a, "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.near_duplicates(spark, df, DIR).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 3, 4] and {tuple(r) for r in got} <= set(rows)
+    again = corpus_pipeline.near_duplicates(spark, df.repartition(3), DIR).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
 def rows(cursor):
     norm = lambda x: None if x is None or x != x else int(x) if isinstance(x, float) and x.is_integer() else x
     return sorted((tuple(map(norm, r)) for r in cursor), key=repr)
