@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,6 +169,54 @@ def test_noise_is_the_same_everywhere(spark):
     assert a == b and len(a) == 100 and len(set(a.values())) > 20
 
 
+def test_noise_of_words():
+    r = random.Random(1)
+    for w in ("año", "muñeca", "Bolsa", "zéro", "x"):
+        for _ in range(50):
+            assert noise.miswrite(r, w) != w
+    assert {noise.miswrite(r, "m") for _ in range(9)} == {"rn"} and {noise.miswrite(r, "ñ") for _ in range(9)} == {"n"}
+    assert {noise.miswrite(r, c) for c in "lodgB" for _ in range(9)} == {"1", "0", "cl", "q", "8"}
+    assert noise.miswrite(r, "") == "" and noise.words(r, " a  b ").count(" ") == 4
+    assert all(c.isupper() and c != "Q" for c in (noise.miswrite(r, "Q") for _ in range(50)))
+    for _ in range(50):
+        assert all(a != b for a, b in zip("la casa de los señores".split(), noise.words(r, "la casa de los señores").split(), strict=True))
+
+
+def test_noise_of_old_type():
+    r, n = random.Random(2), 20000
+    once = lambda c: Counter(noise.typeset(r, c) for _ in range(n))
+    for a, b in (("v", "b"), ("b", "v"), ("f", "s"), ("á", "a"), ("a", "á"), ("e", "é"), ("ñ", "n"), ("u", "n")):
+        seen = once(a)
+        assert seen[b] / n == pytest.approx(0.12, abs=0.015) and seen[a + a] / n == pytest.approx(0.88 * 0.03, abs=0.01)
+    seen = once("n")  # n to u is tried before n to ñ
+    assert seen["u"] / n == pytest.approx(0.12, abs=0.015) and seen["ñ"] / n == pytest.approx(0.88 * 0.12, abs=0.015)
+    assert once("ll")["l"] > n * 0.1 and once("rr")["r"] > n * 0.1 and once("l")["ll"] > n * 0.1
+    assert once(" ")[""] / n == pytest.approx(0.97 * 0.04, abs=0.01)
+
+
+def test_generic_noise():
+    r, n = random.Random(3), 40000
+    q = 0.03 / 4
+    near = lambda a, b: a / n == pytest.approx(b, abs=0.003)
+    seen = Counter(noise.edit(r, "mx") for _ in range(n))
+    assert near(seen["rnx"], q) and near(seen["x"], q) and near(seen["xm"], q)
+    seen = Counter(noise.edit(r, "xy") for _ in range(n))  # no like one: exchanged
+    assert near(seen["yx"], 2 * q) and not any("q" in k for k in seen)
+    assert {"0", "O", "RN"} <= {noise.edit(r, c, 1.0) for c in ("o", "0", "M") for _ in range(60)}
+
+
+def test_noise_is_of_three_kinds():
+    line = "la casa de los señores fue vista ayer por la mañana"
+    seen = Counter()
+    for s in range(3000):
+        out, x = noise.noisy(line, s), random.Random(s)
+        x = x.random()
+        every = len(out.split(" ")) == len(line.split(" ")) and all(a != b for a, b in zip(line.split(" "), out.split(" "), strict=True))
+        assert x >= 0.33 or every
+        seen["words" if x < 0.33 else "type" if x < 0.66 else "generic"] += 1
+    assert all(v / 3000 == pytest.approx(1 / 3, abs=0.04) for v in seen.values())
+
+
 def test_tfidf(spark):
     df = spark.createDataFrame([(1, "uno dos", "uno dos"), (2, "tres", "cuatro"), (3, "", "")], "k int, a string, b string")
     got = {r.k: r.cosine for r in tfidf.cosines(df, "k", "a", "b", tfidf.word_terms).collect()}
