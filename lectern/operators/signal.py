@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 NOISE = 0.20
 RATIO = 0.75
+#: The longest signal whose lagged sums are taken one by one.
+DIRECT = 4096
 
 
 def moving_average(rows: DataFrame, page: str, at: str, value: str, width: int) -> DataFrame:
@@ -41,15 +43,21 @@ def autocorrelation(rows: DataFrame, page: str, at: str, value: str, most: int)
     return sums.select(page, F.posexplode(F.array(*[F.col(f"__{k}") / F.col("__0") for k in range(most + 1)])).alias("lag", "acf"))
 
 
+def lowest(x: np.ndarray) -> np.ndarray:
+    """The lowest value from each place back to the last higher value, or to the begin; each value is taken up and put off once."""
+    out, open_ = np.zeros(len(x)), []
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while open_ and open_[-1][0] <= v:
+            low = min(low, open_.pop()[1])
+        open_.append((v, low))
+        out[i] = low
+    return out
+
+
 def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     """How far each peak stands above the higher of the lowest points towards the next higher value on either side."""
-    out = np.zeros(len(peaks))
-    for k, p in enumerate(peaks):
-        higher = np.flatnonzero(x > x[p])
-        left, right = higher[higher < p], higher[higher > p]
-        a, b = (left[-1] if len(left) else 0), (right[0] if len(right) else len(x) - 1)
-        out[k] = x[p] - max(x[a : p + 1].min(), x[p : b + 1].min())
-    return out
+    return x[peaks] - np.maximum(lowest(x), lowest(x[::-1])[::-1])[peaks]
 
 
 def peaks(x: np.ndarray, height: float | None = None, distance: int = 1, prominence: float | None = None) -> np.ndarray:
@@ -73,7 +81,8 @@ def peaks(x: np.ndarray, height: float | None = None, distance: int = 1, promine
         keep = np.ones(len(p), bool)
         for k in np.argsort(x[p], kind="stable")[::-1]:
             if keep[k]:
-                keep &= (np.abs(p - p[k]) >= distance) | (np.arange(len(p)) == k)
+                keep[np.searchsorted(p, p[k] - distance, "right") : np.searchsorted(p, p[k] + distance)] = False
+                keep[k] = True
         p = p[keep]
     if prominence is not None and len(p):
         p = p[prominences(x, p) >= prominence]
@@ -98,12 +107,22 @@ def absorbed(segments: list[tuple[int, int]], line: int, least: float = 0.6) ->
     return [(a, b) for a, b in out]
 
 
+def lagged(d: np.ndarray) -> np.ndarray:
+    """Sums of products at each lag; of a long signal by transforms, to 12 digits of the first so that ties stay ties."""
+    n = len(d)
+    if n <= DIRECT:
+        return np.correlate(d, d, "full")[n - 1 :]
+    size = 1 << (2 * n - 1).bit_length()
+    out = np.fft.irfft(np.abs(np.fft.rfft(d, size)) ** 2, size)[:n]
+    return np.round(out / out[0], 12) * out[0]
+
+
 def period(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[int, float, str]:
     """Line period, confidence and method: autocorrelation if sure enough, else component heights, else a fraction."""
     n = len(ink)
     if n >= 20 and ink.std() >= 1e-6:
         d = ink - ink.mean()
-        acf = np.correlate(d, d, "full")[n - 1 :]
+        acf = lagged(d)
         acf = acf / acf[0]
         part = acf[4 : max(6, n // 3)]
         p = peaks(part, height=0.05, prominence=0.03)
@@ -119,39 +138,59 @@ def period(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[int, flo
 SEGMENT = "page_id long, line_index int, y1 int, y2 int, period int, confidence double, method string"
 
 
+def segments(ink: np.ndarray) -> tuple[list[tuple[int, int]], int, float, str]:
+    """Begin and end of each text line of one profile, cut at the valleys of the smoothed one; period, confidence, method."""
+    p, sure, method = period(ink)
+    line = max(4, int(RATIO * p))
+    width = min(max(3, line // 3), len(ink))
+    smooth = np.convolve(ink, np.ones(width) / width, "same")
+    active = smooth[smooth > np.percentile(smooth, 10)]
+    depth = 0.06 * float(np.median(active)) if len(active) else 0.0
+    cuts = [-1, *peaks(-smooth, distance=max(4, p // 2), prominence=depth).tolist(), len(ink)]
+    found = [(a + 1, b - 1) for a, b in zip(cuts, cuts[1:], strict=False) if b - a - 1 >= max(4, line // 4) and ink[a + 1 : b].max() > 0]
+    if len(found) <= 1:
+        method += "+fallback"
+        high, found, start, low = ink >= np.percentile(ink, 20), [], None, 0
+        for y, h in enumerate(high):
+            if h:
+                start, low = (y if start is None else start), 0
+            elif start is not None:
+                low += 1
+                if low >= max(2, line // 4):
+                    found.append((start, y - low))
+                    start = None
+        if start is not None:
+            found.append((start, len(ink) - 1))
+    return absorbed(found, line), p, sure, method
+
+
+def _rows(page, ink: np.ndarray) -> pd.DataFrame:
+    found, p, sure, method = segments(ink)
+    return pd.DataFrame({"page_id": page, "line_index": range(len(found)), "y1": [a for a, _ in found], "y2": [b for _, b in found], "period": p, "confidence": sure, "method": method})
+
+
 def line_segments(profile: DataFrame) -> DataFrame:
-    """Text lines of each page of (page_id, y, ink): cuts at the valleys of the smoothed profile.
+    """Text lines of each page of (page_id, y, ink).
+
+    A page is one group and must fit a task, as an image's rows do; the work grows as n log n.  Keys whose rows nothing
+    bounds don't belong here.
+    """
+    return profile.groupBy("page_id").applyInPandas(lambda df: _rows(df.page_id.iloc[0], df.sort_values("y").ink.to_numpy(float)), SEGMENT)
 
-    A page is one group: its rows are bounded by the image's height.
+
+def line_segments_of_rows(pages: DataFrame) -> DataFrame:
+    """Text lines of pages (page_id, ink array<double>), a page a row: nothing is grouped or shuffled.
+
+    A page whose array is null or empty has none; rows that repeat a page_id are pages of their own.
     """
 
-    def of(df: pd.DataFrame) -> pd.DataFrame:
-        ink = df.sort_values("y").ink.to_numpy(float)
-        p, sure, method = period(ink)
-        line = max(4, int(RATIO * p))
-        width = min(max(3, line // 3), len(ink))
-        smooth = np.convolve(ink, np.ones(width) / width, "same")
-        active = smooth[smooth > np.percentile(smooth, 10)]
-        depth = 0.06 * float(np.median(active)) if len(active) else 0.0
-        cuts = [-1, *peaks(-smooth, distance=max(4, p // 2), prominence=depth).tolist(), len(ink)]
-        found = [(a + 1, b - 1) for a, b in zip(cuts, cuts[1:], strict=False) if b - a - 1 >= max(4, line // 4) and ink[a + 1 : b].max() > 0]
-        if len(found) <= 1:
-            method += "+fallback"
-            high, found, start, low = ink >= np.percentile(ink, 20), [], None, 0
-            for y, h in enumerate(high):
-                if h:
-                    start, low = (y if start is None else start), 0
-                elif start is not None:
-                    low += 1
-                    if low >= max(2, line // 4):
-                        found.append((start, y - low))
-                        start = None
-            if start is not None:
-                found.append((start, len(ink) - 1))
-        found = absorbed(found, line)
-        return pd.DataFrame({"page_id": df.page_id.iloc[0], "line_index": range(len(found)), "y1": [a for a, _ in found], "y2": [b for _, b in found], "period": p, "confidence": sure, "method": method})
-
-    return profile.groupBy("page_id").applyInPandas(of, SEGMENT)
+    def run(batches):
+        for df in batches:
+            for page, ink in zip(df.page_id, df.ink, strict=True):
+                if ink is not None and len(ink):
+                    yield _rows(page, np.asarray(ink, float))
+
+    return pages.select("page_id", "ink").mapInPandas(run, SEGMENT)
 
 
 def plausible(boxes: DataFrame, page: str, area: str) -> DataFrame:

@@ -271,7 +271,9 @@ def autocorr(spark, sf_dir):
 
 
 def line_segments(spark, sf_dir):
-    return signal.line_segments(profile(spark, sf_dir))
+    """The lengths of a document's lines by position as the profile of a page: as long as the text in one row, no longer."""
+    ink = F.transform(T.wrapped(F.col("text")), lambda x: F.length(x).cast("double"))
+    return signal.line_segments_of_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), ink.alias("ink")))
 
 
 def noise_area_filter(spark, sf_dir):

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -141,6 +142,44 @@ def test_peaks_and_segments(spark):
     assert len(got) in (9, 10, 11) and got[0].period == 20 and got[0].method.startswith("acf")
 
 
+def test_long_signals_take_no_square_of_time():
+    r, n = np.random.default_rng(1), 200_000
+    ink = 50 + 40 * np.sin(np.arange(n) * 2 * np.pi / 40) + r.normal(0, 8, n)
+    begin = time.process_time()
+    found, p, sure, method = signal.segments(ink)
+    assert time.process_time() - begin < 20
+    assert abs(p - 40) <= 2 or p % 40 in (0, 1, 39)
+    assert method == "acf" and sure > 0.5 and found
+    for x in (r.integers(0, 9, 300).astype(float), r.normal(size=300), np.arange(300.0)):
+        p = signal.peaks(x)
+        for k, v in zip(p, signal.prominences(x, p), strict=True):
+            higher = np.flatnonzero(x > x[k])
+            a, b = max([0, *higher[higher < k]]), min([len(x) - 1, *higher[higher > k]])
+            assert v == x[k] - max(x[a : k + 1].min(), x[k : b + 1].min())
+    d = r.normal(size=signal.DIRECT + 5)
+    assert signal.lagged(d) == pytest.approx(np.correlate(d, d, "full")[len(d) - 1 :], abs=1e-6)
+
+
+def test_segments_of_rows_are_those_of_groups(spark):
+    signals = {1: [100.0 if y % 20 < 12 else 0.0 for y in range(200)], 2: [5.0], 3: [float(y * y % 17) for y in range(90)]}
+    grouped = spark.createDataFrame([(k, y, v) for k, x in signals.items() for y, v in enumerate(x)], "page_id long, y int, ink double")
+    rows = spark.createDataFrame([*signals.items(), (4, []), (5, None)], "page_id long, ink array<double>")
+    want = sorted(map(tuple, signal.line_segments(grouped).collect()))
+    assert want and sorted(map(tuple, signal.line_segments_of_rows(rows).collect())) == want
+
+
+def test_registered_segments_push_nothing_through_a_group(spark, tmp_path):
+    from lectern.plans import queries
+
+    word = "casa " * 12
+    spark.createDataFrame([(7, word * 30), (8, ""), (9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.line_segments(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapGroups" not in plan
+    rows = got.collect()
+    assert {r.page_id for r in rows} == {7} and max(r.y2 for r in rows) == 29
+
+
 def test_image(spark):
     page = np.full((200, 100), 255, np.uint8)
     for y in range(10, 200, 20):
