@@ -178,7 +178,12 @@ def vocabulary_words(path: str) -> list[str]:
 
 
 def corpus_words(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON, each: int = PROPOSED) -> list[str]:
-    """The most frequent words of all rows.  Each task counts all its words and proposes its first `each`."""
+    """Words frequent in the rows, approximately the most frequent ones.
+
+    A task adds up only words seen more than twice in one chunk of text, prunes them at 20 x `each`, and proposes its first
+    `each`: a word spread evenly with one or two uses a chunk is missed however frequent it is over all rows, and the choice
+    depends on the size of a chunk.  Ids don't depend on the choice, since a word outside the lexicon is merged exactly.
+    """
     special = specials(path)
 
     def count(batches):
