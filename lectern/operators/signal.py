@@ -118,7 +118,7 @@ def lagged(d: np.ndarray) -> np.ndarray:
 
 
 def period(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[int, float, str]:
-    """Line period, confidence and method: autocorrelation if sure enough, else component heights, else a fraction."""
+    """Line period, confidence and method: autocorrelation if sure enough, else component heights if the caller has them, else a fraction."""
     n = len(ink)
     if n >= 20 and ink.std() >= 1e-6:
         d = ink - ink.mean()

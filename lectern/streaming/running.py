@@ -1,4 +1,4 @@
-"""Predictions as a stream: rates kept up to date by page, and pages aligned once they are complete."""
+"""Predictions as a stream: rates kept up to date by page."""
 
 from __future__ import annotations
 
