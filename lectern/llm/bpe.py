@@ -1,33 +1,38 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Frequent words (the tokenizer's own whole words, and the words most frequent in the corpus) are compiled into an automaton
+Frequent words (the tokenizer's own whole words, and the corpus's, of which every one is counted) are compiled into an automaton
 that shares prefixes and suffixes.  Each transition carries the number of words that it passes by, so the sum over a path
 is the word's number, and that number gives the word's ids: the outputs that make it a transducer.  The automaton is one
 file in the shared folder, which workers map into memory.  A word outside it is merged exactly by the tokenizer's model,
 and kept in a bounded cache of the worker.
 
-Defined cases: a null text is empty: no ids, and it decodes to the empty text; special strings inside a text become their
-ids, as the library has it by default; repeated rows give equal rows; other columns are ignored by `encode`, and `ids` of
-the input, if there, is replaced by `with_ids`.
+The classes of code points come from the tokenizer's own pre-tokenizer, and a text with a code point that Python's
+Unicode normalizes otherwise than the tokenizer's is normalized by that.
+
+Defined cases: a null or empty text has no ids and decodes to the empty text; special strings inside a text become their
+ids, as the library has it by default; texts and words of any length are encoded whole; which of equally frequent words
+are in the lexicon doesn't matter to the ids; repeated rows give equal rows; an empty table gives an empty one; other
+columns are ignored, whatever they are named.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store, text
-from .token_counts import byte_alphabet, specials, tokenizer
+from . import frequent, store, text
+from .token_counts import byte_alphabet, kinds, specials, tokenizer
 
 #: So many words of the corpus are compiled at most, and each task proposes so many of its own.
-LEXICON, PROPOSED = 65_536, 20_000
-CACHE = 200_000
+LEXICON, PROPOSED = 65_536, 16_384
+#: Entries of a worker's cache, and the longest word in it.
+CACHE, LONG = 200_000, 256
 END = "</w>"
 
 
@@ -36,6 +41,51 @@ def normal(t: str) -> str:
     return unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
 
 
+@lru_cache(maxsize=2)
+def strange(path: str) -> np.ndarray:
+    """Code points in whose company `normal` may differ from the tokenizer's normalizer, by another version of Unicode."""
+    own = tokenizer(path).normalizer.normalize_str
+    every = np.delete(text.code_points(), ord("."))
+    chars = [*map(chr, every.tolist())]
+    out = np.zeros(0x110000, bool)
+    out[every] = [a != b and not c.isspace() for c, a, b in zip(chars, own(".".join(chars)).split("."), map(normal, chars), strict=True)]
+    for c in chars:
+        if unicodedata.combining(c):
+            x, y = f"a{c}\u0334", f"a\u0300{c}"
+            out[ord(c)] |= own(x) != normal(x) or own(y) != normal(y)
+        apart = unicodedata.normalize("NFD", c)
+        if apart != c and own(apart) != normal(apart):
+            out[[ord(c), *map(ord, apart)]] = True
+    return out
+
+
+def tables(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """What workers need to know of the tokenizer's Unicode: made on the driver, broadcast."""
+    return kinds(path), strange(path)
+
+
+class Words:
+    """Cuts texts into the tokenizer's words."""
+
+    def __init__(self, path: str, kinds: np.ndarray, strange: np.ndarray):
+        self.special, self.kinds, self.strange = specials(path), kinds, strange
+        self.own = tokenizer(path).normalizer.normalize_str
+
+    def normal(self, parts: list[str]) -> list[str]:
+        cp, at = text.codepoints(parts)
+        hit = np.flatnonzero(self.strange[cp])
+        odd = set((np.searchsorted(at, hit, "right") - 1).tolist())
+        return [self.own(p) if i in odd else normal(p) for i, p in enumerate(parts)]
+
+    def cut(self, texts: list[str | None]):
+        """Joined string, begin, end and hash of each word, the words of each piece; owners of pieces and special strings."""
+        parts, owner, found = text.split_special(texts, self.special)
+        parts = self.normal(parts)
+        cp, at = text.codepoints(parts)
+        first, end, per = text.word_level_tokens(cp, at, self.kinds)
+        return "".join(parts), first, end, text.hashes(text.code_values(cp), first, end), per, owner, found
+
+
 class Automaton:
     """A minimal acyclic automaton over bytes, as flat arrays: transitions sorted by state and byte."""
 
@@ -172,40 +222,23 @@ def vocabulary_words(path: str) -> list[str]:
                 out.add(w)
     words = sorted(out)
     cp, at = text.codepoints(words)
-    first, end, _ = text.word_level_tokens(cp, at)
+    first, end, _ = text.word_level_tokens(cp, at, kinds(path))
     whole = set(zip(first.tolist(), end.tolist(), strict=True))
     return [w for w, a, b in zip(words, at[:-1].tolist(), at[1:].tolist(), strict=True) if (a, b) in whole]
 
 
 def corpus_words(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON, each: int = PROPOSED) -> list[str]:
-    """Words frequent in the rows, approximately the most frequent ones.
+    """The words most frequent in all rows: every word is counted, within the error that `frequent` states.
 
-    A task adds up only words seen more than twice in one chunk of text, prunes them at 20 x `each`, and proposes its first
-    `each`: a word spread evenly with one or two uses a chunk is missed however frequent it is over all rows, and the choice
-    depends on the size of a chunk.  Ids don't depend on the choice, since a word outside the lexicon is merged exactly.
+    Ids don't depend on the choice, since a word outside the lexicon is merged exactly.
     """
-    special = specials(path)
+    shared = docs.sparkSession.sparkContext.broadcast(tables(path))
 
-    def count(batches):
-        seen: Counter = Counter()
-        for batch, _, _ in text.pieces(batches):
-            parts, _, _ = text.split_special(batch.column("text").to_pylist(), special)
-            parts = [normal(p) for p in parts]
-            cp, at = text.codepoints(parts)
-            first, end, _ = text.word_level_tokens(cp, at)
-            _, index, n = np.unique(text.hashes(text.code_values(cp), first, end), return_index=True, return_counts=True)
-            often = n > 2
-            joined = "".join(parts)
-            for a, b, k in zip(first[index[often]].tolist(), end[index[often]].tolist(), n[often].tolist(), strict=True):
-                seen[joined[a:b]] += k
-            if len(seen) > 20 * each:
-                seen = Counter(dict(seen.most_common(4 * each)))
-        top = seen.most_common(each)
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(count, "word string, n long")
-    return [r.word for r in rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()]
+    def cut():
+        words = Words(path, *shared.value)
+        return lambda texts: words.cut(texts)[:4]
+
+    return frequent.segments(docs.select(F.col(text_col).cast("string").alias("text")), cut, each, most)
 
 
 def compile_lexicon(docs: DataFrame, path: str, folder: str, text_col: str = "text") -> str:
@@ -220,10 +253,10 @@ def compile_lexicon(docs: DataFrame, path: str, folder: str, text_col: str = "te
 class Coder:
     """A worker's encoder: the mapped automaton, then its cache of merged words."""
 
-    def __init__(self, path: str, lexicon: str):
-        self.path, self.special, self.auto = path, specials(path), Automaton.load(lexicon)
+    def __init__(self, path: str, lexicon: str, kinds: np.ndarray, strange: np.ndarray):
+        self.auto, self.cutter = Automaton.load(lexicon), Words(path, kinds, strange)
         tok = tokenizer(path)
-        self.special_ids = {s: tok.token_to_id(s) for s in self.special}
+        self.special_ids = {s: tok.token_to_id(s) for s in self.cutter.special}
         self.tokens = [t.encode() if t is not None else b"" for t in map(tok.id_to_token, range(tok.get_vocab_size()))]
         n = len(self.auto.offset) - 1
         self.ids: np.ndarray = np.full(n, None, object)
@@ -240,10 +273,12 @@ class Coder:
         if got is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            got = self.cache[word] = self.both(self.merge(word))
+            got = self.both(self.merge(word))
+            if len(word) <= LONG:
+                self.cache[word] = got
         return got
 
-    def words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def coded(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and decoded tokens of distinct words."""
         data = [w.encode() for w in found]
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))]).astype(np.int64)
@@ -260,13 +295,9 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Ids (little-endian words) and the decoded text (UTF-8) of each text."""
-        parts, owner, found = text.split_special(texts, self.special)
-        parts = [normal(p) for p in parts]
-        cp, at = text.codepoints(parts)
-        first, end, per = text.word_level_tokens(cp, at)
-        _, index, inverse = np.unique(text.hashes(text.code_values(cp), first, end), return_index=True, return_inverse=True)
-        joined = "".join(parts)
-        ids, shown = self.words([joined[a:b] for a, b in zip(first[index].tolist(), end[index].tolist(), strict=True)])
+        joined, first, end, h, per, owner, found = self.cutter.cut(texts)
+        _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        ids, shown = self.coded([joined[a:b] for a, b in zip(first[index].tolist(), end[index].tolist(), strict=True)])
         all_ids, all_shown = ids[inverse].tolist(), shown[inverse].tolist()
         edge = np.concatenate([[0], np.cumsum(per)]).tolist()
         if not found:
@@ -286,9 +317,10 @@ class Coder:
 def encode(docs: DataFrame, path: str, lexicon: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """id, n_tokens, ids and decoded of every row; with `digests`, the SHA-256 of ids and decoded text instead of them."""
     kind = dict(docs.dtypes)[id_col]
+    shared = docs.sparkSession.sparkContext.broadcast(tables(path))
 
     def run(batches):
-        coder = Coder(path, lexicon)
+        coder = Coder(path, lexicon, *shared.value)
         for batch, _, _ in text.pieces(batches):
             ids, shown = coder.encode(batch.column("text").to_pylist())
             n = pa.array([len(x) // 4 for x in ids], pa.int64())

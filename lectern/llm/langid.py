@@ -39,7 +39,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cp = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
     size = np.array([len(t) for t in low], np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
-    letter = np.concatenate([[0], np.cumsum(text.classes()[cp] == text.LETTER)])
+    letter = np.concatenate([[0], np.cumsum(text.letters()[cp])])
     has = letter[at[1:]] > letter[at[:-1]]
     n = len(cp)
     left = np.repeat(at[1:], size) - np.arange(n)

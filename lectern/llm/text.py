@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -84,15 +85,23 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * U(BASE))
 
 
+#: Segments from so many values on are hashed by a digest: a polynomial modulo 2**64 tells some long ones apart no more.
+LONG = 64
+
+
 def hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each segment, by differences of one running polynomial."""
+    """A 64-bit hash of values[start:end] for each segment: short ones by differences of one running polynomial."""
     n = len(values)
     if not len(start):
         return np.zeros(0, U)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, U)
     np.cumsum(values * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    size = end - start
+    out = mix((total[end] - total[start]) * down[start] + size.astype(U) * U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(values[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 _SPACE = np.zeros(256, bool)
@@ -160,12 +169,43 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
 @lru_cache(maxsize=1)
-def classes() -> np.ndarray:
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
+def code_points() -> np.ndarray:
+    """All of them but the surrogates, which no text holds."""
+    return np.r_[0:0xD800, 0xE000:0x110000]
+
+
+def classes(cut) -> np.ndarray:
+    """The class of each code point as a pre-tokenizer has it; `cut` gives the pieces of a string and their places.
+
+    All code points in order are cut where the class changes (or more often), and the first of each run is judged by what
+    it joins.  So the library's own version of Unicode decides.
+    """
+    every = code_points()
+    whole = "".join(map(chr, every.tolist()))
+    edge = np.zeros(len(every) + 1, bool)
+    edge[[0, 32, 33]] = True  # a space joins what follows
+    for _, ends in cut(whole):
+        edge[list(ends)] = True
+    grouped = len(cut("11")) == 1
+
+    def joins(x: str) -> bool:
+        return [ends for _, ends in cut(x)] == [(0, len(x))]
+
+    def kind(c: str) -> int:
+        if joins("a" + c):
+            return LETTER
+        if joins("!" + c):
+            return OTHER
+        return NUMBER if (joins("1" + c) if grouped else cut(c)) else SPACE
+
+    first = np.flatnonzero(edge[:-1])
     out = np.zeros(0x110000, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    for c in range(0x110000):
-        out[c] = kinds.get(unicodedata.category(chr(c))[0], OTHER)
-    out[[9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    out[every] = np.repeat(np.array([kind(whole[i]) for i in first.tolist()], np.uint8), np.diff(np.append(first, len(every))))
     return out
 
 
@@ -181,9 +221,9 @@ def code_values(cp: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def _runs(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(cp: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of the code points, whether a run of one class starts there, and whether a piece starts or ends there."""
-    kind = classes()[cp]
+    kind = kinds[cp]
     edge = np.zeros(len(cp) + 1, bool)
     edge[at] = True
     run = edge[:-1].copy()
@@ -206,7 +246,7 @@ def _contractions(cp: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np
     return i[ok], i[ok] + np.where(short, 2, 3)[ok], end[ok]
 
 
-def byte_level_tokens(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def byte_level_tokens(cp: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each pre-token starts that the byte-level pattern finds, and how many each piece has; none is left out.
 
     The pattern takes contractions, then letters, numbers or others with one space before them, then white space, of
@@ -215,7 +255,7 @@ def byte_level_tokens(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(cp)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
-    kind, start, edge = _runs(cp, at)
+    kind, start, edge = _runs(cp, at, kinds)
     first = np.flatnonzero(start)
     after = np.append(first[1:], n)
     gap = (kind[first] == SPACE) & ~edge[after]
@@ -229,13 +269,13 @@ def byte_level_tokens(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, np.diff(np.searchsorted(first, at))
 
 
-def word_level_tokens(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_level_tokens(cp: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each pre-token, and how many each piece has: contractions, letters, single numbers, others."""
     n = len(cp)
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(len(at) - 1, np.int64)
-    kind, start, _ = _runs(cp, at)
+    kind, start, _ = _runs(cp, at, kinds)
     start |= kind == NUMBER
     i, end, last = _contractions(cp, at, start)
     start[i + 1] = False

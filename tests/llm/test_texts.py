@@ -6,6 +6,7 @@ import math
 import random
 import re
 import tarfile
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import bpe, kneser_ney, langid, media, mixing, quality, store, text, token_counts, warc
+from lectern.llm import bpe, frequent, kneser_ney, langid, media, mixing, quality, store, text, token_counts, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -56,6 +57,71 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(docs(spark, []), path).count() == 0
 
 
+def thue_morse(n, swap=False):
+    return "".join("ba"[(i.bit_count() + swap) % 2] for i in range(n))
+
+
+ALIKE = [f"{thue_morse(n, x)} end" for n in (64, 1024, 2048, 4096) for x in (False, True)]
+
+
+def test_long_words_have_hashes_of_their_own():
+    h, n = text.word_hashes(*text.utf8(pa.array(ALIKE)))
+    assert n.tolist() == [2] * len(ALIKE) and len(set(h.tolist())) == len(ALIKE) + 1
+
+
+EVERY = [chr(c) for c in text.code_points()]
+SWEEP = [x for c in EVERY for x in (c, f"a{c}b")] + [f"1{EVERY[i]} {EVERY[i]}!{EVERY[i]}'s e\u0301{EVERY[i]}\u0323" for i in range(0, len(EVERY), 7)]
+
+
+def packed(texts, n=200):
+    """Many short texts in one row each `n`, so that a sweep is few rows."""
+    return ["\n".join(texts[i : i + n]) for i in range(0, len(texts), n)]
+
+
+def test_token_counts_of_all_code_points_and_alike_words(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = packed(SWEEP) + ALIKE + [f"{c}1" for c in EVERY[0x1C80:0x1C90] + EVERY[0xA7C0:0xA7E0]]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs(spark, texts), path).collect()}
+    want = {i: len(e.ids) for i, e in enumerate(tok.encode_batch(texts, add_special_tokens=False))}
+    assert got == want
+
+
+def test_bpe_of_all_code_points_and_alike_words(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    apart = [x for c in EVERY if (x := unicodedata.normalize("NFD", c)) != c]
+    texts = packed(SWEEP) + packed(apart) + ALIKE + [f"{c}1" for c in EVERY[0x1C80:0x1C90] + EVERY[0xA7C0:0xA7E0]]
+    d = docs(spark, texts)
+    got = {r.doc_id: r.ids_sha256 for r in bpe.encode(d, path, bpe.compile_lexicon(d.limit(3), path, store.new_folder(spark, "bpe")), digests=True).collect()}
+    want = {i: hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest() for i, e in enumerate(tok.encode_batch(texts, add_special_tokens=False))}
+    assert got == want
+
+
+def test_frequent_segments_are_found_however_spread(spark, monkeypatch):
+    """A word twice in each of many chunks, among others that come once."""
+    monkeypatch.setattr(text, "CHUNK", 2000)
+    monkeypatch.setattr(frequent, "LONGEST", 20)
+    rows = ["qzx " + " ".join("w" + "".join(R.choices("abcdefgh", k=7)) for _ in range(200)) + " qzx " + "long" * 5 for _ in range(60)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = bpe.corpus_words(docs(spark, rows), path, most=5, each=300)
+    assert words[0] == "qzx" and len(words) == 5 and "long" * 5 not in words
+    assert bpe.corpus_words(docs(spark, ["b a", "a b", None]), path, most=2) == ["a", "b"]
+
+
+def test_summary_keeps_its_bound():
+    s, true = frequent.Summary(50), Counter()
+    for _ in range(300):
+        c = Counter(min(int(R.expovariate(0.01)), 5000) for _ in range(100))
+        true.update(c)
+        keys = sorted(c)
+        s.add(keys, [c[k] for k in keys], lambda i: str(keys[i]))  # noqa: B023
+    n = sum(true.values())
+    got = {int(w): k for w, k in s.top()}
+    assert all(true[k] - n / 50 <= v <= true[k] for k, v in got.items())
+    assert all(k in got for k, v in true.items() if v > 2 * n / 50)
+
+
 def test_hash_table():
     k = np.unique(np.random.default_rng(0).integers(1, 2**63, 5000).astype(np.uint64))
     t = text.HashTable(k, np.arange(len(k), dtype=np.int32))
