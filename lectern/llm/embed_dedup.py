@@ -8,7 +8,8 @@ one class with a multiplicity from the start.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component, and null labels, link with
 nothing; so do vectors of different length; a null id links with nothing, has no component and is not kept; rows that
-repeat an id are vectors of their own in counts and one node in components; other columns are ignored.
+repeat an id are vectors of their own in counts (their copies count as other vectors) and one node in components, and each
+is kept if its id is; an empty table gives an empty one; other columns are ignored, whatever they are named.
 """
 
 from __future__ import annotations
@@ -89,8 +90,8 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _tile(ids: np.ndarray, mult: np.ndarray, side: np.ndarray, u: np.ndarray, least: float) -> pa.RecordBatch:
-    """Counts and forest of one tile; side 2: a block with itself, else blocks 0 and 1."""
+def _tile(digest: pa.Array, ids: np.ndarray, mult: np.ndarray, side: np.ndarray, u: np.ndarray, least: float) -> pa.RecordBatch:
+    """Counts by class and forest of one tile; side 2: a block with itself, else blocks 0 and 1."""
     if (side == 2).any():
         m = linked(u, u, least)
         np.fill_diagonal(m, False)
@@ -108,10 +109,15 @@ def _tile(ids: np.ndarray, mult: np.ndarray, side: np.ndarray, u: np.ndarray, le
         at = np.concatenate([a, b])
         tree = [(at[i], at[j]) for i, j in forest(both)]
     has = np.flatnonzero(count)
-    x = np.concatenate([ids[has], ids[[i for i, _ in tree]]]) if tree else ids[has]
-    y = pa.array([None] * len(has) + [int(ids[j]) for _, j in tree], pa.int64())
-    n = np.concatenate([count[has], np.zeros(len(tree), np.int64)])
-    return pa.RecordBatch.from_arrays([pa.array(x), y, pa.array(n)], names=["a", "b", "n"])
+    m = len(tree)
+    ends = [pa.concat_arrays([pa.nulls(len(has), pa.int64()), pa.array(ids[[e[k] for e in tree]] if m else [], pa.int64())]) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([digest.take(pa.array(has)), pa.nulls(m, pa.binary())]), pa.array(np.concatenate([count[has], np.zeros(m, np.int64)])), *ends], names=["digest", "n", "a", "b"])
+
+
+def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between an id that has several vectors and the first ids of their classes."""
+    several = rows.where("digest is not null").groupBy("vec_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("vec_id")
+    return rows.join(several, "vec_id").join(classes.select("digest", "rep"), "digest").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
 
 
 def deduplicate(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
@@ -125,7 +131,7 @@ def deduplicate(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     blocks = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     dealt = classes.join(blocks, ["label", "dim"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "mult", "unit")
+    dealt = dealt.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "digest", "rep", "mult", "unit")
 
     def tiles(batches):
         key, held = None, []
@@ -133,7 +139,7 @@ def deduplicate(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
         def done():
             t = pa.Table.from_batches(held)
             u = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(t.num_rows, -1)
-            return _tile(t.column("rep").to_numpy(), t.column("mult").to_numpy(), t.column("side").to_numpy(), u, least)
+            return _tile(t.column("digest").combine_chunks(), t.column("rep").to_numpy(), t.column("mult").to_numpy(), t.column("side").to_numpy(), u, least)
 
         for batch in batches:
             k = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "i", "j")), strict=True))
@@ -152,10 +158,10 @@ def deduplicate(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
             yield done()
 
     tile = ["label", "dim", "i", "j"]
-    found = store.saved(dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(tiles, "a long, b long, n long"), folder, "found")
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("b is not null").select("a", "b"))
-    known = classes.select("digest", "rep", "mult").join(counts, "rep", "left").join(parts, F.col("node") == F.col("rep"), "left")
+    found = store.saved(dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(tiles, "digest binary, n long, a long, b long"), folder, "found")
+    counts = found.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("n"))
+    parts = connected_components(found.where("digest is null").select("a", "b").unionAll(_same_ids(rows, classes)), folder)
+    known = classes.select("digest", "rep", "mult").join(counts, "digest", "left").join(parts, F.col("node") == F.col("rep"), "left")
     known = known.select("digest", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = rows.select("vec_id", "digest").join(known, "digest", "left")
     component = F.coalesce("c", "vec_id")

@@ -8,13 +8,14 @@ document takes the L of least estimated cost: where its prefix is common, it tak
 Sets that are equal are one class from the start.  A shingle that two prefixes share is a bucket; its documents meet in
 tiles of bounded size, where size, a parity bitmap (whose difference cannot exceed the sets' difference) and the number of
 shared prefix shingles rule pairs out.  What passes is verified on the whole sets.  Since components are asked for, not
-pairs, each document first offers its nearest candidate only, twice, each time among other components; the last round then
-takes every candidate pair between different components, so that no link is lost, while a large group of near copies costs
-about as many verifications as it has documents.
+pairs, each document first offers two candidates of a tile only, its nearest and the one of smallest id; what these links
+tie together gets a common label, though not always all of a component.  The second round then takes every candidate pair of
+different labels, so that no link is lost, while a large group of near copies costs a few verifications a document.
 
 Defined cases: a null or empty text has no shingles and links with nothing; a text of fewer than k words is one shingle;
-a null id links with nothing and has no component; rows that repeat an id are one node with all their links; other columns
-are ignored.  Shingles are 64-bit hashes.
+a text of any length counts whole; a null id links with nothing and has no component; rows that repeat an id are one node
+with all their links; of equally near candidates the one of smallest id counts; an empty table gives an empty one; other
+columns are ignored, whatever they are named.  Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays, store, text
-from .components import connected_components
+from .components import connected_components, within_tasks
 
 U = np.uint64
 #: Slots of the word sketch: one for so many bytes of input, within these powers of two.
@@ -33,6 +34,8 @@ SLOT_BYTES, SKETCH = 128, (16, 22)
 WORDS = 16  # of 64 bits in a parity bitmap
 LENGTHS = (1, 2, 4, 8, 16, 32)
 TILE = 512
+#: So many times a large bucket is dealt into tiles in the first round.
+DEALS = 2
 FILTER = 21
 HUB = 500
 #: Relative costs of a posting, of a candidate met in a bucket, and of one verified.
@@ -188,38 +191,37 @@ class Join:
         shared = posts.join(buckets, "token").groupBy("card").agg(F.collect_list(F.struct("token", "c")).alias("shared"))
         return store.saved(cards.drop("tokens").join(shared, "card").drop("card"), self.folder, "live")
 
-    def tiles(self, live: DataFrame, labels: DataFrame | None, seed: int, every: bool) -> DataFrame:
+    def tiles(self, live: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Rows (tile, id, n, bits, label, side) of bounded tiles; a tile's number is a hash of what it is for.
 
-        In the nearest rounds a large bucket is dealt into tiles by hash.  With `every`, all pairs of different labels
-        meet: of a large bucket the rows with its commonest label stand on one side, the others on the other.
+        Without labels, a large bucket is dealt into tiles by hash, twice.  With labels, all pairs of different labels meet:
+        of a large bucket the rows with its commonest label stand on one side, the others on the other.
         """
-        rows = live
-        if labels is not None:
-            rows = rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        else:
-            rows = rows.withColumn("label", F.col("id"))
+        rows = live.withColumn("label", F.col("id")) if labels is None else live.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         rows = rows.withColumn("t", F.explode("shared")).select("id", "n", "bits", "label", "t.token", "t.c")
         columns = [F.xxhash64("token", "kind", "i", "j").alias("tile"), "id", "n", "bits", "label", "side"]
-        if not every:
-            block = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.ceil(F.col("c") / TILE)).cast("int")
-            return rows.withColumns({"kind": F.lit(0), "i": block, "j": F.lit(0), "side": F.lit(2)}).select(columns)
+        if labels is None:
+            parts = F.ceil(F.col("c") / TILE)
+            deals = F.when(F.col("c") > TILE, F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))
+            rows = rows.withColumn("j", F.explode(deals)).withColumn("i", F.pmod(F.xxhash64("id", "j"), parts).cast("int"))
+            return rows.withColumns({"kind": F.lit(0), "side": F.lit(2)}).select(columns)
         small = rows.where(F.col("c") <= TILE).withColumns({"kind": F.lit(0), "i": F.lit(0), "j": F.lit(0), "side": F.lit(2)}).select(columns)
         large = rows.where(F.col("c") > TILE)
         by_label = large.groupBy("token", "label").agg(F.count("*").alias("m"))
         top = by_label.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("labels")).where("labels > 1")
         top = top.select("token", F.col("top.label").alias("most"), F.ceil(F.col("top.m") / TILE).cast("int").alias("bm"), F.ceil((F.col("all") - F.col("top.m")) / TILE).cast("int").alias("bn"))
         large = large.join(top, "token").withColumn("minor", F.col("label") != F.col("most"))
-        h = F.xxhash64(F.col("id"), F.lit(seed))
-        to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        major = large.where("not minor").withColumn("i", to("bn")).withColumns({"kind": F.lit(1), "j": F.pmod(h, F.col("bm")).cast("int"), "side": F.lit(0)})
+        to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        h = F.xxhash64("id", F.lit(DEALS))
+        place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+        major = large.where("not minor").withColumn("own", F.pmod(h, F.col("bm")).cast("int")).withColumn("at", F.transform(to("bn"), lambda x: place(1, x, F.col("own"), 0)))
         minor = large.where("minor").withColumn("own", F.pmod(h, F.col("bn")).cast("int"))
-        across = minor.withColumn("j", to("bm")).withColumns({"kind": F.lit(1), "i": F.col("own"), "side": F.lit(1)})
-        among = minor.withColumn("other", to("bn")).withColumns({"kind": F.lit(2), "i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.lit(2)})
-        return small.unionAll(major.select(columns)).unionAll(across.select(columns)).unionAll(among.select(columns))
+        minor = minor.withColumn("at", F.concat(F.transform(to("bm"), lambda x: place(1, F.col("own"), x, 1)), F.transform(to("bn"), lambda x: place(2, F.least("own", x), F.greatest("own", x), 2))))
+        spread = major.unionAll(minor).withColumn("at", F.explode("at")).select("id", "n", "bits", "label", "token", "at.*").select(columns)
+        return small.unionAll(spread)
 
     def met(self, tiles: DataFrame, every: bool) -> DataFrame:
-        """Candidate pairs (a, b), a < b, that size and bitmap let pass: each document's nearest, or every one."""
+        """Candidate pairs (a, b), a < b, that size and bitmap let pass: each document's nearest and smallest, or every one."""
         percent = self.percent
 
         def found(t: pa.Table):
@@ -228,9 +230,9 @@ class Join:
             a, b, far = candidates(tile, ids, n, label, side, bits, percent)
             if not every and len(a):
                 x, y, z = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
-                order = np.lexsort((ids[y], z, x))
-                order = order[np.r_[True, np.diff(x[order]) > 0]]
-                a, b, far = x[order], y[order], z[order]
+                best = [order[np.r_[True, np.diff(x[order]) > 0]] for order in (np.lexsort((ids[y], z, x)), np.lexsort((ids[y], x)))]
+                best = np.unique(np.concatenate(best))
+                a, b, far = x[best], y[best], z[best]
             return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(far)], names=["a", "b", "far"])
 
         def run(batches):
@@ -253,7 +255,7 @@ class Join:
 
         out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, far double")
         if not every:
-            out = out.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            out = out.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m"), F.min("b").alias("b")).select("a", F.explode(F.array("m.b", "b")).alias("b"))
         return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def agreeing(self, pairs: DataFrame, live: DataFrame) -> DataFrame:
@@ -317,30 +319,34 @@ class Join:
             return self.spark.createDataFrame([], "a long, b long")
         return rows.where("n > 0").join(several, "id").join(classes, "fp").where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
 
+    def labels(self, links: DataFrame) -> DataFrame:
+        """(node, component) of the links' nodes: a node of the same component, the same for most of its nodes.
+
+        Every node takes the smallest one next to it, and then twice the one which that has taken.
+        """
+        links = within_tasks(links)
+        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        out = store.saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), self.folder, "next")
+        for step in range(2):
+            out = store.saved(out.join(out.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component")), self.folder, f"jump{step}")
+        return out
+
     def run(self) -> DataFrame:
         first = self.first_pass()
         rows = first.where("name is null").select("id", "n", "fp")
         sketch = arrays.collected(first.where("name is not null").select("name", "slice", "counts"), 1 << self.bits).get("sketch", np.zeros(1 << self.bits, np.int64))
         classes = store.saved(rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep")), self.folder, "classes")
         live = self.live(self.cards(sketch, classes))
-        met = store.saved(self.met(self.tiles(live, None, 0, False), False), self.folder, "met0")
-        near = store.saved(self.agreeing(met, live), self.folder, "near0")
-        large = live.where(F.exists("shared", lambda x: x["c"] > TILE))
-        live = store.saved(live.join(either(met).unionAll(large.select("id")), "id", "left_semi"), self.folder, "touched")  # the others met nobody
+        near = store.saved(self.agreeing(self.met(self.tiles(live, None), False), live), self.folder, "near0")
         sets = self.sets(either(near).distinct(), "sets0")
         links = self.verified(near, sets, "links0")
-        links = links.unionAll(self.same_ids(rows, classes))
-        labels = store.saved(connected_components(links), self.folder, "labels0")
-        for step, every in ((1, False), (2, True)):
-            near = store.saved(self.agreeing(self.met(self.tiles(live, labels, step, every), every), live), self.folder, f"near{step}")
-            if near.isEmpty():
-                continue
-            new = store.saved(either(near).distinct().join(sets, "id", "left_anti"), self.folder, f"new{step}")
+        near = store.saved(self.agreeing(self.met(self.tiles(live, self.labels(links)), True), live), self.folder, "near1")
+        if not near.isEmpty():
+            new = store.saved(either(near).distinct().join(sets, "id", "left_anti"), self.folder, "new1")
             if not new.isEmpty():
-                sets = sets.unionAll(self.sets(new, f"sets{step}"))
-            links = self.verified(near, sets, f"links{step}")
-            if not links.isEmpty():  # what is known goes in as stars, which settle at once
-                labels = store.saved(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), self.folder, f"labels{step}")
+                sets = sets.unionAll(self.sets(new, "sets1"))
+            links = links.unionAll(self.verified(near, sets, "links1"))
+        labels = connected_components(links.unionAll(self.same_ids(rows, classes)), self.folder)
         # a class's component is that of its first document
         known = classes.join(labels, F.col("node") == F.col("rep"), "left").select("fp", F.coalesce("component", "rep").alias("c"))
         out = rows.join(known, "fp", "left")

@@ -3,11 +3,13 @@
 import itertools
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lectern.llm import embed_dedup, ngram_join, store
+from lectern.llm import components, embed_dedup, ngram_join, store
 from lectern.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,6 +109,13 @@ def test_join_odd_rows(spark):
     assert ngram_join.components(df).first().component_id == 1
 
 
+def test_long_words_that_are_alike(spark):
+    """Words that a polynomial modulo 2**64 can't tell apart are different words."""
+    word = lambda swap: "".join("ba"[(i.bit_count() + swap) % 2] for i in range(2048))
+    got = joined(spark, [(1, word(0)), (2, word(1)), (3, word(1))], 3, 90)
+    assert {x.doc_id: x.component_id for x in got} == {1: 1, 2: 2, 3: 2}
+
+
 def test_prefix_shares_enough():
     """Two sets over the threshold share at least the smaller number within their prefixes."""
     r = np.random.default_rng(0)
@@ -124,13 +133,15 @@ def test_prefix_shares_enough():
         assert len(np.intersect1d(got[0][0], got[1][0])) >= min(got[0][1], got[1][1])
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("parts", "held"), [(1, 1 << 20), (13, 1 << 20), (3, 5)])
+def test_components(spark, monkeypatch, parts, held):
+    monkeypatch.setattr(components, "HELD", held)
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(50), 100 + r.randrange(50)) for _ in range(40)] + [(200, 200 + i) for i in range(40)]
-    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(parts), store.new_folder(spark, "cc")).collect()}
     want = smallest({n for e in edges for n in e}, edges)
     assert got == {n: want[n] for a, b in edges if a != b for n in (a, b)}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), store.new_folder(spark, "cc")).count() == 0
 
 
 def vectors(n, seed):
@@ -141,13 +152,13 @@ def vectors(n, seed):
 
 def brute_vectors(rows, least=0.93):
     ok = [(i, np.array(v, float), k) for i, v, k in rows if i is not None and v and k is not None and None not in v and np.isfinite(v).all() and np.any(v)]
-    links = [(a, b) for (a, x, k), (b, y, m) in itertools.combinations(ok, 2) if k == m and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= least]
-    low = smallest({i for i, *_ in rows}, links)
-    n = dict.fromkeys(low, 0)
-    for a, b in links:
-        n[a] += 1
-        n[b] += 1
-    return {i: (n[i], low[i], low[i] == i) for i in low}
+    links = [(a, b) for (a, (_, x, k)), (b, (_, y, m)) in itertools.combinations(enumerate(ok), 2) if k == m and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= least]
+    low = smallest({i for i, *_ in rows}, [(ok[a][0], ok[b][0]) for a, b in links])
+    n = Counter(x for e in links for x in e)
+    count = defaultdict(list)
+    for a, (i, *_) in enumerate(ok):
+        count[i].append(n[a])
+    return {i: (sorted(count[i] + [0] * (sum(r[0] == i for r in rows) - len(count[i]))), low[i], low[i] == i) for i in low}
 
 
 @pytest.mark.parametrize("block", [2048, 16])
@@ -156,8 +167,26 @@ def test_vectors(spark, monkeypatch, block):
     rows = vectors(150, 4)
     rows += [(500, rows[0][1], 0), (501, rows[0][1], 0), (502, [x * 2 for x in rows[0][1]], 0), (503, rows[0][1], None), (504, None, 0), (505, [0.0] * 16, 0), (506, [float("nan")] * 16, 0), (507, [None] * 16, 0), (508, [], 0), (509, [1.0], 0), (510, [2.0], 0), (511, [float("inf")] * 16, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.deduplicate(df).collect()}
-    assert got == brute_vectors(rows)
+    assert by_id(embed_dedup.deduplicate(df)) == brute_vectors(rows)
+
+
+def by_id(found):
+    out = {}
+    for r in found.collect():
+        n, c, k = out.setdefault(r.vec_id, ([], r.component_id, r.kept))
+        n.append(r.n_links)
+        assert (c, k) == (r.component_id, r.kept)
+    return {i: (sorted(n), c, k) for i, (n, c, k) in out.items()}
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_vectors_of_repeated_ids(spark, monkeypatch, block):
+    """An id's vectors have counts of their own and are one node."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    e = np.eye(6).tolist()
+    rows = [(1, e[0], 0), (1, e[1], 0), (1, e[2], 0), (2, [1.0, 0.1, 0.0, 0.0, 0.0, 0.0], 0), (5, e[1], 0), (5, e[3], 0), (9, e[3], 0), (8, e[4], 0), (8, e[4], 0), (7, e[4], 0), (4, e[5], 1), (4, e[5], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("digest", F.lit("d")).withColumn("a", F.lit(1))
+    assert by_id(embed_dedup.deduplicate(df)) == brute_vectors(rows)
 
 
 def test_vectors_odd(spark):
