@@ -49,7 +49,7 @@ def summed(parts: DataFrame) -> DataFrame:
 def collected(parts: DataFrame, size: int) -> dict[str, np.ndarray]:
     """The sums as arrays of `size` on the driver: their total size is fixed by the number of names, not by the rows."""
     out: dict[str, np.ndarray] = {}
-    for name, i, blob in summed(parts).toLocalIterator():
+    for name, i, blob in summed(parts).collect():
         a = np.frombuffer(blob, "<i8")
         out.setdefault(name, np.zeros(size, np.int64))[i * SLICE : i * SLICE + len(a)] = a
     return out
