@@ -1,23 +1,27 @@
-"""Scoring by an interpolated modified Kneser-Ney model of word pairs, counted in Spark and mapped into workers' memory.
-
-Counting: each task reduces its own text to distinct word pairs with counts, cut by hash into ranges; a range's parts meet
-in one task, which writes the range as sorted hash arrays.  What the pairs say about single words (counts, continuation
-counts, and each context's numbers of followers seen once, twice and more) is again reduced by task before it is dealt by
-the word's hash.  A hot word is so a row of each task at most.  Scoring: workers map the arrays of the ranges into memory,
-and each chunk of text looks up its distinct pairs in order.
-
-p(w|h) = max(c(hw) - D(c), 0) / c(h) + (D1 n1(h) + D2 n2(h) + D3 n3+(h)) / c(h) * pc(w), and pc(w) the same over
-continuation counts, interpolated with 1 / (V + 1), V the number of distinct training tokens.  Order two, because pairs
-are what fits the disk limit: see the README.
-
-Defined cases: a null text is empty, so one end token; an unseen context gives pc(w); an unseen word has pc's last term;
-an empty training set leaves the uniform model; a null id is scored, and trained on unless `train` says no (null is no);
-repeated rows count and score each.
+"""Scoring by an interpolated modified Kneser-Ney model of n-grams, counted in Spark and mapped into workers' memory.
+
+Counting: each task reduces its own text to distinct n-grams with counts, cut by hash into ranges; a range's parts meet in
+one task, which writes the range as sorted hash arrays.  What the n-grams say about the grams one word shorter (how often
+these end one, and as contexts their followers' counts, and how many followers they have once, twice and more) is again
+reduced by task before it is dealt by the shorter gram's hash, and so on down to words.  A hot word is so a row of each
+task at most.  Scoring: workers map the arrays of the ranges into memory, and each chunk of text looks up its distinct
+grams in order.
+
+With k words, c the count (of the longest grams) or the number of distinct words before it (of shorter ones), h the context:
+p(w|h) = max(c(hw) - D(c), 0) / c(h) + (D1 n1(h) + D2 n2(h) + D3 n3+(h)) / c(h) * p(w|h less its first word), and for a single
+word the last term is by 1 / (V + 1), V the number of distinct training tokens.  The order is a parameter, two by default,
+because pairs are what fits the disk limit: see the README.
+
+Defined cases: a null or empty text is one end token; an unseen context gives the shorter one's probability; an unseen word
+has the last term alone; an empty training set leaves the uniform model; a null id is scored, and trained on unless `train`
+says no (null is no); repeated rows count and score each; texts of any length count whole; an empty table gives an empty
+one; other columns are ignored, whatever they are named.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -29,105 +33,138 @@ from . import store, text
 U = np.uint64
 END = U(0xE0D5E0D5E0D5E0D5)
 BEGIN = U(0xBE61BE61BE61BE61)
-#: Tokens that a task gathers before it reduces them to distinct pairs.
-GATHER = 3 << 19
+#: Tokens that a task gathers before it reduces them to distinct n-grams, and n-grams of a range before it adds them up.
+GATHER, MERGE = 3 << 19, 1 << 18
 #: Bytes of input for each range of hashes; a range's arrays are a few times that.
 RANGE_BYTES = 8 << 20
-WORD = np.dtype([("raw", "<i8"), ("cont", "<i8"), ("total", "<i8"), ("one", "<i8"), ("two", "<i8"), ("more", "<i8")])
+#: Ranges at most, and those whose arrays a worker has mapped at a time.
+RANGES, MAPS = 1 << 20, 1 << 12
+STATS = ("raw", "cont", "total", "one", "two", "more")
+RECORD = np.dtype([(k, "<i8") for k in STATS])
 
 
-def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's hash (ends included), the one before it (or the begin mark), and each row's number of tokens."""
+def tokens(data: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of each token (ends included) and the order - 1 before it (or the begin mark), and each row's tokens."""
     h, count = text.word_hashes(data, at)
-    edge = np.cumsum(count)
-    w = np.insert(h, edge, END)
+    w = np.insert(h, np.cumsum(count), END)
     n = count + 1
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[np.cumsum(n) - n] = BEGIN
-    return w, before, n
-
-
-def pair_hash(before: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return text.mix(before * U(0x9E3779B97F4A7C15) + w)
-
-
-def add_up(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted distinct keys and the sums of their values."""
-    if not len(key):
-        return key, values
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[first], [np.add.reduceat(v[order], first) for v in values]
-
-
-def count_pairs(before: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs ordered by context and word, and their summed counts."""
-    order = np.argsort(pair_hash(before, w))
-    before, w, n = before[order], w[order], n[order]
-    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (before[1:] != before[:-1])]) if len(w) else np.zeros(0, np.int64)
-    return before[first], w[first], np.add.reduceat(n, first) if len(w) else n
+    place = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    words = [w]
+    for j in range(1, order):
+        before = np.full(len(w), BEGIN, U)
+        before[j:][place[j:] >= j] = w[:-j][place[j:] >= j]
+        words.insert(0, before)
+    return words, n
+
+
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    out = words[0]
+    for w in words[1:]:
+        out = text.mix(out * U(0x9E3779B97F4A7C15) + w)
+    return out
+
+
+def add_up(words: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct grams in the order of their hashes, and the sums of their values."""
+    if not len(words[0]):
+        return words, [v.astype(np.int64) for v in values]
+    order = np.argsort(gram_hash(words))
+    words = [w[order] for w in words]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for w in words:
+        new[1:] |= w[1:] != w[:-1]
+    first = np.flatnonzero(new)
+    return [w[first] for w in words], [np.add.reduceat(v[order], first, dtype=np.int64) for v in values]
+
+
+class Sums:
+    """Adds up grams with their values as they come; holds little more than the distinct ones."""
+
+    def __init__(self, least: int):
+        self.least, self.parts, self.size, self.done = least, [], 0, 0
+
+    def add(self, words: list[np.ndarray], values: list[np.ndarray]) -> None:
+        self.parts.append((words, values))
+        self.size += len(words[0])
+        if self.size >= max(self.least, 2 * self.done):
+            self.reduce()
+
+    def reduce(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        if len(self.parts) > 1:
+            columns = [*map(np.concatenate, zip(*[[*w, *v] for w, v in self.parts], strict=True))]
+            k = len(self.parts[0][0])
+            self.parts = []
+            self.parts = [add_up(columns[:k], columns[k:])]
+            self.size = self.done = len(self.parts[0][0][0])
+        return self.parts[0]
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
-def _rows(kind: str, number: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(number), pa.string()), pa.array(number, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "range", "data"])
+def _pack(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Words, then values in the narrower of two widths, behind the number of either and the width."""
+    width = 4 if all(v.max() < 1 << 32 for v in values) else 8
+    head = np.array([len(words), len(values), width], "<u4")
+    return b"".join([head.tobytes(), *[w.tobytes() for w in words], *[v.astype(f"<u{width}").tobytes() for v in values]])
 
 
-def _pair_blobs(before: np.ndarray, w: np.ndarray, n: np.ndarray, ranges: int):
-    """Pairs by range of their hash; within one, ordered by context, so that equal contexts compress."""
-    r = _range_of(pair_hash(before, w), ranges)
-    order = np.lexsort((before, r))
-    r, before, w, n = r[order], before[order], w[order], n[order]
-    edge = np.searchsorted(r, np.arange(ranges + 1))
-    for i in np.flatnonzero(np.diff(edge)).tolist():
-        a, b = edge[i], edge[i + 1]
-        yield _rows("pairs", [i], [before[a:b].tobytes() + w[a:b].tobytes() + n[a:b].astype("<u4").tobytes()])
+def _unpack(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    k, m, width = np.frombuffer(blob, "<u4", 3).tolist()
+    n = (len(blob) - 12) // (8 * k + m * width)
+    words = [np.frombuffer(blob, "<u8", n, 12 + 8 * n * i) for i in range(k)]
+    return words, [np.frombuffer(blob, f"<u{width}", n, 12 + 8 * n * k + width * n * i) for i in range(m)]
 
 
-def _word_blobs(key: np.ndarray, values: list[np.ndarray], ranges: int):
-    edge = np.searchsorted(_range_of(key, ranges), np.arange(ranges + 1))
-    for i in np.flatnonzero(np.diff(edge)).tolist():
-        a, b = edge[i], edge[i + 1]
-        yield _rows("words", [i], [key[a:b].tobytes() + b"".join(v[a:b].astype("<i8").tobytes() for v in values)])
+#: Rows of a stage: parts of a range (data), or what a finished range is (file and its counts).
+COUNTS = ("grams", "c1", "c2", "c3", "c4", "tokens", "words")
+ROWS = "range int, data binary, file binary, " + ", ".join(f"{k} long" for k in COUNTS)
+NAMES = ["range", "data", "file", *COUNTS]
 
 
-ROWS = "kind string, range int, data binary"
-STATS = ("pairs", "c1", "c2", "c3", "c4", "tokens", "words", "k1", "k2", "k3", "k4")
-FILES = "kind string, range int, file string, size long, " + ", ".join(f"{k} long" for k in STATS)
+def _parts(words: list[np.ndarray], values: list[np.ndarray], ranges: int):
+    """A row for each range of the grams; within one, ordered by the first word, so that equal contexts compress."""
+    r = _range_of(gram_hash(words), ranges)
+    order = np.lexsort((words[0], r))
+    edge = np.searchsorted(r[order], np.arange(ranges + 1))
+    for i in np.flatnonzero(np.diff(edge)).tolist():
+        at = order[edge[i] : edge[i + 1]]
+        blob = _pack([w[at] for w in words], [v[at] for v in values])
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * len(COUNTS)], names=NAMES)
 
 
-def _file_row(kind: str, number: int, name: str, size: int, stats: dict[str, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([number], pa.int32()), pa.array([name]), pa.array([size], pa.int64()), *[pa.array([int(stats.get(k, 0))], pa.int64()) for k in STATS]], names=["kind", "range", "file", "size", *STATS])
+def _finished(number: int, name: bytes, counts: dict[str, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.nulls(1, pa.binary()), pa.array([name], pa.binary()), *[pa.array([int(counts.get(k, 0))], pa.int64()) for k in COUNTS]], names=NAMES)
 
 
 def _by_range(batches):
-    """Ranges of a partition that is sorted by range, one after another, with all their blobs."""
-    now, parts = None, []
+    """Ranges of a partition that is sorted by range, one after another, added up."""
+    now, sums = None, None
     for b in batches:
-        for i, blob in zip(b.column("range").to_pylist(), b.column("data").to_pylist(), strict=True):
-            if i != now and parts:
-                yield now, parts
-                parts = []
-            now = i
-            parts.append(blob)
-    if parts:
-        yield now, parts
+        for i, blob in zip(b.column("range"), b.column("data"), strict=True):
+            if (i := i.as_py()) != now:
+                if sums is not None:
+                    yield now, *sums.reduce()
+                now, sums = i, Sums(MERGE)
+            sums.add(*_unpack(blob.as_py()))
+    if sums is not None:
+        yield now, *sums.reduce()
 
 
-def _of_counts(n: np.ndarray, names: tuple[str, ...]) -> dict[str, int]:
-    return {k: int((n == i + 1).sum()) for i, k in enumerate(names)}
+def _file(folder: str, order: int, number: int, name: bytes) -> str:
+    return f"{folder}/{order}/{number}-{name.hex()}.bin"
 
 
 class Model:
-    """What the driver keeps: places of the arrays and a few sums; the arrays stay in the shared folder."""
+    """What the driver keeps: names of the arrays of each length of gram, 16 bytes a range, and a few sums.
+
+    The arrays stay in the shared folder.
+    """
 
-    def __init__(self, pairs: dict[int, str], words: dict[int, str], ranges: int, sums: dict[str, int]):
-        self.pairs, self.words, self.ranges, self.sums = pairs, words, ranges, sums
+    def __init__(self, folder: str, order: int, ranges: int, names: dict[int, np.ndarray], sums: dict[int, dict[str, int]]):
+        self.folder, self.order, self.ranges, self.names, self.sums = folder, order, ranges, names, sums
 
     @staticmethod
     def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -136,131 +173,141 @@ class Model:
         return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) if n[k - 1] else k * 0.5 for k in (1, 2, 3))
 
 
-def train(docs: DataFrame, chosen: Column, folder: str, text_col: str = "text", input_bytes: int | None = None) -> Model:
-    """Count over all rows that `chosen` selects; arrays go to `folder`."""
+def train(docs: DataFrame, chosen: Column, folder: str, text_col: str = "text", input_bytes: int | None = None, order: int = 2) -> Model:
+    """Count over all rows that `chosen` selects; arrays go to `folder`.  order: words of the longest grams, two or more."""
     rows = docs.where(chosen).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if input_bytes is None:
         input_bytes = store.input_bytes(docs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGE_BYTES)
-    ranges = max(4, min(1 << 20, input_bytes // RANGE_BYTES + 1))
-
-    def pairs(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for _, data, at in text.pieces(batches):
-            w, before, _ = tokens(data, at)
-            held.append(count_pairs(before, w, np.ones(len(w), np.int64)))
-            size += len(held[-1][0])
-            if size >= GATHER:
-                held = [count_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                if len(held[0][0]) >= GATHER // 2:
-                    yield from _pair_blobs(*held[0], ranges)
-                    held = []
-                size = sum(len(x[0]) for x in held)
-        if held:
-            yield from _pair_blobs(*count_pairs(*(np.concatenate(x) for x in zip(*held, strict=True))), ranges)
-
-    def pair_ranges(batches):
-        """Write each range's pairs, and pass on what they say about words."""
-        for i, blobs in _by_range(batches):
-            parts = []
-            for b in blobs:
-                n = len(b) // 20
-                parts.append((np.frombuffer(b, "<u8", n), np.frombuffer(b, "<u8", n, 8 * n), np.frombuffer(b, "<u4", n, 16 * n).astype(np.int64)))
-            before, w, n = count_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            key = pair_hash(before, w)
-            name = f"{folder}/pairs/{i}-{uuid.uuid4().hex}.bin"
-            store.write_file(name, [key.tobytes(), np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes()])
-            as_word = add_up(w, [n, np.ones(len(n), np.int64)])
-            as_context = add_up(before, [n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)])
-            z, c = np.zeros(len(as_word[0]), np.int64), np.zeros(len(as_context[0]), np.int64)
-            word = np.concatenate([as_word[0], as_context[0]])
-            values = [np.concatenate(x) for x in zip([*as_word[1], z, z, z, z], [c, c, *as_context[1]], strict=True)]
-            for rb in _word_blobs(*add_up(word, values), ranges):
-                yield pa.RecordBatch.from_arrays([*rb.columns, pa.nulls(rb.num_rows, pa.string()), *[pa.nulls(rb.num_rows, pa.int64())] * (1 + len(STATS))], names=["kind", "range", "data", "file", "size", *STATS])
-            f = _file_row("pairs", i, name, len(n), {"pairs": len(n), "tokens": int(n.sum()), **_of_counts(n, ("c1", "c2", "c3", "c4"))})
-            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.nulls(1, pa.binary()), *f.columns[2:]], names=["kind", "range", "data", *f.schema.names[2:]])
-
-    def word_ranges(batches):
-        for i, blobs in _by_range(batches):
-            parts = [[np.frombuffer(b, "<u8", len(b) // 56)] + [np.frombuffer(b, "<i8", len(b) // 56, (j + 1) * (len(b) // 7)) for j in range(6)] for b in blobs]
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            key, values = add_up(cols[0], cols[1:])
-            table = np.zeros(len(key), WORD)
-            for k, v in zip(WORD.names, values, strict=True):
-                table[k] = v
-            name = f"{folder}/words/{i}-{uuid.uuid4().hex}.bin"
-            store.write_file(name, [key.tobytes(), table.tobytes()])
-            real = table["raw"] > 0
-            yield _file_row("words", i, name, len(key), {"words": int(real.sum()), **_of_counts(table["cont"], ("k1", "k2", "k3", "k4"))})
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(int(ranges), "range").sortWithinPartitions("range")
-
-    both = store.saved(dealt(rows.mapInArrow(pairs, ROWS)).mapInArrow(pair_ranges, "kind string, range int, data binary, " + FILES.split(", ", 2)[2]), folder, "counted")
-    words = store.saved(dealt(both.where("kind = 'words'").select("kind", "range", "data")).mapInArrow(word_ranges, FILES), folder, "words-index")
-    files = [*both.where("kind = 'pairs'").drop("data").select(words.columns).toLocalIterator(), *words.toLocalIterator()]  # a row for each range
-    sums = {k: sum(r[k] for r in files) for k in STATS}
-    return Model({r.range: r.file for r in files if r.kind == "pairs"}, {r.range: r.file for r in files if r.kind == "words"}, int(ranges), sums)
+    ranges = int(max(4, min(RANGES, input_bytes // RANGE_BYTES + 1)))
+
+    def longest(batches):
+        with store.tidied():
+            sums = Sums(GATHER)
+            for _, data, at in text.pieces(batches):
+                words, _ = tokens(data, at, order)
+                sums.add(*add_up(words, [np.ones(len(words[0]), np.uint32)]))
+                if sums.done >= GATHER // 2:
+                    yield from _parts(*sums.reduce(), ranges)
+                    sums = Sums(GATHER)
+            if sums.parts:
+                yield from _parts(*sums.reduce(), ranges)
+
+    def level(k: int):
+        """Write each range's grams of k words, and pass on what they say about shorter ones."""
+
+        def run(batches):
+            with store.tidied():
+                for i, words, values in _by_range(batches):
+                    yield from finished(i, words, values)
+
+        def finished(i: int, words: list[np.ndarray], values: list[np.ndarray]):
+            n = values[0] if k == order else values[STATS.index("cont")]
+            raw = values[0]
+            name = uuid.uuid4().bytes
+            if k == order:
+                table = np.minimum(n, 0xFFFFFFFF).astype("<u4")
+            else:
+                table = np.zeros(len(n), RECORD)
+                for field, v in zip(STATS, values, strict=True):
+                    table[field] = v
+            store.write_file(_file(folder, k, i, name), [gram_hash(words).tobytes(), table.tobytes()])
+            del table
+            seen = n > 0
+            counts = {"grams": int(seen.sum()), "tokens": int(raw.sum()), "words": int((raw > 0).sum())}
+            yield _finished(i, name, counts | {f"c{j}": int((n == j).sum()) for j in (1, 2, 3, 4)})
+            if k > 1 and seen.any():
+                words, n, raw = [w[seen] for w in words], n[seen], raw[seen]
+                none = np.zeros(len(n), np.uint32)
+                sums = Sums(1)
+                sums.add(*add_up(words[1:], [raw, np.ones(len(n), np.uint32), none, none, none, none]))
+                sums.add(*add_up(words[:-1], [none, none, n, n == 1, n == 2, n > 2]))
+                yield from _parts(*sums.reduce(), ranges)
+
+        return run
+
+    found, sums, names = rows.mapInArrow(longest, ROWS), {}, {}
+    for k in range(order, 0, -1):
+        dealt = found.where("data is not null").select("range", "data").repartition(ranges, "range").sortWithinPartitions("range")
+        found = store.saved(dealt.mapInArrow(level(k), ROWS), folder, f"level{k}")
+        files = found.where("file is not null")
+        total = files.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).first()
+        sums[k] = total.asDict()
+        names[k] = np.zeros((ranges, 16), np.uint8)
+        for r in files.select("range", "file").collect():  # 16 bytes for each of RANGES at most
+            names[k][r.range] = np.frombuffer(r.file, np.uint8)
+    return Model(folder, order, ranges, names, sums)
 
 
 class Scorer:
-    """A worker's view: arrays are mapped when a range is first asked for."""
+    """A worker's view: arrays are mapped when a range is first asked for, and given up when many others were since."""
 
     def __init__(self, model: Model):
-        self.m, self.open = model, {}
-        s = model.sums
-        self.n, self.v, self.pairs = s["tokens"], s["words"], s["pairs"]
-        self.d = np.array([0.0, *Model.discounts([s[f"c{i}"] for i in (1, 2, 3, 4)])])
-        self.dk = np.array([0.0, *Model.discounts([s[f"k{i}"] for i in (1, 2, 3, 4)])])
-        k1, k2 = s["k1"], s["k2"]
-        self.back = (self.dk[1] * k1 + self.dk[2] * k2 + self.dk[3] * (s["words"] - k1 - k2)) / max(s["pairs"], 1)
-
-    def _arrays(self, kind: str, i: int):
-        if (kind, i) not in self.open:
-            raw = store.mapped((self.m.pairs if kind == "pairs" else self.m.words)[i])
-            width = 12 if kind == "pairs" else 8 + WORD.itemsize
-            n = len(raw) // width
-            self.open[kind, i] = (raw[: 8 * n].view("<u8"), raw[8 * n :].view("<u4" if kind == "pairs" else WORD))
-        return self.open[kind, i]
-
-    def _find(self, kind: str, h: np.ndarray) -> np.ndarray:
-        """The entries of sorted distinct hashes; zeros where there is none."""
-        out = np.zeros(len(h), np.uint32 if kind == "pairs" else WORD)
-        edge = np.searchsorted(_range_of(h, self.m.ranges), np.arange(self.m.ranges + 1))
-        have = self.m.pairs if kind == "pairs" else self.m.words
-        for i in np.flatnonzero(np.diff(edge)).tolist():
-            if i not in have:
+        self.m, self.open = model, OrderedDict()
+        self.d = {k: np.array([0.0, *Model.discounts([s[f"c{i}"] for i in (1, 2, 3, 4)])]) for k, s in model.sums.items()}
+        one = model.sums[1]
+        self.n, self.v, self.pairs = one["tokens"], one["words"], model.sums[2]["grams"]
+        self.back = (self.d[1][1] * one["c1"] + self.d[1][2] * one["c2"] + self.d[1][3] * (one["grams"] - one["c1"] - one["c2"])) / max(self.pairs, 1)
+
+    def _arrays(self, k: int, i: int):
+        if (k, i) not in self.open:
+            if len(self.open) >= MAPS:
+                self.open.popitem(last=False)
+            raw = store.mapped(_file(self.m.folder, k, i, self.m.names[k][i].tobytes()))
+            kind = np.dtype("<u4") if k == self.m.order else RECORD
+            n = len(raw) // (8 + kind.itemsize)
+            self.open[k, i] = (raw[: 8 * n].view("<u8"), raw[8 * n :].view(kind))
+        self.open.move_to_end((k, i))
+        return self.open[k, i]
+
+    def _find(self, k: int, h: np.ndarray) -> np.ndarray:
+        """The entries of sorted distinct hashes of grams of k words; zeros where there is none."""
+        out = np.zeros(len(h), np.uint32 if k == self.m.order else RECORD)
+        r = _range_of(h, self.m.ranges)
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else r
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(r)], strict=False):
+            i = int(r[a])
+            if not self.m.names[k][i].any():
                 continue
-            key, value = self._arrays(kind, i)
-            part = h[edge[i] : edge[i + 1]]
-            j = np.minimum(np.searchsorted(key, part), len(key) - 1)
-            hit = key[j] == part
-            out[edge[i] : edge[i + 1]][hit] = value[j[hit]]
+            key, value = self._arrays(k, i)
+            if not len(key):
+                continue
+            j = np.minimum(np.searchsorted(key, h[a:b]), len(key) - 1)
+            hit = key[j] == h[a:b]
+            out[a:b][hit] = value[j[hit]]
         return out
 
     def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score, score of each row."""
-        w, before, n = tokens(data, at)
-        key, index, inverse = np.unique(pair_hash(before, w), return_index=True, return_inverse=True)
-        pw, pb = w[index], before[index]
-        c = self._find("pairs", key).astype(np.float64)
-        words, back = np.unique(np.concatenate([pw, pb]), return_inverse=True)
-        info = self._find("words", words)
-        word, context = info[back[: len(pw)]], info[back[len(pw) :]]
-        cont = word["cont"].astype(np.float64)
-        uniform = 1.0 / (self.v + 1)
-        low = np.maximum(cont - self.dk[np.minimum(word["cont"], 3)], 0) / max(self.pairs, 1) + (self.back if self.pairs else 1.0) * uniform
-        total = context["total"].astype(np.float64)
-        seen = total > 0
-        safe = np.where(seen, total, 1.0)
-        gamma = (self.d[1] * context["one"] + self.d[2] * context["two"] + self.d[3] * context["more"]) / safe
-        p = np.where(seen, np.maximum(c - self.d[np.minimum(c, 3).astype(np.int64)], 0) / safe + gamma * low, low)
-        raw = word["raw"].astype(np.float64)
+        order = self.m.order
+        words, n = tokens(data, at, order)
+        _, index, inverse = np.unique(gram_hash(words), return_index=True, return_inverse=True)
+        words = [w[index] for w in words]
+        p = raw = count = None
+        for k in range(1, order):
+            # grams of k words: those predicted, and those that are the context of one more
+            h, back = np.unique(np.concatenate([gram_hash(words[order - k :]), gram_hash(words[order - k - 1 : order - 1])]), return_inverse=True)
+            info = self._find(k, h)
+            own, context = info[back[: len(index)]], info[back[len(index) :]]
+            if k == 1:
+                raw = own["raw"].astype(np.float64)
+                p = np.maximum(own["cont"] - self.d[1][np.minimum(own["cont"], 3)], 0) / max(self.pairs, 1) + (self.back if self.pairs else 1.0) / (self.v + 1)
+            else:
+                p = self._interpolated(k, own["cont"], count, p)
+            count = context
+        h, back = np.unique(gram_hash(words), return_inverse=True)
+        p = self._interpolated(order, self._find(order, h)[back], count, p)
         base = np.log10((raw + 0.5) / (self.n + 0.5 * (self.v + 1)))
         begin = np.cumsum(n) - n
         total_of = lambda x: np.add.reduceat(x[inverse], begin)
         return n, total_of((raw > 0).astype(np.int64)), total_of(base), total_of(np.log10(p))
 
+    def _interpolated(self, k: int, c: np.ndarray, context: np.ndarray, low: np.ndarray) -> np.ndarray:
+        d, c, total = self.d[k], c.astype(np.float64), context["total"].astype(np.float64)
+        seen = total > 0
+        safe = np.where(seen, total, 1.0)
+        gamma = (d[1] * context["one"] + d[2] * context["two"] + d[3] * context["more"]) / safe
+        return np.where(seen, np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0) / safe + gamma * low, low)
+
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row's whole text."""
@@ -268,9 +315,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = Scorer(shared.value)
-        for batch, data, at in text.pieces(batches):
-            n, known, base, s = scorer.score(data, at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), scorer.n, np.int64)), pa.array(base), pa.array(s), pa.array(10 ** (-s / n))], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+        with store.tidied():
+            scorer = Scorer(shared.value)
+            for batch, data, at in text.pieces(batches):
+                n, known, base, s = scorer.score(data, at)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), scorer.n, np.int64)), pa.array(base), pa.array(s), pa.array(10 ** (-s / n))], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

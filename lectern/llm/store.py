@@ -7,20 +7,24 @@ returns the name as a row, so a task that runs again after a lost executor leave
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Arrow batches to workers have so many rows and bytes at most, or are one row.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the executors once, and keep Arrow batches of long texts small."""
+    """Send this package to the executors once, and keep Arrow batches of long texts small (settings of this session)."""
     sc = spark.sparkContext
     if getattr(sc, "_lectern_sent", None) is None:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -33,7 +37,19 @@ def prepare(spark: SparkSession) -> None:
                         z.write(p, os.path.join("lectern", os.path.relpath(p, top)))
         sc.addPyFile(out)
         sc._lectern_sent = True
-    spark.conf.set(ARROW_ROWS, "1000")
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
+@contextlib.contextmanager
+def tidied():
+    """Around a task: at its end the allocators give back what they keep, since workers live on between tasks."""
+    try:
+        yield
+    finally:
+        with contextlib.suppress(OSError, AttributeError):
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 import unicodedata
 from collections.abc import Iterator
@@ -12,6 +10,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from . import store
+
 U = np.uint64
 #: Bytes of text that a task's arrays are over at a time; they take about a hundred times as much.
 CHUNK = 1 << 19
@@ -32,15 +32,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches cut so that the text of each takes at most `limit` bytes, or is one row; with its bytes and offsets.
-
-    At the end the allocator gives back what it keeps, since workers live on between tasks.
-    """
-    try:
+    """Batches cut so that the text of each takes at most `limit` bytes, or is one row; with its bytes and offsets."""
+    with store.tidied():
         yield from _pieces(batches, column, limit)
-    finally:
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int):

@@ -195,41 +195,57 @@ def test_bayes_is_plain_counting(spark):
         assert lang == [best] and p[0] == pytest.approx(1 / sum(math.exp(v - s[best]) for v in s.values()), rel=1e-4)
 
 
-def kneser_ney_plain(texts, train):
+def kneser_ney_plain(texts, train, order):
     t = [WORD.findall((x or "").translate(LOWER)) + ["</s>"] for x in texts]
-    c, pairs = Counter(), Counter()
+    c, num = Counter(), [Counter() for _ in range(order + 1)]
     for i in train:
         c.update(t[i])
-        pairs.update(zip(["<s>", *t[i]], t[i]))
-    n, v, cont, ctx = sum(c.values()), len(c), Counter(b for _, b in pairs), defaultdict(lambda: [0, 0, 0, 0])
-    for (x, _), k in pairs.items():
-        ctx[x][0] += k
-        ctx[x][min(k, 3)] += 1
-    of = lambda values: [0.0, *kneser_ney.Model.discounts([sum(x == i for x in values) for i in (1, 2, 3, 4)])]
-    d2, d1 = of(pairs.values()), of(cont.values())
-    back = sum(d1[min(x, 3)] for x in cont.values()) / max(len(pairs), 1) if pairs else 1.0
-    low = lambda w: max(cont[w] - d1[min(cont[w], 3)], 0) / max(len(pairs), 1) + back / (v + 1)
-
-    def p(h, w):
-        if h not in ctx:
-            return low(w)
-        z, k = ctx[h], pairs[h, w]
-        return max(k - d2[min(k, 3)], 0) / z[0] + sum(d2[j] * z[j] for j in (1, 2, 3)) / z[0] * low(w)
-
-    assert not pairs or sum(p("<s>", w) for w in [*c, "never seen"]) == pytest.approx(1.0)
-    return [(len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *x], x))) for x in t]
-
-
-@pytest.mark.parametrize("share", [5, 1])
-def test_language_model(spark, monkeypatch, share):
+        padded = ["<s>"] * (order - 1) + t[i]
+        num[order].update(tuple(padded[j : j + order]) for j in range(len(t[i])))
+    for k in range(order - 1, 0, -1):  # the number of distinct words before
+        num[k].update(g[1:] for g in num[k + 1])
+    n, v = sum(c.values()), len(c)
+    d, context = {}, {}
+    for k in range(1, order + 1):
+        d[k] = [0.0, *kneser_ney.Model.discounts([sum(x == i for x in num[k].values()) for i in (1, 2, 3, 4)])]
+        context[k] = defaultdict(lambda: [0, 0, 0, 0])
+        for g, x in num[k].items():
+            context[k][g[:-1]][0] += x
+            context[k][g[:-1]][min(x, 3)] += 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (v + 1)
+        z = context[k].get(g[:-1])
+        if z is None:
+            return p(g[1:])
+        return max(num[k][g] - d[k][min(num[k][g], 3)], 0) / z[0] + sum(d[k][j] * z[j] for j in (1, 2, 3)) / z[0] * p(g[1:])
+
+    assert sum(p((*["<s>"] * (order - 1), w)) for w in [*c, "never seen"]) == pytest.approx(1.0)
+    out = []
+    for x in t:
+        padded = ["<s>"] * (order - 1) + x
+        grams = Counter(tuple(padded[j : j + order]) for j in range(len(x)))
+        out.append((len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), sum(m * math.log10(p(g)) for g, m in grams.items())))
+    return out
+
+
+@pytest.mark.parametrize(("share", "order"), [(5, 2), (1, 2), (4, 3), (4, 4)])
+def test_language_model(spark, monkeypatch, share, order):
     monkeypatch.setattr(kneser_ney, "GATHER", 200)
+    monkeypatch.setattr(kneser_ney, "MERGE", 20)
+    monkeypatch.setattr(kneser_ney, "MAPS", 2)
     monkeypatch.setattr(kneser_ney, "RANGE_BYTES", 1000)
-    texts = [" ".join(R.choice(["The", "cat", "sat", "on", "a", "mat", "É"]) for _ in range(R.randint(0, 12))) for _ in range(200)] + [None, "", "new words only", "the " * 20000]
-    df = docs(spark, texts)
-    model = kneser_ney.train(df, F.col("doc_id") % 5 >= 5 - share, store.new_folder(spark, "lm"))
-    want = kneser_ney_plain(texts, [i for i in range(len(texts)) if i % 5 >= 5 - share])
-    for r in kneser_ney.score(df, model).collect():
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == pytest.approx(want[r.doc_id])
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["The", "cat", "sat", "on", "a", "mat", "É"]) for _ in range(r.randint(0, 12))) for _ in range(200)] + [None, "", "new words only", "the " * 20000, None, "new words only", *ALIKE]
+    df = docs(spark, texts).withColumn("range", F.lit("x")).withColumn("data", F.lit(1))
+    model = kneser_ney.train(df, F.col("doc_id") % 5 >= 5 - share, store.new_folder(spark, "lm"), order=order)
+    want = kneser_ney_plain(texts, [i for i in range(len(texts)) if i % 5 >= 5 - share], order)
+    rows = kneser_ney.score(df.unionAll(df.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))), model).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == pytest.approx(want[3 if r.doc_id is None else r.doc_id])
 
 
 def test_language_model_untrained(spark):
@@ -275,7 +291,7 @@ def test_media(spark):
         f = facts[r.digest]
         assert len(payload) % 192 == 0 and len(payload) > 0 and payload.rstrip(b" ") == raw.rstrip(b" ")
         assert (r.n_bytes, f.payload_bytes, f.payload_sha256, f.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert heads[r.digest].height == f.height == len(payload) // 192
+        assert (heads[r.digest].width, heads[r.digest].height, heads[r.digest].depth) == (64, len(payload) // 192, 8)
         with tarfile.open(r.shard.removeprefix("file://")) as t:
             png = next(t.extractfile(m).read() for m in t.getmembers() if m.name == f"{r.digest}.png")
         assert hashlib.sha256(png).hexdigest() == r.digest == f.media_sha256 and len(png) == f.media_bytes and media.from_png(png) == payload
@@ -323,25 +339,89 @@ def quality_rows():
 
 def test_quality(spark):
     rows, labels = quality_rows()
-    rows += [(1000, None), (1001, ""), (1002, "the cat"), (None, "the dog ran"), (1, rows[1][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("log_ratio", F.lit(0))
+    rows += [(1000, None), (1001, ""), (1002, "the cat"), (None, "the dog ran"), (1, rows[1][1]), (1003, "the cat sat on the mat " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("log_ratio", F.lit(0)).withColumn("row", F.lit("r")).withColumn("noise", F.lit(1))
     lab = spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, quality int")
     model = quality.fit(df, lab)
     scores = quality.scored(df, model).cache()
-    end = quality.cut(scores, model)
-    kept = {r.doc_id for r in scores.where(end.holds(F.col("gumbel_key"), F.col("doc_id"))).collect()}
+    end = quality.cut(scores)
+    kept = {r.doc_id for r in scores.where(end.holds(F.col("gumbel_key"))).collect()}
     assert {i for i in kept if i is not None and i < 400} == {i for i, q in labels if q}
-    keys = sorted(((r.gumbel_key, r.doc_id) for r in scores.collect() if r.doc_id is not None), reverse=True)
+    assert scores.where("doc_id = 1003").first().n_grams > 10**6
+    keys = sorted((r.gumbel_key for r in scores.collect()), reverse=True)
     for k in (1, 7, 100):
-        end = quality.cut(scores, model, k=k)
-        got = scores.where(end.holds(F.col("gumbel_key"), F.col("doc_id"))).count()
-        assert k <= got <= k + 1
-        assert end.key <= round(keys[k - 1][0] * 1e9) + 1
-    whole = quality.scored(df, model, whole=True)
-    assert whole.columns == [*df.columns, "__ratio", "__key"] and whole.count() == len(rows)
+        end = quality.cut(scores, k)
+        assert scores.where(end.holds(F.col("gumbel_key"))).count() == sum(round(x * 1e9) >= round(keys[k - 1] * 1e9) for x in keys) <= k + 1
+    whole = quality.sampled(df, model, quality.cut(scores))
+    assert whole.schema.names == df.columns and Counter(r.doc_id for r in whole.collect()) == Counter(r.doc_id for r in scores.where(quality.cut(scores).holds(F.col("gumbel_key"))).collect())
     assert quality.fit(df, lab.where("false")).least == -np.inf
     none = quality.scored(df.where("false"), model)
-    assert none.count() == 0 and quality.cut(none, model).k == 0
+    assert none.count() == 0 and quality.cut(none).k == 0
+    assert quality.sampled(df.where("false"), model, quality.cut(none)).count() == 0
+    free = quality.fit(df, lab.where("false"))
+    assert quality.sampled(df, free, quality.cut(quality.scored(df, free))).count() == len(rows)
+
+
+def test_quality_is_plain_counting(spark):
+    """Both models counted by dictionaries of hashed n-grams, and the bound by trying all."""
+    rows, labels = quality_rows()
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    half = {r.doc_id: r.h == 0 for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("h")).collect()}
+    grams = {i: [b for x, _ in quality.grams(*text.utf8(pa.array([t]))) for b in x.tolist()] for i, t in rows}
+    good = dict(labels)
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        target.update(g if good[i] and half[i] else [])
+    total = lambda c, kind: max(1, sum(v for b, v in c.items() if b >> quality.BITS == kind))
+    ratio = lambda b: math.log((target[b] + quality.PRIOR) / (raw[b] * total(target, b >> quality.BITS) / total(raw, b >> quality.BITS) + quality.PRIOR))
+    mean = {i: sum(map(ratio, g)) / len(g) for i, g in grams.items()}
+    held = sorted((mean[i], good[i]) for i in mean if not half[i])
+    n = {q: sum(g == q for _, g in held) for q in (0, 1)}
+    loss = [10 * sum(g for _, g in held[:j]) / n[1] + sum(not g for _, g in held[j:]) / n[0] for j in range(len(held) + 1)]
+    j = loss.index(min(loss))
+    least = (held[j - 1][0] + held[j][0]) / 2
+    for r in quality.scored(df, quality.fit(df, lab)).collect():
+        assert (r.n_grams, r.log_ratio) == (len(grams[r.doc_id]), pytest.approx(mean[r.doc_id]))
+        assert r.log_weight == pytest.approx(len(grams[r.doc_id]) * (mean[r.doc_id] - least), abs=1e-6)
+
+
+def test_quality_samples_by_importance(spark):
+    """Of documents with two weights, as many of each are drawn as a simulation of drawing one after another has it."""
+    n, k = 3000, 900
+    texts = {"the": 0, "zz9": 0}
+    model = quality.Model(np.zeros(quality.KINDS << quality.BITS), 0.0)
+    for t, ratio in (("the", 0.4), ("zz9", -0.1)):
+        for b, _ in quality.grams(*text.utf8(pa.array([t]))):
+            model.ratio[b] = ratio
+    df = spark.createDataFrame([(i, [*texts][i % 2]) for i in range(2 * n)], "doc_id long, text string")
+    scores = quality.scored(df, model).cache()
+    w = {r.text: r.log_weight for r in scores.join(df, "doc_id").select("text", "log_weight").distinct().collect()}
+    assert len(set(w.values())) == 2
+    got = scores.where(quality.cut(scores, k).holds(F.col("gumbel_key"))).join(df, "doc_id").groupBy("text").count().collect()
+    got = {r.text: r["count"] for r in got}
+    r, taken = np.random.default_rng(0), []
+    for _ in range(200):
+        left, drawn = {t: n for t in w}, 0
+        for _ in range(k):
+            a, b = (left[t] * math.exp(w[t]) for t in texts)
+            t = "the" if r.random() < a / (a + b) else "zz9"
+            left[t] -= 1
+            drawn += t == "the"
+        taken.append(drawn)
+    assert sum(got.values()) == k and abs(got["the"] - np.mean(taken)) < 5 * np.std(taken)
+
+
+def test_quality_keeps_all_ties(spark):
+    """More ties at the end than any batch or limit has rows: all of them are in, as few are."""
+    for n in (3, 1500):
+        df = spark.createDataFrame([(7, "a b c")] * n + [(i, "a b c") for i in range(100, 110)], "doc_id long, text string")
+        scores = quality.scored(df, quality.Model(np.zeros(quality.KINDS << quality.BITS), -np.inf)).cache()
+        rank = sorted({(r.gumbel_key, r.doc_id) for r in scores.collect()}, reverse=True)
+        at = next(i for i, (_, d) in enumerate(rank) if d == 7)
+        for k in (at + 1, at + 2):
+            got = Counter(r.doc_id for r in scores.where(quality.cut(scores, k).holds(F.col("gumbel_key"))).collect())
+            assert got[7] == n and sum(got.values()) == at + n
 
 
 def test_kth_largest(spark):
