@@ -5,8 +5,9 @@ image that is new to it to its own shard, so a row never moves its payload; wher
 image, the index settles on the first place, and only that is read.  Metadata come from the image header alone, by range
 reads of 33 bytes; features come from the payload, by reads of neighbouring ranges at once.
 
-Defined cases: a null or empty text is one row of padding; equal texts have equal values, and one place; rows with a null
-id are stored like others; other columns are ignored.
+Defined cases: a null or empty text is one row of padding; texts of any length are stored whole, an image each; equal
+texts have equal values, and one place; rows with a null id and repeated rows are stored like others; an empty table gives
+an empty one; other columns are ignored, whatever they are named.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ ROW, WIDTH = 192, 64
 HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LEVEL = 5
-SHARD = 1 << 30
+#: Bytes of a shard, and images of which a task knows that it has stored them, at most.
+SHARD, KNOWN = 1 << 30, 200_000
 
 
 def padded(raw: bytes) -> bytes:
@@ -100,6 +102,8 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                         info.size = len(png)
                         head = info.tobuf(tarfile.USTAR_FORMAT)
                         out.write(head + png + bytes(-len(png) % 512))
+                        if len(seen) >= KNOWN:
+                            seen.clear()
                         seen[own] = (digest, name, at + len(head), len(png))
                         at += len(head) + len(png) + -len(png) % 512
                     for c, v in zip(cols, seen[own], strict=True):
@@ -139,11 +143,11 @@ def read_headers(places: DataFrame) -> DataFrame:
     return _in_order(places).mapInArrow(read, "digest string, width int, height int, depth int")
 
 
-FACTS = "digest string, width int, height int, depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FACTS = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_payloads(places: DataFrame) -> DataFrame:
-    """Digests, sums and features of each place's payload, computed from the stored bytes, with its header's metadata."""
+    """Digests, sums and features of each place's payload, computed from the stored bytes."""
 
     def read(batches):
         opened, f = "", None
@@ -160,9 +164,9 @@ def read_payloads(places: DataFrame) -> DataFrame:
                     payload = from_png(png)
                     samples = np.frombuffer(payload, np.uint8)
                     feature = f"{width}x{height} rgb{depth} sum={int(samples.sum(dtype=np.int64))} max={int(samples.max())}"
-                    out.append((width, height, depth, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), length, hashlib.sha256(png).hexdigest(), feature))
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), length, hashlib.sha256(png).hexdigest(), feature))
                 i += n
-            kinds = [pa.int32()] * 3 + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), *[pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)]], names=[x.split()[0] for x in FACTS.split(", ")])
 
     return _in_order(places).mapInArrow(read, FACTS)

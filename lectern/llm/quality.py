@@ -1,21 +1,25 @@
 """Quality by importance: the ratio of two hashed n-gram models, of target text and of raw text, sampled by Gumbel top-k.
 
 Both models are arrays of fixed size that count hashed words, word pairs and three-byte grams: the raw one over all
-documents, the target one over labelled good ones.  A document's log importance is the mean log ratio of its n-grams,
-times a fixed sharpness.  Adding to each a Gumbel number, hashed from its id, and taking the k largest samples k documents
-without replacement in proportion to importance.  k is the number of documents that the model prefers: those whose mean
-log ratio is at least what parts the labelled good from the bad best.  The k-th largest key is found by counting digits
-of the keys, in a few passes over narrow rows; nothing is sorted or gathered.
-
-Defined cases: a text without n-grams (null, empty) has log ratio 0; a document's key depends on its id and text alone, so
-repeated rows share it, and ties at the k-th key are cut by id, then all kept; a null id hashes as the word null; without
-labels of both kinds every document is kept.
+documents, the target one over labelled good ones.  A document's log importance is the sum over its n-grams of the log ratio
+of their probabilities, less a constant for each n-gram: the mean log ratio that parts the labelled good from the bad best,
+since a mixture of good and bad text is what the raw model has seen.  Adding to each a Gumbel number, hashed from its id, and
+taking the k largest samples k documents without replacement in proportion to importance.  k is a parameter; without, it is
+the number of documents of more importance than one.  The k-th largest key is found by counting digits of the keys, in a few
+passes over narrow rows; nothing is sorted or gathered.
+
+Defined cases: a text without n-grams (null, empty) has log importance 0; texts of any length count whole; a document's key
+depends on its id and text alone, so repeated rows share it; all rows whose key is the k-th largest are in the sample, so it
+has more than k rows where some tie there; a null id hashes as the word null; without labels of both kinds every document
+is kept; an empty table gives an empty one; other columns are ignored, and pass through unchanged where whole rows are asked
+for, whatever they are named.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +30,6 @@ from .mixing import uniform
 BITS = 16
 #: Labelled documents of each kind that are used at most: those whose ids hash lowest.
 SAMPLE = 20_000
-SHARPNESS = 400.0
 PRIOR = 5.0
 KINDS = 3
 U = np.uint64
@@ -60,6 +63,10 @@ class Model:
     def __init__(self, ratio: np.ndarray, least: float):
         self.ratio, self.least = ratio, least
 
+    def weight(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log importance of each row; without a bound every document has the same."""
+        return n * (mean - self.least) if np.isfinite(self.least) else np.full(len(n), -np.sign(self.least))
+
     def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean log ratio of each row, and its number of n-grams.  The kinds of n-gram weigh alike."""
         total, n = np.zeros(len(at) - 1), np.zeros(len(at) - 1, np.int64)
@@ -114,9 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def score(batches):
         for batch, data, at in text.pieces(batches):
             s, _ = shared.value.score(data, at)
-            yield pa.RecordBatch.from_arrays([batch.column("__q"), pa.array(s)], names=["q", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("__q"), pa.array(s)], names=["i", "q", "s"])
 
-    seen = rows.join(known, "__i").where(~half).select("text", "__q").mapInArrow(score, "q int, s double").toPandas()  # at most 2 x `most` rows, unless ids repeat
+    scores = rows.join(known, "__i").where(~half).select(F.col("__i").cast("string").alias("i"), "text", "__q").mapInArrow(score, "i string, q int, s double")
+    seen = scores.groupBy("i", "q").agg(F.min("s").alias("s")).select("q", "s").toPandas()  # a row for each labelled id: 2 x `most` at most
     model.least = bound(seen.s.to_numpy(), seen.q.to_numpy())
     return model
 
@@ -136,24 +144,42 @@ def bound(score: np.ndarray, good: np.ndarray) -> float:
     return -np.inf if i == 0 else np.inf if i == len(s) else float(s[i - 1] + s[i]) / 2
 
 
-def scored(docs: DataFrame, model: Model, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """id, n_grams, log_ratio and gumbel_key of every row; with `whole`, all the row's columns and __ratio, __key."""
+def _noise(ident: Column, seed: int) -> Column:
+    """A Gumbel number that the id and the seed give."""
+    u = (uniform(F.lit("gumbel"), ident.cast("string"), F.lit(str(seed))) * float(1 << 52) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(u))
+
+
+def scored(docs: DataFrame, model: Model, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_grams, log_ratio (mean), log_weight and gumbel_key of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    noise = -F.log(-F.log((uniform(F.lit("gumbel"), F.col(id_col).cast("string"), F.lit(str(seed))) * float(1 << 52) + 0.5) / float(1 << 52)))
+    kind = dict(docs.dtypes)[id_col]
 
     def score(batches):
-        for batch, data, at in text.pieces(batches, text_col if whole else "text"):
+        for batch, data, at in text.pieces(batches):
             s, n = shared.value.score(data, at)
-            if whole:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array(s * SHARPNESS + batch.column(batch.num_columns - 1).to_numpy())], names=[*batch.schema.names[:-1], "__ratio", "__key"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), pa.array(s * SHARPNESS + batch.column(2).to_numpy())], names=[id_col, "n_grams", "log_ratio", "gumbel_key"])
-
-    if whole:
-        schema = T.StructType([*docs.schema.fields, T.StructField("__ratio", T.DoubleType()), T.StructField("__key", T.DoubleType())])
-        return docs.withColumn("__noise", noise).mapInArrow(score, schema)
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), noise.alias("noise")).mapInArrow(score, f"`{id_col}` {kind}, n_grams long, log_ratio double, gumbel_key double")
+            w = shared.value.weight(s, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), pa.array(w), pa.array(w + batch.column(2).to_numpy())], names=[id_col, "n_grams", "log_ratio", "log_weight", "gumbel_key"])
+
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), _noise(F.col(id_col), seed).alias("noise")).mapInArrow(score, f"`{id_col}` {kind}, n_grams long, log_ratio double, log_weight double, gumbel_key double")
+
+
+def sampled(docs: DataFrame, model: Model, end: Cut, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the sample that `end` closes, all columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    row = T.StructType([T.StructField("row", docs.schema), T.StructField("key", T.DoubleType())])
+
+    def with_text(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pc.struct_field(b.column(0), [text_col])], names=["row", "noise", "text"])
+
+    def score(batches):
+        for batch, data, at in text.pieces(with_text(batches)):
+            w = shared.value.weight(*shared.value.score(data, at))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w + batch.column(1).to_numpy())], names=["row", "key"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _noise(F.col(id_col), seed).alias("noise"))
+    return rows.mapInArrow(score, row).where(end.holds(F.col("key"))).select("row.*")
 
 
 def in_order(key: Column) -> Column:
@@ -180,27 +206,17 @@ def kth_largest(rows: DataFrame, key_col: str, k: int, digit: int = 16) -> int |
 
 
 class Cut:
-    """Where the sample ends: keys above `key` are in, and at `key` ids up to `last`."""
+    """Where the sample of k rows ends: keys from `key` on are in; all, or none, where there is no such key."""
 
-    def __init__(self, key: int | None, last, k: int):
-        self.key, self.last, self.k = key, last, k
+    def __init__(self, key: int | None, k: int):
+        self.key, self.k = key, k
 
-    def holds(self, key: Column, ident: Column) -> Column:
-        if self.key is None:
-            return F.lit(self.k > 0)
-        x = in_order(key)
-        tie = F.lit(True) if self.last is None else ident <= F.lit(self.last)
-        return F.coalesce((x > self.key) | ((x == self.key) & tie), F.lit(False))
+    def holds(self, key: Column) -> Column:
+        return F.lit(self.k > 0) if self.key is None else F.coalesce(in_order(key) >= self.key, F.lit(False))
 
 
-def cut(scores: DataFrame, model: Model, id_col: str = "doc_id", k: int | None = None) -> Cut:
-    """The end of the k largest keys; k: those rows that the model prefers."""
+def cut(scores: DataFrame, k: int | None = None) -> Cut:
+    """The end of the k largest keys; without k, as many as have an importance of one or more."""
     if k is None:
-        k = scores.where(F.col("log_ratio") >= F.lit(model.least)).count() if np.isfinite(model.least) else (scores.count() if model.least < 0 else 0)
-    x = scores.select(F.col(id_col).alias("i"), in_order(F.col("gumbel_key")).alias("x"))
-    key = kth_largest(x, "x", k)
-    if key is None:
-        return Cut(None, None, k)
-    above = x.where(F.col("x") > key).count()
-    tied = x.where((F.col("x") == key) & F.col("i").isNotNull()).orderBy("i").limit(max(1, min(k - above, 1000))).collect()
-    return Cut(key, tied[-1].i if tied and k - above <= 1000 else None, k)
+        k = scores.where("log_weight >= 0").count()
+    return Cut(kth_largest(scores.select(in_order(F.col("gumbel_key")).alias("x")), "x", k), k)

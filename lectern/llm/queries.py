@@ -112,12 +112,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_grams, log_ratio, gumbel_key, kept: whether the importance sample holds the document."""
+    """doc_id, n_grams, log_ratio, log_weight, gumbel_key, kept: whether the importance sample holds the document."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scores = store.saved(quality.scored(docs, model), store.new_folder(spark, "quality"), "scores")
-    end = quality.cut(scores, model)
-    return scores.withColumn("kept", end.holds(F.col("gumbel_key"), F.col("doc_id")))
+    return scores.withColumn("kept", quality.cut(scores).holds(F.col("gumbel_key")))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +126,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = media.write_shards(docs, store.new_folder(spark, "media"))
-    facts = media.read_payloads(media.places(rows)).drop("width", "height", "depth")
+    """The contract's columns from the stored payloads; width, height, depth from the headers alone."""
+    docs, folder = table(spark, sf_dir, "documents"), store.new_folder(spark, "media")
+    rows = media.write_shards(docs, folder)
+    places = store.saved(media.places(rows), folder, "places")
+    facts = media.read_payloads(places).join(media.read_headers(places), "digest")
     return rows.select("doc_id", "n_bytes", "digest").join(facts, "digest").drop("digest")
 
 
