@@ -19,19 +19,24 @@ SURE = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the importance sample: a Gumbel top-k with k the number of documents that the model prefers."""
+    """Keeps the importance sample: a Gumbel top-k with k the number of documents that the model prefers.
+
+    Null and empty texts have importance one, so about half of them may stay; repeated rows stay or go together; of ties at
+    the end all stay; texts of any length count whole; an empty table, or one without labels, is kept as it is.
+    """
     store.prepare(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = store.saved(quality.scored(docs, model), store.new_folder(spark, "quality"), "scores")
-    end = quality.cut(scores, model)
-    return quality.scored(docs, model, whole=True).where(end.holds(F.col("__key"), F.col("doc_id"))).select(docs.columns)
+    return quality.sampled(docs, model, quality.cut(scores))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text has no letter, is in none of the languages of the labels, or can't be told between them.
 
     The text's mean log probability an n-gram in its likeliest language decides, against a floor from held-out texts of that
-    language (`langid.fit_floors`); the probability of the language is a second condition.
+    language (`langid.fit_floors`); the probability of the language is a second condition.  Null and empty texts go; repeated
+    rows stay or go together; texts of any length count whole; a null id or language doesn't matter; of equally likely
+    languages the first in order counts; without any labelled text all rows go; an empty table gives an empty one.
     """
     store.prepare(spark)
     model, floors = langid.fit_floors(docs, F.lit(True))
@@ -41,7 +46,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component, and documents without an id.
 
-    Rows that repeat an id are one document: of a kept id, the row with the smallest hash of its columns stays.
+    Rows that repeat an id are one document: of a kept id, the row with the smallest hash of its columns stays.  Null and empty
+    texts are near to nothing and stay; texts of any length count whole; an empty table gives an empty one.
     """
     store.prepare(spark)
     found = ngram_join.components(docs, SHINGLE, NEAR)
@@ -56,13 +62,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that sources weigh as the square root of their sizes, in a global random order."""
+    """Repeats and drops documents so that sources weigh as the square root of their sizes, in a global random order.
+
+    Null texts are rows like others, as is a null source; rows that repeat an id are drawn alike, as are all without an id;
+    an empty table gives an empty one.
+    """
     store.prepare(spark)
     return mixing.mix(docs).select(docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each copy."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each copy; null and empty texts have no tokens."""
     store.prepare(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode(docs, path, bpe.compile_lexicon(docs, path, store.new_folder(spark, "bpe")), digests=True)
