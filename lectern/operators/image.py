@@ -44,24 +44,99 @@ def profiles(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(run, "page_id long, y int, ink double")
 
 
-def extents(pages: DataFrame) -> DataFrame:
-    """(page_id, x1, x2): the columns with ink, the whole width where there is none."""
+def components(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Height and area of each group of ink that touches by side or corner.
+
+    Runs of a row are joined with those of the row before that overlap them or lie one column off, by hooking and jumping
+    over all runs at once.
+    """
+    edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = ink.shape[1] + 2
+    low = np.searchsorted(row * wide + end, (row - 1) * wide + start)
+    high = np.searchsorted(row * wide + start, (row - 1) * wide + end, "right")
+    n = np.maximum(high - low, 0)
+    x = np.repeat(np.arange(len(row)), n)
+    y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(row))
+    while (apart := root[x] != root[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    _, of = np.unique(root, return_inverse=True)
+    area = np.bincount(of, end - start).astype(np.int64)
+    top, bottom = np.full(len(area), ink.shape[0]), np.full(len(area), -1)
+    np.minimum.at(top, of, row)
+    np.maximum.at(bottom, of, row)
+    return bottom - top + 1, area
+
+
+def component_table(pages: DataFrame) -> DataFrame:
+    """(page_id, page_height, height, area) of the components of pages (page_id, height, width, grey)."""
 
     def run(batches):
         for df in batches:
-            out = []
             for r in df.itertuples():
-                x = np.flatnonzero(binarised(np.frombuffer(r.grey, np.uint8).reshape(r.height, r.width)).any(0))
-                out.append((r.page_id, int(x[0]), int(x[-1])) if len(x) else (r.page_id, 0, r.width))
-            yield pd.DataFrame(out, columns=["page_id", "x1", "x2"])
+                height, area = components(binarised(np.frombuffer(r.grey, np.uint8).reshape(r.height, r.width)) > 0)
+                yield pd.DataFrame({"page_id": r.page_id, "page_height": r.height, "height": height, "area": area})
+
+    return pages.mapInPandas(run, "page_id long, page_height int, height int, area long")
+
+
+BOX = "page_id long, line_index int, x1 int, y1 int, x2 int, y2 int, area long, page_height int, page_width int, period int, confidence double, method string"
+
 
-    return pages.mapInPandas(run, "page_id long, x1 int, x2 int")
+def boxes(pages: DataFrame) -> DataFrame:
+    """Boxes of text lines, a page a row: segments of its ink profile, each as wide as the ink between its rows."""
+
+    def run(batches):
+        for df in batches:
+            for r in df.itertuples():
+                ink = binarised(np.frombuffer(r.grey, np.uint8).reshape(r.height, r.width))
+                height, area = components(ink > 0)
+                likely = height[(area > 10) & (height > 3) & (height < 0.8 * r.height)]
+                found, period, sure, method = signal.segments(ink.sum(1, dtype=np.int64).astype(float), likely)
+                out = []
+                for i, (y1, y2) in enumerate(found):
+                    x = np.flatnonzero(ink[y1 : y2 + 1].any(0))
+                    x1, x2 = (int(x[0]), int(x[-1])) if len(x) else (0, r.width)
+                    out.append((r.page_id, i, x1, y1, x2, y2, (x2 - x1) * (y2 - y1), r.height, r.width, period, sure, method))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in BOX.split(", ")])
+
+    return pages.mapInPandas(run, BOX)
 
 
 def text_lines(pages: DataFrame) -> DataFrame:
-    """Boxes of text lines with their padded form: segments of the profile across the column extent, noise left out."""
-    lines = signal.line_segments(profiles(pages)).join(extents(pages), "page_id").join(pages.select("page_id", "height", "width"), "page_id")
-    lines = lines.withColumn("area", (F.col("x2") - F.col("x1")).cast("long") * (F.col("y2") - F.col("y1")))
+    """The boxes with their padded form, noise left out by each page's median area."""
     line_h = F.greatest(F.lit(4), (F.col("period") * signal.RATIO).cast("int"))
-    pad_v, pad_h = F.greatest(F.lit(2), (line_h * 0.15).cast("int")), F.greatest(F.lit(2), (F.col("width") * 0.05).cast("int"))
-    return signal.plausible(lines, "page_id", "area").withColumn("padded", signal.padded(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), pad_h, pad_v, F.col("width"), F.col("height")))
+    pad_v, pad_h = F.greatest(F.lit(2), (line_h * 0.15).cast("int")), F.greatest(F.lit(2), (F.col("page_width") * 0.05).cast("int"))
+    return signal.plausible(boxes(pages), "page_id", "area").withColumn("padded", signal.padded(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), pad_h, pad_v, F.col("page_width"), F.col("page_height")))
+
+
+def drawn(texts: DataFrame, page: str, lines: str, cell: tuple[int, int] = (6, 4), gap: int = 4) -> DataFrame:
+    """Pages (page_id, height, width, grey) that show arrays of lines: a block of ink for each letter, a gap below each line.
+
+    A letter's code gives how high its block is; a page without lines is one white row.
+    """
+    high, wide = cell
+
+    def run(batches):
+        for df in batches:
+            out = []
+            for page_id, rows in zip(df.page_id, df.lines, strict=True):
+                rows = [] if rows is None else list(rows)
+                width = max([len(x) for x in rows] + [1]) * wide
+                grey = np.full((max(1, len(rows) * (high + gap)), width), 255, np.uint8)
+                for i, x in enumerate(rows):
+                    code = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+                    tall = np.where(code == 32, 0, high - code % 3)
+                    block = np.arange(high)[:, None] >= high - tall[None, :]
+                    grey[i * (high + gap) : i * (high + gap) + high, : len(code) * wide] = np.where(np.repeat(block, wide, 1), 0, 255)
+                out.append((page_id, grey.shape[0], grey.shape[1], grey.tobytes()))
+            yield pd.DataFrame(out, columns=["page_id", "height", "width", "grey"])
+
+    return texts.select(F.col(page).alias("page_id"), F.col(lines).alias("lines")).mapInPandas(run, "page_id long, height int, width int, grey binary")

@@ -43,6 +43,20 @@ def autocorrelation(rows: DataFrame, page: str, at: str, value: str, most: int)
     return sums.select(page, F.posexplode(F.array(*[F.col(f"__{k}") / F.col("__0") for k in range(most + 1)])).alias("lag", "acf"))
 
 
+def levels(rows: DataFrame, page: str, value: str) -> DataFrame:
+    """(page, p10, p20, p75): exact percentiles, interpolated."""
+    p = F.percentile(value, F.array(F.lit(0.10), F.lit(0.20), F.lit(0.75)))
+    return rows.groupBy(page).agg(p.alias("p")).select(page, *[F.col("p")[i].alias(k) for i, k in enumerate(("p10", "p20", "p75"))])
+
+
+def between_cuts(rows: DataFrame, page: str, at: str, value: str, cut: str, least: int) -> DataFrame:
+    """(page, y1, y2) of the stretches between rows where `cut` holds, of `least` rows and more, that hold any value above 0."""
+    w = Window.partitionBy(page).orderBy(at)
+    r = rows.withColumn("__cut", F.expr(cut)).withColumn("__part", F.count_if("__cut").over(w)).where("not __cut")
+    found = r.groupBy(page, "__part").agg(F.min(at).alias("y1"), F.max(at).alias("y2"), F.max(value).alias("__top"))
+    return found.where((F.col("y2") - F.col("y1") + 1 >= least) & (F.col("__top") > 0)).select(page, "y1", "y2")
+
+
 def lowest(x: np.ndarray) -> np.ndarray:
     """The lowest value from each place back to the last higher value, or to the begin; each value is taken up and put off once."""
     out, open_ = np.zeros(len(x)), []
@@ -90,21 +104,23 @@ def peaks(x: np.ndarray, height: float | None = None, distance: int = 1, promine
 
 
 def absorbed(segments: list[tuple[int, int]], line: int, least: float = 0.6) -> list[tuple[int, int]]:
-    """Segments with those lower than least * line joined to the one before, or, at the top, to the one after."""
-    out: list[list[int]] = []
-    waiting: int | None = None
+    """Segments with those lower than least * line joined to the one before, or, at the top, to the one after.
+
+    A single segment stays whatever its height; where all of several together stay too low, none is left.
+    """
+    if len(segments) < 2:
+        return list(segments)
+    out: list[tuple[int, int]] = []
+    top: int | None = None
     for start, stop in segments:
-        if waiting is not None:
-            start, waiting = waiting, None
+        start, top = (start if top is None else top), None
         if stop - start + 1 >= least * line:
-            out.append([start, stop])
+            out.append((start, stop))
         elif out:
-            out[-1][1] = stop
+            out[-1] = (out[-1][0], stop)
         else:
-            waiting = start
-    if waiting is not None and segments:
-        out.append([waiting, segments[-1][1]])
-    return [(a, b) for a, b in out]
+            top = start
+    return out
 
 
 def lagged(d: np.ndarray) -> np.ndarray:
@@ -118,7 +134,11 @@ def lagged(d: np.ndarray) -> np.ndarray:
 
 
 def period(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[int, float, str]:
-    """Line period, confidence and method: autocorrelation if sure enough, else component heights if the caller has them, else a fraction."""
+    """Line period, confidence and method.
+
+    The most prominent peak of the autocorrelation if it is sure enough, else 1.5 times the upper quartile of the heights of
+    `plausible_components`, if there are three, else a fraction of the page.
+    """
     n = len(ink)
     if n >= 20 and ink.std() >= 1e-6:
         d = ink - ink.mean()
@@ -127,40 +147,57 @@ def period(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[int, flo
         part = acf[4 : max(6, n // 3)]
         p = peaks(part, height=0.05, prominence=0.03)
         if len(p):
-            best = p[part[p].argmax()]
+            best = p[prominences(part, p).argmax()]
             if part[best] >= 0.10:
-                return int(best) + 4, float(part[best]), "acf"
+                return int(best) + 4, float(part[best]), "autocorrelation"
     if heights is not None and len(heights) >= 3:
-        return max(8, int(np.percentile(heights, 75) * 1.5)), 0.0, "cc"
+        return max(8, int(np.percentile(heights, 75) * 1.5)), 0.0, "cc_height"
     return max(8, n // 50), 0.0, "heuristic"
 
 
+def smoothed(ink: np.ndarray, width: int) -> np.ndarray:
+    """Centred mean with zeros beyond the ends, over the whole signal at most."""
+    width = min(width, len(ink))
+    return np.convolve(ink, np.ones(width) / width, "same")
+
+
+def by_level(ink: np.ndarray, line: int) -> list[tuple[int, int]]:
+    """Runs of rows whose smoothed ink is at least half the lower fifth of what is above zero; short gaps don't end one."""
+    smooth = smoothed(ink, max(3, line // 2))
+    above = smooth[smooth > 0]
+    level = np.percentile(above, 20) * 0.5 if len(above) else 1.0
+    gap, found, start, low = max(2, line // 5), [], None, 0
+    for y, high in enumerate((smooth >= level).tolist()):
+        if high:
+            start, low = (y if start is None else start), 0
+        elif start is not None:
+            low += 1
+            if low >= gap:
+                found.append((start, y - low))
+                start = None
+    if start is not None:
+        found.append((start, len(ink) - 1))
+    return found
+
+
 SEGMENT = "page_id long, line_index int, y1 int, y2 int, period int, confidence double, method string"
 
 
-def segments(ink: np.ndarray) -> tuple[list[tuple[int, int]], int, float, str]:
-    """Begin and end of each text line of one profile, cut at the valleys of the smoothed one; period, confidence, method."""
-    p, sure, method = period(ink)
+def segments(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int, float, str]:
+    """Begin and end of each text line of one profile, cut at the valleys of the smoothed one; period, confidence, method.
+
+    A profile without ink has none.
+    """
+    p, sure, method = period(ink, heights)
     line = max(4, int(RATIO * p))
-    width = min(max(3, line // 3), len(ink))
-    smooth = np.convolve(ink, np.ones(width) / width, "same")
+    smooth = smoothed(ink, max(3, line // 3))
     active = smooth[smooth > np.percentile(smooth, 10)]
-    depth = 0.06 * float(np.median(active)) if len(active) else 0.0
+    depth = 0.06 * (float(np.median(active)) if len(active) else 1.0)
     cuts = [-1, *peaks(-smooth, distance=max(4, p // 2), prominence=depth).tolist(), len(ink)]
     found = [(a + 1, b - 1) for a, b in zip(cuts, cuts[1:], strict=False) if b - a - 1 >= max(4, line // 4) and ink[a + 1 : b].max() > 0]
-    if len(found) <= 1:
+    if len(found) <= 1 and (ink > 0).any():
         method += "+fallback"
-        high, found, start, low = ink >= np.percentile(ink, 20), [], None, 0
-        for y, h in enumerate(high):
-            if h:
-                start, low = (y if start is None else start), 0
-            elif start is not None:
-                low += 1
-                if low >= max(2, line // 4):
-                    found.append((start, y - low))
-                    start = None
-        if start is not None:
-            found.append((start, len(ink) - 1))
+        found = by_level(ink, line)
     return absorbed(found, line), p, sure, method
 
 
@@ -199,6 +236,18 @@ def plausible(boxes: DataFrame, page: str, area: str) -> DataFrame:
     return boxes.join(m, page).where(F.col(area) >= F.col("__m") * NOISE).drop("__m")
 
 
+def plausible_components(components: DataFrame, page: str, page_height: str) -> DataFrame:
+    """Components (height, area) that may be letters."""
+    return components.where((F.col("area") > 10) & (F.col("height") > 3) & (F.col("height") < 0.8 * F.col(page_height)))
+
+
+def component_periods(components: DataFrame, page: str, page_height: str) -> DataFrame:
+    """(page, period): the upper quartile of plausible heights, by half more, at least 8; pages with three and more of them."""
+    upper = F.percentile("height", F.lit(0.75))
+    found = plausible_components(components, page, page_height).groupBy(page).agg(F.count("*").alias("n"), upper.alias("h"))
+    return found.where("n >= 3").select(page, F.greatest(F.lit(8), F.floor(F.col("h") * 1.5).cast("int")).alias("period"))
+
+
 def padded(x1, y1, x2, y2, pad_h, pad_v, width, height):
     """A box grown by its pads, within the image."""
     return F.struct(F.greatest(x1 - pad_h, F.lit(0)).alias("x1"), F.greatest(y1 - pad_v, F.lit(0)).alias("y1"), F.least(x2 + pad_h, width).alias("x2"), F.least(y2 + pad_v, height).alias("y2"))
