@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import half_even, macro
+from ..functions.text import let, normalise
 from .spread import spread
 
-#: The nearest-match search holds all candidates in one array; more bytes than these go through a join in blocks.
+#: The nearest-match search holds all candidates in one array; more bytes than these are first searched by shared grams.
 CANDIDATE_BYTES = 8 << 20
+#: Letters in a gram, and the distances up to which lines are searched by these, one after another.
+GRAM, REACH = 3, (1, 2, 4, 8)
 #: Lines of a page that are aligned by expressions; longer pages go to a task's own table.
 PAGE_LINES = 64
 
@@ -24,24 +30,67 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return right.join(left.select(*keys), keys, "left_anti")
 
 
+def _best(text: Column, candidates: Column) -> Column:
+    """struct(distance, i, gt) of the candidate (t, i, gt) nearest to a text, the first of equally near ones.
+
+    Each distance is computed no further than what is best so far.
+    """
+
+    def search(x, all_):
+        def step(acc, c):
+            d = F.call_function("levenshtein", x, c["t"], acc["distance"] - 1)
+            return F.when((acc["distance"] > 0) & (d >= 0), F.struct(d.alias("distance"), c["i"].alias("i"), c["gt"].alias("gt"))).otherwise(acc)
+
+        longest = F.greatest(F.length(x), F.coalesce(F.array_max(F.transform(all_, lambda c: F.length(c["t"]))), F.lit(0)))
+        none = F.struct((longest + 1).cast("int").alias("distance"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("string").alias("gt"))
+        found = F.aggregate(all_, none, step)
+        return F.when(x.isNotNull() & (F.size(all_) > 0), found)
+
+    return let(search, x=text, all_=candidates)
+
+
+def _grams(x: Column) -> Column:
+    """Distinct grams in one global order."""
+    all_ = F.transform(F.sequence(F.lit(1), F.length(x) - (GRAM - 1)), lambda i: F.substring(x, i, F.lit(GRAM)))
+    return F.when(F.length(x) >= GRAM, F.transform(F.array_sort(F.transform(F.array_distinct(all_), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda s: s["g"])).otherwise(F.array().cast("array<string>"))
+
+
+def _by_grams(texts: DataFrame, lines: DataFrame, reach: int) -> DataFrame:
+    """(x, m) of the texts with a line at most `reach` away: the nearest.
+
+    Such a pair shares one of the first GRAM * reach + 1 grams of either side; texts with fewer grams aren't asked for.
+    """
+    most = GRAM * reach + 1
+    asked = texts.withColumn("g", _grams(F.col("x"))).where(F.size("g") >= most).select("x", F.explode(F.slice("g", 1, most)).alias("gram"))
+    held = lines.withColumn("g", _grams(F.col("t"))).select("t", F.explode(F.slice("g", 1, most)).alias("gram"))
+    pairs = asked.join(held, "gram").where(F.abs(F.length("x") - F.length("t")) <= reach).select("x", "t").distinct()
+    near = pairs.withColumn("d", F.levenshtein("x", "t", reach)).where("d >= 0").join(lines, "t")
+    return near.groupBy("x").agg(F.min(F.struct(F.col("d").alias("distance"), "i", "gt")).alias("m"))
+
+
 def nearest(preds: DataFrame, truth: DataFrame, pred_col: str = "pred", text_col: str = "gt", index_col: str = "gt_idx") -> DataFrame:
     """Each prediction with the truth line of least distance, lower-cased; the lowest index wins ties; lines may repeat.
 
-    The candidates go to the tasks as one array if their size is below the bound, and no pair becomes a row.  Otherwise
-    truth lines are cut into blocks of that size and each block's best is kept, one row a prediction and block.
+    The lines go to the tasks as one array if their size is below the bound, and no pair becomes a row.  Otherwise distinct
+    predictions look for lines by shared grams, in growing distance; those that have none near are compared with all
+    lines, in blocks of that size.  A null prediction, or any without truth lines, has a null partner; null lines are none.
     """
-    size = truth.agg(F.coalesce(F.sum(F.length(text_col) + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // CANDIDATE_BYTES))
-    packed = truth.select(F.lower(F.col(text_col)).alias("t"), F.col(index_col).cast("long").alias("i"), F.pmod(F.col(index_col), F.lit(blocks)).alias("__b")).groupBy("__b").agg(F.collect_list(F.struct("t", "i")).alias("__all")).drop("__b")
-    best = F.array_min(F.transform("__all", lambda c: F.struct(F.levenshtein(F.lower(F.col(pred_col)), c["t"]).alias("distance"), c["i"].alias("i"))))
-    if blocks == 1:
-        found = preds.crossJoin(F.broadcast(packed)).withColumn("__m", best).drop("__all")  # one row, of checked size
-    else:
-        keyed = preds.withColumn("__k", F.monotonically_increasing_id())
-        each = keyed.crossJoin(packed).select("__k", best.alias("__m")).groupBy("__k").agg(F.min("__m").alias("__m"))
-        found = keyed.join(each, "__k").drop("__k")
-    back = truth.select(F.col(index_col).cast("long").alias("matched_idx"), F.col(text_col).alias("matched_gt"))
-    return found.select(*preds.columns, F.col("__m.distance").alias("distance"), F.col("__m.i").alias("matched_idx")).join(back, "matched_idx")
+    lines = truth.where(F.col(text_col).isNotNull()).select(F.lower(F.col(text_col)).alias("t"), F.col(index_col).cast("long").alias("i"), F.col(text_col).alias("gt"))
+    size = lines.agg(F.coalesce(F.sum(F.length("t") * 2 + 32), F.lit(0))).first()[0]
+    out = [*preds.columns, F.col("__m.distance").alias("distance"), F.col("__m.i").alias("matched_idx"), F.col("__m.gt").alias("matched_gt")]
+    packed = lambda d: d.agg(F.array_sort(F.collect_list(F.struct("i", "t", "gt"))).alias("__all"))
+    if size <= CANDIDATE_BYTES:
+        return spread(preds).crossJoin(F.broadcast(packed(lines))).withColumn("__m", _best(F.lower(F.col(pred_col)), F.col("__all"))).select(out)  # one row, of checked size
+    lines = lines.groupBy("t").agg(F.min(F.struct("i", "gt")).alias("m")).select("t", "m.*")
+    left = preds.select(F.lower(F.col(pred_col)).alias("x")).where("x is not null").distinct()
+    found = []
+    for reach in REACH:
+        found.append(_by_grams(left, lines, reach))
+        left = left.join(found[-1], "x", "left_anti")
+    blocks = lines.groupBy(F.pmod(F.xxhash64("t"), F.lit(-(-size // CANDIDATE_BYTES))).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "t", "gt"))).alias("__all"))
+    found.append(left.crossJoin(blocks).select("x", _best(F.col("x"), F.col("__all")).alias("m")).groupBy("x").agg(F.min("m").alias("m")))  # a row for each block, not for each line
+    known = reduce(DataFrame.unionByName, found).select(F.col("x").alias("__x"), F.col("m").alias("__m"))
+    return preds.join(known, F.lower(F.col(pred_col)) == F.col("__x"), "left").select(out)
 
 
 MATCH, SKIP_PRED, SKIP_TRUTH = 0, 1, 2
@@ -54,6 +103,10 @@ def alignment_path(p: Column, g: Column) -> Column:
     distance of lower-cased lines, and a skipped line's length; ties go to M, then P, then G.  The table is folded row by
     row: a cell is (cost, order of the last step, path), so the least struct is the choice.
     """
+    return let(_path, p=p, g=g, low_p=F.transform(p, F.lower), low_g=F.transform(g, F.lower))
+
+
+def _path(p: Column, g: Column, low_p: Column, low_g: Column) -> Column:
     cell = lambda c, o, path: F.struct(c.cast("int").alias("c"), F.lit(o).alias("o"), path.alias("path"))
     first = F.aggregate(
         g,
@@ -61,14 +114,15 @@ def alignment_path(p: Column, g: Column) -> Column:
         lambda row, t: F.concat(row, F.array(cell(F.element_at(row, -1)["c"] + F.length(t), SKIP_TRUTH, F.concat(F.element_at(row, -1)["path"], F.lit("G"))))),
     )
 
-    def next_row(above, x):
+    def next_row(above, k):
+        x = F.element_at(p, k)
         start = F.array(cell(F.element_at(above, 1)["c"] + F.length(x), SKIP_PRED, F.concat(F.element_at(above, 1)["path"], F.lit("P"))))
 
         def step(row, j):
             t = F.element_at(g, j)
             diagonal, up, left = F.element_at(above, j), F.element_at(above, j + 1), F.element_at(row, -1)
             options = F.array(
-                cell(diagonal["c"] + F.levenshtein(F.lower(x), F.lower(t)), MATCH, F.concat(diagonal["path"], F.lit("M"))),
+                cell(diagonal["c"] + F.levenshtein(F.element_at(low_p, k), F.element_at(low_g, j)), MATCH, F.concat(diagonal["path"], F.lit("M"))),
                 cell(up["c"] + F.length(x), SKIP_PRED, F.concat(up["path"], F.lit("P"))),
                 cell(left["c"] + F.length(t), SKIP_TRUTH, F.concat(left["path"], F.lit("G"))),
             )
@@ -76,7 +130,7 @@ def alignment_path(p: Column, g: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step)
 
-    last = F.element_at(F.aggregate(p, first, next_row), -1)
+    last = F.element_at(F.aggregate(F.sequence(F.lit(1), F.size(p)), first, next_row), -1)
     only_pred = F.struct(F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x)).alias("cost"), F.repeat(F.lit("P"), F.size(p)).alias("path"))
     only_truth = F.struct(F.aggregate(g, F.lit(0), lambda a, x: a + F.length(x)).alias("cost"), F.repeat(F.lit("G"), F.size(g)).alias("path"))
     return F.when(F.size(g) == 0, only_pred).when(F.size(p) == 0, only_truth).otherwise(F.struct(last["c"].alias("cost"), last["path"].alias("path")))
@@ -110,7 +164,7 @@ def rows_of_paths(pages: DataFrame) -> DataFrame:
     index = F.when(hit, F.col("gi")).otherwise(-1)
     return steps.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("pi").alias("pred_idx"), text.alias("pred_text"), match.alias("matched_gt"), index.alias("matched_gt_idx"), distance.alias("edit_distance"),
-        F.round(distance / F.greatest(F.length(match), F.lit(1)), 4).alias("cer"), (hit & (index != F.col("pi"))).alias("was_shifted"), (~hit).alias("skipped"), F.col("cost").alias("path_cost"),
+        half_even(distance / F.greatest(F.length(match), F.lit(1)), 4).alias("cer"), (hit & (index != F.col("pi"))).alias("was_shifted"), (~hit).alias("skipped"), F.col("cost").alias("path_cost"),
     )
 
 
@@ -161,6 +215,21 @@ def aggregate_rates(pairs: DataFrame, *keys: str) -> DataFrame:
     ).withColumn("total_cer", F.col("edits") / F.greatest("ref_len", F.lit(1)))
 
 
+def stage_rates(pairs: DataFrame, stages: DataFrame, names: list[str], *keys: str, most: float | None = None) -> DataFrame:
+    """(keys, stage, cer, norm_cer, lines, excluded): mean rates of each stage's texts against the same partners.
+
+    pairs: the alignment of the last stage; stages: page_id, pred_idx and a column of each name, in order.  Skipped lines and
+    empty partners have no rate; with `most`, lines whose last stage has a higher rate are left out, and counted.
+    """
+    rows = pairs.where("not skipped and matched_gt <> ''").join(stages, ["page_id", "pred_idx"])
+    rate = lambda x, y: F.levenshtein(x, y) / F.greatest(F.length(y), F.lit(1))
+    gt = F.col("matched_gt")
+    out_ = rate(F.col(names[-1]), gt) > most if most is not None else F.lit(False)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), rate(F.col(n), gt).alias("r"), rate(normalise(F.col(n)), normalise(gt)).alias("q")) for n in names]))
+    flat = rows.select(*keys, out_.alias("out"), each.alias("s")).select(*keys, "out", "s.*")
+    return flat.groupBy(*keys, "stage").agg(macro(F.when(~F.col("out"), F.col("r"))).alias("cer"), macro(F.when(~F.col("out"), F.col("q"))).alias("norm_cer"), F.count_if(~F.col("out")).alias("lines"), F.count_if("out").alias("excluded"))
+
+
 def sequential_rate(preds: DataFrame, truth: DataFrame, *keys: str) -> DataFrame:
     """Case-sensitive rate over positions that both sides have."""
     both = preds.withColumnRenamed("pred_idx", "i").join(truth.withColumnRenamed("gt_idx", "i"), ["page_id", "i"])

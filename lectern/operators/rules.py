@@ -48,9 +48,21 @@ def corrections(tokens: DataFrame, known: DataFrame, token_col: str = "token") -
     return t.select("token").join(fixed, "token", "left").withColumn("corrected", F.coalesce("corrected", "token"))
 
 
+#: The changed tokens are sent to all tasks up to so many characters of them; beyond that they are joined by a shuffle.
+BROADCAST_CHARS = 4 << 20
+
+
 def apply_rules(lines: DataFrame, known: DataFrame, keys: list[str], text_col: str = "line") -> DataFrame:
-    """lines with `corrected`: white space is kept, tokens are replaced by their corrections."""
-    parts = lines.select(*keys, F.posexplode(T.with_spaces(T.plain_cedilla(F.col(text_col)))).alias("pos", "token"))
-    fixed = corrections(parts.where(F.trim("token") != ""), known)
-    joined = parts.join(fixed, "token", "left").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("corrected", "token").alias("x")))), lambda s: s["x"]), "").alias("corrected"))
-    return lines.join(joined, keys, "left").withColumn("corrected", F.coalesce("corrected", F.col(text_col)))
+    """lines with `corrected`: white space is kept, tokens are replaced by their corrections.
+
+    Only tokens that the rules change are looked up, and only these go back to their lines, by place.  `keys` name a line.
+    The table of changed tokens, much smaller than the texts, is cached: its size decides how it is joined.
+    """
+    parts = T.with_spaces(T.plain_cedilla(F.col(text_col)))
+    tokens = lines.select(*keys, F.posexplode(parts).alias("pos", "token")).where(F.trim("token") != "")
+    fixed = corrections(tokens, known).where("corrected <> token").persist()
+    size = fixed.agg(F.coalesce(F.sum(F.length("token") + F.length("corrected") + 32), F.lit(0))).first()[0]
+    found = tokens.join(F.broadcast(fixed) if size <= BROADCAST_CHARS else fixed, "token")
+    places = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("pos", "corrected"))).alias("__at"))
+    put = F.array_join(F.transform(parts, lambda t, i: F.coalesce(F.try_element_at("__at", i), t)), "")
+    return lines.join(places, keys, "left").withColumn("corrected", F.when(F.col("__at").isNull(), T.plain_cedilla(F.col(text_col))).otherwise(put)).drop("__at")
