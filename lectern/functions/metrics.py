@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, tokens
+from .text import let, tokens, word_punct
 
 #: So many distinct words of a pair get a character each; more go through the array distance.
 ALPHABET = 180
@@ -67,12 +67,41 @@ def _times(x: Column, g: Column) -> Column:
     return F.size(F.filter(x, lambda y: y == g))
 
 
+def clipped(gh: Column, gr: Column) -> Column:
+    """How many of the n-grams gh are matched in gr, each as often as it is there; grams that come once need no counting."""
+
+    def counted(x, y):
+        return F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, g: acc + F.least(_times(x, g), _times(y, g)))
+
+    return F.when(F.size(F.array_distinct(gh)) == F.size(gh), F.size(F.array_intersect(gh, gr))).otherwise(counted(gh, gr))
+
+
+def bleu_counts(hypothesis: Column, reference: Column) -> Column:
+    """What corpus_bleu sums: lengths of both sides in words and marks, and matches and totals of orders 1 to 4."""
+
+    def of(h, r):
+        parts = [F.size(h).alias("h"), F.size(r).alias("r")]
+        for n in range(1, 5):
+            parts += [let(lambda gh, gr: clipped(gh, gr), gh=_grams(h, n), gr=_grams(r, n)).alias(f"m{n}"), F.greatest(F.size(h) - (n - 1), F.lit(0)).alias(f"t{n}")]
+        return F.struct(*parts)
+
+    return let(of, h=word_punct(hypothesis), r=word_punct(reference))
+
+
+def corpus_bleu(counts: str) -> Column:
+    """BLEU of a group of lines from the sums of their `bleu_counts`: orders 1 to 4 pooled, not smoothed; 0 where one has no match."""
+    total = lambda k: F.sum(F.col(f"{counts}.{k}"))
+    logs = sum((F.log(total(f"m{n}") / total(f"t{n}")) for n in range(1, 5)), F.lit(0.0))
+    none = F.least(*[total(f"m{n}") for n in range(1, 5)]) == 0
+    short = F.least(F.lit(1.0), F.exp(1.0 - total("r") / total("h")))
+    return F.when(none, 0.0).otherwise(short * F.exp(logs / 4))
+
+
 def sentence_bleu(hypothesis: Column, reference: Column) -> Column:
     """Orders 1 to 4, clipped counts, one added to matches and totals, short hypotheses discounted; 0 if one is empty."""
 
     def order(gh, gr):
-        match = F.aggregate(F.array_distinct(gh), F.lit(0), lambda acc, g: acc + F.least(_times(gh, g), _times(gr, g)))
-        return F.log((match + 1.0) / (F.greatest(F.size(gh), F.lit(1)) + 1.0))
+        return F.log((clipped(gh, gr) + 1.0) / (F.greatest(F.size(gh), F.lit(1)) + 1.0))
 
     def of(h, r):
         logs = F.lit(0.0)
@@ -84,15 +113,23 @@ def sentence_bleu(hypothesis: Column, reference: Column) -> Column:
     return let(of, h=tokens(hypothesis), r=tokens(reference))
 
 
+def _cosine(x: Column, y: Column) -> Column:
+    """Cosine of two arrays' counts, null if one is empty."""
+    plain = lambda z: F.size(F.array_distinct(z)) == F.size(z)
+    square = lambda z: F.when(plain(z), F.size(z)).otherwise(F.aggregate(F.array_distinct(z), F.lit(0), lambda acc, w: acc + _times(z, w) * _times(z, w)))
+    dot = F.when(plain(x) & plain(y), F.size(F.array_intersect(x, y))).otherwise(F.aggregate(F.array_intersect(x, y), F.lit(0), lambda acc, w: acc + _times(x, w) * _times(y, w)))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), dot / (F.sqrt(square(x).cast("double")) * F.sqrt(square(y).cast("double"))))
+
+
 def bag_cosine(a: Column, b: Column) -> Column:
     """Cosine of word counts; 1 if both are empty, 0 if one is."""
+    return let(lambda x, y: F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(F.coalesce(_cosine(x, y), F.lit(0.0))), x=tokens(a), y=tokens(b))
 
-    def of(x, y):
-        square = lambda z: F.aggregate(F.array_distinct(z), F.lit(0), lambda acc, w: acc + _times(z, w) * _times(z, w))
-        dot = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda acc, w: acc + _times(x, w) * _times(y, w))
-        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(dot / (F.sqrt(square(x).cast("double")) * F.sqrt(square(y).cast("double"))))
 
-    return let(of, x=tokens(a), y=tokens(b))
+def count_cosine(a: Column, b: Column) -> Column:
+    """Cosine of counts of lower-cased words of two characters and more; 0 if one side has none, null if both have none."""
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return let(lambda x, y: F.when((F.size(x) > 0) | (F.size(y) > 0), F.coalesce(_cosine(x, y), F.lit(0.0))), x=words(a), y=words(b))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -107,6 +144,25 @@ def bundle(a: Column, b: Column) -> Column:
     return F.struct(*[F.round(v, 4).alias(k) for k, v in parts.items()])
 
 
+def count_bundle(a: Column, b: Column) -> Column:
+    """The pairwise rates with the cosine of counts, rounded to four places for display."""
+    parts = {"cer": pair_char_rate(a, b), "wer": pair_word_rate(a, b), "cosine": count_cosine(a, b)}
+    return F.struct(*[F.round(v, 4).alias(k) for k, v in parts.items()])
+
+
+def half_even(x: Column, places: int) -> Column:
+    """Rounded to the nearest, ties (of the shortest decimal that names the number) to even."""
+    return F.bround(x.cast("decimal(38,20)"), places).cast("double")
+
+
+def corpus_rates(a: str, b: str) -> list[Column]:
+    """Aggregates of a table of lines: summed edits by summed reference units, for characters and for words."""
+    words = lambda c: tokens(F.col(c))
+    return [
+        micro(char_distance(F.col(a), F.col(b)), F.length(b)).alias("cer"), micro(word_distance(words(a), words(b)), F.size(words(b))).alias("wer"),
+    ]
+
+
 def micro(edits: Column, lengths: Column) -> Column:
     """Summed edits by summed lengths."""
     return F.coalesce(F.sum(edits), F.lit(0)) / F.greatest(F.coalesce(F.sum(lengths), F.lit(0)), F.lit(1))

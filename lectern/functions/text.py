@@ -40,17 +40,21 @@ def let(body, **values: Column) -> Column:
 
 
 def _fold(x: Column, compatible: bool, kept: str) -> Column:
+    """A text of ASCII alone is left as it is, and letters that become several are looked for only where there is one."""
     one, to, many = folding(compatible, kept)
-    x = F.translate(x, one, to)
-    for c, new in many:
-        x = F.replace(x, F.lit(c), F.lit(new))
+    out = F.translate(x, one, to)
+    if many:
+        apart = out
+        for c, new in many:
+            apart = F.replace(apart, F.lit(c), F.lit(new))
+        out = F.when(out.rlike("[" + "".join(c for c, _ in many) + "]"), apart).otherwise(out)
     marks = f"[\\p{{Mn}}&&[^{kept}]]" if kept else "\\p{Mn}"
-    x = F.regexp_replace(x, marks, "")
-    for base in ("nN" if kept else ""):
-        x = F.replace(x, F.lit(base + KEPT_MARKS[0]), F.lit(unicodedata.normalize("NFC", base + KEPT_MARKS[0])))
-    for base in ("cC" if kept else ""):
-        x = F.replace(x, F.lit(base + KEPT_MARKS[1]), F.lit(unicodedata.normalize("NFC", base + KEPT_MARKS[1])))
-    return x
+    bare = F.regexp_replace(out, marks, "")
+    for mark, letters in zip(KEPT_MARKS, ("nN", "cC"), strict=True) if kept else ():
+        for base in letters:
+            bare = F.replace(bare, F.lit(base + mark), F.lit(unicodedata.normalize("NFC", base + mark)))
+    out = F.when(out.rlike("\\p{Mn}"), bare).otherwise(out)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), out).otherwise(x)
 
 
 def strip_accents(x: Column) -> Column:
@@ -93,6 +97,17 @@ def with_spaces(x: Column) -> Column:
     return F.split(x, r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)")
 
 
+def spans(x: Column) -> Column:
+    """Tokens with the place of their begin and end in the text, from 0."""
+
+    def placed(parts):
+        step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(F.struct(p.alias("token"), acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end")))).alias("all"))
+        none = F.array().cast("array<struct<token:string,start:int,end:int>>")
+        return F.filter(F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("all")), step)["all"], lambda s: ~s["token"].rlike(r"(?U)^\s*$"))
+
+    return let(placed, parts=with_spaces(x))
+
+
 def wrapped(x: Column, width: int = 12) -> Column:
     """The text as lines of `width` tokens; no lines if it has no token."""
 
