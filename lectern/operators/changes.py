@@ -39,8 +39,13 @@ def change_rows(rows: DataFrame, keys: list[str], old_col: str, new_col: str, **
 
 
 def surface_forms(changes: DataFrame) -> DataFrame:
-    """(corrected, original, n) of the changes that differ in letters."""
-    return changes.where("not is_ocr_error").groupBy("corrected", "original").agg(F.count("*").alias("n"))
+    """(corrected, original, n) of the changes of punctuation, space or case alone: forms of the same word."""
+    return changes.where("is_ocr_error").groupBy("corrected", "original").agg(F.count("*").alias("n"))
+
+
+def spelling_errors(changes: DataFrame) -> DataFrame:
+    """The changes that differ in letters."""
+    return changes.where("not is_ocr_error")
 
 
 def nested_counts(forms: DataFrame) -> DataFrame:

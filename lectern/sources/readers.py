@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 LINE = "image_path string, transcription string"
 IMAGES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 
@@ -25,22 +27,50 @@ def line_csv(spark: SparkSession, path: str) -> DataFrame:
 def remapped(path: Column) -> Column:
     """A path from its first component on that begins with output; unchanged if there is none."""
     plain = F.replace(path, F.lit("\\"), F.lit("/"))
-    found = F.regexp_extract(plain, r"(output[^/]*/.*)$", 1)
+    found = F.regexp_extract(plain, r"^(?:[^/]*/)*?(output[^/]*(?:/.*)?)$", 1)
     return F.when(found != "", found).otherwise(path)
 
 
-def decoded(content: Column) -> Column:
-    """UTF-8 where the bytes are valid, else Latin-1, which any bytes are."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+def resolved(rows: DataFrame, files: DataFrame, path_col: str = "image_path") -> DataFrame:
+    """rows whose path stays where it names one of `files` (path), and is remapped where that does; else it stays too."""
+    known = files.select("path").distinct()
+    marked = rows.withColumn("__p", remapped(F.col(path_col)))
+    marked = marked.join(known.select(F.col("path").alias(path_col), F.lit(True).alias("__own")), path_col, "left").join(known.select(F.col("path").alias("__p"), F.lit(True).alias("__new")), "__p", "left")
+    new = F.when(F.col("__own").isNull() & F.col("__new").isNotNull(), F.col("__p")).otherwise(F.col(path_col))
+    return marked.withColumn(path_col, new).select(rows.columns)
+
+
+def decoded(content: Column, errors: str = "latin") -> Column:
+    """UTF-8 where the bytes are valid.  Else, by `errors`: Latin-1, which any bytes are; replacement characters; or an error."""
+    text = content.cast("string")
+    other = {"latin": F.decode(content, "ISO-8859-1"), "replace": F.make_valid_utf8(text), "strict": F.raise_error(F.lit("the text is not UTF-8")).cast("string")}[errors]
+    return F.when(F.is_valid_utf8(text), text).otherwise(other)
 
 
-def page_texts(spark: SparkSession, path: str, trim: bool = True) -> DataFrame:
+def page_texts(spark: SparkSession, path: str, trim: bool = True, errors: str = "latin") -> DataFrame:
     """page_id, gt_idx, gt of text files in numbered folders; with `trim`, without the blank lines at the end."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    rows = files.select(F.regexp_extract("path", r"/(\d+)/[^/]*$", 1).try_cast("int").alias("page_id"), F.posexplode(F.split(decoded(F.col("content")), "\n")).alias("gt_idx", "gt"))
+    rows = files.select(F.regexp_extract("path", r"/(\d+)/[^/]*$", 1).try_cast("int").alias("page_id"), F.posexplode(F.split(decoded(F.col("content"), errors), "\n")).alias("gt_idx", "gt"))
     return without_blank_end(rows) if trim else rows
 
 
+def page_folders(files: DataFrame) -> DataFrame:
+    """(page_id, folder, files) of the numbered folders that files (path) lie in, in numeric order."""
+    folder = F.regexp_extract("path", r"^(.*/\d+)/[^/]*$", 1)
+    rows = files.select(folder.alias("folder"), F.regexp_extract(folder, r"(\d+)$", 1).try_cast("int").alias("page_id")).where("page_id is not null")
+    return rows.groupBy("page_id", "folder").agg(F.count("*").alias("files")).orderBy("page_id", "folder")
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct words of a text file, normalised: a dictionary."""
+    return spark.read.text(path).select(F.explode(T.tokens(F.col("value"))).alias("w")).select(T.word_key(F.col("w")).alias("word")).distinct()
+
+
+def json_value(spark: SparkSession, path: str, field: str, missing: str = "N/A") -> DataFrame:
+    """One row a document: the value at a JSON path such as $.metrics.CER, or what stands for a missing one."""
+    return spark.read.text(path, wholetext=True).select(F.coalesce(F.get_json_object("value", field), F.lit(missing)).alias("value"))
+
+
 def without_blank_end(lines: DataFrame, page: str = "page_id", at: str = "gt_idx", text: str = "gt") -> DataFrame:
     """Page lines up to the last that is not blank; blank lines between stay."""
     last = F.max(F.when(F.trim(F.col(text)) != "", F.col(at))).over(Window.partitionBy(page))
@@ -69,11 +99,12 @@ MAPPING = (
 )
 
 
-def mapping_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Matched lines with text of all mapping files below a folder."""
+def mapping_lines(spark: SparkSession, path: str, crops: DataFrame | None = None) -> DataFrame:
+    """Matched lines with text of all mapping files below a folder; with `crops` (folder_id, crop_file), of crops that exist."""
     docs = spark.read.schema(MAPPING).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "mapping.json").json(path)
     rows = docs.select("folder_id", F.explode("lines").alias("l")).select("folder_id", "l.*")
-    return rows.where("matched and trim(transcription) <> ''").withColumn("transcription", F.trim("transcription"))
+    rows = rows.where("matched and trim(transcription) <> ''").withColumn("transcription", F.trim("transcription"))
+    return rows if crops is None else rows.join(crops, ["folder_id", "crop_file"], "left_semi")
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +121,10 @@ def trainer_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("kind", kind).where("kind is not null")
 
 
+WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+SIGNS = {f"{WORD}tab": "\t", f"{WORD}br": "\n", f"{WORD}cr": "\n"}
+
+
 def paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, text of the paragraphs of .docx files; other Word files are refused."""
     files = spark.read.format("binaryFile").load(path)
@@ -100,12 +135,9 @@ def paragraphs(spark: SparkSession, path: str) -> DataFrame:
             for p, raw in zip(df.path, df.content, strict=True):
                 if not p.lower().endswith(".docx"):
                     raise ValueError(f"{p}: only .docx files can be read")
-                xml = zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml").decode()
-                for i, body in enumerate(re.findall(r"<w:p[ >].*?</w:p>", xml, re.S)):
-                    text = "".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", body))
-                    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-                        text = text.replace(a, b)
-                    out.append((p, i, text))
+                root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
+                for i, body in enumerate(root.iter(f"{WORD}p")):
+                    out.append((p, i, "".join(x.text or "" if x.tag == f"{WORD}t" else SIGNS.get(x.tag, "") for x in body.iter())))
             yield pd.DataFrame(out, columns=["path", "pos", "text"])
 
     return files.select("path", "content").mapInPandas(run, "path string, pos int, text string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+
 
 def line_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
@@ -20,11 +22,9 @@ def json_documents(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def metrics_document(metrics: DataFrame, samples: DataFrame, order: str) -> DataFrame:
-    """One row: metrics by stage from (stage, CER, WER), and the evaluation's samples in order."""
-    by_stage = metrics.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct("CER", "WER"))))).alias("metrics"))
-    nested = samples.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in samples.columns if c != order]))).alias("samples"))
-    return by_stage.crossJoin(nested)  # one row by one row
+def metrics_document(metrics: DataFrame) -> DataFrame:
+    """One row with metrics by stage from (stage, CER, WER).  Samples are rows of a file of their own."""
+    return metrics.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct("CER", "WER"))))).alias("metrics"))
 
 
 def percent(x: Column) -> Column:
@@ -35,3 +35,9 @@ def percent(x: Column) -> Column:
 def text_lines(rows: DataFrame, path: str, order: str, text: str) -> None:
     """Lines in order, as text files."""
     rows.orderBy(order).select(F.col(text).alias("value")).write.mode("overwrite").text(path)
+
+
+def text_meta(rows: DataFrame, page: str, text: str, status: str) -> DataFrame:
+    """What goes beside a page's text: lines, words, and how many lines have each status."""
+    by = rows.groupBy(page, status).agg(F.count("*").alias("n"), F.sum(F.size(tokens(F.col(text)))).alias("w"))
+    return by.groupBy(page).agg(F.sum("n").alias("lines"), F.sum("w").alias("words"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "n")))).alias("statuses"))
