@@ -116,6 +116,43 @@ SELECT role, round(avg(coalesce(CASE WHEN isnan(cosine) THEN 0 ELSE cosine END,
 """
 
 
+WORDPUNCT = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]+')"
+BLEU_COUNTS = ", l AS (SELECT lang, " + WORDPUNCT.format("pred") + " AS h, " + WORDPUNCT.format("line") + " AS r FROM pairs), k AS (SELECT *, " + ", ".join(f"{grams(x, n)} AS {x}{n}" for x in "hr" for n in range(1, 5)) + " FROM l)"
+
+
+def _match(n: int) -> str:
+    return f"coalesce(list_sum(list_transform(list_distinct(h{n}), lambda y: least(len(list_filter(h{n}, lambda q: q = y)), len(list_filter(r{n}, lambda q: q = y))))), 0)"
+
+
+BLEU_SUMS = ", s AS (SELECT lang, count(*) AS lines, sum(len(h)) AS hs, sum(len(r)) AS rs, " + ", ".join(f"sum({_match(n)}) AS m{n}, sum(len(h{n})) AS t{n}" for n in range(1, 5)) + " FROM k GROUP BY lang)"
+
+
+def nw(pred: str = "pred") -> str:
+    """The cheapest alignment of each page's turns: cells of the table one after another, then the way back."""
+    return f"""
+    pp AS (SELECT page_id, list({pred} ORDER BY pred_idx) AS p FROM p GROUP BY page_id), gg AS (SELECT page_id, list(gt ORDER BY gt_idx) AS g FROM g GROUP BY page_id),
+    pages AS MATERIALIZED (SELECT pp.page_id, p, coalesce(g, []) AS g, len(p) AS n, coalesce(len(g), 0) AS m FROM pp LEFT JOIN gg USING (page_id)),
+    ij AS (SELECT page_id, p, g, i, unnest(range(1, m + 1)) AS j FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM pages)),
+    d AS MATERIALIZED (SELECT page_id, list({lev("lower(p[i])", "lower(g[j])")} ORDER BY i, j) AS d FROM ij GROUP BY page_id),
+    q AS MATERIALIZED (SELECT pages.*, d FROM pages LEFT JOIN d USING (page_id)),
+    f(page_id, k, c, o) AS (SELECT page_id, CAST(1 AS BIGINT), [CAST(0 AS BIGINT)], [CAST(0 AS BIGINT)] FROM q UNION ALL
+        SELECT page_id, k + 1, list_append(c, CAST(CASE o2 WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END AS BIGINT)), list_append(o, CAST(o2 AS BIGINT)) FROM (
+            SELECT *, CASE WHEN a0 <= a1 AND a0 <= a2 THEN 0 WHEN a1 <= a2 THEN 1 ELSE 2 END AS o2 FROM (
+                SELECT f.page_id, k, c, o,
+                    CASE WHEN k // (m + 1) > 0 AND k % (m + 1) > 0 THEN c[k - m - 1] + d[(k // (m + 1) - 1) * m + k % (m + 1)] ELSE 1e9 END AS a0,
+                    CASE WHEN k // (m + 1) > 0 THEN c[k - m] + length(p[k // (m + 1)]) ELSE 1e9 END AS a1,
+                    CASE WHEN k % (m + 1) > 0 THEN c[k] + length(g[k % (m + 1)]) ELSE 1e9 END AS a2
+                FROM f JOIN q USING (page_id) WHERE k < (n + 1) * (m + 1)))),
+    done AS MATERIALIZED (SELECT q.*, c, o FROM f JOIN q USING (page_id) WHERE k = (n + 1) * (m + 1)),
+    b(page_id, i, j, op) AS (SELECT page_id, n, m, o[n * (m + 1) + m + 1] FROM done UNION ALL
+        SELECT page_id, i2, j2, o[i2 * (m + 1) + j2 + 1] FROM (SELECT b.page_id, m, o, CASE WHEN op <> 2 THEN i - 1 ELSE i END AS i2, CASE WHEN op <> 1 THEN j - 1 ELSE j END AS j2 FROM b JOIN done USING (page_id) WHERE i > 0 OR j > 0)),
+    steps AS (SELECT b.page_id, i, j, op, p[i] AS t, CASE WHEN op = 0 THEN g[j] ELSE '' END AS x, c[len(c)] AS cost FROM b JOIN done USING (page_id) WHERE (i > 0 OR j > 0) AND op <> 2),
+    al AS MATERIALIZED (SELECT page_id, CAST(i - 1 AS INTEGER) AS pred_idx, t AS pred_text, x AS matched_gt, CAST(CASE WHEN op = 0 THEN j - 1 ELSE -1 END AS INTEGER) AS matched_gt_idx,
+        CAST(CASE WHEN op = 0 THEN {lev("lower(t)", "lower(x)")} ELSE length(t) END AS INTEGER) AS edit_distance, op = 0 AND i <> j AS was_shifted, op = 1 AS skipped, CAST(cost AS INTEGER) AS path_cost FROM steps),
+    aligned AS MATERIALIZED (SELECT page_id, pred_idx, pred_text, matched_gt, matched_gt_idx, edit_distance, round_even(edit_distance / greatest(length(matched_gt), 1), 4) AS cer, was_shifted, skipped, path_cost FROM al)
+"""
+
+
 WORD_TERMS = "list_filter(regexp_extract_all(lower($), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)"
 CHAR_TERMS = "flatten(list_transform(list_filter(regexp_split_to_array(lower($), '\\s+'), lambda w: w <> ''), lambda w: flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, CAST(length(w) + 4 - n AS BIGINT)), lambda i: substr(' ' || w || ' ', i, n))))))"
 
@@ -140,6 +177,12 @@ ORACLE = {
     "wer_pair": _pair_metric("rate", f"levenshtein(p, q) / greatest(length(p), length(q), 1)", LISTS + CODED),
     "bleu_sentence": _pair_metric("bleu", _bleu(), LISTS + BLEU_LISTS),
     "jaccard": _pair_metric("jaccard", "len(list_intersect(list_distinct(h), list_distinct(r))) / greatest(len(list_distinct(list_concat(h, r))), 1)", LISTS + ", pairs2 AS (SELECT * FROM l)"),
+    "cosine_counts": _pair_metric("cosine", "CASE WHEN len(h) = 0 AND len(r) = 0 THEN NULL ELSE " + BAG[BAG.index("WHEN len(h) = 0 OR"):].replace("WHEN", "CASE WHEN", 1) + " END", f", l AS (SELECT lang, {WORD_TERMS.replace('$', 'pred')} AS h, {WORD_TERMS.replace('$', 'line')} AS r FROM pairs), pairs2 AS (SELECT * FROM l)"),
+    "metric_bundle": f"""WITH {LINES}, l AS (SELECT lang, pred, line, {toks('pred')} AS ht, {toks('line')} AS rt, {WORD_TERMS.replace('$', 'pred')} AS h, {WORD_TERMS.replace('$', 'line')} AS r FROM pairs), k AS (SELECT *, list_distinct(list_concat(ht, rt)) AS d FROM l),
+        m AS (SELECT lang, round({lev(NS.format('pred'), NS.format('line'))} / greatest(length({NS.format('pred')}), length({NS.format('line')}), 1), 4) AS cer,
+            round(levenshtein(array_to_string(list_transform(ht, lambda w: chr(CAST(list_position(d, w) + 40 AS INTEGER))), ''), array_to_string(list_transform(rt, lambda w: chr(CAST(list_position(d, w) + 40 AS INTEGER))), '')) / greatest(len(ht), len(rt), 1), 4) AS wer,
+            round(CASE WHEN len(h) = 0 AND len(r) = 0 THEN NULL ELSE {BAG} END, 4) AS cosine FROM k)
+        SELECT lang, round(avg(cer), 9) AS cer, round(avg(wer), 9) AS wer, round(avg(cosine), 9) AS cosine FROM m GROUP BY lang""",
     "cosine_bow": _pair_metric("cosine", BAG, LISTS + ", pairs2 AS (SELECT * FROM l)"),
     "tfidf_cosine_word": _tfidf(WORD_TERMS),
     "tfidf_cosine_charwb": _tfidf(CHAR_TERMS),
@@ -147,19 +190,53 @@ ORACLE = {
         d AS (SELECT role, trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' AS blank, abs(len({toks("text")}) - len({toks("nxt")})) AS diff FROM c)
         SELECT role, CASE WHEN blank THEN 'empty_input' WHEN diff = 0 THEN 'success' ELSE 'word_count_mismatch' END AS exact, CASE WHEN blank THEN 'empty_input' WHEN diff <= 2 THEN 'success' ELSE 'word_count_mismatch' END AS loose, count(*) AS turns FROM d GROUP BY ALL""",
     "positional_outer": f"WITH {TURNS} SELECT p.page_id, pred_idx AS pos, pred, coalesce(gt, '') AS gt, gt IS NOT NULL AS matched FROM p LEFT JOIN g ON g.page_id = p.page_id AND gt_idx = pred_idx",
-    "positional_anti": f"WITH {TURNS} SELECT page_id, gt_idx AS pos, gt FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.page_id = g.page_id AND pred_idx = gt_idx)",
+    "positional_anti": f"WITH {TURNS}, l AS (SELECT page_id, max(gt_idx) AS last FROM g GROUP BY page_id) SELECT page_id, gt_idx AS pos, gt FROM g WHERE NOT EXISTS (SELECT 1 FROM p JOIN l USING (page_id) WHERE p.page_id = g.page_id AND pred_idx = gt_idx AND pred_idx < last)",
+    "nw_align": f"WITH RECURSIVE {TURNS}, {nw()} SELECT * FROM aligned",
+    "aggregate_cer": f"""WITH RECURSIVE {TURNS}, {nw()}, s AS (SELECT page_id, CAST(coalesce(sum(edit_distance) FILTER (NOT skipped), 0) AS BIGINT) AS edits, CAST(coalesce(sum(greatest(length(matched_gt), 1)) FILTER (NOT skipped), 0) AS BIGINT) AS ref_len,
+        round(coalesce(avg(cer) FILTER (NOT skipped), 0), 6) AS mean_line_cer, count(*) FILTER (was_shifted) AS shifted, count(*) FILTER (skipped) AS skipped, count(*) AS total FROM aligned GROUP BY page_id) SELECT *, edits / greatest(ref_len, 1) AS total_cer FROM s""",
+    "exclusion_report": f"""WITH RECURSIVE {TURNS}, {nw()}, r AS (SELECT {lev("pred_text", "matched_gt")} / greatest(length(matched_gt), 1) AS r FROM aligned WHERE NOT skipped AND matched_gt <> '')
+        SELECT round(coalesce(avg(r), 0), 9) AS all_cer, round(coalesce(avg(r) FILTER (r <= 0.80), 0), 9) AS kept_cer, count(*) FILTER (r > 0.80) AS n_excluded, count(*) AS lines FROM r""",
+    "stage_rates": f"""WITH RECURSIVE {TURNS}, {nw(swap("pred"))}, n AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pred_idx) - 1 AS INTEGER) AS pred_idx, pred FROM p),
+        x AS (SELECT matched_gt AS g, {lev(swap("pred"), "matched_gt")} / greatest(length(matched_gt), 1) > 0.80 AS out, unnest(['raw', 'rules', 'final']) AS stage, unnest([pred, translate(pred, 'çÇ', 'zZ'), {swap("pred")}]) AS t FROM aligned JOIN n USING (page_id, pred_idx) WHERE NOT skipped AND matched_gt <> ''),
+        r AS (SELECT stage, out, {lev("t", "g")} / greatest(length(g), 1) AS r, {lev(n1("t"), n1("g"))} / greatest(length({n1("g")}), 1) AS q FROM x)
+        SELECT stage, round(coalesce(avg(r) FILTER (NOT out), 0), 9) AS cer, round(coalesce(avg(q) FILTER (NOT out), 0), 9) AS norm_cer, count(*) FILTER (NOT out) AS lines, count(*) FILTER (out) AS excluded FROM r GROUP BY stage""",
+    "improvement_flags": f"""WITH {LINES}, r AS (SELECT lang, round_even({lev("pred", "line")} / greatest(length(line), 1), 3) AS a, round_even({lev("translate(pred, 'çÇ', 'zZ')", "line")} / greatest(length(line), 1), 3) AS b FROM pairs)
+        SELECT lang, CASE WHEN b < a THEN 'better' WHEN b = a THEN 'same' ELSE 'worse' END AS flag, count(*) AS lines FROM r GROUP BY ALL""",
+    "wer_corpus": f"""WITH {LINES}, c AS (SELECT lang, round(sum({lev("pred", "line")}) / greatest(sum(length(line)), 1), 9) AS cer FROM pairs GROUP BY lang) {LISTS + CODED}, w AS (SELECT lang, round(sum(levenshtein(p, q)) / greatest(sum(length(q)), 1), 9) AS wer FROM pairs2 GROUP BY lang)
+        SELECT lang, cer, wer FROM c JOIN w USING (lang)""",
+    "bleu_corpus": f"WITH {LINES}{BLEU_COUNTS}{BLEU_SUMS} SELECT lang, round(CASE WHEN least(m1, m2, m3, m4) = 0 THEN 0 ELSE least(1.0, exp(1.0 - rs / hs)) * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) END, 9) AS bleu, lines FROM s",
+    "stage_report": f"""WITH {LINES}, x AS (SELECT line, unnest(['raw', 'rules']) AS stage, unnest([pred, translate(pred, 'çÇ', 'zZ')]) AS x FROM pairs), l AS (SELECT stage, line, x, {toks("x")} AS h, {toks("line")} AS r FROM x), k AS (SELECT *, list_distinct(list_concat(h, r)) AS d FROM l),
+        y AS (SELECT stage, {lev("x", "line")} AS e, length(line) AS n, levenshtein(array_to_string(list_transform(h, lambda w: chr(CAST(list_position(d, w) + 40 AS INTEGER))), ''), array_to_string(list_transform(r, lambda w: chr(CAST(list_position(d, w) + 40 AS INTEGER))), '')) AS we, len(r) AS wn FROM k),
+        s AS (SELECT stage, round(sum(e) / greatest(sum(n), 1), 9) AS cer, round(sum(we) / greatest(sum(wn), 1), 9) AS wer, CAST(count(*) AS DOUBLE) AS lines FROM y GROUP BY stage)
+        SELECT stage, unnest(['cer', 'wer', 'lines']) AS metric, unnest([cer, wer, lines]) AS value FROM s""",
+    "run_summary": f"""WITH {TURNS}, x AS (SELECT page_id, pred_idx AS pos, 1 AS x, 0 AS y FROM p WHERE pred_idx <> 2 UNION ALL SELECT page_id, gt_idx, 0, 1 FROM g), s AS (SELECT page_id, pos, sum(x) AS x, sum(y) AS y FROM x GROUP BY ALL)
+        SELECT page_id, CAST(sum(x) AS BIGINT) AS image_lines, CAST(sum(y) AS BIGINT) AS text_lines, CAST(sum(least(x, y)) AS BIGINT) AS matched, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS unmatched_image, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS unmatched_text FROM s GROUP BY ROLLUP (page_id)""",
+    "skipped_folders": """WITH i AS (SELECT page_id AS id, max(length(html) >= 200) AS ok FROM pages GROUP BY ALL), t AS (SELECT DISTINCT doc_id AS id, true AS has FROM documents)
+        SELECT * FROM (SELECT coalesce(i.id, t.id) AS id, CASE WHEN ok IS NULL THEN 'no image' WHEN has IS NULL THEN 'no text' WHEN NOT ok THEN 'unreadable' END AS reason FROM i FULL JOIN t ON i.id = t.id) WHERE reason IS NOT NULL""",
+    "first_lines": f"WITH {LINES} SELECT doc_id, line_no, line FROM lines ORDER BY doc_id, line_no LIMIT 19",
+    "token_spans": r"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(text, '\s+|\S+') AS t FROM conversations), u AS (SELECT conv_id, turn, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM x),
+        s AS (SELECT conv_id, turn, t, sum(length(t)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS e FROM u) SELECT conv_id, turn, count(*) AS tokens, CAST(sum(e - length(t)) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM s WHERE NOT regexp_full_match(t, '\s+') GROUP BY conv_id, turn""",
+    "spelling_errors": f"WITH {LINES}, z AS (SELECT unnest({toks('pred')}) AS original, unnest({toks('line')}) AS corrected FROM pairs) SELECT corrected, original, count(*) AS n FROM z WHERE corrected <> original GROUP BY ALL",
+    "nested_forms": f"WITH {LINES}, z AS (SELECT unnest({toks('line')}) AS corrected FROM lines) SELECT corrected, 1 AS forms, count(*) AS n FROM z GROUP BY corrected",
+    "page_split": "SELECT CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), '42')), 1, 13) AS BIGINT) < 900719925474099 AS val, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL",
+    "ink_levels": "SELECT user_id AS page_id, round(quantile_cont(value, 0.10), 6) AS p10, round(quantile_cont(value, 0.20), 6) AS p20, round(quantile_cont(value, 0.75), 6) AS p75 FROM events GROUP BY user_id",
+    "cut_segments": """WITH s AS (SELECT user_id AS page_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS y, value AS ink FROM events),
+        c AS (SELECT *, count(*) FILTER (ink < 12) OVER (PARTITION BY page_id ORDER BY y) AS part FROM s)
+        SELECT page_id, min(y) AS y1, max(y) AS y2 FROM c WHERE ink >= 12 GROUP BY page_id, part HAVING max(y) - min(y) + 1 >= 3 AND max(ink) > 0""",
+    "component_periods": f"""WITH {LINES}, c AS (SELECT doc_id, length(line) AS area, length(unnest({toks('line')})) AS h FROM lines)
+        SELECT doc_id, CAST(greatest(8, floor(quantile_cont(h, 0.75) * 1.5)) AS INTEGER) AS period FROM c WHERE area > 10 AND h > 3 AND h < 12.8 GROUP BY doc_id HAVING count(*) >= 3""",
     "sequential_cer": f"WITH {TURNS}, s AS (SELECT p.page_id, CAST(sum({lev('pred', 'gt')}) AS BIGINT) AS edits, CAST(sum(length(gt)) AS BIGINT) AS ref_len, count(*) AS lines FROM p JOIN g ON g.page_id = p.page_id AND gt_idx = pred_idx GROUP BY p.page_id) SELECT *, edits / greatest(ref_len, 1) AS cer FROM s",
     "best_match": f"""WITH t AS (SELECT item_id, {toks("text")} AS t FROM benchmark), i AS (SELECT item_id, t, unnest(range(0, len(t), 4)) AS i FROM t),
-        g AS MATERIALIZED (SELECT item_id * 1000 + CAST(i // 4 AS BIGINT) AS gt_idx, array_to_string(t[CAST(i + 1 AS BIGINT):CAST(i + 4 AS BIGINT)], ' ') AS gt FROM i),
+        g AS MATERIALIZED (SELECT item_id * 1000000 + CAST(i // 4 AS BIGINT) AS gt_idx, array_to_string(t[CAST(i + 1 AS BIGINT):CAST(i + 4 AS BIGINT)], ' ') AS gt FROM i),
         p AS (SELECT gt_idx AS own, substr({swap("gt")}, 2) AS pred FROM g), x AS (SELECT own, pred, gt_idx, gt, {lev("lower(pred)", "lower(gt)")} AS d FROM p, g),
         y AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY d, gt_idx) AS r FROM x)
         SELECT own, pred, gt_idx AS matched_idx, d AS distance, gt AS matched_gt, own <> gt_idx AS shifted FROM y WHERE r = 1""",
-    "band_report": f"WITH {LINES}, r AS (SELECT lang, {lev('pred', 'line')} / greatest(length(line), 1) AS r FROM pairs) SELECT lang, CASE WHEN r <= 0.10 THEN 'good' WHEN r <= 0.20 THEN 'fair' ELSE 'poor' END AS band, count(*) AS lines FROM r GROUP BY ALL",
-    "folder_rollup": f"WITH {LINES}, d AS (SELECT doc_id, {lev('pred', 'line')} AS e, length(line) AS n FROM pairs), r AS (SELECT doc_id, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS ref_len, count(*) AS lines FROM d GROUP BY ROLLUP (doc_id)) SELECT *, edits / greatest(ref_len, 1) AS cer FROM r",
+    "band_report": f"WITH {LINES}, r AS (SELECT lang, {lev('pred', 'line')} / greatest(length(line), 1) AS r FROM pairs) SELECT lang, CASE WHEN r <= 0.10 THEN 'good' WHEN r <= 0.20 THEN 'fair' ELSE 'poor' END AS band, CASE WHEN r <= 0.10 THEN 'good' WHEN r <= 0.15 THEN 'fair' ELSE 'poor' END AS trained, count(*) AS lines FROM r GROUP BY ALL",
+    "folder_rollup": f"WITH {LINES}, d AS (SELECT doc_id, {lev('pred', 'line')} AS e, length(line) AS n FROM pairs), r AS (SELECT doc_id, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS ref_len, count(*) AS lines FROM d GROUP BY ROLLUP (doc_id)) SELECT *, edits / greatest(ref_len, 1) AS cer, printf('%.2f%%', round(edits / greatest(ref_len, 1), 4) * 100) AS shown FROM r",
     "page_documents": f"WITH {LINES} SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest, CAST(count(*) AS INTEGER) AS total_lines FROM lines GROUP BY doc_id",
-    "surface_forms": f"WITH {LINES}, z AS (SELECT unnest({toks('pred')}) AS original, unnest({toks('line')}) AS corrected FROM pairs) SELECT corrected, original, count(*) AS n FROM z WHERE corrected <> original GROUP BY ALL",
+    "surface_forms": f"WITH {LINES}, z AS (SELECT unnest({toks('line')}) AS corrected FROM lines) SELECT corrected, corrected || '.' AS original, count(*) AS n FROM z GROUP BY ALL",
     "training_pairs": """WITH """ + LINES + """, q AS (SELECT pred AS o, translate(pred, 'çÇ', 'zZ') AS r, line AS g FROM pairs),
-        u AS (SELECT 'real' AS kind, o AS s, g FROM q WHERE o <> g UNION ALL SELECT 'rule', r, g FROM q WHERE r <> g AND r <> o UNION ALL SELECT 'identity', g, g FROM q)
+        u AS (SELECT 'real' AS kind, o AS s, g FROM q WHERE o <> g UNION ALL SELECT 'rule', r, g FROM q WHERE r <> g UNION ALL SELECT 'identity', g, g FROM q)
         SELECT kind, count(*) AS pairs, CAST(sum(length('correct: ' || s)) AS BIGINT) AS source_chars, CAST(sum(length(g)) AS BIGINT) AS target_chars FROM u GROUP BY kind""",
     "context_prev3": f"WITH c AS (SELECT conv_id, turn, {toks('text')} AS t FROM conversations), x AS (SELECT conv_id, turn, t, unnest(range(0, len(t))) AS i FROM c) SELECT conv_id, turn, CAST(i AS INTEGER) AS pos, t[i + 1] AS word, array_to_string(t[greatest(i - 2, 1):i], ' ') AS context FROM x",
     "context_pm5": f"WITH c AS (SELECT conv_id, turn, {toks('text')} AS t FROM conversations), x AS (SELECT conv_id, turn, t, unnest(range(0, len(t))) AS i FROM c) SELECT conv_id, turn, CAST(i AS INTEGER) AS pos, array_to_string(list_concat(list_concat(t[greatest(i - 4, 1):i], ['[' || t[i + 1] || ']']), t[i + 2:i + 6]), ' ') AS input FROM x",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import align, changes, noise, rules, signal, split, tfidf
+from ..operators import align, changes, image, noise, report, rules, signal, split, tfidf
 from ..sources import readers, writers
 
 
@@ -148,7 +148,10 @@ def positional_outer(spark, sf_dir):
 
 
 def positional_anti(spark, sf_dir):
+    """Turns whose place nothing was read at: the last of each conversation is not."""
     p, g = turns(spark, sf_dir)
+    last = g.groupBy("page_id").agg(F.max("gt_idx").alias("last"))
+    p = p.join(last, "page_id").where("pred_idx < last").drop("last")
     return align.unmatched(p.withColumnRenamed("pred_idx", "pos"), g.withColumnRenamed("gt_idx", "pos"), ["page_id", "pos"])
 
 
@@ -159,7 +162,7 @@ def sequential_cer(spark, sf_dir):
 
 def benchmark_lines(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.wrapped(F.col("text"), 4)).alias("n", "gt"))
-    return b.select((F.col("item_id") * 1000 + F.col("n")).alias("gt_idx"), "gt")
+    return b.select((F.col("item_id") * 1_000_000 + F.col("n")).alias("gt_idx"), "gt")
 
 
 def best_match(spark, sf_dir):
@@ -185,18 +188,83 @@ def exclusion_report(spark, sf_dir):
     return a.agg(M.macro(rate).alias("all_cer"), M.macro(F.when(kept, rate)).alias("kept_cer"), F.count_if(~kept).alias("n_excluded"), F.count("*").alias("lines"))
 
 
+def stage_rates(spark, sf_dir):
+    """Raw, rule-corrected and fully corrected turns against the partners of the last, lines over 0.8 left out and counted."""
+    p, g = turns(spark, sf_dir)
+    final = p.withColumn("final", T.swapped(F.col("pred")))
+    a = align.align_pages(final.select("page_id", "pred_idx", F.col("final").alias("pred")), g)
+    stages = final.select("page_id", "pred_idx", F.col("pred").alias("raw"), T.plain_cedilla(F.col("pred")).alias("rules"), "final")
+    return align.stage_rates(a, stages, ["raw", "rules", "final"], most=0.80)
+
+
 def band_report(spark, sf_dir):
-    """Lines by error band and language."""
+    """Lines by error band, as shown and as trained, and language."""
     rate = M.line_rate(M.char_distance(F.col("pred"), F.col("line")), F.col("line"))
-    band = F.when(rate <= 0.10, "good").when(rate <= 0.20, "fair").otherwise("poor")
-    return pairs(spark, sf_dir).groupBy("lang", band.alias("band")).agg(F.count("*").alias("lines"))
+    return pairs(spark, sf_dir).groupBy("lang", report.band(rate).alias("band"), report.band(rate, "trained").alias("trained")).agg(F.count("*").alias("lines"))
+
+
+def improvement_flags(spark, sf_dir):
+    """Whether exchanging the cedilla brought lines nearer to the truth."""
+    rate = lambda c: M.line_rate(F.levenshtein(c, F.col("line")), F.col("line"))
+    flag = report.improvement(rate(F.col("pred")), rate(T.plain_cedilla(F.col("pred"))))
+    return pairs(spark, sf_dir).groupBy("lang", flag.alias("flag")).agg(F.count("*").alias("lines"))
+
+
+def wer_corpus(spark, sf_dir):
+    r = pairs(spark, sf_dir).groupBy("lang").agg(*M.corpus_rates("pred", "line"))
+    return r.select("lang", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"))
+
+
+def bleu_corpus(spark, sf_dir):
+    c = pairs(spark, sf_dir).select("lang", M.bleu_counts(F.col("pred"), F.col("line")).alias("c"))
+    return c.groupBy("lang").agg(F.round(M.corpus_bleu("c"), 9).alias("bleu"), F.count("*").alias("lines"))
+
+
+cosine_counts = _pair_metric("cosine", M.count_cosine)
+
+
+def metric_bundle(spark, sf_dir):
+    """Means of the rounded pairwise rates."""
+    b = pairs(spark, sf_dir).select("lang", M.count_bundle(F.col("pred"), F.col("line")).alias("b"))
+    return b.groupBy("lang").agg(*[F.round(F.avg(f"b.{k}"), 9).alias(k) for k in ("cer", "wer", "cosine")])
+
+
+def stage_report(spark, sf_dir):
+    """(stage, metric, value) of the raw and the rule-corrected lines."""
+    p = pairs(spark, sf_dir).select("line", F.explode(F.array(F.struct(F.lit("raw").alias("stage"), F.col("pred").alias("x")), F.struct(F.lit("rules").alias("stage"), T.plain_cedilla(F.col("pred")).alias("x")))).alias("s"))
+    wide = p.select("line", "s.*").groupBy("stage").agg(*M.corpus_rates("x", "line"), F.count("*").alias("lines"))
+    return report.long_report(wide, "stage", ["cer", "wer", "lines"]).select("stage", "metric", F.round("value", 9).alias("value"))
+
+
+def run_summary(spark, sf_dir):
+    """Turns read and turns there, by conversation and over all."""
+    p, g = turns(spark, sf_dir)
+    p = p.where("pred_idx <> 2")
+    return report.run_summary(p.withColumnRenamed("pred_idx", "pos"), g.withColumnRenamed("gt_idx", "pos"), ["page_id", "pos"], "page_id")
+
+
+def skipped_folders(spark, sf_dir):
+    """Numbers that are a page without a document, or a document without a page, or a page of little html."""
+    images = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), (F.length("html") >= 200).alias("readable"))
+    return report.skipped(images, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id")
+
+
+def first_lines(spark, sf_dir):
+    return report.head(lines(spark, sf_dir).select("doc_id", "line_no", "line"), 19, "doc_id", "line_no")
+
+
+def token_spans(spark, sf_dir):
+    """Tokens of each turn with their places."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.spans(F.col("text"))).alias("s"))
+    return t.groupBy("conv_id", "turn").agg(F.count("*").alias("tokens"), F.sum("s.start").alias("starts"), F.sum("s.end").alias("ends"))
 
 
 def folder_rollup(spark, sf_dir):
-    """Edits, lengths and rates by document and over all, in one aggregate."""
+    """Edits, lengths and rates by document and over all, in one aggregate; the rate also as it is shown."""
     d = pairs(spark, sf_dir).select("doc_id", F.levenshtein("pred", "line").alias("e"), F.length("line").alias("n"))
     r = d.rollup("doc_id").agg(F.sum("e").alias("edits"), F.sum("n").alias("ref_len"), F.count("*").alias("lines"))
-    return r.withColumns({"cer": F.col("edits") / F.greatest("ref_len", F.lit(1)), "shown": writers.percent(F.col("edits") / F.greatest("ref_len", F.lit(1)))}).drop("shown")
+    rate = F.col("edits") / F.greatest("ref_len", F.lit(1))
+    return r.withColumns({"cer": rate, "shown": writers.percent(F.round(rate, 4))})
 
 
 def page_documents(spark, sf_dir):
@@ -205,10 +273,28 @@ def page_documents(spark, sf_dir):
     return d.select("doc_id", F.md5(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("digest"), "total_lines")
 
 
+def word_changes(spark, sf_dir) -> DataFrame:
+    """Changes of each word that stands at the same place: misread ones, and ones with a full stop behind them."""
+    x = lines(spark, sf_dir)
+    forms = F.array(T.tokens(T.swapped(F.col("line"))), F.transform(T.tokens(F.col("line")), lambda w: F.concat(w, F.lit("."))))
+    p = x.select(T.tokens(F.col("line")).alias("c"), F.explode(forms).alias("o")).select(F.explode(F.arrays_zip("o", "c")).alias("z"))
+    p = p.select(F.col("z.c").alias("corrected"), F.col("z.o").alias("original")).where("corrected <> original")
+    return p.withColumn("is_ocr_error", T.same_letters(F.col("original"), F.col("corrected")))
+
+
 def surface_forms(spark, sf_dir):
-    """Misread and right form of each word that stands at the same place, with counts: zipped, so the shorter side ends it."""
-    p = pairs(spark, sf_dir).select(F.explode(F.arrays_zip(T.tokens(F.col("pred")).alias("o"), T.tokens(F.col("line")).alias("c"))).alias("z"))
-    return p.select(F.col("z.c").alias("corrected"), F.col("z.o").alias("original")).where("corrected <> original and corrected is not null and original is not null").groupBy("corrected", "original").agg(F.count("*").alias("n"))
+    """Forms of the same word with their counts."""
+    return changes.surface_forms(word_changes(spark, sf_dir))
+
+
+def spelling_errors(spark, sf_dir):
+    return changes.spelling_errors(word_changes(spark, sf_dir)).groupBy("corrected", "original").agg(F.count("*").alias("n"))
+
+
+def nested_forms(spark, sf_dir):
+    """Words with the number of their forms and of all uses, from the nested counter."""
+    n = changes.nested_counts(changes.surface_forms(word_changes(spark, sf_dir)))
+    return n.select("corrected", F.size("originals").alias("forms"), F.aggregate(F.map_values("originals"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
 
 
 def text_changes(spark, sf_dir):
@@ -224,14 +310,23 @@ def page_split(spark, sf_dir):
 
 def training_pairs(spark, sf_dir):
     p = pairs(spark, sf_dir).select(F.col("pred").alias("ocr_output"), T.plain_cedilla(F.col("pred")).alias("rule_corrected"), F.col("line").alias("ground_truth"))
-    t = split.training_pairs(p)
+    t = split.training_pairs(p, p.select(F.col("ground_truth").alias("gold")))
     return t.groupBy("kind").agg(F.count("*").alias("pairs"), F.sum(F.length("source")).alias("source_chars"), F.sum(F.length("target")).alias("target_chars"))
 
 
+def augmented_pairs(spark, sf_dir):
+    """All four kinds of pairs of turns, five noisy ones each."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("text"))
+    p = t.select(T.swapped(F.col("text")).alias("ocr_output"), T.plain_cedilla(T.swapped(F.col("text"))).alias("rule_corrected"), F.col("text").alias("ground_truth"))
+    all_ = split.training_pairs(p, t.select(F.col("text").alias("gold")), noise.synthetic(t, "text", ["conv_id", "turn"], 5))
+    return all_.groupBy("kind").agg(F.count("*").alias("pairs"), F.sum(F.length("source")).alias("source_chars"), F.sum(F.length("target")).alias("target_chars"))
+
+
 def synthetic_noise(spark, sf_dir):
+    """Five noisy forms of each turn: how many differ, and how long they are."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     n = noise.synthetic(t, "text", ["conv_id", "turn"], 5)
-    return n.groupBy("conv_id", "copy").agg(F.count("*").alias("turns"), F.sum(F.levenshtein("gold", "noisy")).alias("edits"))
+    return n.groupBy("conv_id", "copy").agg(F.count("*").alias("turns"), F.count_if(F.expr("gold <> noisy")).alias("changed"), F.sum(F.length("noisy")).alias("chars"))
 
 
 def context_prev3(spark, sf_dir):
@@ -276,6 +371,29 @@ def line_segments(spark, sf_dir):
     return signal.line_segments_of_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), ink.alias("ink")))
 
 
+def ink_levels(spark, sf_dir):
+    r = signal.levels(profile(spark, sf_dir), "page_id", "ink")
+    return r.select("page_id", *[F.round(k, 6).alias(k) for k in ("p10", "p20", "p75")])
+
+
+def cut_segments(spark, sf_dir):
+    """Stretches of three values and more between small ones."""
+    return signal.between_cuts(profile(spark, sf_dir), "page_id", "y", "ink", "ink < 12", 3)
+
+
+def component_periods(spark, sf_dir):
+    """Line periods from components as high as a line's words are long, and as large as the line."""
+    c = lines(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("line"))).alias("t"), F.length("line").alias("area")).select("doc_id", F.length("t").alias("height"), "area", F.lit(16).alias("page_height"))
+    return signal.component_periods(c, "doc_id", "page_height")
+
+
+def text_line_boxes(spark, sf_dir):
+    """Boxes of text lines found in pages that are drawn from turns, with their padded form."""
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.wrapped(F.col("text")).alias("lines"))
+    b = image.text_lines(image.drawn(t, "id", "lines"))
+    return b.select("page_id", "line_index", "x1", "y1", "x2", "y2", "area", F.col("padded.x1").alias("left"), F.col("padded.y1").alias("top"), F.col("padded.x2").alias("right"), F.col("padded.y2").alias("bottom"), "period", "method")
+
+
 def noise_area_filter(spark, sf_dir):
     """Boxes as long as a line's text and as high as its words are long, noise left out by each document's median."""
     b = lines(spark, sf_dir).select("doc_id", "line_no", (F.length("line") * F.length(F.element_at(T.tokens(F.col("line")), 1))).cast("double").alias("area"))
@@ -307,7 +425,7 @@ def throughput_words(spark, sf_dir):
 
 NAMES = (
     "accent_norm_n1 accent_norm_n2 words_distinct oov_rate cedilla_rule uv_fs_variants apply_rules rules_on_lines cer_micro_by_lang cer_macro_by_lang cer_spacefree wer_pair bleu_sentence jaccard cosine_bow "
-    "tfidf_cosine_word tfidf_cosine_charwb wordcount_guard positional_outer positional_anti sequential_cer best_match nw_align aggregate_cer exclusion_report band_report folder_rollup page_documents surface_forms "
-    "text_changes page_split training_pairs synthetic_noise context_prev3 context_pm5 moving_avg islands autocorr line_segments noise_area_filter changed_counts html_escape word_punct trailing_blank throughput_words"
+    "tfidf_cosine_word tfidf_cosine_charwb wordcount_guard positional_outer positional_anti sequential_cer best_match nw_align aggregate_cer exclusion_report stage_rates band_report improvement_flags wer_corpus bleu_corpus cosine_counts metric_bundle stage_report run_summary skipped_folders first_lines token_spans folder_rollup page_documents surface_forms spelling_errors nested_forms "
+    "text_changes page_split training_pairs augmented_pairs synthetic_noise context_prev3 context_pm5 moving_avg islands autocorr ink_levels cut_segments component_periods line_segments text_line_boxes noise_area_filter changed_counts html_escape word_punct trailing_blank throughput_words"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import align, changes, image, noise, rules, signal, split, stages, tfidf
+from lectern.operators import align, changes, image, noise, report, rules, signal, split, stages, tfidf
 
 
 def page(spark, preds, truth, page_id=1):
@@ -75,13 +75,37 @@ def test_alignment_forms_agree(spark):
     assert a == b == {i: path_of(*c) for i, c in enumerate(cases)}
 
 
-def test_nearest(spark, monkeypatch):
-    g = spark.createDataFrame([(0, "abc"), (1, "abd"), (2, "xyz")], "gt_idx long, gt string")
-    p = spark.createDataFrame([("ABC",), ("ab",), ("xy",)], "pred string")
-    want = {("ABC", 0, 0), ("ab", 0, 1), ("xy", 2, 1)}
-    assert {(r.pred, r.matched_idx, r.distance) for r in align.nearest(p, g).collect()} == want
-    monkeypatch.setattr(align, "CANDIDATE_BYTES", 20)
-    assert {(r.pred, r.matched_idx, r.distance) for r in align.nearest(p, g).collect()} == want
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize(("bound", "reach"), [(8 << 20, (1, 2, 4, 8)), (300, (1, 2, 4, 8)), (300, (1,))])
+def test_nearest(spark, monkeypatch, bound, reach):
+    """One array, or grams in growing distance and then blocks: the same as comparing all."""
+    monkeypatch.setattr(align, "CANDIDATE_BYTES", bound)
+    monkeypatch.setattr(align, "REACH", reach)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdE ") for _ in range(n))
+    truth = [word(r.randint(0, 40)) for _ in range(40)] + ["abc", "abd", "ABC", "", None]
+    preds = [x for x in truth[:20]] + ["ABC", "ab", "xy", "", None, "zzzzzzzzzzzzzzzzzzzzzzzz", "abc"]
+    for t in truth[:30]:
+        w = list(t)
+        for _ in range(r.randint(1, 6)):
+            w.insert(r.randrange(len(w) + 1), r.choice("xyz"))
+        preds.append("".join(w))
+    g = spark.createDataFrame([(100 - i, t) for i, t in enumerate(truth)], "gt_idx long, gt string")
+    p = spark.createDataFrame([(i, t) for i, t in enumerate(preds)], "k int, pred string")
+    want = {}
+    for k, x in enumerate(preds):
+        near = [(plain_distance(x.lower(), t.lower()), 100 - i, t) for i, t in enumerate(truth) if t is not None] if x is not None else []
+        want[k] = min(near) if near else (None, None, None)
+    assert {r.k: (r.distance, r.matched_idx, r.matched_gt) for r in align.nearest(p, g).collect()} == want
+    assert {(r.distance, r.matched_idx) for r in align.nearest(p, g.where("false")).collect()} == {(None, None)}
 
 
 def test_positional(spark):
@@ -105,7 +129,8 @@ def test_changes(spark):
     rows = {(r.k, r.original, r.corrected, r.is_ocr_error) for r in changes.change_rows(df, ["k"], "a", "b").collect()}
     assert (1, "fe", "se", False) in rows and not any(k == 3 for k, *_ in rows)
     f = changes.nested_counts(changes.surface_forms(changes.change_rows(df, ["k"], "a", "b"))).collect()
-    assert {r.corrected: r.originals for r in f}["se"] == {"fe": 1}
+    assert {r.corrected: r.originals for r in f} == {"ano": {"Ano,": 1}}
+    assert [(r.original, r.corrected) for r in changes.spelling_errors(changes.change_rows(df, ["k"], "a", "b")).collect()] == [("fe", "se")]
 
 
 def test_moving_average(spark):
@@ -139,7 +164,111 @@ def test_peaks_and_segments(spark):
     assert signal.absorbed([(0, 2), (5, 20), (22, 24)], 10) == [(0, 24)]
     ink = [(1, y, 100.0 if y % 20 < 12 else 0.0) for y in range(200)]
     got = signal.line_segments(spark.createDataFrame(ink, "page_id long, y int, ink double")).collect()
-    assert len(got) in (9, 10, 11) and got[0].period == 20 and got[0].method.startswith("acf")
+    assert [(r.line_index, r.y1, r.y2) for r in got] == [(i, a, b) for i, (a, b, *_) in enumerate(plain_segments([v for *_, v in ink])[0])]
+    assert len(got) == 10 and got[0].period == 20 and got[0].method == "autocorrelation"
+    assert signal.absorbed([(0, 2), (4, 5)], 20) == [] and signal.absorbed([(0, 2)], 10) == [(0, 2)] and signal.absorbed([(0, 2), (4, 20)], 10) == [(0, 20)]
+
+
+def plain_peaks(x, height=None, distance=1, prominence=None):
+    """Flat tops and all, one by one; (place, prominence)."""
+    found = []
+    for i in range(1, len(x) - 1):
+        j = i
+        while j + 1 < len(x) and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j + 1 < len(x) and x[j + 1] < x[i]:
+            found.append((i + j) // 2)
+    found = [i for i in found if height is None or x[i] >= height]
+    kept = []
+    for i in sorted(found, key=lambda i: (x[i], i), reverse=True):
+        if all(abs(i - k) >= distance for k in kept):
+            kept.append(i)
+    out = []
+    for i in sorted(kept):
+        a, b = i, i
+        while a > 0 and x[a - 1] <= x[i]:
+            a -= 1
+        while b + 1 < len(x) and x[b + 1] <= x[i]:
+            b += 1
+        p = x[i] - max(min(x[a : i + 1]), min(x[i : b + 1]))
+        if prominence is None or p >= prominence:
+            out.append((i, p))
+    return out
+
+
+def plain_segments(ink, heights=()):
+    n = len(ink)
+    mean = sum(ink) / n
+    d = [v - mean for v in ink]
+    period, method, sure = max(8, n // 50), "heuristic", 0.0
+    best = None
+    if n >= 20 and (sum(v * v for v in d) / n) ** 0.5 >= 1e-6:
+        acf = [sum(d[i] * d[i + k] for i in range(n - k)) for k in range(n)]
+        acf = [v / acf[0] for v in acf]
+        p = plain_peaks(acf[4 : max(6, n // 3)], height=0.05, prominence=0.03)
+        if p:
+            best = max(p, key=lambda q: (q[1], -q[0]))[0] + 4
+    if best is not None and acf[best] >= 0.10:
+        period, method, sure = best, "autocorrelation", acf[best]
+    elif len(heights) >= 3:
+        period, method = max(8, int(np.percentile(heights, 75) * 1.5)), "cc_height"
+    line = max(4, int(period * 0.75))
+
+    def smooth(w):
+        return np.convolve(ink, np.ones(min(w, n)) / min(w, n), "same").tolist()
+
+    s = smooth(max(3, line // 3))
+    active = [v for v in s if v > np.percentile(s, 10)]
+    depth = 0.06 * (float(np.median(active)) if active else 1.0)
+    cuts = [-1, *[i for i, _ in plain_peaks([-v for v in s], distance=max(4, period // 2), prominence=depth)], n]
+    found = [(a + 1, b - 1) for a, b in zip(cuts, cuts[1:]) if b - a - 1 >= max(4, line // 4) and max(ink[a + 1 : b]) > 0]
+    if len(found) <= 1 and any(v > 0 for v in ink):
+        method += "+fallback"
+        s = smooth(max(3, line // 2))
+        level = np.percentile([v for v in s if v > 0], 20) / 2
+        high = [i for i, v in enumerate(s) if v >= level]
+        found, gap = [], max(2, line // 5)
+        for i in high:
+            if found and i - found[-1][1] <= gap:
+                found[-1][1] = i
+            else:
+                found.append([i, i])
+        if found and n - 1 - found[-1][1] < gap:
+            found[-1][1] = n - 1
+        found = [tuple(x) for x in found]
+    if len(found) > 1:
+        parts, out = list(found), []
+        while parts:
+            a, b = parts.pop(0)
+            if b - a + 1 >= 0.6 * line:
+                out.append((a, b))
+            elif out:
+                out[-1] = (out[-1][0], b)
+            elif parts:
+                parts[0] = (a, parts[0][1])
+        found = out
+    return found, period, sure, method
+
+
+def made_profiles():
+    r = np.random.default_rng(4)
+    for k in range(60):
+        n = int(r.integers(5, 260))
+        step = int(r.integers(7, 40))
+        y = np.arange(n)
+        kind = k % 6
+        ink = {0: np.where(y % step < step * 0.6, 50.0, 0.0), 1: 30 + 20 * np.sin(2 * np.pi * y / step), 2: r.integers(0, 60, n).astype(float), 3: np.where(r.random(n) < 0.1, 40.0, 0.0), 4: np.where((y // 13) % 3 == 0, 0.0, 25.0) + r.integers(0, 4, n), 5: np.zeros(n) if k % 12 == 5 else np.full(n, 7.0)}[kind]
+        yield np.round(ink, 3), r.integers(4, 30, int(r.integers(0, 6))).astype(float)
+
+
+def test_segments_are_those_of_a_plain_reading():
+    seen = set()
+    for ink, heights in made_profiles():
+        got, period, sure, method = signal.segments(ink, heights)
+        want = plain_segments(ink.tolist(), heights)
+        assert (got, period, method) == (want[0], want[1], want[3]) and sure == pytest.approx(want[2])
+        seen.add(method)
+    assert {"autocorrelation", "cc_height", "heuristic+fallback", "cc_height+fallback"} <= seen
 
 
 def test_long_signals_take_no_square_of_time():
@@ -149,7 +278,7 @@ def test_long_signals_take_no_square_of_time():
     found, p, sure, method = signal.segments(ink)
     assert time.process_time() - begin < 20
     assert abs(p - 40) <= 2 or p % 40 in (0, 1, 39)
-    assert method == "acf" and sure > 0.5 and found
+    assert method == "autocorrelation" and sure > 0.5 and found
     for x in (r.integers(0, 9, 300).astype(float), r.normal(size=300), np.arange(300.0)):
         p = signal.peaks(x)
         for k, v in zip(p, signal.prominences(x, p), strict=True):
@@ -182,12 +311,45 @@ def test_registered_segments_push_nothing_through_a_group(spark, tmp_path):
 
 def test_image(spark):
     page = np.full((200, 100), 255, np.uint8)
-    for y in range(10, 200, 20):
-        page[y : y + 10, 20:80] = 0
+    for k, y in enumerate(range(10, 200, 20)):
+        page[y : y + 10, 20 : 80 - k] = 0
     df = spark.createDataFrame([(1, 200, 100, bytearray(page.tobytes()))], "page_id long, height int, width int, grey binary")
-    assert image.extents(df).first().x1 == 20
-    lines = image.text_lines(df).collect()
-    assert len(lines) >= 8 and all(r.padded.x1 == 15 for r in lines)
+    rows = sorted(image.text_lines(df).collect(), key=lambda r: r.line_index)
+    assert [(r.x1, r.x2) for r in rows] == [(20, 79 - k) for k in range(10)] and all(r.padded.x1 == 15 for r in rows)
+    assert [image.binarised(page).sum(1).tolist()] == [[x.ink for x in sorted(image.profiles(df).collect(), key=lambda x: x.y)]]
+    c = image.component_table(df).collect()
+    assert sorted((r.height, r.area) for r in c) == sorted((10, 10 * (60 - k) - (4 if k < 9 else 2)) for k in range(10))  # the last block's lower corners lie on the edge
+    p = signal.component_periods(image.component_table(df), "page_id", "page_height").first()
+    assert p.period == 15
+
+
+def test_components_are_those_of_a_flood():
+    r = np.random.default_rng(7)
+    for density in (0.2, 0.45, 0.7):
+        ink = r.random((30, 25)) < density
+        left, want = {(int(y), int(x)) for y, x in zip(*np.nonzero(ink))}, []
+        while left:
+            front, part = [left.pop()], []
+            while front:
+                y, x = front.pop()
+                part.append(y)
+                for q in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+                    if q in left:
+                        left.remove(q)
+                        front.append(q)
+            want.append((max(part) - min(part) + 1, len(part)))
+        h, a = image.components(ink)
+        assert sorted(zip(h.tolist(), a.tolist())) == sorted(want)
+    assert image.components(np.zeros((3, 3), bool))[0].tolist() == []
+
+
+def test_boxes_of_drawn_lines(spark):
+    """A page drawn from lines is read as that many lines, each as wide as its text."""
+    text = ["casa grande de la plaza", "los libros que fueron", "uno dos tres cuatro", "la tierra y el mar"] * 3
+    df = image.drawn(spark.createDataFrame([(1, text), (2, []), (3, None)], "k long, lines array<string>"), "k", "lines")
+    rows = sorted((r.line_index, r.x1, r.x2, r.y1, r.y2) for r in image.text_lines(df).where("page_id = 1").collect())
+    assert [r[0] for r in rows] == list(range(12)) and all(abs(x2 - x1 - 4 * len(text[i])) <= 8 for i, x1, x2, *_ in rows)
+    assert image.text_lines(df).where("page_id <> 1").count() == 0
 
 
 def test_split(spark):
@@ -197,9 +359,33 @@ def test_split(spark):
 
 
 def test_training_pairs(spark):
-    df = spark.createDataFrame([("a", "a", "b"), ("b", "b", "b"), ("x", None, "y")], "ocr_output string, rule_corrected string, ground_truth string")
-    rows = split.training_pairs(df).groupBy("kind").count().collect()
-    assert {r.kind: r["count"] for r in rows} == {"real": 2, "identity": 3}
+    df = spark.createDataFrame([("a ", "a", "b"), ("b", "b", "b"), ("x", None, "y"), (" ", None, "y"), ("z", "q", " ")], "ocr_output string, rule_corrected string, ground_truth string")
+    gold = spark.createDataFrame([("b",), (" y",), ("",)], "gold string")
+    noisy = spark.createDataFrame([("b", "d"), ("b", "b"), ("", "x")], "gold string, noisy string")
+    rows = split.training_pairs(df, gold, noisy).collect()
+    assert Counter(r.kind for r in rows) == {"real": 2, "rule": 2, "identity": 2, "synthetic": 1}
+    assert {(r.source, r.target) for r in rows} == {("correct: a", "b"), ("correct: x", "y"), ("correct: b", "b"), ("correct: y", "y"), ("correct: d", "b")}
+    assert sorted(map(tuple, split.repeated(df, 3).groupBy("copy").count().collect())) == [(k, 5) for k in range(3)]
+
+
+def test_augmented_pairs_are_all_kinds(spark, tmp_path):
+    from lectern.plans import queries
+
+    t = [(c, n, f" la casa número {c} de los señores {n} ") for c in range(5) for n in range(4)]
+    spark.createDataFrame(t, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.kind: r.pairs for r in queries.augmented_pairs(spark, str(tmp_path)).collect()}
+    noisy = noise.synthetic(spark.createDataFrame([(c, n, x.strip()) for c, n, x in t], "conv_id long, turn int, text string"), "text", ["conv_id", "turn"], 5)
+    assert got == {"real": 20, "rule": 20, "identity": 20, "synthetic": noisy.where("gold <> noisy").count()} and got["synthetic"] > 60
+
+
+def test_changes_by_brute_force(spark, tmp_path):
+    """Replaced words of a turn and its next, against a plain diff of equal numbers of words."""
+    from lectern.plans import queries
+
+    turns = [(1, 0, "el rey fe fue a Ser"), (1, 1, "el rey se fue a ser"), (1, 2, "uno uno dos"), (2, 0, "solo")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn, r.original, r.corrected, r.start, r.end, r.is_ocr_error) for r in queries.text_changes(spark, str(tmp_path)).collect()}
+    assert {(1, 0, "fe", "se", 7, 9, False), (1, 0, "Ser", "ser", 16, 19, True)} <= got and not any(x[0] == 2 for x in got)
 
 
 def test_noise_is_the_same_everywhere(spark):
@@ -269,5 +455,33 @@ def test_stages(spark):
     assert {r.u for r in out.collect()} == {"A B", "C"}
     g = stages.guarded_stage(df.withColumn("c", F.lit("x y")), "t", "c", "z")
     assert {(r.z, r.status) for r in g.collect()} == {("x y", "success"), ("c", "word_count_mismatch")}
+    def load():
+        seen = []
+
+        def service(x):
+            seen.append(x)
+            if x == "bad" or (x == "late" and seen.count(x) < 2):
+                raise RuntimeError("please retry in 0.5s")
+            return x.upper()
+
+        return service
+
+    asked = stages.called(spark.createDataFrame([("late",), ("bad",), (" ",), (None,)], "t string"), load, "t", "u", sleep=lambda s: None)
+    assert {(r.u, r.status) for r in asked.collect()} == {("LATE", "success"), ("bad", "max_retries_exceeded"), (" ", "empty_input"), ("", "empty_input")}
     pre = spark.createDataFrame([(1, "P")], "k int, o string")
     assert {r.p for r in stages.precomputed(df, pre, ["k"], "t", "o", "p").collect()} == {"P", "c"}
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([(0.1, 0.05), (0.15, 0.15), (0.2, 0.3), (0.12345, 0.1235)], "a double, b double")
+    rows = df.select(report.band(F.col("a")).alias("x"), report.band(F.col("a"), "trained").alias("y"), report.improvement(F.col("a"), F.col("b")).alias("z")).collect()
+    assert [tuple(r) for r in rows] == [("good", "good", "better"), ("fair", "fair", "worse" if 0.15 < 0.15 else "same"), ("fair", "poor", "worse"), ("fair", "fair", "worse")]
+    images = spark.createDataFrame([(1, True), (2, False), (3, True)], "k int, readable boolean")
+    texts = spark.createDataFrame([(1,), (2,), (4,), (4,)], "k int")
+    assert {tuple(r) for r in report.skipped(images, texts, "k").collect()} == {(2, "unreadable"), (3, "no text"), (4, "no image")}
+    left, right = (spark.createDataFrame(x, "page int, pos int") for x in ([(1, 0), (1, 1), (2, 0)], [(1, 1), (1, 2), (1, 3)]))
+    got = {r.page: tuple(r)[1:] for r in report.run_summary(left, right, ["page", "pos"], "page").collect()}
+    assert got == {1: (2, 3, 1, 1, 2), 2: (1, 0, 0, 1, 0), None: (3, 3, 1, 2, 2)}
+    wide = spark.createDataFrame([("raw", 0.5, 2)], "stage string, cer double, lines int")
+    assert [tuple(r) for r in report.long_report(wide, "stage", ["cer", "lines"]).collect()] == [("raw", "cer", 0.5), ("raw", "lines", 2.0)]
+    assert [r.pos for r in report.head(right, 2, "page", "pos").collect()] == [1, 2]

@@ -31,6 +31,27 @@ def test_page_texts(spark, tmp_path):
     assert sorted((r.page_id, r.gt_idx, r.gt) for r in rows) == [(1, 0, "uno"), (1, 1, ""), (1, 2, "dos"), (2, 0, "año")]
 
 
+def test_broken_bytes(spark, tmp_path):
+    (tmp_path / "3").mkdir()
+    (tmp_path / "3" / "a.txt").write_bytes(b"a\xffb")
+    assert readers.page_texts(spark, str(tmp_path), errors="replace").first().gt == "a\ufffdb"
+    assert readers.page_texts(spark, str(tmp_path)).first().gt == "a\u00ffb"
+    with pytest.raises(Exception, match="not UTF-8"):
+        readers.page_texts(spark, str(tmp_path), errors="strict").collect()
+
+
+def test_paths_and_points(spark, tmp_path):
+    files = spark.createDataFrame([("/d/10/a.png",), ("/d/9/b.png",), ("/d/9/c.png",), ("/d/x/c.png",), ("output3/1/a.png",)], "path string")
+    assert [(r.page_id, r.files) for r in readers.page_folders(files).collect()] == [(1, 1), (9, 2), (10, 1)]
+    rows = spark.createDataFrame([("/d/9/b.png",), ("C:\\x\\output3\\1\\a.png",), ("x/myoutput/z/q.png",), ("y/output3/none.png",)], "image_path string")
+    assert [r.image_path for r in readers.resolved(rows, files).orderBy(F.desc("image_path")).collect()] == ["y/output3/none.png", "x/myoutput/z/q.png", "output3/1/a.png", "/d/9/b.png"]
+    (tmp_path / "m.json").write_text('{"metrics": {"final": {"CER": 0.5}}}')
+    assert readers.json_value(spark, str(tmp_path / "m.json"), "$.metrics.final.CER").first().value == "0.5"
+    assert readers.json_value(spark, str(tmp_path / "m.json"), "$.metrics.other.CER").first().value == "N/A"
+    (tmp_path / "w.txt").write_text("Año niño\n de Año", encoding="utf-8")
+    assert {r.word for r in readers.vocabulary(spark, str(tmp_path / "w.txt")).collect()} == {"año", "niño", "de"}
+
+
 def test_images(spark, tmp_path):
     for page, names in ((1, ["b.JPG", "source.tif", "a.png"]), (2, ["z.jpg", "c.png"])):
         (tmp_path / str(page)).mkdir()
@@ -45,6 +66,8 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "1").mkdir()
     (tmp_path / "1" / "mapping.json").write_text(json.dumps({"folder_id": "1", "lines": [{"line_index": 0, "crop_file": "a", "transcription": " x ", "matched": True}, {"line_index": 1, "crop_file": "b", "transcription": "", "matched": True}, {"line_index": 2, "crop_file": "c", "transcription": "y", "matched": False}]}))
     assert [(r.line_index, r.transcription) for r in readers.mapping_lines(spark, str(tmp_path)).collect()] == [(0, "x")]
+    crops = lambda *c: spark.createDataFrame([("1", x) for x in c], "folder_id string, crop_file string")
+    assert readers.mapping_lines(spark, str(tmp_path), crops("a", "z")).count() == 1 and readers.mapping_lines(spark, str(tmp_path), crops("b")).count() == 0
     (tmp_path / "p.json").write_text(json.dumps([{"ocr_output": "a", "ground_truth": "b"}]))
     assert readers.predictions(spark, str(tmp_path / "p.json")).first().rule_corrected == "a"
     (tmp_path / "t.json").write_text(json.dumps({"log_history": [{"step": 1, "loss": 2.0}, {"step": 2, "eval_loss": 1.0, "eval_cer": 0.1}, {"step": 3}]}))
@@ -53,9 +76,9 @@ def test_json_sources(spark, tmp_path):
 
 def test_paragraphs(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
-        z.writestr("word/document.xml", '<w:document><w:p><w:r><w:t>uno &amp; </w:t><w:t xml:space="preserve">dos</w:t></w:r></w:p><w:p w:id="1"><w:r><w:t>tres</w:t></w:r></w:p></w:document>')
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>uno &amp; </w:t><w:t xml:space="preserve">dos</w:t></w:r></w:p><w:p w:id="1"><w:r><w:t>tr&#233;s</w:t><w:tab/><w:t>x</w:t></w:r></w:p></w:document>')
     rows = readers.paragraphs(spark, str(tmp_path / "a.docx")).collect()
-    assert [r.text for r in rows] == ["uno & dos", "tres"]
+    assert [r.text for r in rows] == ["uno & dos", "trés\tx"]
     (tmp_path / "b.doc").write_bytes(b"x")
     with pytest.raises(Exception, match="only .docx"):
         readers.paragraphs(spark, str(tmp_path / "b.doc")).collect()
@@ -65,8 +88,9 @@ def test_documents(spark):
     df = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "page int, n int, x string")
     assert [tuple(x) for x in writers.page_documents(df, "page", "n", ["x"]).first().lines] == [(0, "a"), (1, "b")]
     m = spark.createDataFrame([("raw", 0.1, 0.2)], "stage string, CER double, WER double")
-    d = writers.metrics_document(m, df, "n").first()
-    assert d.metrics["raw"].CER == 0.1 and len(d.samples) == 2
+    assert writers.metrics_document(m).first().metrics["raw"].CER == 0.1
+    meta = writers.text_meta(spark.createDataFrame([(1, "a b", "ok"), (1, "c", "ok"), (1, "", "no")], "p int, t string, s string"), "p", "t", "s").first()
+    assert (meta.lines, meta.words, meta.statuses) == (3, 3, {"ok": 2, "no": 1})
 
 
 def test_stream(spark, tmp_path):

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +86,29 @@ def test_word_distances_agree(spark):
 
     got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(M.word_distance(F.col("a"), F.col("b")).alias("w"), M.array_distance(F.col("a"), F.col("b")).alias("x")).collect()
     assert [(g.w, g.x) for g in got] == [(plain(*p),) * 2 for p in rows]
+
+
+def test_spans(spark):
+    got = one(spark, T.spans(F.col("a")), a="  uno\t dos ñ")
+    assert [(s.token, s.start, s.end) for s in got] == [("uno", 2, 5), ("dos", 7, 10), ("ñ", 11, 12)]
+    assert one(spark, T.spans(F.col("a")), a="") == []
+
+
+def test_counted_metrics(spark):
+    """Pooled BLEU and the cosine of counts, where grams repeat and where they don't."""
+    rows = [("the the the cat", "the cat sat on the mat"), ("a b c d e f", "a b c d x f"), ("", "x y"), ("é ñ .", "é ñ.")]
+    df = spark.createDataFrame(rows, "h string, r string")
+    counts = df.select(M.bleu_counts(F.col("h"), F.col("r")).alias("c")).collect()
+    for (h, r), c in zip(rows, counts, strict=True):
+        x, y = (__import__("re").findall(r"\w+|[^\w\s]+", t) for t in (h, r))
+        for n in range(1, 5):
+            gx, gy = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (x, y))
+            assert (c.c[f"m{n}"], c.c[f"t{n}"]) == (sum((gx & gy).values()), sum(gx.values()))
+    total = [sum(c.c[k] for c in counts) for k in ("h", "r", "m1", "t1", "m2", "t2", "m3", "t3", "m4", "t4")]
+    want = min(1, math.exp(1 - total[1] / total[0])) * math.exp(sum(math.log(total[i] / total[i + 1]) for i in (2, 4, 6, 8)) / 4)
+    assert df.select(M.bleu_counts(F.col("h"), F.col("r")).alias("c")).agg(M.corpus_bleu("c").alias("b")).first().b == pytest.approx(want)
+    for h, r, cosine in (("The the cat", "the cat", (2 * 1 + 1) / (5**0.5 * 2**0.5)), ("a b", "c d", None), ("ab", "", 0.0), ("ab cd", "cd ef", 0.5)):
+        assert one(spark, M.count_cosine(F.col("h"), F.col("r")), h=h, r=r) == (cosine if cosine is None else pytest.approx(cosine))
+    assert one(spark, M.half_even(F.lit(0.03125), 4), h="") == 0.0312
+    e = df.agg(*M.corpus_rates("h", "r")).first()
+    assert e.wer == pytest.approx((4 + 1 + 2 + 2) / (6 + 6 + 2 + 2))
