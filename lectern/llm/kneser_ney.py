@@ -39,6 +39,7 @@ GATHER, MERGE = 3 << 19, 1 << 18
 RANGE_BYTES = 8 << 20
 #: Ranges at most, and those whose arrays a worker has mapped at a time.
 RANGES, MAPS = 1 << 20, 1 << 12
+LEAST = 0.1
 STATS = ("raw", "cont", "total", "one", "two", "more")
 RECORD = np.dtype([(k, "<i8") for k in STATS])
 
@@ -168,9 +169,12 @@ class Model:
 
     @staticmethod
     def discounts(n: list[int]) -> tuple[float, float, float]:
-        """Chen and Goodman's three discounts from the numbers of n-grams seen once to four times, kept within 0..k."""
+        """Chen and Goodman's three discounts from the numbers of n-grams seen once to four times, kept within LEAST..k.
+
+        So no word has probability 0, however odd the numbers of a small corpus are.
+        """
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) if n[k - 1] else k * 0.5 for k in (1, 2, 3))
+        return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], LEAST), float(k)) if n[k - 1] else k * 0.5 for k in (1, 2, 3))
 
 
 def train(docs: DataFrame, chosen: Column, folder: str, text_col: str = "text", input_bytes: int | None = None, order: int = 2) -> Model:
