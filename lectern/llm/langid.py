@@ -9,7 +9,9 @@ A posterior alone tells one learned language from another, not from the rest: it
 texts that the judging model hasn't seen; `keep` then rejects texts in no learned language and letter soup.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if no document has a label;
-rows with a null id are scored like others; ties go to the language first in order; other columns pass through `filter`.
+texts of any length count whole; rows with a null id are scored like others, and repeated rows count and are scored each;
+ties go to the language first in order; an empty table gives an empty one; other columns are ignored by `identify` and pass
+`keep` unchanged, whatever they are named.
 """
 
 from __future__ import annotations

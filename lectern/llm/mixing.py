@@ -6,8 +6,10 @@ depends on nothing but itself and its source's size.  The copies are dealt out b
 partitions: a global shuffle in one exchange, without sampling.
 
 Defined cases: a null source is a source like another; a null id hashes as the word null; rows that repeat an id get equal
-counts; a source without target weight goes; an empty table gives an empty one; columns of the input that are named
-mix_copy or mix_key are replaced.  Rates beyond 500 are drawn as the sum of several smaller Poisson numbers, exactly.
+counts and keys, and are yet dealt to several partitions unless they are equal throughout; a source without target weight
+goes; null, empty and very long texts are rows like others; an empty table gives an empty one; columns of the input that are
+named mix_copy or mix_key are replaced, all others pass unchanged.  Rates beyond 500 are drawn as the sum of several smaller
+Poisson numbers, exactly.
 """
 
 from __future__ import annotations
@@ -31,16 +33,15 @@ def rates(docs: DataFrame, source_col: str, targets: dict[str, float] | None, po
 
     The target weight of a source is targets[source], or else its number of rows to `power`.
     """
-    n = docs.groupBy(F.col(source_col).cast("string").alias("__s")).agg(F.count("*").alias("__n"))
+    n = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("__s")).agg(F.count("*").alias("__n"))
     if targets is None:
-        weight = F.pow(F.col("__n").cast("double"), F.lit(power))
+        n = n.withColumn("__w", F.pow(F.col("__n").cast("double"), F.lit(power)))
     else:
-        weight = F.lit(0.0)
-        for s, w in targets.items():
-            weight = F.when(F.col("__s").eqNullSafe(F.lit(s)), F.lit(float(w))).otherwise(weight)
-    sums = n.withColumn("__w", weight).agg(F.sum("__w").alias("__sw"), F.sum("__n").alias("__sn"))
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in targets.items()], "__t string, __w double")  # a parameter
+        n = n.join(F.broadcast(given), F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
+    sums = n.agg(F.sum("__w").alias("__sw"), F.sum("__n").alias("__sn"))
     want = F.lit(float(total)) if total is not None else F.col("__sn").cast("double")
-    rate = n.withColumn("__w", weight).crossJoin(F.broadcast(sums)).where("__w > 0").withColumn("__rate", want * F.col("__w") / F.col("__sw") / F.col("__n"))  # one row is crossed
+    rate = n.crossJoin(F.broadcast(sums)).where("__w > 0").withColumn("__rate", want * F.col("__w") / F.col("__sw") / F.col("__n"))  # one row is crossed
     parts = rate.withColumn("__m", F.greatest(F.lit(1), F.ceil(F.col("__rate") / STEP)).cast("int")).withColumn("__r", F.col("__rate") / F.col("__m"))
     last = F.ceil(F.col("__r") + 12 * F.sqrt("__r") + 20).cast("int")
     p0 = F.exp(-F.col("__r"))
@@ -63,11 +64,12 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, power: float =
     by = rates(docs, source_col, targets, power, total)
     if by.count() <= BROADCAST_SOURCES:
         by = F.broadcast(by)
-    ident = F.col(id_col).cast("string")
-    count = F.aggregate(F.sequence(F.lit(0), F.col("__m") - 1), F.lit(0), lambda a, j: a + F.size(F.filter("__cdf", lambda c: c <= uniform(F.col("__id"), F.lit(str(seed)), j.cast("string")))))
-    out = docs.withColumn("__id", ident).join(by, F.col(source_col).cast("string").eqNullSafe(F.col("__s")))
-    out = out.withColumn("__k", count).where("__k > 0").drop("__m", "__cdf", "__s")
-    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("order"), F.coalesce(F.col("__id"), F.lit("null")), F.lit(str(seed)), F.col("mix_copy"))), 1, 13), 16, 10).cast("long")
-    out = out.withColumn("mix_key", key).drop("__id", "__k")
-    return out.repartition("mix_key").sortWithinPartitions("mix_key")
+    row = lambda c: F.col("row").getField(c)
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    ident = F.coalesce(row(id_col).cast("string"), F.lit("null"))
+    count = F.aggregate(F.sequence(F.lit(0), F.col("__m") - 1), F.lit(0), lambda a, j: a + F.size(F.filter("__cdf", lambda c: c <= uniform(ident, F.lit(str(seed)), j.cast("string")))))
+    out = out.join(by, row(source_col).cast("string").eqNullSafe(F.col("__s"))).select("row", count.alias("times")).where("times > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("mix_copy"))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("order"), ident, F.lit(str(seed)), F.col("mix_copy"))), 1, 13), 16, 10).cast("long")
+    out = out.withColumn("mix_key", key)
+    return out.repartition("mix_key", F.xxhash64("row")).sortWithinPartitions("mix_key").select("row.*", "mix_copy", "mix_key")

@@ -53,9 +53,11 @@ def tidied():
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder as a URI: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The cluster's shared folder as a URI: spark.checkpoint.dir, or a local one where that is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = getattr(spark.sparkContext, "_lectern_root", None)
         if root is None:
             root = spark.sparkContext._lectern_root = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")

@@ -6,7 +6,8 @@ index rows are sorted by file and offset, and neighbouring ranges are fetched by
 
 Defined cases: a null payload is the empty one; a null or empty URL gives a record without WARC-Target-URI; control
 characters in URLs are percent-encoded; rows that repeat the largest id are all responses; a null id is never the largest,
-and is a response only if no other id has that payload; other columns of the input are ignored.
+and is a response only if no other id has that payload; payloads of any length are one record; an empty table gives an empty
+index; other columns of the input are ignored, whatever they are named.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 DATE = "2000-01-01T00:00:00Z"
 SHARD = 1 << 30
 GAP, READ = 64 << 10, 4 << 20
+#: Digests of payloads that occur twice which are broadcast at most.
+HEADS = 200_000
 
 
 def base32(sha1: bytes) -> str:
@@ -66,12 +69,13 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write a record per row into archives under `folder`; returns the index, itself stored there.
 
-    Each payload's copies are found by a digest that is counted map-side; only digests that occur twice go into the join,
-    whose skewed keys Spark can split.
+    Each payload's copies are found by a digest that is counted map-side.  Digests that occur twice are sent to all tasks, so
+    that no payload moves, if there are at most HEADS; more are joined by a shuffle, whose skewed keys Spark can split.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")).withColumn("sha", F.sha1("payload"))
     heads = rows.groupBy("sha").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(heads, "sha", "left").select("page_id", "url", "payload", F.unhex("sha").alias("sha"), F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
+    heads = store.saved(heads, folder, "heads")
+    rows = rows.join(F.broadcast(heads) if heads.count() <= HEADS else heads, "sha", "left").select("page_id", "url", "payload", F.unhex("sha").alias("sha"), F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
 
     def write(batches):
         out, name, at = None, "", 0
