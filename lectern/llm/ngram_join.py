@@ -104,12 +104,12 @@ def rarest(h: np.ndarray, n: np.ndarray, sets: list[np.ndarray], count: np.ndarr
         i += words
 
 
-def candidates(tile: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(tile: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, bits: np.ndarray, percent: int):
     """Pairs of positions within a tile that size and bitmap let pass, of different label (and side, where sides count).
 
-    tile is sorted; the third array is the bitmaps' difference relative to the sizes.
+    tile is sorted; pairs come by the distance of their places, so that no position is twice on one side of a yield.  The
+    third array is the bitmaps' difference relative to the sizes.
     """
-    left, right, far = [], [], []
     i = np.arange(len(tile))
     d = 0
     while True:
@@ -117,7 +117,7 @@ def candidates(tile: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarr
         i = i[i + d < len(tile)]
         i = i[tile[i] == tile[i + d]]
         if not len(i):
-            break
+            return
         j = i + d
         ok = (label[i] != label[j]) & (ids[i] != ids[j]) & ((side[i] != side[j]) | (side[i] == 2))
         ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
@@ -126,13 +126,22 @@ def candidates(tile: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarr
             total = n[a] + n[b]
             x = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
             ok = x <= total - 2 * overlap(percent, n[a], n[b])
-            left.append(a[ok])
-            right.append(b[ok])
-            far.append(x[ok] / total[ok])
-    if not left:
-        e = np.zeros(0, np.int64)
-        return e, e, np.zeros(0)
-    return np.concatenate(left), np.concatenate(right), np.concatenate(far)
+            yield a[ok], b[ok], x[ok] / total[ok]
+
+
+def offers(pairs, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each position's nearest partner, and its partner of smallest id: positions, partners, differences."""
+    near, at, low = np.full(len(ids), np.inf), np.full(len(ids), -1), np.full(len(ids), -1)
+    far_low = np.full(len(ids), np.inf)
+    for a, b, far in pairs:
+        for x, y in ((a, b), (b, a)):
+            better = (far < near[x]) | ((far == near[x]) & (ids[y] < ids[at[x]]))
+            near[x[better]], at[x[better]] = far[better], y[better]
+            lower = (low[x] < 0) | (ids[y] < ids[low[x]])
+            low[x[lower]], far_low[x[lower]] = y[lower], far[lower]
+    has = np.flatnonzero(at >= 0)
+    other = has[low[has] != at[has]]
+    return np.concatenate([has, other]), np.concatenate([at[has], low[other]]), np.concatenate([near[has], far_low[other]])
 
 
 def either(pairs: DataFrame) -> DataFrame:
@@ -186,7 +195,7 @@ class Join:
 
     def live(self, cards: DataFrame) -> DataFrame:
         """Cards that share a prefix shingle with another, with those shingles and the sizes of their buckets."""
-        posts = cards.select("card", F.explode("tokens").alias("token"))
+        posts = cards.select("card", F.explode("tokens").alias("token")).repartition("token")  # one exchange, for counting and for the join
         buckets = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
         shared = posts.join(buckets, "token").groupBy("card").agg(F.collect_list(F.struct("token", "c")).alias("shared"))
         return store.saved(cards.drop("tokens").join(shared, "card").drop("card"), self.folder, "live")
@@ -227,12 +236,12 @@ class Join:
         def found(t: pa.Table):
             ids, n, label, side, tile = (t.column(c).to_numpy() for c in ("id", "n", "label", "side", "tile"))
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U).reshape(-1, WORDS)
-            a, b, far = candidates(tile, ids, n, label, side, bits, percent)
-            if not every and len(a):
-                x, y, z = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
-                best = [order[np.r_[True, np.diff(x[order]) > 0]] for order in (np.lexsort((ids[y], z, x)), np.lexsort((ids[y], x)))]
-                best = np.unique(np.concatenate(best))
-                a, b, far = x[best], y[best], z[best]
+            pairs = candidates(tile, ids, n, label, side, bits, percent)
+            if every:
+                got = [*pairs] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                a, b, far = map(np.concatenate, zip(*got, strict=True))
+            else:
+                a, b, far = offers(pairs, ids)
             return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(far)], names=["a", "b", "far"])
 
         def run(batches):
@@ -241,7 +250,7 @@ class Join:
             for batch in batches:
                 held.append(batch)
                 size += batch.num_rows
-                if size >= 4096:
+                if size >= 2 * TILE:
                     t = pa.Table.from_batches(held).combine_chunks()
                     tile = t.column("tile").to_numpy()
                     last = int(np.searchsorted(tile, tile[-1]))
@@ -249,7 +258,7 @@ class Join:
                         yield found(t.slice(0, last).combine_chunks())
                     held = t.slice(last).combine_chunks().to_batches()
                     size = t.num_rows - last
-                    size = size if size < 4096 else 0
+                    size = size if size < 2 * TILE else 0
             if held and (t := pa.Table.from_batches(held).combine_chunks()).num_rows:
                 yield found(t)
 
@@ -265,7 +274,7 @@ class Join:
         return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("ell_a", "ell_b")).select("a", "b")
 
     def sets(self, ids: DataFrame, name: str) -> DataFrame:
-        """Whole sets of these distinct ids' documents.  A filter of fixed size lets few others pass, which the join drops."""
+        """Whole sets of these distinct ids' documents, and of few others, which a filter of fixed size lets pass."""
         k = self.k
 
         def mark(batches):
@@ -283,7 +292,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
         rows = self.docs.where("id is not null and text is not null").mapInArrow(run, "id long, set binary")
-        return store.saved(rows.join(ids.select("id"), "id", "left_semi"), self.folder, name)
+        return store.saved(rows, self.folder, name)
 
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs whose whole sets are similar enough.  The partners of a document that many name are dealt out."""
