@@ -149,7 +149,11 @@ def either(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
 
 
-CARD = "id long, fp binary, n long, ell int, bits binary, tokens array<long>"
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (text.mix(ids.astype(np.int64).view(U)) >> U(64 - FILTER)).astype(np.int64)
+
+
+CARD = "id long, fp binary, twin boolean, n long, ell int, bits binary, tokens array<long>"
 
 
 class Join:
@@ -176,28 +180,49 @@ class Join:
 
         return store.saved(self.docs.mapInArrow(run, "id long, n long, fp binary, " + arrays.ROWS), self.folder, "first")
 
-    def cards(self, sketch: np.ndarray, classes: DataFrame) -> DataFrame:
-        """Size, prefix, match number and bitmap of each class's document."""
+    def marks(self, ids: DataFrame):
+        """A filter of fixed size that lets these ids pass, and few others, as a broadcast array of booleans."""
+
+        def mark(batches):
+            seen = np.zeros(1 << FILTER, np.int64)
+            for b in batches:
+                seen[_slot(b.column(0).to_numpy())] = 1
+            yield from arrays.parts("ids", seen)
+
+        got = arrays.collected(ids.select("id").mapInArrow(mark, arrays.ROWS), 1 << FILTER).get("ids", np.zeros(1 << FILTER, np.int64)) > 0
+        return self.spark.sparkContext.broadcast(got)
+
+    def cards(self, sketch: np.ndarray, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Size, prefix, match number and bitmap of each class's first document.
+
+        Only documents that may have equal ones, by a filter, go through the join that keeps the first.
+        """
         k, percent = self.k, self.percent
         shared = self.spark.sparkContext.broadcast(sketch.astype(np.float32))
+        twins = self.marks(rows.join(classes.where("docs > 1").select("fp"), "fp", "left_semi").where("id is not null"))
 
         def run(batches):
             count = shared.value
             for batch, sets, h, words in _sets(batches, k):
                 got = [prefix(s, c, percent) if len(s) else (s, 1) for s, c in zip(sets, rarest(h, words, sets, count, k), strict=True)]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p, _ in got])]).astype(np.int32)), pa.array(np.concatenate([p for p, _ in got]).view(np.int64)))
-                out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([m for _, m in got], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), tokens], names=["id", "fp", "n", "ell", "bits", "tokens"])
+                twin = pa.array(twins.value[_slot(batch.column("id").to_numpy())])
+                out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fingerprint(s) for s in sets], pa.binary()), twin, pa.array([len(s) for s in sets], pa.int64()), pa.array([m for _, m in got], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), tokens], names=["id", "fp", "twin", "n", "ell", "bits", "tokens"])
                 yield out.filter(pa.array([len(s) > 0 for s in sets]))
 
-        rows = self.docs.where("id is not null and text is not null").mapInArrow(run, CARD)
-        reps = classes.select("fp", F.col("rep").alias("id"))
-        return store.saved(rows.join(reps, ["fp", "id"], "left_semi").withColumn("card", F.xxhash64("id", "fp")).drop("fp"), self.folder, "cards")
+        rows = self.docs.where("id is not null and text is not null")
+        every = store.saved(rows.mapInArrow(run, CARD), self.folder, "cards").withColumn("card", F.xxhash64("id", "fp"))
+        first = classes.select("fp", F.col("rep").alias("id"))
+        return every.where("not twin").unionByName(every.where("twin").join(first, ["fp", "id"], "left_semi")).drop("fp", "twin")
 
     def live(self, cards: DataFrame) -> DataFrame:
-        """Cards that share a prefix shingle with another, with those shingles and the sizes of their buckets."""
+        """Cards that share a prefix shingle with another, with those shingles, and the size and a mark of each one's bucket.
+
+        Buckets of the same cards have the same mark, so that these meet once and not for each shingle that they share.
+        """
         posts = cards.select("card", F.explode("tokens").alias("token")).repartition("token")  # one exchange, for counting and for the join
-        buckets = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-        shared = posts.join(buckets, "token").groupBy("card").agg(F.collect_list(F.struct("token", "c")).alias("shared"))
+        buckets = posts.groupBy("token").agg(F.count("card").alias("c"), F.bit_xor("card").alias("mark")).where("c > 1")
+        shared = posts.join(buckets, "token").groupBy("card").agg(F.collect_list(F.struct("token", "c", "mark")).alias("shared"))
         return store.saved(cards.drop("tokens").join(shared, "card").drop("card"), self.folder, "live")
 
     def tiles(self, live: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -207,7 +232,8 @@ class Join:
         of a large bucket the rows with its commonest label stand on one side, the others on the other.
         """
         rows = live.withColumn("label", F.col("id")) if labels is None else live.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        rows = rows.withColumn("t", F.explode("shared")).select("id", "n", "bits", "label", "t.token", "t.c")
+        marks = F.array_distinct(F.transform("shared", lambda t: F.struct(t["mark"].alias("token"), t["c"].alias("c"))))
+        rows = rows.withColumn("t", F.explode(marks)).select("id", "n", "bits", "label", "t.token", "t.c")
         columns = [F.xxhash64("token", "kind", "i", "j").alias("tile"), "id", "n", "bits", "label", "side"]
         if labels is None:
             parts = F.ceil(F.col("c") / TILE)
@@ -277,17 +303,10 @@ class Join:
         """Whole sets of these distinct ids' documents, and of few others, which a filter of fixed size lets pass."""
         k = self.k
 
-        def mark(batches):
-            seen = np.zeros(1 << FILTER, np.int64)
-            for b in batches:
-                seen[(text.mix(b.column(0).to_numpy().astype(np.int64).view(U)) >> U(64 - FILTER)).astype(np.int64)] = 1
-            yield arrays.rows({"ids": seen})
-
-        got = arrays.collected(ids.select("id").mapInArrow(mark, arrays.ROWS), 1 << FILTER).get("ids", np.zeros(1 << FILTER, np.int64)) > 0
-        shared = self.spark.sparkContext.broadcast(got)
+        shared = self.marks(ids)
 
         def run(batches):
-            some = ((b, shared.value[(text.mix(b.column("id").to_numpy().view(U)) >> U(64 - FILTER)).astype(np.int64)]) for b in batches)
+            some = ((b, shared.value[_slot(b.column("id").to_numpy())]) for b in batches)
             for batch, sets, _, _ in _sets((b.filter(pa.array(m)) for b, m in some if m.any()), k):
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
@@ -344,8 +363,8 @@ class Join:
         first = self.first_pass()
         rows = first.where("name is null").select("id", "n", "fp")
         sketch = arrays.collected(first.where("name is not null").select("name", "slice", "counts"), 1 << self.bits).get("sketch", np.zeros(1 << self.bits, np.int64))
-        classes = store.saved(rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep")), self.folder, "classes")
-        live = self.live(self.cards(sketch, classes))
+        classes = store.saved(rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("docs")), self.folder, "classes")
+        live = self.live(self.cards(sketch, rows, classes))
         near = store.saved(self.agreeing(self.met(self.tiles(live, None), False), live), self.folder, "near0")
         sets = self.sets(either(near).distinct(), "sets0")
         links = self.verified(near, sets, "links0")
