@@ -14,6 +14,8 @@ Poisson numbers, exactly.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,11 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, power: float =
     row = lambda c: F.col("row").getField(c)
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     ident = F.coalesce(row(id_col).cast("string"), F.lit("null"))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("__m") - 1), F.lit(0), lambda a, j: a + F.size(F.filter("__cdf", lambda c: c <= uniform(ident, F.lit(str(seed)), j.cast("string")))))
+    draws = F.transform(F.sequence(F.lit(0), F.col("__m") - 1), lambda j: uniform(ident, F.lit(str(seed)), j.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter("__cdf", lambda c: c <= u)))
     out = out.join(by, row(source_col).cast("string").eqNullSafe(F.col("__s"))).select("row", count.alias("times")).where("times > 0")
     out = out.select("row", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("mix_copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("order"), ident, F.lit(str(seed)), F.col("mix_copy"))), 1, 13), 16, 10).cast("long")
     out = out.withColumn("mix_key", key)
-    return out.repartition("mix_key", F.xxhash64("row")).sortWithinPartitions("mix_key").select("row.*", "mix_copy", "mix_key")
+    hashed = [row(f.name) for f in docs.schema.fields if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    return out.repartition("mix_key", F.xxhash64(*hashed)).sortWithinPartitions("mix_key").select("row.*", "mix_copy", "mix_key")

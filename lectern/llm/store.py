@@ -61,8 +61,6 @@ def shared_root(spark: SparkSession) -> str:
         root = getattr(spark.sparkContext, "_lectern_root", None)
         if root is None:
             root = spark.sparkContext._lectern_root = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
     return root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
 
 
