@@ -210,7 +210,7 @@ def aggregate_rates(pairs: DataFrame, *keys: str) -> DataFrame:
     size = F.greatest(F.length("matched_gt"), F.lit(1))
     return pairs.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(kept, F.col("edit_distance"))), F.lit(0)).alias("edits"), F.coalesce(F.sum(F.when(kept, size)), F.lit(0)).alias("ref_len"),
-        F.round(F.coalesce(F.avg(F.when(kept, F.col("cer"))), F.lit(0.0)), 6).alias("mean_line_cer"),
+        F.round(F.coalesce(F.avg(F.when(kept, F.col("cer"))), F.lit(0.0)), 9).alias("mean_line_cer"),
         F.count_if("was_shifted").alias("shifted"), F.count_if("skipped").alias("skipped"), F.count("*").alias("total"),
     ).withColumn("total_cer", F.col("edits") / F.greatest("ref_len", F.lit(1)))
 

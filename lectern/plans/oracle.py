@@ -193,7 +193,7 @@ ORACLE = {
     "positional_anti": f"WITH {TURNS}, l AS (SELECT page_id, max(gt_idx) AS last FROM g GROUP BY page_id) SELECT page_id, gt_idx AS pos, gt FROM g WHERE NOT EXISTS (SELECT 1 FROM p JOIN l USING (page_id) WHERE p.page_id = g.page_id AND pred_idx = gt_idx AND pred_idx < last)",
     "nw_align": f"WITH RECURSIVE {TURNS}, {nw()} SELECT * FROM aligned",
     "aggregate_cer": f"""WITH RECURSIVE {TURNS}, {nw()}, s AS (SELECT page_id, CAST(coalesce(sum(edit_distance) FILTER (NOT skipped), 0) AS BIGINT) AS edits, CAST(coalesce(sum(greatest(length(matched_gt), 1)) FILTER (NOT skipped), 0) AS BIGINT) AS ref_len,
-        round(coalesce(avg(cer) FILTER (NOT skipped), 0), 6) AS mean_line_cer, count(*) FILTER (was_shifted) AS shifted, count(*) FILTER (skipped) AS skipped, count(*) AS total FROM aligned GROUP BY page_id) SELECT *, edits / greatest(ref_len, 1) AS total_cer FROM s""",
+        round(coalesce(avg(cer) FILTER (NOT skipped), 0), 9) AS mean_line_cer, count(*) FILTER (was_shifted) AS shifted, count(*) FILTER (skipped) AS skipped, count(*) AS total FROM aligned GROUP BY page_id) SELECT *, edits / greatest(ref_len, 1) AS total_cer FROM s""",
     "exclusion_report": f"""WITH RECURSIVE {TURNS}, {nw()}, r AS (SELECT {lev("pred_text", "matched_gt")} / greatest(length(matched_gt), 1) AS r FROM aligned WHERE NOT skipped AND matched_gt <> '')
         SELECT round(coalesce(avg(r), 0), 9) AS all_cer, round(coalesce(avg(r) FILTER (r <= 0.80), 0), 9) AS kept_cer, count(*) FILTER (r > 0.80) AS n_excluded, count(*) AS lines FROM r""",
     "stage_rates": f"""WITH RECURSIVE {TURNS}, {nw(swap("pred"))}, n AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pred_idx) - 1 AS INTEGER) AS pred_idx, pred FROM p),

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import align, changes, image, noise, report, rules, signal, split, tfidf
-from ..sources import readers, writers
+from ..sources import package, readers, writers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    package.send(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
