@@ -12,31 +12,21 @@ import ctypes
 import os
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import package
+
 #: Arrow batches to workers have so many rows and bytes at most, or are one row.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def prepare(spark: SparkSession) -> None:
     """Send this package to the executors once, and keep Arrow batches of long texts small (settings of this session)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lectern_sent", None) is None:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        out = os.path.join(tempfile.mkdtemp(prefix="lectern-"), "lectern.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for folder, _, names in os.walk(top):
-                for n in sorted(names):
-                    if n.endswith(".py"):
-                        p = os.path.join(folder, n)
-                        z.write(p, os.path.join("lectern", os.path.relpath(p, top)))
-        sc.addPyFile(out)
-        sc._lectern_sent = True
+    package.send(spark)
     for k, v in BATCH.items():
         spark.conf.set(k, v)
 
