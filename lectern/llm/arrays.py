@@ -29,7 +29,7 @@ def parts(name: str, a: np.ndarray, slices: int = 16):
 
 
 def summed(parts: DataFrame) -> DataFrame:
-    """One row per name and slice; each task keeps only its own slices' sums."""
+    """One row per name and slice, in four or eight bytes a count; each task keeps only its own slices' sums."""
 
     def add(batches):
         total: dict[tuple[str, int], np.ndarray] = {}
@@ -41,7 +41,8 @@ def summed(parts: DataFrame) -> DataFrame:
                 else:
                     total[k, i] = a.copy()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([i for _, i in total], pa.int32()), pa.array([a.tobytes() for a in total.values()], pa.binary())], names=["name", "slice", "counts"])
+            blobs = [a.astype("<i4" if a.max() < 1 << 31 else "<i8").tobytes() for a in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([i for _, i in total], pa.int32()), pa.array(blobs, pa.binary())], names=["name", "slice", "counts"])
 
     return parts.repartition("name", "slice").mapInArrow(add, ROWS)
 
@@ -50,6 +51,6 @@ def collected(parts: DataFrame, size: int) -> dict[str, np.ndarray]:
     """The sums as arrays of `size` on the driver: their total size is fixed by the number of names, not by the rows."""
     out: dict[str, np.ndarray] = {}
     for name, i, blob in summed(parts).collect():
-        a = np.frombuffer(blob, "<i8")
-        out.setdefault(name, np.zeros(size, np.int64))[i * SLICE : i * SLICE + len(a)] = a
+        part = out.setdefault(name, np.zeros(size, np.int64))[i * SLICE : (i + 1) * SLICE]
+        part[:] = np.frombuffer(blob, "<i4" if len(blob) == 4 * len(part) else "<i8")
     return out

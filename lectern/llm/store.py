@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import package
 
 #: Arrow batches to workers have so many rows and bytes at most, or are one row.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
 
 
 def prepare(spark: SparkSession) -> None:
