@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, kneser_ney, langid, media, mixing, ngram_join, quality, store, token_counts, warc
+from . import bpe, embed_dedup, fill_middle, filter_audit, kneser_ney, langid, media, mixing, ngram_join, pieces, quality, store, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,5 +134,56 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "digest").join(facts, "digest").drop("digest")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op8_embedding_dedup": op8_embedding_dedup, "op4_lm_score": op4_lm_score, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op9_bpe": op9_bpe, "op10_media": op10_media, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op7_mixing": op7_mixing}
-ORACLE = {"op1_ngram_join": OP1, "op8_embedding_dedup": OP8, "op2_warc": OP2, "op7_mixing": OP7}
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+OP12 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '') AS w FROM documents),
+     f AS (SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+                  100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                  coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM w),
+     l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+     x AS (SELECT part, [a, b, c, d, e] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+     g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY part, fails),
+     k AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+     o AS (SELECT [p.k, q.k, r.k, s.k, t.k] AS o FROM k p, k q, k r, k s, k t WHERE len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5),
+     y AS (SELECT g.*, o, k AS step, o[k] AS own, list_bool_or(list_transform(o[1:k - 1], lambda i: fails[i])) AS gone FROM g, o, k),
+     z AS (SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step, own,
+                  sum(n) FILTER (NOT fails[own] AND NOT coalesce(gone, false)) AS kept, sum(n) FILTER (fails[own] AND NOT coalesce(gone, false)) AS removed,
+                  sum(n) FILTER (fails[own] AND gone) AS redundant, sum(n) FILTER (fails[own] AND len(list_filter(fails, lambda b: b)) = 1) AS unique_fails,
+                  sum(good) FILTER (fails[own] AND NOT coalesce(gone, false)) AS good_lost, sum(toxic) FILTER (fails[own] AND NOT coalesce(gone, false)) AS toxic_lost
+           FROM y GROUP BY part, o, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM z
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+OP13 = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+     u AS (SELECT *, CASE WHEN t = '' THEN [] ELSE regexp_extract_all(t, '[^\n]*\n|[^\n]+') END AS u,
+                  list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS d FROM h),
+     n AS (SELECT *, CAST(len(u) AS BIGINT) AS n FROM u),
+     c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 100 THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+     p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE WHEN form = 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op8_embedding_dedup": op8_embedding_dedup, "op4_lm_score": op4_lm_score, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op9_bpe": op9_bpe, "op10_media": op10_media, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op7_mixing": op7_mixing, "op11_pieces": op11_pieces, "op12_filter_audit": op12_filter_audit, "op13_fill_middle": op13_fill_middle}
+ORACLE = {"op1_ngram_join": OP1, "op8_embedding_dedup": OP8, "op2_warc": OP2, "op7_mixing": OP7, "op12_filter_audit": OP12, "op13_fill_middle": OP13}

@@ -11,7 +11,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from sentencepiece import SentencePieceProcessor
 from test_pairs import brute
+from test_forms import audited, coded, middled
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -64,6 +66,8 @@ COLUMNS = {
     "op1_ngram_join": "doc_id n_shingles component_id", "op2_warc": "page_id payload_bytes payload_digest record_type refers_to", "op3_language_id": "doc_id held_out lang_pred score",
     "op4_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score", "op5_token_counts": "doc_id n_bytes n_tokens over_limit", "op6_quality": "doc_id n_grams log_ratio log_weight gumbel_key kept",
     "op7_mixing": "doc_id text mix_copy mix_key", "op8_embedding_dedup": "vec_id n_links component_id kept", "op9_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11_pieces": "doc_id n_tokens ids_sha256 decoded_sha256", "op12_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_fill_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
     "op10_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature width height depth",
 }
 
@@ -84,6 +88,10 @@ def test_registered_query(spark, tables, name):
         assert {r.doc_id for r in got} <= {r[0] for r in rows} and set(df.columns) == {*spark.read.parquet(f"{top}/documents.parquet").columns, "mix_copy", "mix_key"}
         assert all(r.id == "own id" and r.times == "own times" for r in got)
         return
+    if name == "op12_filter_audit":
+        labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{top}/labels.parquet").collect()]
+        assert {tuple(r) for r in df.select(*COLUMNS[name].split()).collect()} == audited([(r[0], r[1], r[3]) for r in rows], labels) and len(got) == 600 * len({r[3] or "" for r in rows})
+        return
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     by = {r.doc_id: r for r in got}
     if name in HELD:
@@ -101,6 +109,13 @@ def test_registered_query(spark, tables, name):
         tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json" if name == "op5_token_counts" else "word_bpe_49k.json"))
         want = Counter((i, len(tok.encode(t, add_special_tokens=False).ids)) for (i, t), n in text_of(rows).items() for _ in range(n))
         assert Counter((r.doc_id, r.n_tokens) for r in got) == want
+    if name == "op11_pieces":
+        sp = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+        want = Counter((i, *coded(sp, t)) for (i, t), n in text_of(rows).items() for _ in range(n))
+        assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    if name == "op13_fill_middle":
+        assert Counter(tuple(r[c] for c in COLUMNS[name].split()) for r in got) == Counter(middled(r[0], r[1] or "") for r in rows)
+        assert (by[300].form, by[301].form, by[302].n, by[306].n) == ("plain", "plain", 1, 1)
     if name == "op6_quality":
         assert by[300].log_weight == by[301].log_weight == 0.0 and all(r.kept == by[r.doc_id].kept for r in got if r.doc_id in (300, 301))
         assert all(by[i].kept for i in range(10)) and not any(by[i].kept for i in range(200, 220))
