@@ -6,7 +6,7 @@ a smaller id has the identical text, comes from radix tries:
 1. A task inserts the texts that it reads into a compressed trie, which holds the rows of a text at its terminal.  A row
    with a larger id than another there is decided; a text goes on once a trie, with its rows of the smallest id.
 2. Texts are dealt by ranges of a prefix of their own.  Prefixes begin with FIRST characters; one whose texts differ and take
-   more than a task should hold is four times as long, until none does.  Copies of one text share their prefix.
+   more than a range's share of all is four times as long, until none does.  Copies of one text share their prefix.
 3. Each range is inserted into one trie with the smallest id of all at the terminals, and traversed for the flags.
 
 Masks are then counted by part and label; all orders are read from these counts (at most 32 a part), never from rows.
@@ -215,7 +215,7 @@ def masks(docs: DataFrame, filters: dict[str, Callable[[Text], bool]] | None = N
     open_rows = rows.where("body is not null")
     total = open_rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // most + 1)
-    dealt = open_rows.repartitionByRange(ranges, prefix(open_rows, total, most))
+    dealt = open_rows.repartitionByRange(ranges, prefix(open_rows, total, total // ranges))
     return rows.where("body is null").drop("body").unionByName(_flagged(dealt, copy, kind)).groupBy("id", "part", "mask").agg(F.sum("n").alias("n"))
 
 
