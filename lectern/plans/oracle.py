@@ -6,6 +6,8 @@ DuckDB's levenshtein counts bytes, so texts are first mapped one to one into sin
 
 from __future__ import annotations
 
+from .queries import misread
+
 FOREIGN = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 SINGLE = "".join(map(chr, [*range(1, 9), *range(14, 27)]))
 
@@ -51,6 +53,53 @@ FRENCH = f"known AS MATERIALIZED (SELECT DISTINCT {key('w')} AS word FROM (SELEC
 COUNTS = f"c AS (SELECT lang, {key('w')} AS word, count(*) AS n FROM (SELECT lang, unnest({WORDS.format('text')}) AS w FROM documents) GROUP BY ALL)"
 
 
+READ = "readings(kind, place, seen, read) AS (VALUES " + ", ".join(f"('{k}', {i}, '{a}', '{b}')" for k, i, a, b in misread()) + ")"
+
+
+def number(first: int, n: int) -> str:
+    return f"CAST('0x' || substr(h, {first}, {n}) AS BIGINT)"
+
+
+def pairs_from_left(src: str) -> str:
+    """Of places (rid, i, c, own, two, pair), the text of each rid, where a standing pair takes the place behind it along.
+
+    In a run of places that want to begin a pair, every other one does.
+    """
+    return f"""
+        {src}_run AS (SELECT rid, i, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS run FROM {src} WHERE pair),
+        {src}_first AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY rid, run ORDER BY i) AS k FROM {src}_run) WHERE k % 2 = 1),
+        {src}_out AS (SELECT s.rid, string_agg(CASE WHEN f.i IS NOT NULL THEN s.two WHEN g.i IS NOT NULL THEN '' ELSE s.own END, '' ORDER BY s.i) AS noisy
+            FROM {src} s LEFT JOIN {src}_first f ON f.rid = s.rid AND f.i = s.i LEFT JOIN {src}_first g ON g.rid = s.rid AND g.i + 1 = s.i GROUP BY s.rid)"""
+
+
+#: From src(rid, txt, salt): word_out, old_out and edit_out(rid, noisy).
+NOISE = f"""
+    {READ}, one AS (SELECT kind, seen, arg_min(read, place) AS read FROM readings GROUP BY kind, seen),
+    ch AS MATERIALIZED (SELECT rid, i, c[i + 1] AS c, c[i + 2] AS after, md5(salt || '|' || i) AS h FROM (SELECT rid, salt, c, unnest(range(0, len(c))) AS i FROM (SELECT rid, salt, string_split(txt, '') AS c FROM src))),
+    w AS (SELECT rid, j, w[j + 1] AS w, length(w[j + 1]) AS n, md5(salt || '|' || j) AS h FROM (SELECT rid, salt, w, unnest(range(0, len(w))) AS j FROM (SELECT rid, salt, string_split(txt, ' ') AS w FROM src))),
+    p AS (SELECT *, {number(1, 8)} % n AS a, CASE WHEN n > 1 AND substr(h, 9, 1) >= '8' THEN ({number(1, 8)} % n + 1 + {number(10, 7)} % (n - 1)) % n END AS b FROM w),
+    l AS (SELECT rid, j, i, c, a, b, h, instr('abcdefghijklmnopqrstuvwxyz', lower(c)) AS k, CASE WHEN i = a THEN {number(17, 8)} ELSE {number(25, 8)} END AS u
+          FROM (SELECT *, unnest(string_split(w, '')) AS c, generate_subscripts(string_split(w, ''), 1) - 1 AS i FROM p)),
+    o AS (SELECT *, substr('abcdefghijklmnopqrstuvwxyz', CASE WHEN c <> '' AND k > 0 THEN (k + u % 25) % 26 ELSE u % 26 END + 1, 1) AS other FROM l),
+    ww AS (SELECT rid, j, string_agg(CASE WHEN c <> '' AND (i = a OR i = coalesce(b, -1)) THEN coalesce(t.read, CASE WHEN c = lower(c) THEN other ELSE upper(other) END) ELSE c END, '' ORDER BY i) AS w
+           FROM o LEFT JOIN one t ON t.kind = 'word' AND t.seen = c GROUP BY rid, j),
+    word_out AS (SELECT rid, string_agg(w, ' ' ORDER BY j) AS noisy FROM ww GROUP BY rid),
+    cand AS (SELECT rid, i, read, length(seen) AS size, row_number() OVER (PARTITION BY rid, i ORDER BY place) - 1 AS nth, {number(1, 8)} AS x FROM ch JOIN readings ON kind = 'type' AND (seen = c OR seen = c || after)),
+    hit AS (SELECT * FROM cand WHERE x < floor((1 - pow(0.88, nth + 1)) * 4294967296) AND (nth = 0 OR x >= floor((1 - pow(0.88, nth)) * 4294967296))),
+    old AS MATERIALIZED (SELECT ch.rid, ch.i, CASE WHEN size = 1 THEN read WHEN {number(9, 8)} < floor(0.03 * 4294967296) THEN c || c WHEN c = ' ' AND {number(17, 8)} < floor(0.04 * 4294967296) THEN '' ELSE c END AS own,
+                   read AS two, coalesce(size = 2, false) AS pair FROM ch LEFT JOIN hit ON hit.rid = ch.rid AND hit.i = ch.i),
+    {pairs_from_left("old")},
+    e AS (SELECT ch.*, {number(1, 8)} / 4294967296.0::DOUBLE AS x, t.read AS same, s.read AS small FROM ch LEFT JOIN one t ON t.kind = 'edit' AND t.seen = c LEFT JOIN one s ON s.kind = 'edit' AND s.seen = lower(c)),
+    f AS (SELECT *, CASE WHEN x < 0.0075 THEN '' WHEN x < 0.015 THEN c || substr('abcdefghijklmnopqrstuvwxyz', {number(9, 8)} % 26 + 1, 1)
+                         WHEN x < 0.0225 AND coalesce(same, small) IS NOT NULL THEN CASE WHEN c = lower(c) THEN coalesce(same, small) ELSE upper(coalesce(same, small)) END END AS own0 FROM e),
+    edit AS MATERIALIZED (SELECT rid, i, coalesce(own0, c) AS own, after || c AS two, own0 IS NULL AND x < 0.03 AND after IS NOT NULL AS pair FROM f),
+    {pairs_from_left("edit")}
+"""
+COPIES = "src AS MATERIALIZED (SELECT row_number() OVER () AS rid, *, concat_ws('|', '42', conv_id, turn, copy) AS salt FROM (SELECT conv_id, turn, {0} AS txt, unnest(range(0, 5)) AS copy FROM conversations))"
+MIXED = """mixed AS (SELECT s.*, CASE WHEN x < floor(0.33 * 4294967296) THEN w.noisy WHEN x < floor(0.66 * 4294967296) THEN o.noisy ELSE e.noisy END AS noisy
+    FROM (SELECT *, CAST('0x' || substr(md5(salt || '|kind'), 1, 8) AS BIGINT) AS x FROM src) s JOIN word_out w USING (rid) JOIN old_out o USING (rid) JOIN edit_out e USING (rid))"""
+
+
 def times(x: str, y: str) -> str:
     return f"len(list_filter({x}, lambda q: q = {y}))"
 
@@ -238,6 +287,14 @@ ORACLE = {
     "training_pairs": """WITH """ + LINES + """, q AS (SELECT pred AS o, translate(pred, 'çÇ', 'zZ') AS r, line AS g FROM pairs),
         u AS (SELECT 'real' AS kind, o AS s, g FROM q WHERE o <> g UNION ALL SELECT 'rule', r, g FROM q WHERE r <> g UNION ALL SELECT 'identity', g, g FROM q)
         SELECT kind, count(*) AS pairs, CAST(sum(length('correct: ' || s)) AS BIGINT) AS source_chars, CAST(sum(length(g)) AS BIGINT) AS target_chars FROM u GROUP BY kind""",
+    "noise_kinds": f"""WITH src AS MATERIALIZED (SELECT row_number() OVER () AS rid, conv_id, turn, text AS txt, concat_ws('|', '42', conv_id, turn) AS salt FROM conversations), {NOISE},
+        a AS (SELECT 'words' AS kind, * FROM word_out UNION ALL SELECT 'type', * FROM old_out UNION ALL SELECT 'edits', * FROM edit_out)
+        SELECT conv_id, turn, kind, noisy <> txt AS changed, CAST(length(noisy) AS INTEGER) AS chars, md5(noisy) AS digest FROM a JOIN src USING (rid)""",
+    "synthetic_noise": f"WITH {COPIES.format('text')}, {NOISE}, {MIXED} SELECT conv_id, turn, CAST(copy AS INTEGER) AS copy, noisy <> txt AS changed, md5(noisy) AS digest FROM mixed",
+    "augmented_pairs": f"""WITH {COPIES.format("trim(text)")}, {NOISE}, {MIXED},
+        q AS (SELECT trim({swap("trim(text)")}) AS o, trim(translate({swap("trim(text)")}, 'çÇ', 'zZ')) AS r, trim(text) AS g FROM conversations),
+        u AS (SELECT 'real' AS kind, o AS s, g FROM q WHERE o <> g UNION ALL SELECT 'rule', r, g FROM q WHERE r <> g UNION ALL SELECT 'identity', g, g FROM q UNION ALL SELECT 'synthetic', noisy, trim(txt) FROM mixed WHERE noisy <> trim(txt))
+        SELECT kind, count(*) AS pairs, CAST(sum(length('correct: ' || s)) AS BIGINT) AS source_chars, CAST(sum(length(g)) AS BIGINT) AS target_chars FROM u WHERE s <> '' AND g <> '' GROUP BY kind""",
     "context_prev3": f"WITH c AS (SELECT conv_id, turn, {toks('text')} AS t FROM conversations), x AS (SELECT conv_id, turn, t, unnest(range(0, len(t))) AS i FROM c) SELECT conv_id, turn, CAST(i AS INTEGER) AS pos, t[i + 1] AS word, array_to_string(t[greatest(i - 2, 1):i], ' ') AS context FROM x",
     "context_pm5": f"WITH c AS (SELECT conv_id, turn, {toks('text')} AS t FROM conversations), x AS (SELECT conv_id, turn, t, unnest(range(0, len(t))) AS i FROM c) SELECT conv_id, turn, CAST(i AS INTEGER) AS pos, array_to_string(list_concat(list_concat(t[greatest(i - 4, 1):i], ['[' || t[i + 1] || ']']), t[i + 2:i + 6]), ' ') AS input FROM x",
     "moving_avg": "WITH s AS (SELECT user_id AS page_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS y, value AS ink FROM events) SELECT page_id, CAST(y AS INTEGER) AS y, round(sum(ink) OVER (PARTITION BY page_id ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM s",

@@ -6,6 +6,8 @@ fixed exchange of letters.  Conversations are pages whose turns are lines.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -315,19 +317,46 @@ def training_pairs(spark, sf_dir):
     return t.groupBy("kind").agg(F.count("*").alias("pairs"), F.sum(F.length("source")).alias("source_chars"), F.sum(F.length("target")).alias("target_chars"))
 
 
+#: Groups of letters that old type confuses: each is read as the next of its group.  Letters that break into two, and letters
+#: printed twice that are read once.
+SHAPES, BROKEN, DOUBLED = ("un", "bv", "fs", "ce", "ilt", "o0"), {"m": "rn", "w": "vv", "d": "cl"}, "lrs"
+
+
+def misread() -> list[tuple[str, int, str, str]]:
+    """Rows of a table of readings: shapes, accents lost (by their decomposition) and put on, letters broken and doubled."""
+    shapes = [(g[i], g[(i + 1) % len(g)]) for g in SHAPES for i in range(len(g))]
+    accents = [(c, unicodedata.normalize("NFD", c)[0]) for c in "áéíóúüñ"]
+    type_ = [*shapes, *accents, *((b, a) for a, b in accents if a in "áén"), *((2 * c, c) for c in DOUBLED), *((c, 2 * c) for c in DOUBLED)]
+    kinds = {"word": [*accents, *BROKEN.items(), *shapes], "type": type_, "edit": [*shapes, *BROKEN.items()]}
+    return [(k, i, a, b) for k, x in kinds.items() for i, (a, b) in enumerate(x)]
+
+
+def misreadings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(misread(), "kind string, place int, seen string, read string")
+
+
+def noise_kinds(spark, sf_dir):
+    """Each turn with every kind of error: changed or not, its length and its digest."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", noise.salt(["conv_id", "turn"], 42).alias("salt"))
+    r = noise.readings(misreadings(spark))
+    kinds = {"words": noise.word_errors, "type": noise.old_type, "edits": noise.edits}
+    x = t.select("conv_id", "turn", "text", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), f(F.col("text"), F.col("salt"), r).alias("noisy")) for k, f in kinds.items()))).alias("x"))
+    return x.select("conv_id", "turn", "x.kind", (F.col("x.noisy") != F.col("text")).alias("changed"), F.length("x.noisy").alias("chars"), F.md5("x.noisy").alias("digest"))
+
+
 def augmented_pairs(spark, sf_dir):
     """All four kinds of pairs of turns, five noisy ones each."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("text"))
     p = t.select(T.swapped(F.col("text")).alias("ocr_output"), T.plain_cedilla(T.swapped(F.col("text"))).alias("rule_corrected"), F.col("text").alias("ground_truth"))
-    all_ = split.training_pairs(p, t.select(F.col("text").alias("gold")), noise.synthetic(t, "text", ["conv_id", "turn"], 5))
+    all_ = split.training_pairs(p, t.select(F.col("text").alias("gold")), noise.synthetic(t, "text", ["conv_id", "turn"], misreadings(spark), 5))
     return all_.groupBy("kind").agg(F.count("*").alias("pairs"), F.sum(F.length("source")).alias("source_chars"), F.sum(F.length("target")).alias("target_chars"))
 
 
 def synthetic_noise(spark, sf_dir):
-    """Five noisy forms of each turn: how many differ, and how long they are."""
+    """Five noisy forms of each turn: whether they differ, and their digests."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    n = noise.synthetic(t, "text", ["conv_id", "turn"], 5)
-    return n.groupBy("conv_id", "copy").agg(F.count("*").alias("turns"), F.count_if(F.expr("gold <> noisy")).alias("changed"), F.sum(F.length("noisy")).alias("chars"))
+    n = noise.synthetic(t, "text", ["conv_id", "turn"], misreadings(spark), 5)
+    return n.select("conv_id", "turn", "copy", (F.col("gold") != F.col("noisy")).alias("changed"), F.md5("noisy").alias("digest"))
 
 
 def context_prev3(spark, sf_dir):
@@ -427,6 +456,6 @@ def throughput_words(spark, sf_dir):
 NAMES = (
     "accent_norm_n1 accent_norm_n2 words_distinct oov_rate cedilla_rule uv_fs_variants apply_rules rules_on_lines cer_micro_by_lang cer_macro_by_lang cer_spacefree wer_pair bleu_sentence jaccard cosine_bow "
     "tfidf_cosine_word tfidf_cosine_charwb wordcount_guard positional_outer positional_anti sequential_cer best_match nw_align aggregate_cer exclusion_report stage_rates band_report improvement_flags wer_corpus bleu_corpus cosine_counts metric_bundle stage_report run_summary skipped_folders first_lines token_spans folder_rollup page_documents surface_forms spelling_errors nested_forms "
-    "text_changes page_split training_pairs augmented_pairs synthetic_noise context_prev3 context_pm5 moving_avg islands autocorr ink_levels cut_segments component_periods line_segments text_line_boxes noise_area_filter changed_counts html_escape word_punct trailing_blank throughput_words"
+    "text_changes page_split training_pairs augmented_pairs synthetic_noise noise_kinds context_prev3 context_pm5 moving_avg islands autocorr ink_levels cut_segments component_periods line_segments text_line_boxes noise_area_filter changed_counts html_escape word_punct trailing_blank throughput_words"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -374,7 +374,8 @@ def test_augmented_pairs_are_all_kinds(spark, tmp_path):
     t = [(c, n, f" la casa número {c} de los señores {n} ") for c in range(5) for n in range(4)]
     spark.createDataFrame(t, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.kind: r.pairs for r in queries.augmented_pairs(spark, str(tmp_path)).collect()}
-    noisy = noise.synthetic(spark.createDataFrame([(c, n, x.strip()) for c, n, x in t], "conv_id long, turn int, text string"), "text", ["conv_id", "turn"], 5)
+    lines = spark.createDataFrame([(c, n, x.strip()) for c, n, x in t], "conv_id long, turn int, text string")
+    noisy = noise.synthetic(lines, "text", ["conv_id", "turn"], queries.misreadings(spark), 5)
     assert got == {"real": 20, "rule": 20, "identity": 20, "synthetic": noisy.where("gold <> noisy").count()} and got["synthetic"] > 60
 
 
@@ -388,58 +389,82 @@ def test_changes_by_brute_force(spark, tmp_path):
     assert {(1, 0, "fe", "se", 7, 9, False), (1, 0, "Ser", "ser", 16, 19, True)} <= got and not any(x[0] == 2 for x in got)
 
 
+TABLE = [("word", 0, "t", "7"), ("word", 1, "t", "never"), ("word", 2, "ß", "ss"), ("type", 0, "xy", "z"), ("type", 1, "k", "h"), ("type", 2, "k", "x"), ("type", 3, "x", "y"), ("type", 4, "xx", "x"), ("edit", 0, "k", "lc")]
+
+
+@pytest.fixture(scope="module")
+def readings(spark):
+    return noise.readings(spark.createDataFrame(TABLE, "kind string, place int, seen string, read string"))
+
+
+def forms(spark, f, text, n, *args):
+    """How often each noisy form of a text comes from n salts."""
+    return Counter(r[0] for r in spark.range(n).select(f(F.lit(text), F.concat(F.lit("s"), F.col("id").cast("string")), *args)).collect())
+
+
 def test_noise_is_the_same_everywhere(spark):
+    table = spark.createDataFrame(TABLE, "kind string, place int, seen string, read string")
     df = spark.createDataFrame([(i, "la casa de los señores fue vista") for i in range(20)], "k long, line string")
-    a, b = ({(r.k, r.copy): r.noisy for r in noise.synthetic(d, "line", ["k"]).collect()} for d in (df, df.repartition(7)))
+    a, b = ({(r.k, r.copy): r.noisy for r in noise.synthetic(d, "line", ["k"], table).collect()} for d in (df, df.repartition(7)))
     assert a == b and len(a) == 100 and len(set(a.values())) > 20
-
-
-def test_noise_of_words():
-    r = random.Random(1)
-    for w in ("año", "muñeca", "Bolsa", "zéro", "x"):
-        for _ in range(50):
-            assert noise.miswrite(r, w) != w
-    assert {noise.miswrite(r, "m") for _ in range(9)} == {"rn"} and {noise.miswrite(r, "ñ") for _ in range(9)} == {"n"}
-    assert {noise.miswrite(r, c) for c in "lodgB" for _ in range(9)} == {"1", "0", "cl", "q", "8"}
-    assert noise.miswrite(r, "") == "" and noise.words(r, " a  b ").count(" ") == 4
-    assert all(c.isupper() and c != "Q" for c in (noise.miswrite(r, "Q") for _ in range(50)))
-    for _ in range(50):
-        assert all(a != b for a, b in zip("la casa de los señores".split(), noise.words(r, "la casa de los señores").split(), strict=True))
-
-
-def test_noise_of_old_type():
-    r, n = random.Random(2), 20000
-    once = lambda c: Counter(noise.typeset(r, c) for _ in range(n))
-    for a, b in (("v", "b"), ("b", "v"), ("f", "s"), ("á", "a"), ("a", "á"), ("e", "é"), ("ñ", "n"), ("u", "n")):
-        seen = once(a)
-        assert seen[b] / n == pytest.approx(0.12, abs=0.015) and seen[a + a] / n == pytest.approx(0.88 * 0.03, abs=0.01)
-    seen = once("n")  # n to u is tried before n to ñ
-    assert seen["u"] / n == pytest.approx(0.12, abs=0.015) and seen["ñ"] / n == pytest.approx(0.88 * 0.12, abs=0.015)
-    assert once("ll")["l"] > n * 0.1 and once("rr")["r"] > n * 0.1 and once("l")["ll"] > n * 0.1
-    assert once(" ")[""] / n == pytest.approx(0.97 * 0.04, abs=0.01)
-
-
-def test_generic_noise():
-    r, n = random.Random(3), 40000
-    q = 0.03 / 4
-    near = lambda a, b: a / n == pytest.approx(b, abs=0.003)
-    seen = Counter(noise.edit(r, "mx") for _ in range(n))
-    assert near(seen["rnx"], q) and near(seen["x"], q) and near(seen["xm"], q)
-    seen = Counter(noise.edit(r, "xy") for _ in range(n))  # no like one: exchanged
-    assert near(seen["yx"], 2 * q) and not any("q" in k for k in seen)
-    assert {"0", "O", "RN"} <= {noise.edit(r, c, 1.0) for c in ("o", "0", "M") for _ in range(60)}
-
-
-def test_noise_is_of_three_kinds():
-    line = "la casa de los señores fue vista ayer por la mañana"
-    seen = Counter()
-    for s in range(3000):
-        out, x = noise.noisy(line, s), random.Random(s)
-        x = x.random()
-        every = len(out.split(" ")) == len(line.split(" ")) and all(a != b for a, b in zip(line.split(" "), out.split(" "), strict=True))
-        assert x >= 0.33 or every
-        seen["words" if x < 0.33 else "type" if x < 0.66 else "generic"] += 1
-    assert all(v / 3000 == pytest.approx(1 / 3, abs=0.04) for v in seen.values())
+    odd = spark.createDataFrame([(None, None), (None, ""), (1, " "), (2, "x" * 20_000)], "k long, line string")
+    got = Counter((r.gold, len(r.noisy) if r.noisy is not None else None) for r in noise.synthetic(odd, "line", ["k"], table, 2).collect())
+    assert got[None, None] == 2 and got["", 0] == 2 and noise.synthetic(df.limit(0), "line", ["k"], table).count() == 0
+
+
+def test_noise_of_words(spark, readings):
+    seen = forms(spark, noise.word_errors, "tu  Qa", 4000, readings)
+    split = [k.split(" ") for k in seen.elements()]
+    assert {len(x) for x in split} == {3} and all(x[1] == "" and x[0] != "tu" and x[2] != "Qa" for x in split)
+    first = Counter(x[0] for x in split)
+    assert first["7u"] / 4000 == pytest.approx(0.25, abs=0.03) and not any("never" in k for k in first)  # one error, in the first place
+    both = sum(n for k, n in first.items() if k[0] == "7" and k[1:] != "u") / 4000
+    assert both == pytest.approx(0.5, abs=0.03) and len(first) == 51  # 25 other letters behind t or 7, and 7u
+    assert all(x[2][0] == "Q" or (x[2][0].isupper() and x[2][0].isascii()) for x in split)
+    assert set(forms(spark, noise.word_errors, "ß", 50, readings)) == {"ss"} and set(forms(spark, noise.word_errors, "", 5, readings)) == {""}
+    assert len(forms(spark, noise.word_errors, "7", 2000, readings)) == 26
+
+
+def test_noise_of_old_type(spark, readings):
+    n = 20_000
+    near = lambda x, p: x / n == pytest.approx(p, abs=0.012)
+    seen = forms(spark, noise.old_type, "k", n, readings)  # k to h is tried before k to x
+    assert near(seen["h"], 0.12) and near(seen["x"], 0.88 * 0.12) and near(seen["kk"], 0.88**2 * 0.03) and near(seen["k"], 0.88**2 * 0.97)
+    seen = forms(spark, noise.old_type, "xy", n, readings)  # the pair is tried before its first letter
+    assert near(seen["z"], 0.12) and near(seen["yy"], 0.88 * 0.12 * 0.97)
+    seen = forms(spark, noise.old_type, "xxx", n, readings)
+    assert near(sum(v for k, v in seen.items() if len(k) == 1), 0)  # a pair takes the letter behind it along: never two of three
+    seen = forms(spark, noise.old_type, " ", n, readings)
+    assert near(seen[""], 0.97 * 0.04) and near(seen["  "], 0.03)
+
+
+def test_noise_of_edits(spark, readings):
+    n, q = 40_000, 0.03 / 4
+    near = lambda x, p: x / n == pytest.approx(p, abs=0.003)
+    seen = forms(spark, noise.edits, "kA", n, readings)
+    assert near(seen["lcA"], q) and near(seen["A"], q) and near(seen["Ak"], q) and near(sum(v for k, v in seen.items() if len(k) == 3 and k[0] == "k" and k[2] == "A"), q)
+    seen = forms(spark, noise.edits, "ab", n, readings)
+    assert near(seen["ba"], 2 * q)  # without a like letter: exchanged
+    seen = forms(spark, noise.edits, "Kk", 400, readings, 1.0)
+    assert any(k.startswith("LC") for k in seen) and any(k.endswith("lc") for k in seen)
+    long = forms(spark, noise.edits, "a" * 30_000, 2, readings)
+    assert all(abs(len(k) - 30_000) < 120 for k in long)
+
+
+def test_noise_is_of_three_kinds(spark, readings):
+    line, n = "la casa de los", 3000
+    salts = spark.range(n).select(F.col("id").cast("string").alias("s"), F.lit(line).alias("t"))
+    kinds = [F.when(noise.noisy(F.col("t"), F.col("s"), readings) == f(F.col("t"), F.col("s"), readings), 1).otherwise(0) for f in (noise.word_errors, noise.old_type, noise.edits)]
+    got = salts.select(*kinds).collect()
+    assert all(any(r) for r in got) and sum(r[0] for r in got) / n == pytest.approx(0.33, abs=0.03)
+
+
+def test_tables_of_readings_are_checked(spark):
+    for bad in (("word", 0, "ab", "x"), ("type", 0, "abc", "x"), ("type", 0, "", "x")):
+        with pytest.raises(ValueError):
+            noise.readings(spark.createDataFrame([bad], "kind string, place int, seen string, read string"))
+    empty = noise.readings(spark.createDataFrame([], "kind string, place int, seen string, read string"))
+    assert set(forms(spark, noise.old_type, "ab", 200, empty)) <= {"ab", "aab", "abb", "aabb"}
 
 
 def test_tfidf(spark):
