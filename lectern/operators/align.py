@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import half_even, macro
 from ..functions.text import let, normalise
+from . import page_table
+from .page_table import MATCH, SKIP_PRED, SKIP_TRUTH
 from .spread import spread
 
 #: The nearest-match search holds all candidates in one array; more bytes than these are first searched by shared grams.
 CANDIDATE_BYTES = 8 << 20
 #: Letters in a gram, and the distances up to which lines are searched by these, one after another.
 GRAM, REACH = 3, (1, 2, 4, 8)
-#: Lines of a page that are aligned by expressions; longer pages go to a task's own table.
-PAGE_LINES = 64
 
 
 def positional(left: DataFrame, right: DataFrame, keys: list[str], text_col: str = "gt") -> DataFrame:
@@ -93,11 +93,8 @@ def nearest(preds: DataFrame, truth: DataFrame, pred_col: str = "pred", text_col
     return preds.join(known, F.lower(F.col(pred_col)) == F.col("__x"), "left").select(out)
 
 
-MATCH, SKIP_PRED, SKIP_TRUTH = 0, 1, 2
-
-
 def alignment_path(p: Column, g: Column) -> Column:
-    """The cheapest monotone alignment of two arrays of lines, as a struct of cost and path.
+    """The cheapest monotone alignment of two arrays of up to a few dozen lines, as a struct of cost and path, for use in expressions.
 
     The path has M for a matched pair, P for a prediction without partner, G for a truth line without.  Costs are the
     distance of lower-cased lines, and a skipped line's length; ties go to M, then P, then G.  The table is folded row by
@@ -136,74 +133,24 @@ def _path(p: Column, g: Column, low_p: Column, low_g: Column) -> Column:
     return F.when(F.size(g) == 0, only_pred).when(F.size(p) == 0, only_truth).otherwise(F.struct(last["c"].alias("cost"), last["path"].alias("path")))
 
 
-PAIR = "page_id long, pred_idx int, pred_text string, matched_gt string, matched_gt_idx int, edit_distance int, cer double, was_shifted boolean, skipped boolean, path_cost int"
-
-
 def align_pages(preds: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per prediction, in page order: its partner in the page's cheapest monotone alignment, or skipped.
 
-    preds: page_id, pred_idx, pred; truth: page_id, gt_idx, gt.  One shuffle brings a page's lines together; pages of up
-    to PAGE_LINES lines are aligned by expressions, longer ones by a table in the page's task.
+    preds: page_id, pred_idx, pred; truth: page_id, gt_idx, gt.  One shuffle brings a page's lines together, and a table in
+    the page's task aligns them (`page_table`); a page's arrays are in its rows no more.  A null line is an empty one; a page
+    without predictions has no rows, one without truth has all of its predictions skipped.
     """
     ordered = lambda d, i, x, name: spread(d, "page_id").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(i).cast("int").alias("i"), F.coalesce(F.col(x), F.lit("")).alias("x")))), lambda s: s["x"]).alias(name))
     pages = ordered(preds, "pred_idx", "pred", "p").join(ordered(truth, "gt_idx", "gt", "g"), "page_id", "left").withColumn("g", F.coalesce("g", F.array().cast("array<string>")))
-    short = (F.size("p") <= PAGE_LINES) & (F.size("g") <= PAGE_LINES)
-    by_expression = pages.where(short).withColumn("a", alignment_path(F.col("p"), F.col("g"))).select("page_id", "p", "g", F.col("a.cost").alias("cost"), F.col("a.path").alias("path"))
-    by_table = pages.where(~short).mapInPandas(_long_pages, "page_id long, p array<string>, g array<string>, cost int, path string")
-    return rows_of_paths(by_expression.unionAll(by_table))
-
-
-def rows_of_paths(pages: DataFrame) -> DataFrame:
-    """The alignment rows of pages with their cheapest path."""
-    steps = pages.select("*", F.posexplode(F.filter(F.split("path", ""), lambda c: c != "")).alias("at", "op"))
-    done = F.substring("path", F.lit(1), F.col("at"))
-    steps = steps.where("op <> 'G'").withColumns({"pi": F.length(F.translate(done, "G", "")), "gi": F.length(F.translate(done, "P", ""))})
-    hit = F.col("op") == "M"
-    text, match = F.get("p", F.col("pi")), F.when(hit, F.get("g", F.col("gi"))).otherwise("")
-    distance = F.when(hit, F.levenshtein(F.lower(text), F.lower(match))).otherwise(F.length(text))
-    index = F.when(hit, F.col("gi")).otherwise(-1)
-    return steps.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("pi").alias("pred_idx"), text.alias("pred_text"), match.alias("matched_gt"), index.alias("matched_gt_idx"), distance.alias("edit_distance"),
-        half_even(distance / F.greatest(F.length(match), F.lit(1)), 4).alias("cer"), (hit & (index != F.col("pi"))).alias("was_shifted"), (~hit).alias("skipped"), F.col("cost").alias("path_cost"),
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "p", "g").mapInArrow(page_table.partners, page_table.PARTNERS)
+    hit, match = F.col("matched_gt_idx") >= 0, F.col("matched_gt")
+    distance = F.when(hit, F.levenshtein(F.lower("pred_text"), F.lower(match))).otherwise(F.length("pred_text"))
+    return rows.select(
+        "page_id", "pred_idx", "pred_text", "matched_gt", "matched_gt_idx", distance.alias("edit_distance"), half_even(distance / F.greatest(F.length(match), F.lit(1)), 4).alias("cer"),
+        (hit & (F.col("matched_gt_idx") != F.col("pred_idx"))).alias("was_shifted"), (~hit).alias("skipped"), "path_cost",
     )
 
 
-def _long_pages(batches):
-    import numpy as np
-
-    def distance(a: str, b: str) -> int:
-        x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-        row = np.arange(len(y) + 1)
-        step = np.arange(len(y) + 1)
-        for i, c in enumerate(x):
-            best = np.minimum(row[1:] + 1, row[:-1] + (y != c))
-            new = np.concatenate([[i + 1], best])
-            row = np.minimum.accumulate(new - step) + step
-        return int(row[-1])
-
-    def path(p: list[str], g: list[str]) -> tuple[int, str]:
-        low_p, low_g = [x.lower() for x in p], [x.lower() for x in g]
-        cost = np.zeros((len(p) + 1, len(g) + 1), np.int64)
-        took = np.zeros(cost.shape, np.uint8)
-        cost[1:, 0], took[1:, 0] = np.cumsum([len(x) for x in p]), SKIP_PRED
-        cost[0, 1:], took[0, 1:] = np.cumsum([len(x) for x in g]), SKIP_TRUTH
-        for i, x in enumerate(low_p, 1):
-            for j, y in enumerate(low_g, 1):
-                options = (cost[i - 1, j - 1] + distance(x, y), cost[i - 1, j] + len(p[i - 1]), cost[i, j - 1] + len(g[j - 1]))
-                took[i, j] = options.index(min(options))
-                cost[i, j] = options[took[i, j]]
-        i, j, out = len(p), len(g), []
-        while i or j:
-            op = took[i, j]
-            out.append("MPG"[op])
-            i, j = i - (op != SKIP_TRUTH), j - (op != SKIP_PRED)
-        return int(cost[-1, -1]), "".join(reversed(out))
-
-    for df in batches:
-        got = [path(list(p), list(g)) for p, g in zip(df.p, df.g, strict=True)]
-        yield df.assign(cost=[c for c, _ in got], path=[x for _, x in got])[["page_id", "p", "g", "cost", "path"]]
-
-
 def aggregate_rates(pairs: DataFrame, *keys: str) -> DataFrame:
     """Case-insensitive rates over matched lines, and counts of shifted, skipped and all."""
     kept = ~F.col("skipped")

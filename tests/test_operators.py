@@ -1,12 +1,13 @@
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import align, changes, image, noise, report, rules, signal, split, stages, tfidf
+from lectern.operators import align, changes, distance, image, noise, page_table, report, rules, signal, split, stages, tfidf
 
 
 def page(spark, preds, truth, page_id=1):
@@ -71,8 +72,64 @@ def test_alignment_forms_agree(spark):
     cases = [([("".join(r.choice("abC ") for _ in range(r.randint(0, 6)))) for _ in range(r.randint(1, 5))], ["".join(r.choice("abC ") for _ in range(r.randint(0, 6))) for _ in range(r.randint(0, 5))]) for _ in range(40)]
     df = spark.createDataFrame([(i, p, g) for i, (p, g) in enumerate(cases)], "page_id long, p array<string>, g array<string>")
     a = {x.page_id: tuple(x.a) for x in df.select("page_id", align.alignment_path(F.col("p"), F.col("g")).alias("a")).collect()}
-    b = {x.page_id: (x.cost, x.path) for x in df.mapInPandas(align._long_pages, "page_id long, p array<string>, g array<string>, cost int, path string").collect()}
-    assert a == b == {i: path_of(*c) for i, c in enumerate(cases)}
+    assert a == {i: path_of(*c) for i, c in enumerate(cases)}
+    for t, (cost, path) in zip(page_table._tables(cases), (path_of(*c) for c in cases), strict=True):
+        assert as_path(t) == (cost, path)
+
+
+def as_path(table):
+    """Cost and path letters of a table's matches."""
+    cost, match = table.best()
+    out, j = [], 0
+    for i in match.tolist():
+        if i >= 0:
+            out.append("G" * (i - j) + "M")
+            j = i + 1
+        else:
+            out.append("P")
+    return cost, "".join(out) + "G" * (len(table.lg) - j)
+
+
+@pytest.mark.parametrize(("band", "cells", "pairs"), [(1, 1 << 26, 1 << 16), (1, 1, 7), (2, 40, 50), (64, 30, 1)])
+def test_bands_and_kept_rows_change_nothing(monkeypatch, band, cells, pairs):
+    """Narrow bands, tables beyond what is held, and few pairs at once: the plain table's matches, ties included."""
+    for k, v in (("BAND", band), ("CELLS", cells), ("PAIRS", pairs)):
+        monkeypatch.setattr(page_table, k, v)
+    r = random.Random(band)
+    line = lambda k: "".join(r.choice("abC ") for _ in range(r.randint(0, k)))
+    for n in range(60):
+        g = [line(6) for _ in range(r.randint(0, 14))]
+        p = [x for x in g if r.random() < 0.8] if n % 2 else [line(6) for _ in range(r.randint(1, 14))]
+        p = [x[: r.randint(0, 6)] + r.choice(["", "a"]) for x in p] + [line(4)] * (n % 3)
+        cost, path = path_of(p, g)
+        got = as_path(page_table.Table(p, g))
+        # a skipped prediction and a skipped truth line between two matches may stand in either order
+        assert got[0] == cost and [i for i, c in enumerate(got[1].replace("G", "")) if c == "M"] == [i for i, c in enumerate(path.replace("G", "")) if c == "M"] and got[1].replace("P", "") == path.replace("P", "")
+
+
+def test_a_long_page_takes_little():
+    """2,000 x 2,000 lines: within a band, and all cells of the table in bytes."""
+    r = random.Random(4)
+    g = ["".join(r.choice("abcdefghij ") for _ in range(50)) for _ in range(2000)]
+    p = [x[:10] + "z" + x[11:] for i, x in enumerate(g) if i % 50]
+    tracemalloc.start()
+    cost, match = page_table.Table(p, g).best()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cost == len(p) + 50 * 40 and match.tolist() == [i for i in range(2000) if i % 50] and peak < 300 << 20
+
+
+def test_distances_by_bits():
+    r = random.Random(6)
+    s = ["".join(r.choice("abé日") for _ in range(r.choice([0, 1, 3, 63, 64, 65, 128, 129, 200]))) for _ in range(40)]
+    s += [x[:5] + "z" + x[6:] for x in s]
+    a, b = np.array([[r.randrange(80), r.randrange(80)] for _ in range(300)]).T
+    want = [plain_distance(s[i], s[j]) for i, j in zip(a, b, strict=True)]
+    assert distance.distances(s, a, b).tolist() == want
+    for name, value in (("LONG", 100), ("VECTORS", 60), ("MASKS", 40)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(distance, name, value)
+            assert distance.distances(s, a, b).tolist() == want
 
 
 def plain_distance(a, b):
