@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import half_even, macro
 from ..functions.text import let, normalise
+from ..sources import shared
 from . import page_table
 from .page_table import MATCH, SKIP_PRED, SKIP_TRUTH
 from .spread import spread
@@ -17,6 +18,8 @@ from .spread import spread
 CANDIDATE_BYTES = 8 << 20
 #: Letters in a gram, and the distances up to which lines are searched by these, one after another.
 GRAM, REACH = 3, (1, 2, 4, 8)
+#: Hashes of grams that lines are counted by; pivots, their letters where there is a choice, rings, and lines that one part of a ring has.
+BUCKETS, PIVOTS, PIVOT_LETTERS, RINGS, PART = 1 << 16, 16, 256, 1 << 16, 4096
 
 
 def positional(left: DataFrame, right: DataFrame, keys: list[str], text_col: str = "gt") -> DataFrame:
@@ -50,9 +53,24 @@ def _best(text: Column, candidates: Column) -> Column:
 
 
 def _grams(x: Column) -> Column:
-    """Distinct grams in one global order."""
-    all_ = F.transform(F.sequence(F.lit(1), F.length(x) - (GRAM - 1)), lambda i: F.substring(x, i, F.lit(GRAM)))
-    return F.when(F.length(x) >= GRAM, F.transform(F.array_sort(F.transform(F.array_distinct(all_), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda s: s["g"])).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(x) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (GRAM - 1)), lambda i: F.substring(x, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def _gram_counts(lines: DataFrame) -> DataFrame:
+    """One row `seen`: the number of lines with a gram of each of BUCKETS hashes."""
+    counts = lines.select(F.explode(_grams(F.col("t"))).alias("g")).groupBy(F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+    every = lines.sparkSession.range(BUCKETS).withColumnRenamed("id", "b").join(counts, "b", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.coalesce("n", F.lit(0)).alias("n")))), lambda s: s["n"]).alias("seen"))
+
+
+def _rare_first(x: str, counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows with the grams `g` of x in one order for all: those that few lines have come first."""
+
+    def ordered(grams: Column, seen: Column) -> Column:
+        keyed = F.transform(grams, lambda g: F.struct(F.get(seen, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")).alias("n"), F.xxhash64(g).alias("h"), g.alias("g")))
+        return F.transform(F.array_sort(keyed), lambda s: s["g"])
+
+    return rows.crossJoin(F.broadcast(counts)).withColumn("g", let(ordered, grams=_grams(F.col(x)), seen=F.col("seen"))).drop("seen")  # one row of BUCKETS numbers
 
 
 def _by_grams(texts: DataFrame, lines: DataFrame, reach: int) -> DataFrame:
@@ -61,34 +79,61 @@ def _by_grams(texts: DataFrame, lines: DataFrame, reach: int) -> DataFrame:
     Such a pair shares one of the first GRAM * reach + 1 grams of either side; texts with fewer grams aren't asked for.
     """
     most = GRAM * reach + 1
-    asked = texts.withColumn("g", _grams(F.col("x"))).where(F.size("g") >= most).select("x", F.explode(F.slice("g", 1, most)).alias("gram"))
-    held = lines.withColumn("g", _grams(F.col("t"))).select("t", F.explode(F.slice("g", 1, most)).alias("gram"))
+    asked = texts.where(F.size("g") >= most).select("x", F.explode(F.slice("g", 1, most)).alias("gram"))
+    held = lines.select("t", F.explode(F.slice("g", 1, most)).alias("gram"))
     pairs = asked.join(held, "gram").where(F.abs(F.length("x") - F.length("t")) <= reach).select("x", "t").distinct()
     near = pairs.withColumn("d", F.levenshtein("x", "t", reach)).where("d >= 0").join(lines, "t")
     return near.groupBy("x").agg(F.min(F.struct(F.col("d").alias("distance"), "i", "gt")).alias("m"))
 
 
+def _by_pivots(texts: DataFrame, lines: DataFrame, folder: str) -> DataFrame:
+    """(x, m) of every text, whatever its distance: by distances from a few lines, the pivots.
+
+    A line lies in the cell of its nearest pivot, on a ring of its distance from that.  The nearest pivot bounds how far a
+    text's nearest line can be, so it asks only rings that a line within this bound can lie on, and compares only lines
+    whose distances from all pivots allow it.  A ring with many lines is dealt into parts of about PART.
+    """
+    pivots = [r.t for r in lines.orderBy(F.length("t") > PIVOT_LETTERS, F.xxhash64("t"), "t").limit(PIVOTS).select("t").collect()]
+    far = lambda c: F.array(*(F.levenshtein(F.col(c), F.lit(p)) for p in pivots))
+    held = lines.withColumn("v", far("t")).withColumn("cell", F.array_position("v", F.array_min("v")).cast("int"))
+    longest = lines.agg(F.max(F.length("t"))).first()[0]
+    width = 1 + PIVOTS * (longest + 1) // RINGS
+    held = shared.saved(held.withColumn("ring", F.floor(F.element_at("v", F.col("cell")) / width).cast("int")).drop("g"), folder, "held")
+    rings = held.groupBy("cell", "ring").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # RINGS rows at most
+    asked = texts.select("x", far("x").alias("u")).withColumn("reach", F.array_min("u")).select("x", "u", "reach", F.posexplode("u").alias("cell", "d"))
+    asked = asked.withColumn("cell", F.col("cell") + 1).join(F.broadcast(rings), "cell").where(f"ring between floor((d - reach) / {width}) and floor((d + reach) / {width})")
+    asked = asked.select("x", "u", "reach", "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    held = held.join(F.broadcast(rings), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")).drop("parts")
+    apart = F.array_max(F.zip_with("u", "v", lambda a, b: F.abs(a - b)))
+    pairs = asked.join(held, ["cell", "ring", "part"]).where((F.abs(F.length("x") - F.length("t")) <= F.col("reach")) & (apart <= F.col("reach")))
+    near = pairs.withColumn("d", F.call_function("levenshtein", F.col("x"), F.col("t"), F.col("reach"))).where("d >= 0")
+    return near.groupBy("x").agg(F.min(F.struct(F.col("d").alias("distance"), "i", "gt")).alias("m"))
+
+
 def nearest(preds: DataFrame, truth: DataFrame, pred_col: str = "pred", text_col: str = "gt", index_col: str = "gt_idx") -> DataFrame:
     """Each prediction with the truth line of least distance, lower-cased; the lowest index wins ties; lines may repeat.
 
     The lines go to the tasks as one array if their size is below the bound, and no pair becomes a row.  Otherwise distinct
-    predictions look for lines by shared grams, in growing distance; those that have none near are compared with all
-    lines, in blocks of that size.  A null prediction, or any without truth lines, has a null partner; null lines are none.
+    predictions look for lines by shared grams, in growing distance, and those that have none near by distances from
+    pivots.  A null prediction, or any without truth lines, has a null partner; null lines are none.
     """
     lines = truth.where(F.col(text_col).isNotNull()).select(F.lower(F.col(text_col)).alias("t"), F.col(index_col).cast("long").alias("i"), F.col(text_col).alias("gt"))
     size = lines.agg(F.coalesce(F.sum(F.length("t") * 2 + 32), F.lit(0))).first()[0]
     out = [*preds.columns, F.col("__m.distance").alias("distance"), F.col("__m.i").alias("matched_idx"), F.col("__m.gt").alias("matched_gt")]
-    packed = lambda d: d.agg(F.array_sort(F.collect_list(F.struct("i", "t", "gt"))).alias("__all"))
     if size <= CANDIDATE_BYTES:
-        return spread(preds).crossJoin(F.broadcast(packed(lines))).withColumn("__m", _best(F.lower(F.col(pred_col)), F.col("__all"))).select(out)  # one row, of checked size
+        packed = lines.agg(F.array_sort(F.collect_list(F.struct("i", "t", "gt"))).alias("__all"))
+        return spread(preds).crossJoin(F.broadcast(packed)).withColumn("__m", _best(F.lower(F.col(pred_col)), F.col("__all"))).select(out)  # one row, of checked size
+    folder = shared.new_folder(preds.sparkSession, "nearest")
     lines = lines.groupBy("t").agg(F.min(F.struct("i", "gt")).alias("m")).select("t", "m.*")
-    left = preds.select(F.lower(F.col(pred_col)).alias("x")).where("x is not null").distinct()
+    counts = shared.saved(_gram_counts(lines), folder, "counts")
+    lines = shared.saved(_rare_first("t", counts, lines), folder, "lines")
+    left = shared.saved(_rare_first("x", counts, preds.select(F.lower(F.col(pred_col)).alias("x")).where("x is not null").distinct()), folder, "texts")
     found = []
     for reach in REACH:
-        found.append(_by_grams(left, lines, reach))
+        found.append(shared.saved(_by_grams(left, lines, reach), folder, f"found-{reach}"))
         left = left.join(found[-1], "x", "left_anti")
-    blocks = lines.groupBy(F.pmod(F.xxhash64("t"), F.lit(-(-size // CANDIDATE_BYTES))).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "t", "gt"))).alias("__all"))
-    found.append(left.crossJoin(blocks).select("x", _best(F.col("x"), F.col("__all")).alias("m")).groupBy("x").agg(F.min("m").alias("m")))  # a row for each block, not for each line
+    left = shared.saved(left.select("x"), folder, "strangers")
+    found.append(shared.saved(_by_pivots(left, lines, folder), folder, "found"))
     known = reduce(DataFrame.unionByName, found).select(F.col("x").alias("__x"), F.col("m").alias("__m"))
     return preds.join(known, F.lower(F.col(pred_col)) == F.col("__x"), "left").select(out)
 

@@ -141,11 +141,11 @@ def plain_distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize(("bound", "reach"), [(8 << 20, (1, 2, 4, 8)), (300, (1, 2, 4, 8)), (300, (1,))])
-def test_nearest(spark, monkeypatch, bound, reach):
-    """One array, or grams in growing distance and then blocks: the same as comparing all."""
-    monkeypatch.setattr(align, "CANDIDATE_BYTES", bound)
-    monkeypatch.setattr(align, "REACH", reach)
+@pytest.mark.parametrize(("bound", "reach", "rings", "part"), [(8 << 20, (1, 2, 4, 8), 1 << 16, 4096), (300, (1, 2, 4, 8), 1 << 16, 4096), (300, (1,), 40, 2), (300, (), 1 << 16, 1)])
+def test_nearest(spark, monkeypatch, bound, reach, rings, part):
+    """One array, or grams in growing distance and then pivots: the same as comparing all."""
+    for name, value in (("CANDIDATE_BYTES", bound), ("REACH", reach), ("RINGS", rings), ("PART", part), ("PIVOTS", 5)):
+        monkeypatch.setattr(align, name, value)
     r = random.Random(8)
     word = lambda n: "".join(r.choice("abcdE ") for _ in range(n))
     truth = [word(r.randint(0, 40)) for _ in range(40)] + ["abc", "abd", "ABC", "", None]
@@ -165,6 +165,21 @@ def test_nearest(spark, monkeypatch, bound, reach):
     assert {(r.distance, r.matched_idx) for r in align.nearest(p, g.where("false")).collect()} == {(None, None)}
 
 
+def test_nearest_of_many_with_strangers(spark, monkeypatch):
+    """1,500 texts, a third of them like no line, against 1,500 lines beyond the array's bound: by bits, all compared."""
+    monkeypatch.setattr(align, "CANDIDATE_BYTES", 1000)
+    r = random.Random(19)
+    word = lambda: "".join(r.choice("etaoinshr ") for _ in range(r.randint(20, 60)))
+    lines = [word() for _ in range(1500)]
+    texts = [lines[i][:k] + r.choice("xyz") + lines[i][k + r.randint(0, 2) :] if i % 3 else word() for i, k in ((i, r.randint(0, 20)) for i in range(1500))]
+    a, b = np.divmod(np.arange(1500 * 1500), 1500)
+    d = distance.distances(texts + lines, a, b + 1500).reshape(1500, 1500)
+    g = spark.createDataFrame(list(enumerate(lines)), "gt_idx long, gt string")
+    p = spark.createDataFrame(list(enumerate(texts)), "k int, pred string")
+    out = align.nearest(p, g)
+    assert {r.k: (r.distance, r.matched_idx) for r in out.collect()} == {i: (int(d[i].min()), int(d[i].argmin())) for i in range(1500)}
+
+
 def test_positional(spark):
     p, g = page(spark, ["a", "b"], ["x", "y", "z"])
     p, g = p.withColumnRenamed("pred_idx", "pos"), g.withColumnRenamed("gt_idx", "pos")
