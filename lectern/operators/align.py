@@ -188,11 +188,16 @@ def align_pages(preds: DataFrame, truth: DataFrame) -> DataFrame:
     ordered = lambda d, i, x, name: spread(d, "page_id").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(i).cast("int").alias("i"), F.coalesce(F.col(x), F.lit("")).alias("x")))), lambda s: s["x"]).alias(name))
     pages = ordered(preds, "pred_idx", "pred", "p").join(ordered(truth, "gt_idx", "gt", "g"), "page_id", "left").withColumn("g", F.coalesce("g", F.array().cast("array<string>")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "p", "g").mapInArrow(page_table.partners, page_table.PARTNERS)
+    return pair_rows(rows)
+
+
+def pair_rows(partners: DataFrame, *more: str) -> DataFrame:
+    """Rows of `page_table.PARTNERS` with distances, rates and flags, and `more` of their columns."""
     hit, match = F.col("matched_gt_idx") >= 0, F.col("matched_gt")
     distance = F.when(hit, F.levenshtein(F.lower("pred_text"), F.lower(match))).otherwise(F.length("pred_text"))
-    return rows.select(
+    return partners.select(
         "page_id", "pred_idx", "pred_text", "matched_gt", "matched_gt_idx", distance.alias("edit_distance"), half_even(distance / F.greatest(F.length(match), F.lit(1)), 4).alias("cer"),
-        (hit & (F.col("matched_gt_idx") != F.col("pred_idx"))).alias("was_shifted"), (~hit).alias("skipped"), "path_cost",
+        (hit & (F.col("matched_gt_idx") != F.col("pred_idx"))).alias("was_shifted"), (~hit).alias("skipped"), "path_cost", *more,
     )
 
 

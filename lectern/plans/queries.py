@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import align, changes, image, noise, report, rules, signal, split, tfidf
-from ..sources import package, readers, writers
+from ..sources import package, readers, shared, writers
+from ..streaming import pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +180,23 @@ def nw_align(spark, sf_dir):
     return align.align_pages(*turns(spark, sf_dir))
 
 
+def stream_align(spark, sf_dir):
+    """The alignment of conversations whose turns come as a stream, from the file sink that it writes."""
+    schema = table(spark, sf_dir, "conversations").schema
+    came = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]").withColumn("ts", F.timestamp_seconds(F.col("turn") + 86_400))  # a time of its own for each turn, behind the first watermark
+    keys = [F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("turn")]
+    truth = came.select(*keys, F.col("turn").cast("int").alias("gt_idx"), F.col("text").alias("gt"), "ts")
+    read = F.when(F.col("turn") == 0, F.array(F.struct(F.lit(0).alias("i"), F.concat(F.lit("X "), "role").alias("x")), F.struct(F.lit(1).alias("i"), T.swapped(F.col("text")).alias("x"))))
+    read = came.where("turn <> 1").select("conv_id", "ts", F.explode(read.otherwise(F.array(F.struct(F.col("turn").cast("int").alias("i"), T.swapped(F.col("text")).alias("x"))))).alias("p"))
+    preds = read.select(F.col("conv_id").alias("page_id"), F.col("p.i").alias("pred_idx"), F.col("p.x").alias("pred"), "ts")
+    p, g = turns(spark, sf_dir)
+    sizes = g.groupBy("page_id").agg(F.count("*").cast("int").alias("n_truth")).join(p.groupBy("page_id").agg(F.count("*").cast("int").alias("n_pred")), "page_id")
+    folder = shared.new_folder(spark, "stream")
+    rows = pages.align_stream(pages.page_lines(preds, truth, shared.saved(sizes, folder, "sizes")))
+    pages.start(rows, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 def aggregate_cer(spark, sf_dir):
     return align.aggregate_rates(align.align_pages(*turns(spark, sf_dir)), "page_id")
 
@@ -455,7 +473,7 @@ def throughput_words(spark, sf_dir):
 
 NAMES = (
     "accent_norm_n1 accent_norm_n2 words_distinct oov_rate cedilla_rule uv_fs_variants apply_rules rules_on_lines cer_micro_by_lang cer_macro_by_lang cer_spacefree wer_pair bleu_sentence jaccard cosine_bow "
-    "tfidf_cosine_word tfidf_cosine_charwb wordcount_guard positional_outer positional_anti sequential_cer best_match nw_align aggregate_cer exclusion_report stage_rates band_report improvement_flags wer_corpus bleu_corpus cosine_counts metric_bundle stage_report run_summary skipped_folders first_lines token_spans folder_rollup page_documents surface_forms spelling_errors nested_forms "
+    "tfidf_cosine_word tfidf_cosine_charwb wordcount_guard positional_outer positional_anti sequential_cer best_match nw_align stream_align aggregate_cer exclusion_report stage_rates band_report improvement_flags wer_corpus bleu_corpus cosine_counts metric_bundle stage_report run_summary skipped_folders first_lines token_spans folder_rollup page_documents surface_forms spelling_errors nested_forms "
     "text_changes page_split training_pairs augmented_pairs synthetic_noise noise_kinds context_prev3 context_pm5 moving_avg islands autocorr ink_levels cut_segments component_periods line_segments text_line_boxes noise_area_filter changed_counts html_escape word_punct trailing_blank throughput_words"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
