@@ -241,6 +241,7 @@ ORACLE = {
     "positional_outer": f"WITH {TURNS} SELECT p.page_id, pred_idx AS pos, pred, coalesce(gt, '') AS gt, gt IS NOT NULL AS matched FROM p LEFT JOIN g ON g.page_id = p.page_id AND gt_idx = pred_idx",
     "positional_anti": f"WITH {TURNS}, l AS (SELECT page_id, max(gt_idx) AS last FROM g GROUP BY page_id) SELECT page_id, gt_idx AS pos, gt FROM g WHERE NOT EXISTS (SELECT 1 FROM p JOIN l USING (page_id) WHERE p.page_id = g.page_id AND pred_idx = gt_idx AND pred_idx < last)",
     "nw_align": f"WITH RECURSIVE {TURNS}, {nw()} SELECT * FROM aligned",
+    "quota_stage": f"SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_input' ELSE 'success' END AS status, md5({swap('text')}) AS digest, CAST(1 AS BIGINT) AS most_requests FROM conversations",
     "stream_align": f"WITH RECURSIVE {TURNS}, {nw()} SELECT *, true AS complete FROM aligned",
     "aggregate_cer": f"""WITH RECURSIVE {TURNS}, {nw()}, s AS (SELECT page_id, CAST(coalesce(sum(edit_distance) FILTER (NOT skipped), 0) AS BIGINT) AS edits, CAST(coalesce(sum(greatest(length(matched_gt), 1)) FILTER (NOT skipped), 0) AS BIGINT) AS ref_len,
         round(coalesce(avg(cer) FILTER (NOT skipped), 0), 9) AS mean_line_cer, count(*) FILTER (was_shifted) AS shifted, count(*) FILTER (skipped) AS skipped, count(*) AS total FROM aligned GROUP BY page_id) SELECT *, edits / greatest(ref_len, 1) AS total_cer FROM s""",

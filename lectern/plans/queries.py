@@ -7,13 +7,14 @@ fixed exchange of letters.  Conversations are pages whose turns are lines.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import align, changes, image, noise, report, rules, signal, split, tfidf
+from ..operators import align, changes, image, ledger, noise, report, rules, signal, split, tfidf
 from ..sources import package, readers, shared, writers
 from ..streaming import pages
 
@@ -197,6 +198,24 @@ def stream_align(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
+def exchanged() -> Callable[[str], str]:
+    """What `T.swapped` does, as a service of a model stage."""
+    to = str.maketrans("uvfsUVFS", "vusfVUSF")
+    return lambda text: text.translate(to)
+
+
+def quota_stage(spark, sf_dir):
+    """Turns answered by a service whose daily quota ends in the first run; a second one asks only for the rest."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    folder = shared.new_folder(spark, "ledger")
+    half = t.select("text").distinct().count() // 2
+    ledger.ask(t, exchanged, folder, per_day=half, every=50)
+    ledger.ask(t, exchanged, folder, every=50)
+    spent = ledger.entries(spark, folder).groupBy("digest").agg(F.sum("requests").alias("requests")).agg(F.max("requests").alias("most"))
+    out = ledger.answered(t, folder, "text", "answer").crossJoin(F.broadcast(spent))  # one row
+    return out.select("conv_id", "turn", "status", F.md5("answer").alias("digest"), F.col("most").alias("most_requests"))
+
+
 def aggregate_cer(spark, sf_dir):
     return align.aggregate_rates(align.align_pages(*turns(spark, sf_dir)), "page_id")
 
@@ -473,7 +492,7 @@ def throughput_words(spark, sf_dir):
 
 NAMES = (
     "accent_norm_n1 accent_norm_n2 words_distinct oov_rate cedilla_rule uv_fs_variants apply_rules rules_on_lines cer_micro_by_lang cer_macro_by_lang cer_spacefree wer_pair bleu_sentence jaccard cosine_bow "
-    "tfidf_cosine_word tfidf_cosine_charwb wordcount_guard positional_outer positional_anti sequential_cer best_match nw_align stream_align aggregate_cer exclusion_report stage_rates band_report improvement_flags wer_corpus bleu_corpus cosine_counts metric_bundle stage_report run_summary skipped_folders first_lines token_spans folder_rollup page_documents surface_forms spelling_errors nested_forms "
+    "tfidf_cosine_word tfidf_cosine_charwb wordcount_guard positional_outer positional_anti sequential_cer best_match nw_align stream_align quota_stage aggregate_cer exclusion_report stage_rates band_report improvement_flags wer_corpus bleu_corpus cosine_counts metric_bundle stage_report run_summary skipped_folders first_lines token_spans folder_rollup page_documents surface_forms spelling_errors nested_forms "
     "text_changes page_split training_pairs augmented_pairs synthetic_noise noise_kinds context_prev3 context_pm5 moving_avg islands autocorr ink_levels cut_segments component_periods line_segments text_line_boxes noise_area_filter changed_counts html_escape word_punct trailing_blank throughput_words"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
