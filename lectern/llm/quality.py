@@ -1,22 +1,25 @@
 """Quality by importance: the ratio of two hashed n-gram models, of target text and of raw text, sampled by Gumbel top-k.
 
 Both models are arrays of fixed size that count hashed words, word pairs and three-byte grams: the raw one over all
-documents, the target one over labelled good ones.  A document's log importance is the sum over its n-grams of the log ratio
-of their probabilities, less a constant for each n-gram: the mean log ratio that parts the labelled good from the bad best,
-since a mixture of good and bad text is what the raw model has seen.  Adding to each a Gumbel number, hashed from its id, and
-taking the k largest samples k documents without replacement in proportion to importance.  k is a parameter; without, it is
-the number of documents of more importance than one.  The k-th largest key is found by counting digits of the keys, in a few
-passes over narrow rows; nothing is sorted or gathered.
+documents, the target one over labelled good ones.  Nothing else enters a document's importance: it is that of `temper`
+n-grams of its mean log ratio, whatever its length, so a long text of one kind weighs no more than a short one.  Adding to
+each log importance a Gumbel number, hashed from its id, and taking the k largest samples k documents without replacement in
+proportion to importance.  A smaller `temper` draws more evenly; `effective_size` says of how many equal documents the
+weights are worth.  k is a count or a share of all rows; by default the share of good ones among the labels, and one standard
+error of it.  The k-th largest key is found by counting digits of the keys, in a few passes over narrow rows; nothing is
+sorted or gathered.
 
 Defined cases: a text without n-grams (null, empty) has log importance 0; texts of any length count whole; a document's key
 depends on its id and text alone, so repeated rows share it; all rows whose key is the k-th largest are in the sample, so it
-has more than k rows where some tie there; a null id hashes as the word null; without labels of both kinds every document
-is kept; an empty table gives an empty one; other columns are ignored, and pass through unchanged where whole rows are asked
-for, whatever they are named.
+has more than k rows where some tie there; a null id hashes as the word null; without labels every document is kept, and none
+is preferred without good ones; an empty table gives an empty one; other columns are ignored, and pass through unchanged
+where whole rows are asked for, whatever they are named.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,9 +31,11 @@ from . import arrays, text
 from .mixing import uniform
 
 BITS = 16
-#: Labelled documents of each kind that are used at most: those whose ids hash lowest.
+#: Labelled good documents that are used at most: those whose ids hash lowest.
 SAMPLE = 20_000
 PRIOR = 5.0
+#: The number of n-grams that a document's mean log ratio counts for.
+TEMPER = 256.0
 KINDS = 3
 U = np.uint64
 
@@ -60,12 +65,14 @@ def _three(data: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, ratio: np.ndarray, least: float):
-        self.ratio, self.least = ratio, least
+    """Log ratios of buckets, the share of good documents among labelled ones, and the tempering."""
+
+    def __init__(self, ratio: np.ndarray, share: float = 1.0, temper: float = TEMPER):
+        self.ratio, self.share, self.temper = ratio, share, temper
 
-    def weight(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log importance of each row; without a bound every document has the same."""
-        return n * (mean - self.least) if np.isfinite(self.least) else np.full(len(n), -np.sign(self.least))
+    def weight(self, mean: np.ndarray) -> np.ndarray:
+        """Log importance of each row."""
+        return self.temper * mean
 
     def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean log ratio of each row, and its number of n-grams.  The kinds of n-gram weigh alike."""
@@ -79,11 +86,9 @@ class Model:
         return total / np.maximum(n, 1), n
 
 
-def labelled(labels: DataFrame, id_col: str, label_col: str, most: int = SAMPLE) -> DataFrame:
-    """Ids and labels of at most `most` documents of each kind; an id with both is bad."""
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__i")).agg(F.min(F.col(label_col)).cast("int").alias("__q"))
-    parts = [one.where(F.col("__q") == q).orderBy(F.xxhash64("__i"), "__i").limit(most) for q in (0, 1)]
-    return parts[0].unionAll(parts[1])
+def labels_of(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """Ids and labels; an id with both is bad."""
+    return labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__i")).agg(F.min(F.col(label_col)).cast("int").alias("__q"))
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -93,15 +98,14 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((t + PRIOR) / (expected + PRIOR)).ravel()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE) -> Model:
-    """Count both models in one pass over all documents, then place the bound by the scores of other labelled ones.
-
-    Half of the labelled documents, by a hash of their ids, are target text; the other half place the bound.
-    """
-    known = F.broadcast(labelled(labels, id_col, label_col, most))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE, temper: float = TEMPER) -> Model:
+    """Count both models in one pass over all documents; target text are at most `most` labelled good ones."""
+    one = labels_of(labels, id_col, label_col)
+    n, good = one.agg(F.count("*"), F.coalesce(F.sum("__q"), F.lit(0))).first()
+    share = min(1.0, good / n + (good / n * (1 - good / n) / n) ** 0.5) if n else 1.0
+    target = F.broadcast(one.where("__q = 1").orderBy(F.xxhash64("__i"), "__i").limit(most))
     rows = docs.select(F.col(id_col).alias("__i"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    half = F.pmod(F.xxhash64(F.lit("half"), "__i"), F.lit(2)) == 0
-    marked = rows.join(known, "__i", "left").select("text", F.when(half, F.col("__q")).alias("__q"))
+    marked = rows.join(target, "__i", "left").select("text", "__q")
 
     def count(batches):
         total = {k: np.zeros(KINDS << BITS, np.int64) for k in ("raw", "target")}
@@ -114,34 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = arrays.collected(marked.mapInArrow(count, arrays.ROWS), KINDS << BITS)
     if "target" not in got or "raw" not in got:
-        return Model(np.zeros(KINDS << BITS), -np.inf)
-    model = Model(log_ratio(got["target"], got["raw"]), -np.inf)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches):
-        for batch, data, at in text.pieces(batches):
-            s, _ = shared.value.score(data, at)
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("__q"), pa.array(s)], names=["i", "q", "s"])
-
-    scores = rows.join(known, "__i").where(~half).select(F.col("__i").cast("string").alias("i"), "text", "__q").mapInArrow(score, "i string, q int, s double")
-    seen = scores.groupBy("i", "q").agg(F.min("s").alias("s")).select("q", "s").toPandas()  # a row for each labelled id: 2 x `most` at most
-    model.least = bound(seen.s.to_numpy(), seen.q.to_numpy())
-    return model
-
-
-def bound(score: np.ndarray, good: np.ndarray) -> float:
-    """The score that parts good from bad with the least loss, a good one lost counting ten times a bad one kept.
-
-    It is the middle of the gap there, so that nothing lies close to it.
-    """
-    if not (good == 1).any() or not (good == 0).any():
-        return -np.inf
-    order = np.argsort(score, kind="stable")
-    s, g = score[order], good[order] == 1
-    lost = np.concatenate([[0], np.cumsum(g)]) / g.sum() * 10
-    kept = 1 - np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
-    i = int(np.argmin(lost + kept))
-    return -np.inf if i == 0 else np.inf if i == len(s) else float(s[i - 1] + s[i]) / 2
+        return Model(np.zeros(KINDS << BITS), share if n else 1.0, temper)
+    return Model(log_ratio(got["target"], got["raw"]), share, temper)
 
 
 def _noise(ident: Column, seed: int) -> Column:
@@ -158,7 +136,7 @@ def scored(docs: DataFrame, model: Model, seed: int = 29, id_col: str = "doc_id"
     def score(batches):
         for batch, data, at in text.pieces(batches):
             s, n = shared.value.score(data, at)
-            w = shared.value.weight(s, n)
+            w = shared.value.weight(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), pa.array(w), pa.array(w + batch.column(2).to_numpy())], names=[id_col, "n_grams", "log_ratio", "log_weight", "gumbel_key"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), _noise(F.col(id_col), seed).alias("noise")).mapInArrow(score, f"`{id_col}` {kind}, n_grams long, log_ratio double, log_weight double, gumbel_key double")
@@ -175,7 +153,7 @@ def sampled(docs: DataFrame, model: Model, end: Cut, seed: int = 29, id_col: str
 
     def score(batches):
         for batch, data, at in text.pieces(with_text(batches)):
-            w = shared.value.weight(*shared.value.score(data, at))
+            w = shared.value.weight(shared.value.score(data, at)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w + batch.column(1).to_numpy())], names=["row", "key"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _noise(F.col(id_col), seed).alias("noise"))
@@ -215,8 +193,18 @@ class Cut:
         return F.lit(self.k > 0) if self.key is None else F.coalesce(in_order(key) >= self.key, F.lit(False))
 
 
-def cut(scores: DataFrame, k: int | None = None) -> Cut:
-    """The end of the k largest keys; without k, as many as have an importance of one or more."""
+def cut(scores: DataFrame, k: int | None = None, share: float = 1.0) -> Cut:
+    """The end of the k largest keys; without k, of a share of all rows."""
     if k is None:
-        k = scores.where("log_weight >= 0").count()
+        k = math.ceil(share * scores.count())
     return Cut(kth_largest(scores.select(in_order(F.col("gumbel_key")).alias("x")), "x", k), k)
+
+
+def effective_size(scores: DataFrame) -> float:
+    """The square of the sum of the weights by the sum of their squares: as many documents if all weigh alike, one if one weighs all."""
+    top = scores.agg(F.max("log_weight")).first()[0]
+    if top is None:
+        return 0.0
+    w = F.exp(F.col("log_weight") - top)
+    total, squares = scores.agg(F.sum(w), F.sum(w * w)).first()
+    return total * total / squares

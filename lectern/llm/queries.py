@@ -112,11 +112,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_grams, log_ratio, log_weight, gumbel_key, kept: whether the importance sample holds the document."""
+    """doc_id, n_grams, log_ratio, log_weight, gumbel_key, kept: whether the importance sample holds the document; k and the effective size of all."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scores = store.saved(quality.scored(docs, model), store.new_folder(spark, "quality"), "scores")
-    return scores.withColumn("kept", quality.cut(scores).holds(F.col("gumbel_key")))
+    end = quality.cut(scores, share=model.share)
+    return scores.withColumns({"kept": end.holds(F.col("gumbel_key")), "k": F.lit(end.k).cast("long"), "effective_size": F.lit(quality.effective_size(scores))})
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

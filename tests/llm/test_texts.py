@@ -343,80 +343,130 @@ def test_quality(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("log_ratio", F.lit(0)).withColumn("row", F.lit("r")).withColumn("noise", F.lit(1))
     lab = spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, quality int")
     model = quality.fit(df, lab)
+    assert model.share == pytest.approx(0.75 + math.sqrt(0.75 * 0.25 / 400))
     scores = quality.scored(df, model).cache()
-    end = quality.cut(scores)
+    end = quality.cut(scores, share=model.share)
+    assert end.k == math.ceil(model.share * 406)
     kept = {r.doc_id for r in scores.where(end.holds(F.col("gumbel_key"))).collect()}
-    assert {i for i in kept if i is not None and i < 400} == {i for i, q in labels if q}
+    good = {i for i, q in labels if q}
+    assert good <= kept and len({i for i in kept if i is not None and i < 400} - good) <= 14
     assert scores.where("doc_id = 1003").first().n_grams > 10**6
     keys = sorted((r.gumbel_key for r in scores.collect()), reverse=True)
     for k in (1, 7, 100):
         end = quality.cut(scores, k)
         assert scores.where(end.holds(F.col("gumbel_key"))).count() == sum(round(x * 1e9) >= round(keys[k - 1] * 1e9) for x in keys) <= k + 1
-    whole = quality.sampled(df, model, quality.cut(scores))
-    assert whole.schema.names == df.columns and Counter(r.doc_id for r in whole.collect()) == Counter(r.doc_id for r in scores.where(quality.cut(scores).holds(F.col("gumbel_key"))).collect())
-    assert quality.fit(df, lab.where("false")).least == -np.inf
+    end = quality.cut(scores, share=0.5)
+    whole = quality.sampled(df, model, end)
+    assert whole.schema.names == df.columns and Counter(r.doc_id for r in whole.collect()) == Counter(r.doc_id for r in scores.where(end.holds(F.col("gumbel_key"))).collect())
     none = quality.scored(df.where("false"), model)
-    assert none.count() == 0 and quality.cut(none).k == 0
+    assert none.count() == 0 and quality.cut(none).k == 0 and quality.effective_size(none) == 0.0
     assert quality.sampled(df.where("false"), model, quality.cut(none)).count() == 0
     free = quality.fit(df, lab.where("false"))
-    assert quality.sampled(df, free, quality.cut(quality.scored(df, free))).count() == len(rows)
+    scores = quality.scored(df, free)
+    assert free.share == 1.0 and quality.effective_size(scores) == pytest.approx(406)
+    assert quality.sampled(df, free, quality.cut(scores, share=free.share)).count() == len(rows)
+    assert quality.fit(df, lab.where("quality = 0")).share == 0.0
+
+
+def plain_grams(t):
+    """Words and pairs of words, A-Z lower-cased, and three-byte grams, each named by its kind."""
+    w = [x.encode() for x in WORD.findall(t.translate(LOWER))]
+    b = t.encode()
+    return [(0, x) for x in w] + [(1, x) for x in zip(w, w[1:])] + [(2, b[i : i + 3]) for i in range(len(b) - 2)]
+
+
+def named(bucket_of, plain, texts):
+    """The bucket of each plain n-gram: the same wherever it stands, and seldom that of another."""
+    seen = {}
+    for t in texts:
+        got, want = bucket_of(t), plain(t)
+        assert len(got) == len(want)
+        for b, g in zip(got, want, strict=True):
+            assert seen.setdefault(g, b) == b, (t, g)
+    assert len(set(seen.values())) > 0.93 * len(seen)
+    return seen
+
+
+def test_grams_of_quality_are_the_plain_ones():
+    texts = [t for t in FUZZ[:600] if t] + [t for _, t in quality_rows()[0]]
+    named(lambda t: [b for x, _ in quality.grams(*text.utf8(pa.array([t]))) for b in x.tolist()], plain_grams, texts)
+    one = [[b for x, _ in quality.grams(*text.utf8(pa.array([t]))) for b in x.tolist()] for t in texts[:200]]
+    both = quality.grams(*text.utf8(pa.array(texts[:200])))
+    assert one == [[b for x, edge in both for b in x[edge[i] : edge[i + 1]].tolist()] for i in range(200)]
+
+
+def test_grams_of_languages_are_the_plain_ones():
+    plain = lambda t: [t.lower()[i : i + k] for i in range(len(t.lower())) for k in (1, 2, 3) if i + k <= len(t.lower())]
+    texts = [t for t in FUZZ[:400] if t]
+    named(lambda t: langid.grams([t])[0].tolist(), plain, texts)
+    bucket, begin, _ = langid.grams(texts)
+    assert [bucket[a:b].tolist() for a, b in zip(begin, begin[1:])] == [langid.grams([t])[0].tolist() for t in texts]
 
 
 def test_quality_is_plain_counting(spark):
-    """Both models counted by dictionaries of hashed n-grams, and the bound by trying all."""
+    """Both models counted by dictionaries of the n-grams themselves, by way of the bucket that each falls into."""
     rows, labels = quality_rows()
     df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
-    half = {r.doc_id: r.h == 0 for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("h")).collect()}
-    grams = {i: [b for x, _ in quality.grams(*text.utf8(pa.array([t]))) for b in x.tolist()] for i, t in rows}
+    name = named(lambda t: [b for x, _ in quality.grams(*text.utf8(pa.array([t]))) for b in x.tolist()], plain_grams, [t for _, t in rows])
+    grams = {i: [(g[0], name[g]) for g in plain_grams(t)] for i, t in rows}
     good = dict(labels)
     raw, target = Counter(), Counter()
     for i, g in grams.items():
         raw.update(g)
-        target.update(g if good[i] and half[i] else [])
-    total = lambda c, kind: max(1, sum(v for b, v in c.items() if b >> quality.BITS == kind))
-    ratio = lambda b: math.log((target[b] + quality.PRIOR) / (raw[b] * total(target, b >> quality.BITS) / total(raw, b >> quality.BITS) + quality.PRIOR))
+        target.update(g if good[i] else [])
+    total = lambda c, kind: sum(v for (k, _), v in c.items() if k == kind)
+    ratio = lambda g: math.log((target[g] + quality.PRIOR) / (raw[g] * total(target, g[0]) / total(raw, g[0]) + quality.PRIOR))
     mean = {i: sum(map(ratio, g)) / len(g) for i, g in grams.items()}
-    held = sorted((mean[i], good[i]) for i in mean if not half[i])
-    n = {q: sum(g == q for _, g in held) for q in (0, 1)}
-    loss = [10 * sum(g for _, g in held[:j]) / n[1] + sum(not g for _, g in held[j:]) / n[0] for j in range(len(held) + 1)]
-    j = loss.index(min(loss))
-    least = (held[j - 1][0] + held[j][0]) / 2
-    for r in quality.scored(df, quality.fit(df, lab)).collect():
+    for r in quality.scored(df, quality.fit(df, lab, temper=40.0)).collect():
         assert (r.n_grams, r.log_ratio) == (len(grams[r.doc_id]), pytest.approx(mean[r.doc_id]))
-        assert r.log_weight == pytest.approx(len(grams[r.doc_id]) * (mean[r.doc_id] - least), abs=1e-6)
+        assert r.log_weight == pytest.approx(40 * mean[r.doc_id], abs=1e-6)
 
 
-def test_quality_samples_by_importance(spark):
-    """Of documents with two weights, as many of each are drawn as a simulation of drawing one after another has it."""
-    n, k = 3000, 900
-    texts = {"the": 0, "zz9": 0}
-    model = quality.Model(np.zeros(quality.KINDS << quality.BITS), 0.0)
-    for t, ratio in (("the", 0.4), ("zz9", -0.1)):
-        for b, _ in quality.grams(*text.utf8(pa.array([t]))):
+def weighted(ratios, n):
+    """Documents of one word each, n of each log ratio, and a model that has these."""
+    model = quality.Model(np.zeros(quality.KINDS << quality.BITS), temper=1.0)
+    words = [f"w{j}" for j in range(len(ratios))]
+    for t, ratio in zip(words, ratios, strict=True):
+        got = [b for b, _ in quality.grams(*text.utf8(pa.array([t])))]
+        model.ratio[got[0]] = 0.0
+        for b in got:
             model.ratio[b] = ratio
-    df = spark.createDataFrame([(i, [*texts][i % 2]) for i in range(2 * n)], "doc_id long, text string")
+    return model, [(i, words[i % len(words)]) for i in range(n * len(words))]
+
+
+def test_quality_samples_by_importance(spark):
+    """Of documents with several weights, as many of each are drawn as theory has it for keys of independent exponentials.
+
+    With weights as far apart as a corpus has them under some tempering, a good part of the sample lies below what a
+    threshold would take.
+    """
+    ratios, n, k = [-3.0, -1.0, 0.0, 1.5, 2.5], 1000, 1700
+    model, rows = weighted(ratios, n)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     scores = quality.scored(df, model).cache()
-    w = {r.text: r.log_weight for r in scores.join(df, "doc_id").select("text", "log_weight").distinct().collect()}
-    assert len(set(w.values())) == 2
-    got = scores.where(quality.cut(scores, k).holds(F.col("gumbel_key"))).join(df, "doc_id").groupBy("text").count().collect()
-    got = {r.text: r["count"] for r in got}
-    r, taken = np.random.default_rng(0), []
-    for _ in range(200):
-        left, drawn = {t: n for t in w}, 0
-        for _ in range(k):
-            a, b = (left[t] * math.exp(w[t]) for t in texts)
-            t = "the" if r.random() < a / (a + b) else "zz9"
-            left[t] -= 1
-            drawn += t == "the"
-        taken.append(drawn)
-    assert sum(got.values()) == k and abs(got["the"] - np.mean(taken)) < 5 * np.std(taken)
+    w = {r.text: math.exp(r.log_weight) for r in scores.join(df, "doc_id").select("text", "log_weight").distinct().collect()}
+    assert len(w) == len(ratios)
+    got = Counter(r.text for r in scores.where(quality.cut(scores, k).holds(F.col("gumbel_key"))).join(df, "doc_id").collect())
+    low, high = 0.0, 1e3
+    for _ in range(100):  # the time at which k of the exponentials have come
+        t = (low + high) / 2
+        low, high = (t, high) if sum(n * (1 - math.exp(-x * t)) for x in w.values()) < k else (low, t)
+    for name, x in w.items():
+        p = 1 - math.exp(-x * t)
+        assert abs(got[name] - n * p) < 5 * math.sqrt(n * p * (1 - p)) + 5, name
+    best = sorted(w, key=w.get)[-2:]
+    assert sum(got.values()) == k and sum(v for g, v in got.items() if g not in best) > 0.1 * k and got[best[0]] < n
+    ess = quality.effective_size(scores)
+    assert ess == pytest.approx((n * sum(w.values())) ** 2 / (n * sum(x * x for x in w.values())), rel=1e-9)
+    even = quality.Model(model.ratio, temper=0.01)
+    assert quality.effective_size(quality.scored(df, even)) > 0.99 * len(rows)
 
 
 def test_quality_keeps_all_ties(spark):
     """More ties at the end than any batch or limit has rows: all of them are in, as few are."""
     for n in (3, 1500):
         df = spark.createDataFrame([(7, "a b c")] * n + [(i, "a b c") for i in range(100, 110)], "doc_id long, text string")
-        scores = quality.scored(df, quality.Model(np.zeros(quality.KINDS << quality.BITS), -np.inf)).cache()
+        scores = quality.scored(df, quality.Model(np.zeros(quality.KINDS << quality.BITS))).cache()
         rank = sorted({(r.gumbel_key, r.doc_id) for r in scores.collect()}, reverse=True)
         at = next(i for i, (_, d) in enumerate(rank) if d == 7)
         for k in (at + 1, at + 2):
