@@ -19,15 +19,15 @@ SURE = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the importance sample: a Gumbel top-k with k the number of documents that the model prefers.
+    """Keeps the importance sample: a Gumbel top-k of as large a share as good documents have among the labels.
 
-    Null and empty texts have importance one, so about half of them may stay; repeated rows stay or go together; of ties at
+    Null and empty texts have importance one, which lies below that of good text and above that of bad; repeated rows stay or go together; of ties at
     the end all stay; texts of any length count whole; an empty table, or one without labels, is kept as it is.
     """
     store.prepare(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = store.saved(quality.scored(docs, model), store.new_folder(spark, "quality"), "scores")
-    return quality.sampled(docs, model, quality.cut(scores))
+    return quality.sampled(docs, model, quality.cut(scores, share=model.share))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
