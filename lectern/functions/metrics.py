@@ -141,13 +141,13 @@ def jaccard(a: Column, b: Column) -> Column:
 def bundle(a: Column, b: Column) -> Column:
     """The pairwise metrics together, rounded to four places for display."""
     parts = {"cer": pair_char_rate(a, b), "wer": pair_word_rate(a, b), "cosine": bag_cosine(a, b), "bleu": sentence_bleu(a, b), "jaccard": jaccard(a, b)}
-    return F.struct(*[F.round(v, 4).alias(k) for k, v in parts.items()])
+    return F.struct(*[half_even(v, 4).alias(k) for k, v in parts.items()])
 
 
 def count_bundle(a: Column, b: Column) -> Column:
     """The pairwise rates with the cosine of counts, rounded to four places for display."""
     parts = {"cer": pair_char_rate(a, b), "wer": pair_word_rate(a, b), "cosine": count_cosine(a, b)}
-    return F.struct(*[F.round(v, 4).alias(k) for k, v in parts.items()])
+    return F.struct(*[half_even(v, 4).alias(k) for k, v in parts.items()])
 
 
 def half_even(x: Column, places: int) -> Column:

@@ -228,9 +228,9 @@ ORACLE = {
     "jaccard": _pair_metric("jaccard", "len(list_intersect(list_distinct(h), list_distinct(r))) / greatest(len(list_distinct(list_concat(h, r))), 1)", LISTS + ", pairs2 AS (SELECT * FROM l)"),
     "cosine_counts": _pair_metric("cosine", "CASE WHEN len(h) = 0 AND len(r) = 0 THEN NULL ELSE " + BAG[BAG.index("WHEN len(h) = 0 OR"):].replace("WHEN", "CASE WHEN", 1) + " END", f", l AS (SELECT lang, {WORD_TERMS.replace('$', 'pred')} AS h, {WORD_TERMS.replace('$', 'line')} AS r FROM pairs), pairs2 AS (SELECT * FROM l)"),
     "metric_bundle": f"""WITH {LINES}, l AS (SELECT lang, pred, line, {toks('pred')} AS ht, {toks('line')} AS rt, {WORD_TERMS.replace('$', 'pred')} AS h, {WORD_TERMS.replace('$', 'line')} AS r FROM pairs), k AS (SELECT *, list_distinct(list_concat(ht, rt)) AS d FROM l),
-        m AS (SELECT lang, round({lev(NS.format('pred'), NS.format('line'))} / greatest(length({NS.format('pred')}), length({NS.format('line')}), 1), 4) AS cer,
-            round(levenshtein(array_to_string(list_transform(ht, lambda w: chr(CAST(list_position(d, w) + 40 AS INTEGER))), ''), array_to_string(list_transform(rt, lambda w: chr(CAST(list_position(d, w) + 40 AS INTEGER))), '')) / greatest(len(ht), len(rt), 1), 4) AS wer,
-            round(CASE WHEN len(h) = 0 AND len(r) = 0 THEN NULL ELSE {BAG} END, 4) AS cosine FROM k)
+        m AS (SELECT lang, round_even({lev(NS.format('pred'), NS.format('line'))} / greatest(length({NS.format('pred')}), length({NS.format('line')}), 1), 4) AS cer,
+            round_even(levenshtein(array_to_string(list_transform(ht, lambda w: chr(CAST(list_position(d, w) + 40 AS INTEGER))), ''), array_to_string(list_transform(rt, lambda w: chr(CAST(list_position(d, w) + 40 AS INTEGER))), '')) / greatest(len(ht), len(rt), 1), 4) AS wer,
+            round_even(CASE WHEN len(h) = 0 AND len(r) = 0 THEN NULL ELSE {BAG} END, 4) AS cosine FROM k)
         SELECT lang, round(avg(cer), 9) AS cer, round(avg(wer), 9) AS wer, round(avg(cosine), 9) AS cosine FROM m GROUP BY lang""",
     "cosine_bow": _pair_metric("cosine", BAG, LISTS + ", pairs2 AS (SELECT * FROM l)"),
     "tfidf_cosine_word": _tfidf(WORD_TERMS),

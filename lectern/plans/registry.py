@@ -1,6 +1,8 @@
 """Registered queries and the SQL that says the same."""
 
-from .oracle import ORACLE
-from .queries import QUERIES
+from . import files, oracle, queries
+
+QUERIES = queries.QUERIES | files.QUERIES
+ORACLE = oracle.ORACLE | files.ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]

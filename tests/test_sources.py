@@ -101,3 +101,22 @@ def test_stream(spark, tmp_path):
     q = running.start(running.running_rates(running.predictions(spark, str(tmp_path / "in"), 1)), lambda df, n: got.update({r.page_id: (r.edits, r.ref_len, r.lines) for r in df.collect()}), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert got == {1: (1, 4, 2), 2: (2, 2, 1)}
+
+
+def test_json_arrays_and_files_of_pages(spark, tmp_path):
+    """Arrays with nulls, quotes and no rows at all; files that are written twice."""
+    from lectern.sources import package
+
+    package.send(spark)
+    rows = [("a", None, "g \"1\"\n", "p/0"), ("b", "r", "g2", "p/1"), (None, None, None, "p/2")] * 50
+    df = spark.createDataFrame(rows, "ocr_output string, rule_corrected string, ground_truth string, image_path string").repartition(3)
+    writers.json_array(df, f"file://{tmp_path}/arrays")
+    got = readers.predictions(spark, f"file://{tmp_path}/arrays").select(*df.columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((o, r if r is not None else o, g, i)) for o, r, g, i in rows)
+    writers.json_array(df.where("false"), f"file://{tmp_path}/none")
+    assert readers.predictions(spark, f"file://{tmp_path}/none").count() == 0
+    files = spark.createDataFrame([(3, "t.txt", "x\ny\n\n"), (12, "t.txt", "é"), (12, "empty.txt", "")], "page int, name string, body string")
+    for _ in range(2):
+        assert writers.page_files(files, f"file://{tmp_path}/pages", "page", "name", "body") == 3
+    assert sorted(map(tuple, readers.page_texts(spark, f"file://{tmp_path}/pages").select("page_id", "gt_idx", "gt").collect())) == [(3, 0, "x"), (3, 1, "y"), (12, 0, "é")]
+    assert writers.page_files(files.where("false"), f"file://{tmp_path}/pages", "page", "name", "body") == 0
