@@ -126,7 +126,10 @@ EDGE = "A-Za-zÀ-ÿ"
 
 def edges(x: Column) -> tuple[Column, Column, Column]:
     """What stands before the first letter, the core, and what stands after the last letter."""
-    return F.regexp_extract(x, f"^([^{EDGE}]*)", 1), F.regexp_extract(x, f"^[^{EDGE}]*(.*?)[^{EDGE}]*$", 1), F.regexp_extract(x, f"[{EDGE}]([^{EDGE}]*)$", 1)
+    outside = lambda c: F.regexp_extract(c, f"^([^{EDGE}]*)", 1)
+    before = outside(x)
+    after = F.when(before == x, "").otherwise(F.reverse(outside(F.reverse(x))))
+    return before, F.substr(x, F.length(before) + 1, F.length(x) - F.length(before) - F.length(after)), after
 
 
 def variants(word: Column, pair: str, most: int = 5) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import shared
 from .spread import spread
 
 
@@ -38,7 +39,10 @@ def corrections(tokens: DataFrame, known: DataFrame, token_col: str = "token") -
     t = t.select("token", letters.alias("letters"), before.alias("before"), core.alias("core"), after.alias("after")).withColumn("word", T.word_key(F.col("letters")))
     open_ = t.where(F.length("letters") >= 2).join(known, "word", "left_anti").select("token", "before", "core", "after")
     spellings = F.flatten(F.transform(T.variants(F.col("core"), "uv"), lambda v: T.variants(v, "fs")))
-    cases = spread(open_.select("core").distinct()).select("core", F.explode(spellings).alias("v")).where("v <> core").withColumn("word", T.word_key(F.col("v")))
+    # a spelling has the letters of its core but for the exchanged ones, so only cores with a listed word of the same such form are spelled
+    form = lambda c: F.translate(c, "vf", "us").alias("form")
+    cores = open_.select("core").distinct().withColumn("form", form(T.word_key(F.col("core")))).join(known.select(form(F.col("word"))).distinct(), "form", "left_semi")
+    cases = spread(cores).select("core", F.explode(spellings).alias("v")).where("v <> core").withColumn("word", T.word_key(F.col("v")))
     listed = cases.join(known, "word", "left_semi").groupBy("core").agg(F.collect_set("v").alias("hits"))
     # every step's choices are among the spellings of the core, so one lookup serves them all
     x = open_.join(listed, "core")
@@ -55,14 +59,23 @@ BROADCAST_CHARS = 4 << 20
 def apply_rules(lines: DataFrame, known: DataFrame, keys: list[str], text_col: str = "line") -> DataFrame:
     """lines with `corrected`: white space is kept, tokens are replaced by their corrections.
 
-    Only tokens that the rules change are looked up, and only these go back to their lines, by place.  `keys` name a line.
-    The table of changed tokens, much smaller than the texts, is cached: its size decides how it is joined.
+    Distinct tokens are counted out map-side and only those that the rules change, a table of its own, are looked up and go
+    back to their lines, by place.  `keys` name a line.
     """
-    parts = T.with_spaces(T.plain_cedilla(F.col(text_col)))
-    tokens = lines.select(*keys, F.posexplode(parts).alias("pos", "token")).where(F.trim("token") != "")
-    fixed = corrections(tokens, known).where("corrected <> token").persist()
+    text = T.plain_cedilla(F.col(text_col))
+    tokens = lines.select(*keys, F.posexplode(T.tokens(text)).alias("pos", "token"))
+    folder = shared.new_folder(lines.sparkSession, "rules")
+    fixed = shared.saved(corrections(tokens, known).where("corrected <> token"), folder, "fixed")
     size = fixed.agg(F.coalesce(F.sum(F.length("token") + F.length("corrected") + 32), F.lit(0))).first()[0]
     found = tokens.join(F.broadcast(fixed) if size <= BROADCAST_CHARS else fixed, "token")
     places = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("pos", "corrected"))).alias("__at"))
-    put = F.array_join(F.transform(parts, lambda t, i: F.coalesce(F.try_element_at("__at", i), t)), "")
-    return lines.join(places, keys, "left").withColumn("corrected", F.when(F.col("__at").isNull(), T.plain_cedilla(F.col(text_col))).otherwise(put)).drop("__at")
+
+    def put(x: Column, t: Column, at: Column) -> Column:
+        """The text with the tokens at these places exchanged; only white space beyond single spaces is looked for."""
+        spaced = F.array_join(F.transform(t, lambda w, i: F.coalesce(F.try_element_at(at, i), w)), " ")
+        lead = x.rlike(r"(?U)^\s").cast("int")
+        parts = F.transform(T.with_spaces(x), lambda w, i: F.when((i - lead) % 2 == 0, F.coalesce(F.try_element_at(at, ((i - lead) / 2).cast("int")), w)).otherwise(w))
+        return F.when(F.array_join(t, " ") == x, spaced).otherwise(F.array_join(parts, ""))
+
+    done = F.when(F.col("__at").isNull(), text).otherwise(T.let(put, x=text, t=T.tokens(text), at=F.col("__at")))
+    return lines.join(places, keys, "left").withColumn("corrected", done).drop("__at")

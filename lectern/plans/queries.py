@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import align, changes, image, ledger, noise, report, rules, signal, split, tfidf
+from ..operators.spread import widened
 from ..sources import package, readers, shared, writers
 from ..streaming import pages
 
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, line_no, line."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(T.wrapped(F.col("text"))).alias("line_no", "line"))
+    return widened(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(T.wrapped(F.col("text"))).alias("line_no", "line"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
