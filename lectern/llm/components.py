@@ -63,8 +63,9 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
 
     Edges point from the larger node to the smaller.  A large-star step moves each edge's lower end to the smallest node
     that this points to; a small-star step ties all that a node points to to the smallest of them.  Minima are aggregated
-    map-side, so a node with many edges has one row a task there; the joins back are plain equi-joins with unique keys on
-    one side, whose hot keys Spark splits.  Each step's edges are a table in `folder`, so a lost executor costs one step.
+    map-side, and stored before they are joined back: a side that was aggregated in the same plan would keep Spark from
+    splitting the rows of a node that many edges end at.  Each step's edges are a table in `folder`, so a lost executor
+    costs one step.
     The steps end when one changes nothing: each makes a node point lower or takes an edge away.
     """
     e = store.saved(within_tasks(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), folder, "edges")
@@ -72,9 +73,10 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     for step in count():
         if not before[0]:
             break
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        low = store.saved(e.groupBy("a").agg(F.min("b").alias("m")), folder, f"low{step}")
         large = e.join(low.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = store.saved(large, folder, f"large{step}")
+        low = store.saved(large.groupBy("a").agg(F.min("b").alias("m")), folder, f"least{step}")
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = store.saved(within_tasks(small), folder, f"step{step}")
         now = _summary(e)

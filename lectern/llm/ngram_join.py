@@ -245,6 +245,7 @@ class Join:
         by_label = large.groupBy("token", "label").agg(F.count("*").alias("m"))
         top = by_label.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("labels")).where("labels > 1")
         top = top.select("token", F.col("top.label").alias("most"), F.ceil(F.col("top.m") / TILE).cast("int").alias("bm"), F.ceil((F.col("all") - F.col("top.m")) / TILE).cast("int").alias("bn"))
+        top = store.saved(top, self.folder, "top")  # stored, so that the join can split a token with many rows
         large = large.join(top, "token").withColumn("minor", F.col("label") != F.col("most"))
         to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         h = F.xxhash64("id", F.lit(DEALS))
@@ -316,7 +317,7 @@ class Join:
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs whose whole sets are similar enough.  The partners of a document that many name are dealt out."""
         percent = self.percent
-        hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+        hubs = store.saved(pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")), self.folder, f"hubs-{name}")
         with_a = pairs.join(hubs, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).join(sets.select(F.col("id").alias("a"), "set"), "a").select("b", "part", "a", "set")
         with_b = hubs.join(sets.select(F.col("id").alias("b"), "set"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "set")
 
