@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 NOISE = 0.20
 RATIO = 0.75
+#: Places of a cell in which segments are counted together.
+WIDE = 1 << 16
 #: The longest signal whose lagged sums are taken one by one.
 DIRECT = 4096
 
@@ -123,6 +125,31 @@ def absorbed(segments: list[tuple[int, int]], line: int, least: float = 0.6) ->
     return out
 
 
+def absorb(rows: DataFrame, page: str, start: str, stop: str, line: str, least: float = 0.6) -> DataFrame:
+    """`absorbed` over rows: (page, start, stop), `line` being the height that a page's segments should have.
+
+    The first group goes from the page's first segment to the first place where it is high enough; from there on a high
+    segment opens a group and the low ones behind it join it.  Groups are counted by cells of WIDE places and the cells' sums,
+    so a page's segments need not fit a task.  Segments don't overlap, and a page has one height.  A null page is a page.
+    """
+    r = rows.select(F.col(page).alias("p"), F.col(start).alias("a"), F.col(stop).alias("b"), (least * F.col(line)).alias("need"), F.floor(F.col(start) / F.lit(WIDE)).alias("cell"))
+    upto, whole = Window.partitionBy("p").orderBy("cell"), Window.partitionBy("p")
+
+    def beside(r: DataFrame, sums: list, pages: dict) -> DataFrame:
+        """Rows with what a window over their page's cells says."""
+        cells = r.groupBy("p", "cell").agg(*sums).withColumns(pages).select(F.col("p").alias("p_"), F.col("cell").alias("cell_"), *pages)
+        return r.join(cells, F.col("p").eqNullSafe(F.col("p_")) & (F.col("cell") == F.col("cell_"))).drop("p_", "cell_")
+
+    r = beside(r, [F.min("a").alias("a0"), F.count("*").alias("k")], {"first": F.min("a0").over(whole), "all": F.sum("k").over(whole)})
+    r = r.withColumn("enough", F.when(F.col("b") - F.col("first") + 1 >= F.col("need"), F.col("b")))
+    r = beside(r, [F.min("enough").alias("b0")], {"opened": F.min("b0").over(whole)}).where("opened is not null or all = 1")
+    r = r.withColumn("high", (F.col("b") == F.col("opened")) | ((F.col("b") > F.col("opened")) & (F.col("b") - F.col("a") + 1 >= F.col("need"))))
+    r = beside(r, [F.count_if("high").alias("h")], {"before": F.sum("h").over(upto) - F.col("h")})
+    group = F.count_if("high").over(Window.partitionBy("p", "cell").orderBy("a")) + F.col("before")
+    r = r.withColumn("g", F.greatest(group, F.lit(1)))
+    return r.groupBy("p", "g").agg(F.min("a").alias("a"), F.max("b").alias("b")).select(F.col("p").alias(page), F.col("a").alias(start), F.col("b").alias(stop))
+
+
 def lagged(d: np.ndarray) -> np.ndarray:
     """Sums of products at each lag; of a long signal by transforms, to 12 digits of the first so that ties stay ties."""
     n = len(d)

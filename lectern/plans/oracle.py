@@ -274,6 +274,23 @@ ORACLE = {
     "cut_segments": """WITH s AS (SELECT user_id AS page_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS y, value AS ink FROM events),
         c AS (SELECT *, count(*) FILTER (ink < 12) OVER (PARTITION BY page_id ORDER BY y) AS part FROM s)
         SELECT page_id, min(y) AS y1, max(y) AS y2 FROM c WHERE ink >= 12 GROUP BY page_id, part HAVING max(y) - min(y) + 1 >= 3 AND max(ink) > 0""",
+    "signal_peaks": """WITH RECURSIVE s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+        c AS (SELECT *, lag(v) OVER (ORDER BY pos) AS before FROM s), n AS (SELECT *, sum(CASE WHEN v = before THEN 0 ELSE 1 END) OVER (ORDER BY pos) AS run FROM c),
+        r AS (SELECT min(pos) AS a, max(pos) AS b, any_value(v) AS v FROM n GROUP BY run), e AS (SELECT *, lag(v) OVER (ORDER BY a) AS left_, lead(v) OVER (ORDER BY a) AS right_ FROM r),
+        p AS MATERIALIZED (SELECT (a + b) // 2 AS pos, v, row_number() OVER (ORDER BY v DESC, a DESC) AS nth FROM e WHERE left_ < v AND right_ < v AND v >= 40),
+        k AS (SELECT CAST(0 AS BIGINT) AS nth, CAST([] AS BIGINT[]) AS kept UNION ALL
+              SELECT p.nth, CASE WHEN len(list_filter(kept, lambda x: abs(x - p.pos) < 5)) = 0 THEN list_append(kept, p.pos) ELSE kept END FROM k JOIN p ON p.nth = k.nth + 1),
+        t AS (SELECT unnest(kept) AS pos FROM (SELECT kept FROM k ORDER BY nth DESC LIMIT 1)), q AS (SELECT pos, v FROM p JOIN t USING (pos)),
+        h AS (SELECT q.pos, q.v, max(s.pos) FILTER (s.pos < q.pos) AS l, min(s.pos) FILTER (s.pos > q.pos) AS r FROM q LEFT JOIN s ON s.v > q.v GROUP BY ALL),
+        m AS (SELECT h.pos, h.v, greatest(min(s.v) FILTER (s.pos <= h.pos), min(s.v) FILTER (s.pos >= h.pos)) AS low FROM h JOIN s ON s.pos > coalesce(l, -1) AND s.pos < coalesce(r, 1e18) GROUP BY h.pos, h.v)
+        SELECT CAST(pos AS BIGINT) AS pos, v AS value, round(v - low, 6) AS prominence FROM m WHERE v - low >= 20""",
+    "absorbed_segments": """WITH s AS (SELECT user_id AS page_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS y, value AS ink FROM events),
+        c AS (SELECT *, count(*) FILTER (ink < 12) OVER (PARTITION BY page_id ORDER BY y) AS part FROM s),
+        g AS (SELECT page_id, min(y) AS a, max(y) AS b FROM c WHERE ink >= 12 GROUP BY page_id, part HAVING max(ink) > 0),
+        w AS (SELECT *, min(a) OVER (PARTITION BY page_id) AS a0, count(*) OVER (PARTITION BY page_id) AS n FROM g),
+        o AS (SELECT *, min(b) FILTER (b - a0 + 1 >= 3) OVER (PARTITION BY page_id) AS opened FROM w),
+        h AS (SELECT *, greatest(1, count(*) FILTER (b = opened OR (b > opened AND b - a + 1 >= 3)) OVER (PARTITION BY page_id ORDER BY a)) AS g FROM o WHERE opened IS NOT NULL OR n = 1)
+        SELECT page_id, min(a) AS y1, max(b) AS y2 FROM h GROUP BY page_id, g""",
     "component_periods": f"""WITH {LINES}, c AS (SELECT doc_id, length(line) AS area, length(unnest({toks('line')})) AS h FROM lines)
         SELECT doc_id, CAST(greatest(8, floor(quantile_cont(h, 0.75) * 1.5)) AS INTEGER) AS period FROM c WHERE area > 10 AND h > 3 AND h < 12.8 GROUP BY doc_id HAVING count(*) >= 3""",
     "sequential_cer": f"WITH {TURNS}, s AS (SELECT p.page_id, CAST(sum({lev('pred', 'gt')}) AS BIGINT) AS edits, CAST(sum(length(gt)) AS BIGINT) AS ref_len, count(*) AS lines FROM p JOIN g ON g.page_id = p.page_id AND gt_idx = pred_idx GROUP BY p.page_id) SELECT *, edits / greatest(ref_len, 1) AS cer FROM s",

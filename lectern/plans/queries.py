@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import align, changes, image, ledger, noise, report, rules, signal, split, tfidf
+from ..operators import align, changes, image, ledger, noise, report, rules, signal, split, summits, tfidf
 from ..operators.spread import widened
 from ..sources import package, readers, shared, writers
 from ..streaming import pages
@@ -413,6 +413,10 @@ def context_pm5(spark, sf_dir):
     return x.select("conv_id", "turn", "pos", F.array_join(F.concat(left, F.array(F.concat(F.lit("["), "word", F.lit("]"))), right), " ").alias("input"))
 
 
+#: What peaks of the events' values have to have.
+PEAK_HEIGHT, PEAK_DISTANCE, PEAK_PROMINENCE = 40.0, 5, 20.0
+
+
 def profile(spark, sf_dir) -> DataFrame:
     """A signal per user: the values of events in order of time."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -449,6 +453,19 @@ def cut_segments(spark, sf_dir):
     return signal.between_cuts(profile(spark, sf_dir), "page_id", "y", "ink", "ink < 12", 3)
 
 
+def signal_peaks(spark, sf_dir):
+    """Peaks of one signal, the values of all events in order of their ids: no page of it fits a task at scale."""
+    e = table(spark, sf_dir, "events").select(F.lit(0).alias("signal"), "event_id", "value")
+    p = summits.peaks(e, "signal", "event_id", "value", PEAK_HEIGHT, PEAK_DISTANCE, PEAK_PROMINENCE)
+    return p.select("pos", "value", F.round("prominence", 6).alias("prominence"))
+
+
+def absorbed_segments(spark, sf_dir):
+    """Stretches of values between small ones, those that are too short joined to their neighbours."""
+    cuts = signal.between_cuts(profile(spark, sf_dir), "page_id", "y", "ink", "ink < 12", 1).withColumn("line", F.lit(5))
+    return signal.absorb(cuts, "page_id", "y1", "y2", "line")
+
+
 def component_periods(spark, sf_dir):
     """Line periods from components as high as a line's words are long, and as large as the line."""
     c = lines(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("line"))).alias("t"), F.length("line").alias("area")).select("doc_id", F.length("t").alias("height"), "area", F.lit(16).alias("page_height"))
@@ -494,6 +511,6 @@ def throughput_words(spark, sf_dir):
 NAMES = (
     "accent_norm_n1 accent_norm_n2 words_distinct oov_rate cedilla_rule uv_fs_variants apply_rules rules_on_lines cer_micro_by_lang cer_macro_by_lang cer_spacefree wer_pair bleu_sentence jaccard cosine_bow "
     "tfidf_cosine_word tfidf_cosine_charwb wordcount_guard positional_outer positional_anti sequential_cer best_match nw_align stream_align quota_stage aggregate_cer exclusion_report stage_rates band_report improvement_flags wer_corpus bleu_corpus cosine_counts metric_bundle stage_report run_summary skipped_folders first_lines token_spans folder_rollup page_documents surface_forms spelling_errors nested_forms "
-    "text_changes page_split training_pairs augmented_pairs synthetic_noise noise_kinds context_prev3 context_pm5 moving_avg islands autocorr ink_levels cut_segments component_periods line_segments text_line_boxes noise_area_filter changed_counts html_escape word_punct trailing_blank throughput_words"
+    "text_changes page_split training_pairs augmented_pairs synthetic_noise noise_kinds context_prev3 context_pm5 moving_avg islands autocorr ink_levels cut_segments signal_peaks absorbed_segments component_periods line_segments text_line_boxes noise_area_filter changed_counts html_escape word_punct trailing_blank throughput_words"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
