@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import split, stages
-from ..sources import readers, shared, writers
+from ..sources import crops, docx, readers, shared, writers
 from .oracle import CODED, LINES, LISTS, key, lev, swap, toks
 from .queries import exchanged, lines, pairs, table
 
@@ -151,7 +151,32 @@ def repeated_rows(spark, sf_dir):
     return split.repeated(page_turns(spark, sf_dir), 3).groupBy("role", "copy").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
 
 
-NAMES = "csv_lines folder_texts mapping_files prediction_files trainer_history evaluation_document vocabulary_file page_images remapped_paths page_meta text_file model_stages answers_cleaned word_snippets repeated_rows".split()
+def docx_paragraphs(spark, sf_dir):
+    """Turns as paragraphs of Word files, back by the source of such files."""
+    body = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
+    files = page_turns(spark, sf_dir).groupBy("conv_id").agg(docx.packed(body).alias("content"))
+    folder = shared.new_folder(spark, "docx")
+    writers.page_files(files.select("conv_id", F.concat("conv_id", F.lit(".docx")).alias("name"), "content"), folder, "conv_id", "name", "content")
+    return docx.paragraphs(spark, folder, recursive=True).select(F.regexp_extract("path", r"/(\d+)\.docx$", 1).cast("int").alias("page_id"), "pos", F.md5("text").alias("digest"))
+
+
+#: Width of the pages that texts' bytes fill, and the columns of the crops.
+PAGE_WIDTH, CROP = 64, (8, 40)
+
+
+def crop_files(spark, sf_dir):
+    """Bytes of pages' sources as grey rows, one row of crops a page for every eight rows, through PNG files and back."""
+    size = F.octet_length("html")
+    t = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("grey"), F.floor(size / PAGE_WIDTH).cast("int").alias("rows")).where("rows > 0")
+    t = t.select("page_id", F.substring("grey", F.lit(1), F.col("rows") * PAGE_WIDTH).alias("grey"), "rows", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(8))).alias("y1"))
+    box = {"x1": F.lit(CROP[0]), "x2": F.lit(CROP[1]), "width": F.lit(PAGE_WIDTH), "y2": F.least(F.col("y1") + 8, F.col("rows")), "folder": F.col("page_id").cast("string"), "name": F.concat(F.lit("line_"), "y1", F.lit(".png"))}
+    folder = shared.new_folder(spark, "crops")
+    crops.write(t.withColumns(box), folder)
+    number = lambda p: F.regexp_extract("path", p, 1).cast("int")
+    return crops.read(spark, folder).select(number(r"/(\d+)/[^/]*$").alias("page_id"), number(r"_(\d+)\.png$").alias("y1"), "height", "width", F.md5(F.hex("grey")).alias("digest"))
+
+
+NAMES = "csv_lines folder_texts mapping_files prediction_files trainer_history evaluation_document vocabulary_file page_images remapped_paths page_meta text_file model_stages answers_cleaned word_snippets repeated_rows docx_paragraphs crop_files".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _ROLE = "SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, text FROM conversations"
@@ -182,4 +207,8 @@ ORACLE = {
     "word_snippets": f"""WITH t AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, text, length(regexp_extract(text, '^(.*\\S)\\s*$', 1, 's')) AS stop, length(regexp_extract(text, '^(.*\\s|)\\S+\\s*$', 1, 's')) AS start FROM conversations)
         SELECT conv_id, turn, md5(replace(substr(text, CAST(greatest(start - 50, 0) + 1 AS BIGINT), CAST(least(stop + 50, length(text)) - greatest(start - 50, 0) AS BIGINT)), chr(10), ' ')) AS digest FROM t""",
     "repeated_rows": "SELECT role, CAST(copy AS INTEGER) AS copy, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT role, text, unnest(range(0, 3)) AS copy FROM conversations) GROUP BY role, copy",
+    "docx_paragraphs": "SELECT CAST(conv_id AS INTEGER) AS page_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS pos, md5(coalesce(text, '')) AS digest FROM conversations",
+    "crop_files": f"""WITH t AS (SELECT page_id, hex(encode(html)) AS h FROM pages), r AS (SELECT page_id, h, length(h) // {2 * PAGE_WIDTH} AS rows FROM t), y AS (SELECT *, unnest(range(0, rows, 8)) AS y1 FROM r)
+        SELECT CAST(page_id AS INTEGER) AS page_id, CAST(y1 AS INTEGER) AS y1, CAST(least(8, rows - y1) AS INTEGER) AS height, {CROP[1] - CROP[0]} AS width,
+        md5(array_to_string(list_transform(range(y1, least(y1 + 8, rows)), lambda y: substr(h, y * {2 * PAGE_WIDTH} + {2 * CROP[0] + 1}, {2 * (CROP[1] - CROP[0])})), '')) AS digest FROM y""",
 }

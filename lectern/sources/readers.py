@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,25 +114,3 @@ def trainer_log(spark: SparkSession, path: str) -> DataFrame:
     rows = docs.select(F.explode("log_history").alias("r")).select("r.*")
     kind = F.when(F.col("eval_loss").isNotNull(), "eval").when(F.col("loss").isNotNull(), "train")
     return rows.withColumn("kind", kind).where("kind is not null")
-
-
-WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-SIGNS = {f"{WORD}tab": "\t", f"{WORD}br": "\n", f"{WORD}cr": "\n"}
-
-
-def paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, text of the paragraphs of .docx files; other Word files are refused."""
-    files = spark.read.format("binaryFile").load(path)
-
-    def run(batches):
-        for df in batches:
-            out = []
-            for p, raw in zip(df.path, df.content, strict=True):
-                if not p.lower().endswith(".docx"):
-                    raise ValueError(f"{p}: only .docx files can be read")
-                root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
-                for i, body in enumerate(root.iter(f"{WORD}p")):
-                    out.append((p, i, "".join(x.text or "" if x.tag == f"{WORD}t" else SIGNS.get(x.tag, "") for x in body.iter())))
-            yield pd.DataFrame(out, columns=["path", "pos", "text"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, pos int, text string")

@@ -1,10 +1,11 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.sources import readers, writers
+from lectern.sources import crops, docx, readers, writers
 from lectern.streaming import running
 
 
@@ -74,14 +75,65 @@ def test_json_sources(spark, tmp_path):
     assert [(r.step, r.kind) for r in readers.trainer_log(spark, str(tmp_path / "t.json")).collect()] == [(1, "train"), (2, "eval")]
 
 
+XML = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">{}</w:document>'
+
+
 def test_paragraphs(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
-        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>uno &amp; </w:t><w:t xml:space="preserve">dos</w:t></w:r></w:p><w:p w:id="1"><w:r><w:t>tr&#233;s</w:t><w:tab/><w:t>x</w:t></w:r></w:p></w:document>')
-    rows = readers.paragraphs(spark, str(tmp_path / "a.docx")).collect()
-    assert [r.text for r in rows] == ["uno & dos", "trés\tx"]
+        z.writestr("word/document.xml", XML.format('<w:p><w:r><w:t>uno &amp; </w:t><w:t xml:space="preserve">dos</w:t></w:r></w:p><w:p w:id="1"><w:r><w:t>tr&#233;s</w:t><w:tab/><w:t>x</w:t></w:r></w:p><w:p/>'))
+    (tmp_path / "sub").mkdir()
+    with zipfile.ZipFile(tmp_path / "sub" / "B.DOCX", "w") as z:
+        z.writestr("word/document.xml", XML.format("<w:p><w:r><w:t>a</w:t><w:br/></w:r></w:p>" * 9000))
+    rows = docx.paragraphs(spark, str(tmp_path / "a.docx")).collect()
+    assert [(r.pos, r.text) for r in rows] == [(0, "uno & dos"), (1, "trés\tx"), (2, "")]
+    assert docx.paragraphs(spark, str(tmp_path)).count() == 3
+    both = docx.paragraphs(spark, str(tmp_path), recursive=True)
+    assert sorted((r.path.rsplit("/", 1)[1], r.n, r.t) for r in both.groupBy("path").agg(F.count("*").alias("n"), F.max("text").alias("t")).collect()) == [("B.DOCX", 9000, "a\n"), ("a.docx", 3, "uno & dos")]
+    one = spark.read.format("docx").schema("text string").load(str(tmp_path / "a.docx"))
+    assert one.columns == ["text"] and {r.text for r in one.collect()} == {"uno & dos", "trés\tx", ""}
+
+
+def test_other_word_files_are_refused_before_any_task_runs(spark, tmp_path):
     (tmp_path / "b.doc").write_bytes(b"x")
-    with pytest.raises(Exception, match="only .docx"):
-        readers.paragraphs(spark, str(tmp_path / "b.doc")).collect()
+    for path in (tmp_path / "b.doc", tmp_path):
+        with pytest.raises(Exception, match="only .docx"):
+            docx.paragraphs(spark, str(path))
+    (tmp_path / "none").mkdir()
+    assert docx.paragraphs(spark, str(tmp_path / "none")).collect() == []
+    with pytest.raises(Exception, match="missing"):
+        docx.paragraphs(spark, str(tmp_path / "missing"))
+
+
+def boxes(spark, rows):
+    return spark.createDataFrame(rows, "folder string, name string, grey binary, width int, x1 int, y1 int, x2 int, y2 int, path string")
+
+
+def test_crops_are_all_there_or_none(spark, tmp_path):
+    page, to = bytes(range(60)), tmp_path / "out"
+    good = [(str(i % 3), f"line_{i}.png", page, 10, 2, i % 4, 7, 6, "clash") for i in range(20)]
+    crops.write(boxes(spark, good).repartition(4), str(to))
+    back = {r.path.split("/out/")[1]: (r.height, r.width, bytes(r.grey)) for r in crops.read(spark, str(to)).collect()}
+    grid = np.frombuffer(page, np.uint8).reshape(6, 10)
+    assert back == {f"{f}/{n}": (6 - y, 5, grid[y:6, 2:7].tobytes()) for f, n, _, _, _, y, _, _, _ in good}
+    assert {r.page_id for r in readers.images(spark, str(to)).collect()} == {0, 1, 2}
+    before = sorted(p.relative_to(to) for p in to.rglob("*"))
+    for wrong in [("9", "x.png", page, 10, 5, 0, 5, 3, ""), ("9", "x.png", page, 7, 0, 0, 2, 2, "")]:
+        for mode in ("append", "overwrite"):
+            with pytest.raises(Exception):  # noqa: B017
+                crops.write(boxes(spark, [("8", f"{i}.png", *good[0][2:]) for i in range(8)] + [wrong]).repartition(4), str(to), mode)
+            assert sorted(p.relative_to(to) for p in to.rglob("*")) == before
+    crops.write(boxes(spark, [("5", "more.png", *good[0][2:])]), str(to), "append")
+    assert crops.read(spark, str(to)).count() == 21
+    crops.write(boxes(spark, []), str(to))
+    assert list(to.rglob("*.png")) == []
+
+
+def test_broken_images_are_refused():
+    data = crops.png(np.arange(12, dtype=np.uint8).reshape(3, 4))
+    assert (crops.pixels(data) == np.arange(12).reshape(3, 4)).all()
+    for bad in (b"", data[8:], data[:40] + bytes([data[40] ^ 1]) + data[41:]):
+        with pytest.raises(ValueError):
+            crops.pixels(bad)
 
 
 def test_documents(spark):
