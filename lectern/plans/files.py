@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import split, stages
+from ..operators import pixels, split, stages
 from ..sources import crops, docx, readers, shared, writers
 from .oracle import CODED, LINES, LISTS, key, lev, swap, toks
 from .queries import exchanged, lines, pairs, table
@@ -164,21 +164,42 @@ def docx_paragraphs(spark, sf_dir):
 PAGE_WIDTH, CROP = 64, (8, 40)
 
 
+def grey_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' sources as grey images: their bytes, row by row; bytes that don't fill a row are left over."""
+    t = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("grey"), F.floor(F.octet_length("html") / PAGE_WIDTH).cast("int").alias("height")).where("height > 0")
+    return t.select("page_id", "height", F.lit(PAGE_WIDTH).alias("width"), F.substring("grey", F.lit(1), F.col("height") * PAGE_WIDTH).alias("grey"))
+
+
+def unbled_pages(spark, sf_dir):
+    """Each page without the level around its pixels."""
+    return pixels.unbled(grey_pages(spark, sf_dir)).select("page_id", "height", F.md5(F.hex("grey")).alias("digest"))
+
+
+def levelled_pages(spark, sf_dir):
+    """Each page with its contrast levelled by tiles."""
+    return pixels.contrasted(grey_pages(spark, sf_dir)).select("page_id", "height", F.md5(F.hex("grey")).alias("digest"))
+
+
 def crop_files(spark, sf_dir):
     """Bytes of pages' sources as grey rows, one row of crops a page for every eight rows, through PNG files and back."""
-    size = F.octet_length("html")
-    t = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("grey"), F.floor(size / PAGE_WIDTH).cast("int").alias("rows")).where("rows > 0")
-    t = t.select("page_id", F.substring("grey", F.lit(1), F.col("rows") * PAGE_WIDTH).alias("grey"), "rows", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(8))).alias("y1"))
-    box = {"x1": F.lit(CROP[0]), "x2": F.lit(CROP[1]), "width": F.lit(PAGE_WIDTH), "y2": F.least(F.col("y1") + 8, F.col("rows")), "folder": F.col("page_id").cast("string"), "name": F.concat(F.lit("line_"), "y1", F.lit(".png"))}
+    t = grey_pages(spark, sf_dir).withColumn("y1", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(8))))
+    box = {"x1": F.lit(CROP[0]), "x2": F.lit(CROP[1]), "y2": F.least(F.col("y1") + 8, F.col("height")), "folder": F.col("page_id").cast("string"), "name": F.concat(F.lit("line_"), "y1", F.lit(".png"))}
     folder = shared.new_folder(spark, "crops")
     crops.write(t.withColumns(box), folder)
     number = lambda p: F.regexp_extract("path", p, 1).cast("int")
     return crops.read(spark, folder).select(number(r"/(\d+)/[^/]*$").alias("page_id"), number(r"_(\d+)\.png$").alias("y1"), "height", "width", F.md5(F.hex("grey")).alias("digest"))
 
 
-NAMES = "csv_lines folder_texts mapping_files prediction_files trainer_history evaluation_document vocabulary_file page_images remapped_paths page_meta text_file model_stages answers_cleaned word_snippets repeated_rows docx_paragraphs crop_files".split()
+NAMES = "csv_lines folder_texts mapping_files prediction_files trainer_history evaluation_document vocabulary_file page_images remapped_paths page_meta text_file model_stages answers_cleaned word_snippets repeated_rows docx_paragraphs crop_files unbled_pages levelled_pages".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
+_HALF = pixels.SQUARE // 2
+_PIXELS = f"""t AS (SELECT page_id, hex(encode(html)) AS h, octet_length(encode(html)) // {PAGE_WIDTH} AS height FROM pages),
+        px AS (SELECT page_id, height, i // {PAGE_WIDTH} AS y, i % {PAGE_WIDTH} AS x, 16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS v FROM (SELECT *, unnest(range(0, height * {PAGE_WIDTH})) AS i FROM t))"""
+_DIGEST = "SELECT page_id, CAST(height AS INTEGER) AS height, md5(string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY y, x)) AS digest"
+#: The two tiles beside a pixel and how far it lies between their middles, by the place and the tile's size.
+_BESIDE = "greatest(0, least({n} - 1, CAST(floor({p} / {t} - 0.5) AS BIGINT))) AS {a}, greatest(0, least({n} - 1, CAST(floor({p} / {t} - 0.5) AS BIGINT) + 1)) AS {b}, {p} / {t} - 0.5 - floor({p} / {t} - 0.5) AS {f}"
+_FOLD = "CASE WHEN {n} = 1 THEN 0 ELSE least({p} % greatest(2 * {n} - 2, 1), 2 * {n} - 2 - {p} % greatest(2 * {n} - 2, 1)) END"
 _ROLE = "SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, text FROM conversations"
 _WORDS = toks("text")
 ORACLE = {
@@ -211,4 +232,22 @@ ORACLE = {
     "crop_files": f"""WITH t AS (SELECT page_id, hex(encode(html)) AS h FROM pages), r AS (SELECT page_id, h, length(h) // {2 * PAGE_WIDTH} AS rows FROM t), y AS (SELECT *, unnest(range(0, rows, 8)) AS y1 FROM r)
         SELECT CAST(page_id AS INTEGER) AS page_id, CAST(y1 AS INTEGER) AS y1, CAST(least(8, rows - y1) AS INTEGER) AS height, {CROP[1] - CROP[0]} AS width,
         md5(array_to_string(list_transform(range(y1, least(y1 + 8, rows)), lambda y: substr(h, y * {2 * PAGE_WIDTH} + {2 * CROP[0] + 1}, {2 * (CROP[1] - CROP[0])})), '')) AS digest FROM y""",
+    "unbled_pages": f"""WITH {_PIXELS}, a AS (SELECT *, max(v) OVER (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS m FROM px),
+        b AS (SELECT *, max(m) OVER (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS n FROM a),
+        c AS (SELECT *, min(n) OVER (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS o FROM b),
+        d AS (SELECT *, min(o) OVER (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS q FROM c)
+        {_DIGEST} FROM (SELECT page_id, height, y, x, 255 - (q - v) AS v FROM d) GROUP BY page_id, height""",
+    "levelled_pages": f"""WITH {_PIXELS}, z AS (SELECT DISTINCT page_id, height, (height + {pixels.TILES - 1}) // {pixels.TILES} AS th, {-(-PAGE_WIDTH // pixels.TILES)} AS tw FROM px),
+        g AS (SELECT page_id, height, th, tw, y, unnest(range(0, tw * {pixels.TILES})) AS x FROM (SELECT *, unnest(range(0, th * {pixels.TILES})) AS y FROM z)),
+        f AS (SELECT g.*, v FROM g JOIN px ON px.page_id = g.page_id AND px.y = {_FOLD.format(n="g.height", p="g.y")} AND px.x = g.x),
+        n AS (SELECT page_id, y // th AS r, x // tw AS c, v, th * tw AS area, count(*) AS n FROM f GROUP BY ALL),
+        o AS (SELECT page_id, r, c, area, greatest(1, CAST(floor({pixels.CLIP} * area / 256) AS BIGINT)) AS most, sum(greatest(n - greatest(1, CAST(floor({pixels.CLIP} * area / 256) AS BIGINT)), 0)) AS over FROM n GROUP BY page_id, r, c, area),
+        l AS (SELECT o.*, CAST(over % 256 AS BIGINT) AS rest, k FROM o, (SELECT unnest(range(0, 256)) AS k)),
+        e AS (SELECT l.page_id, l.r, l.c, l.area, k, least(coalesce(n, 0), most) + over // 256 + CASE WHEN k % greatest(256 // greatest(rest, 1), 1) = 0 AND k // greatest(256 // greatest(rest, 1), 1) < rest THEN 1 ELSE 0 END AS n
+              FROM l LEFT JOIN n ON n.page_id = l.page_id AND n.r = l.r AND n.c = l.c AND n.v = l.k),
+        m AS MATERIALIZED (SELECT page_id, r, c, k, least(255, greatest(0, round_even(sum(n) OVER (PARTITION BY page_id, r, c ORDER BY k) * (255 / area), 0))) AS m FROM e),
+        w AS (SELECT px.*, {_BESIDE.format(n=pixels.TILES, p="y", t="th", a="ya", b="yb", f="fy")}, {_BESIDE.format(n=pixels.TILES, p="x", t="tw", a="xa", b="xb", f="fx")} FROM px JOIN z USING (page_id))
+        {_DIGEST} FROM (SELECT w.page_id, height, y, x, round_even((m1.m * (1 - fx) + m2.m * fx) * (1 - fy) + (m3.m * (1 - fx) + m4.m * fx) * fy, 0) AS v FROM w
+        JOIN m m1 ON m1.page_id = w.page_id AND m1.r = ya AND m1.c = xa AND m1.k = v JOIN m m2 ON m2.page_id = w.page_id AND m2.r = ya AND m2.c = xb AND m2.k = v
+        JOIN m m3 ON m3.page_id = w.page_id AND m3.r = yb AND m3.c = xa AND m3.k = v JOIN m m4 ON m4.page_id = w.page_id AND m4.r = yb AND m4.c = xb AND m4.k = v) GROUP BY page_id, height""",
 }
