@@ -195,7 +195,7 @@ QUERIES = {n: globals()[n] for n in NAMES}
 
 _HALF = pixels.SQUARE // 2
 _PIXELS = f"""t AS (SELECT page_id, hex(encode(html)) AS h, octet_length(encode(html)) // {PAGE_WIDTH} AS height FROM pages),
-        px AS (SELECT page_id, height, i // {PAGE_WIDTH} AS y, i % {PAGE_WIDTH} AS x, 16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS v FROM (SELECT *, unnest(range(0, height * {PAGE_WIDTH})) AS i FROM t))"""
+        px AS MATERIALIZED (SELECT page_id, height, i // {PAGE_WIDTH} AS y, i % {PAGE_WIDTH} AS x, 16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS v FROM (SELECT *, unnest(range(0, height * {PAGE_WIDTH})) AS i FROM t))"""
 _DIGEST = "SELECT page_id, CAST(height AS INTEGER) AS height, md5(string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY y, x)) AS digest"
 #: The two tiles beside a pixel and how far it lies between their middles, by the place and the tile's size.
 _BESIDE = "greatest(0, least({n} - 1, CAST(floor({p} / {t} - 0.5) AS BIGINT))) AS {a}, greatest(0, least({n} - 1, CAST(floor({p} / {t} - 0.5) AS BIGINT) + 1)) AS {b}, {p} / {t} - 0.5 - floor({p} / {t} - 0.5) AS {f}"
@@ -237,7 +237,7 @@ ORACLE = {
         c AS (SELECT *, min(n) OVER (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS o FROM b),
         d AS (SELECT *, min(o) OVER (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS q FROM c)
         {_DIGEST} FROM (SELECT page_id, height, y, x, 255 - (q - v) AS v FROM d) GROUP BY page_id, height""",
-    "levelled_pages": f"""WITH {_PIXELS}, z AS (SELECT DISTINCT page_id, height, (height + {pixels.TILES - 1}) // {pixels.TILES} AS th, {-(-PAGE_WIDTH // pixels.TILES)} AS tw FROM px),
+    "levelled_pages": f"""WITH {_PIXELS}, z AS (SELECT DISTINCT page_id, height, (height + {pixels.TILES - 1}) // {pixels.TILES} AS th, {-(-PAGE_WIDTH // pixels.TILES)} AS tw FROM t WHERE height > 0),
         g AS (SELECT page_id, height, th, tw, y, unnest(range(0, tw * {pixels.TILES})) AS x FROM (SELECT *, unnest(range(0, th * {pixels.TILES})) AS y FROM z)),
         f AS (SELECT g.*, v FROM g JOIN px ON px.page_id = g.page_id AND px.y = {_FOLD.format(n="g.height", p="g.y")} AND px.x = g.x),
         n AS (SELECT page_id, y // th AS r, x // tw AS c, v, th * tw AS area, count(*) AS n FROM f GROUP BY ALL),
