@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
+#: Bytes of terms, with 16 for each, that are sent to every task.
+SENT = 8 << 20
+
 
 def word_terms(x: Column) -> Column:
     """Lower-cased words of two characters and more."""
@@ -24,12 +29,20 @@ def char_terms(x: Column, least: int = 2, most: int = 4) -> Column:
 def cosines(rows: DataFrame, key: str, a: str, b: str, terms) -> DataFrame:
     """key and cosine: weights are counts times ln((1 + n) / (1 + df)) + 1, fitted on both sides together.
 
-    0 where a side has no term.
+    0 where a side has no term.  How many texts hold a term is counted from each text's distinct terms and stored.  Up to SENT bytes
+    of terms go to all tasks; more are joined from stored tables, where Spark splits a term that many texts hold.
     """
-    sides = rows.select(F.col(key), F.lit(0).alias("side"), terms(F.col(a)).alias("t")).unionAll(rows.select(F.col(key), F.lit(1).alias("side"), terms(F.col(b)).alias("t")))
+    folder = shared.new_folder(rows.sparkSession, "tfidf")
+    one = lambda side, c: rows.select(F.col(key), F.lit(side).alias("side"), terms(F.col(c)).alias("t"))
+    sides = one(0, a).unionAll(one(1, b))
+    df = shared.saved(sides.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), folder, "terms")
+    n = 2 * rows.count()
+    idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = sides.select(key, "side", F.explode("t").alias("term")).groupBy(key, "side", "term").agg(F.count("*").alias("tf"))
-    n = rows.agg((F.count("*") * 2).alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row is crossed
-    w = tf.join(idf, "term").groupBy(key, "term").agg(F.sum(F.when(F.col("side") == 0, F.col("tf") * F.col("idf"))).alias("x"), F.sum(F.when(F.col("side") == 1, F.col("tf") * F.col("idf"))).alias("y"))
+    if df.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0)).alias("bytes")).first().bytes <= SENT:
+        met = tf.join(F.broadcast(idf), "term")
+    else:
+        met = shared.saved(tf, folder, "counts").join(idf, "term")
+    w = met.groupBy(key, "term").agg(F.sum(F.when(F.col("side") == 0, F.col("tf") * F.col("idf"))).alias("x"), F.sum(F.when(F.col("side") == 1, F.col("tf") * F.col("idf"))).alias("y"))
     s = w.groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     return rows.select(key).join(s, key, "left").select(key, F.coalesce(F.col("dot") / (F.sqrt("xx") * F.sqrt("yy")), F.lit(0.0)).alias("cosine"))

@@ -539,10 +539,12 @@ def test_tables_of_readings_are_checked(spark):
     assert set(forms(spark, noise.old_type, "ab", 200, empty)) <= {"ab", "aab", "abb", "aabb"}
 
 
-def test_tfidf(spark):
+def test_tfidf(spark, monkeypatch):
     df = spark.createDataFrame([(1, "uno dos", "uno dos"), (2, "tres", "cuatro"), (3, "", "")], "k int, a string, b string")
     got = {r.k: r.cosine for r in tfidf.cosines(df, "k", "a", "b", tfidf.word_terms).collect()}
     assert got == {1: pytest.approx(1.0), 2: 0.0, 3: 0.0}
+    monkeypatch.setattr(tfidf, "SENT", 0)
+    assert {r.k: r.cosine for r in tfidf.cosines(df, "k", "a", "b", tfidf.word_terms).collect()} == got
     assert df.select(tfidf.char_terms(F.lit("a bc")).alias("t")).first().t == [" a", "a ", " a ", " b", "bc", "c ", " bc", "bc ", " bc "]
 
 

@@ -1,7 +1,9 @@
 import math
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,22 @@ def test_counted_metrics(spark):
     assert one(spark, M.half_even(F.lit(0.03125), 4), h="") == 0.0312
     e = df.agg(*M.corpus_rates("h", "r")).first()
     assert e.wer == pytest.approx((4 + 1 + 2 + 2) / (6 + 6 + 2 + 2))
+
+
+def test_counts_of_long_texts(spark):
+    r = np.random.default_rng(11)
+    rows = [([str(x) for x in r.integers(0, 9, n)], [str(x) for x in r.integers(0, 9, m)]) for n, m in ((0, 0), (1, 0), (3, 9), (70, 5), (200, 300))]
+    df = spark.createDataFrame([*rows, (["a", "a"] * 50, ["b"] * 70 + ["a"] * 3), ([""] * 80, [""] * 7)], "x array<string>, y array<string>")
+    got = df.select("x", "y", M.clipped(F.col("x"), F.col("y")).alias("n"), M._merged(F.col("x"), F.col("y")).alias("m")).collect()
+    for g in got:
+        assert g.n == g.m == (Counter(g.x) & Counter(g.y)).total()
+
+
+def test_bleu_of_twenty_thousand_words(spark):
+    r = np.random.default_rng(12)
+    a = r.integers(0, 500, 20_000)
+    b = np.where(r.random(20_000) < 0.1, 7, a)
+    df = spark.createDataFrame([(" ".join(map(str, a)), " ".join(map(str, b)))], "a string, b string")
+    began = time.time()
+    assert 0.6 < df.select(M.sentence_bleu(F.col("a"), F.col("b")).alias("s")).first().s < 0.8
+    assert time.time() - began < 30
