@@ -36,6 +36,19 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DIR).collect())) == a
 
 
+def test_small_scans(spark, tmp_path):
+    """After a stage, scans hand on a few hundred whole texts at a time and keep no buffers as large as a column's chunk."""
+    spark.range(2000).selectExpr("id doc_id", "repeat('word ', 100) text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.mixing_sources(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR)
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id", "length(text) n")
+    assert len(df.collect()) == 2000
+    scan = df._jdf.queryExecution().executedPlan()
+    while not scan.metrics().contains("numInputBatches"):
+        scan = scan.children().head()
+    assert scan.metrics().apply("numInputBatches").value() >= 2000 // 512
+    assert spark.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
+
+
 FOREIGN = {
     "it": "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
     "ja": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
