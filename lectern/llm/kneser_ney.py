@@ -105,24 +105,39 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
-def _pack(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """Words, then values in the narrower of two widths, behind the number of either and the width."""
-    width = 4 if all(v.max() < 1 << 32 for v in values) else 8
-    head = np.array([len(words), len(values), width], "<u4")
-    return b"".join([head.tobytes(), *[w.tobytes() for w in words], *[v.astype(f"<u{width}").tobytes() for v in values]])
+def _width(v: np.ndarray) -> int:
+    """The least bytes that hold each of these numbers."""
+    return next(x for x in (1, 2, 4, 8) if x == 8 or int(v.max(initial=0)) < 1 << 8 * x)
 
 
-def _unpack(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    k, m, width = np.frombuffer(blob, "<u4", 3).tolist()
-    n = (len(blob) - 12) // (8 * k + m * width)
-    words = [np.frombuffer(blob, "<u8", n, 12 + 8 * n * i) for i in range(k)]
-    return words, [np.frombuffer(blob, f"<u{width}", n, 12 + 8 * n * k + width * n * i) for i in range(m)]
+def _record(widths: bytes) -> np.dtype:
+    """A gram's entry in its file, whose last bytes are these widths: the count, or a shorter gram's numbers."""
+    return np.dtype(f"<u{widths[0]}") if len(widths) == 1 else np.dtype([(k, f"<u{x}") for k, x in zip(STATS, widths, strict=True)])
+
+
+def _pack(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Words, then each column of values in its narrowest width, behind the number of words to a gram and the widths."""
+    widths = [_width(v) for v in values]
+    head = bytes([len(words), len(values), *widths])
+    return b"".join([head, *[w.tobytes() for w in words], *[v.astype(f"<u{x}").tobytes() for v, x in zip(values, widths, strict=True)]])
 
 
-#: Rows of a stage: parts of a range (data), or what a finished range is (file and its counts).
+def _unpack(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    k, m = blob[:2]
+    widths = [8] * k + [*blob[2 : 2 + m]]
+    at = 2 + m
+    n = (len(blob) - at) // sum(widths)
+    out = []
+    for x in widths:
+        out.append(np.frombuffer(blob, f"<u{x}", n, at))
+        at += n * x
+    return out[:k], out[k:]
+
+
+#: Rows of a stage: parts of a range (data), or what a finished range of grams of `length` words is (file and its counts).
 COUNTS = ("grams", "c1", "c2", "c3", "c4", "tokens", "words")
-ROWS = "range int, data binary, file binary, " + ", ".join(f"{k} long" for k in COUNTS)
-NAMES = ["range", "data", "file", *COUNTS]
+ROWS = "range int, data binary, length int, file binary, " + ", ".join(f"{k} long" for k in COUNTS)
+NAMES = ["range", "data", "length", "file", *COUNTS]
 
 
 def _parts(words: list[np.ndarray], values: list[np.ndarray], ranges: int):
@@ -133,17 +148,23 @@ def _parts(words: list[np.ndarray], values: list[np.ndarray], ranges: int):
     for i in np.flatnonzero(np.diff(edge)).tolist():
         at = order[edge[i] : edge[i + 1]]
         blob = _pack([w[at] for w in words], [v[at] for v in values])
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * len(COUNTS)], names=NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * len(COUNTS)], names=NAMES)
 
 
-def _finished(number: int, name: bytes, counts: dict[str, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.nulls(1, pa.binary()), pa.array([name], pa.binary()), *[pa.array([int(counts.get(k, 0))], pa.int64()) for k in COUNTS]], names=NAMES)
+def _finished(number: int, k: int, name: bytes, counts: dict[str, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([name], pa.binary()), *[pa.array([int(counts.get(k, 0))], pa.int64()) for k in COUNTS]], names=NAMES)
 
 
-def _by_range(batches):
-    """Ranges of a partition that is sorted by range, one after another, added up."""
+def _by_range(batches, finished: list[pa.RecordBatch]):
+    """Ranges of a partition that is sorted by range, one after another, added up.
+
+    Rows of longer grams' finished ranges, at most one for each length and range, are put into `finished`.
+    """
     now, sums = None, None
     for b in batches:
+        if (done := b.column("file").is_valid()).true_count:
+            finished.append(b.filter(done))
+            b = b.filter(b.column("file").is_null())
         for i, blob in zip(b.column("range"), b.column("data"), strict=True):
             if (i := i.as_py()) != now:
                 if sums is not None:
@@ -197,28 +218,33 @@ def train(docs: DataFrame, chosen: Column, folder: str, text_col: str = "text",
                 yield from _parts(*sums.reduce(), ranges)
 
     def level(k: int):
-        """Write each range's grams of k words, and pass on what they say about shorter ones."""
+        """Write each range's grams of k words, and pass on what they say about shorter ones, and finished ranges."""
 
         def run(batches):
             with store.tidied():
-                for i, words, values in _by_range(batches):
+                before: list[pa.RecordBatch] = []
+                for i, words, values in _by_range(batches, before):
                     yield from finished(i, words, values)
+                yield from before
 
         def finished(i: int, words: list[np.ndarray], values: list[np.ndarray]):
             n = values[0] if k == order else values[STATS.index("cont")]
             raw = values[0]
             name = uuid.uuid4().bytes
             if k == order:
-                table = np.minimum(n, 0xFFFFFFFF).astype("<u4")
+                table = np.minimum(n, 0xFFFFFFFF)
+                widths = bytes([_width(table)])
+                table = table.astype(_record(widths))
             else:
-                table = np.zeros(len(n), RECORD)
+                widths = bytes(map(_width, values))
+                table = np.zeros(len(n), _record(widths))
                 for field, v in zip(STATS, values, strict=True):
                     table[field] = v
-            store.write_file(_file(folder, k, i, name), [gram_hash(words).tobytes(), table.tobytes()])
+            store.write_file(_file(folder, k, i, name), [gram_hash(words).tobytes(), table.tobytes(), widths])
             del table
             seen = n > 0
             counts = {"grams": int(seen.sum()), "tokens": int(raw.sum()), "words": int((raw > 0).sum())}
-            yield _finished(i, name, counts | {f"c{j}": int((n == j).sum()) for j in (1, 2, 3, 4)})
+            yield _finished(i, k, name, counts | {f"c{j}": int((n == j).sum()) for j in (1, 2, 3, 4)})
             if k > 1 and seen.any():
                 words, n, raw = [w[seen] for w in words], n[seen], raw[seen]
                 none = np.zeros(len(n), np.uint32)
@@ -230,10 +256,11 @@ def train(docs: DataFrame, chosen: Column, folder: str, text_col: str = "text",
         return run
 
     found, sums, names = rows.mapInArrow(longest, ROWS), {}, {}
+    for k in range(order, 0, -1):  # parts go from one exchange to the next and are stored nowhere else
+        found = found.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(level(k), ROWS)
+    found = store.saved(found.drop("data"), folder, "ranges")
     for k in range(order, 0, -1):
-        dealt = found.where("data is not null").select("range", "data").repartition(ranges, "range").sortWithinPartitions("range")
-        found = store.saved(dealt.mapInArrow(level(k), ROWS), folder, f"level{k}")
-        files = found.where("file is not null")
+        files = found.where(F.col("length") == k)
         total = files.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).first()
         sums[k] = total.asDict()
         names[k] = np.zeros((ranges, 16), np.uint8)
@@ -257,7 +284,8 @@ class Scorer:
             if len(self.open) >= MAPS:
                 self.open.popitem(last=False)
             raw = store.mapped(_file(self.m.folder, k, i, self.m.names[k][i].tobytes()))
-            kind = np.dtype("<u4") if k == self.m.order else RECORD
+            fields = 1 if k == self.m.order else len(STATS)
+            raw, kind = raw[:-fields], _record(raw[-fields:].tobytes())
             n = len(raw) // (8 + kind.itemsize)
             self.open[k, i] = (raw[: 8 * n].view("<u8"), raw[8 * n :].view(kind))
         self.open.move_to_end((k, i))

@@ -248,6 +248,24 @@ def test_language_model(spark, monkeypatch, share, order):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == pytest.approx(want[3 if r.doc_id is None else r.doc_id])
 
 
+def test_language_model_stores_no_parts(spark, tmp_path):
+    """What shorter grams are made of goes through one exchange and isn't stored besides."""
+    r = random.Random(8)
+    df = docs(spark, [" ".join(f"w{r.randrange(5000)}" for _ in range(200)) for _ in range(100)])
+    model = kneser_ney.train(df, F.lit(True), f"file://{tmp_path}/lm")
+    size = lambda kind: sum(p.stat().st_size for p in tmp_path.rglob(f"*.{kind}"))
+    assert model.sums[1]["words"] > 4000 and model.sums[2]["grams"] > 15000
+    assert 8 * size("parquet") < size("bin")
+    assert size("bin") < (8 + 1) * model.sums[2]["grams"] + (8 + 12 + 6) * (model.sums[1]["words"] + model.ranges)  # no number is wider than its range needs
+
+
+def test_language_model_parts():
+    words = [np.arange(5, dtype=np.uint64) * 977, np.arange(5, dtype=np.uint64) + 2**63]
+    values = [np.array([0, 1, 2, 3, top], np.int64) for top in (255, 256, 65536, 2**32 - 1, 2**40)]
+    got = kneser_ney._unpack(kneser_ney._pack(words, values))
+    assert [x.tolist() for part in got for x in part] == [x.tolist() for x in [*words, *values]]
+
+
 def test_language_model_untrained(spark):
     df = docs(spark, ["a b", None])
     model = kneser_ney.train(df, F.lit(False), store.new_folder(spark, "lm"))
