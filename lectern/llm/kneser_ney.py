@@ -92,7 +92,7 @@ class Sums:
             self.reduce()
 
     def reduce(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        if len(self.parts) > 1:
+        if len(self.parts) > 1 or not self.done:  # a single part needn't be in the order of hashes
             columns = [*map(np.concatenate, zip(*[[*w, *v] for w, v in self.parts], strict=True))]
             k = len(self.parts[0][0])
             self.parts = []
@@ -131,7 +131,7 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     for x in widths:
         out.append(np.frombuffer(blob, f"<u{x}", n, at))
         at += n * x
-    return out[:k], out[k:]
+    return out[:k], [v.astype(np.uint32) if v.itemsize < 8 else v.astype(np.int64) for v in out[k:]]
 
 
 #: Rows of a stage: parts of a range (data), or what a finished range of grams of `length` words is (file and its counts).

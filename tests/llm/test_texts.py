@@ -259,6 +259,16 @@ def test_language_model_stores_no_parts(spark, tmp_path):
     assert size("bin") < (8 + 1) * model.sums[2]["grams"] + (8 + 12 + 6) * (model.sums[1]["words"] + model.ranges)  # no number is wider than its range needs
 
 
+@pytest.mark.parametrize("many", [1, 300, 70000])
+def test_language_model_one_part(spark, many):
+    """A range that gets one part only, with numbers of one, two and four bytes."""
+    texts = ["the " * many + "end of it", "the end", None]
+    df = docs(spark, texts).coalesce(1)
+    got = kneser_ney.score(df, kneser_ney.train(df, F.lit(True), store.new_folder(spark, "lm"))).collect()
+    for r, want in zip(sorted(got, key=lambda r: r.doc_id), kneser_ney_plain(texts, [0, 1, 2], 2), strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == pytest.approx(want)
+
+
 def test_language_model_parts():
     words = [np.arange(5, dtype=np.uint64) * 977, np.arange(5, dtype=np.uint64) + 2**63]
     values = [np.array([0, 1, 2, 3, top], np.int64) for top in (255, 256, 65536, 2**32 - 1, 2**40)]
