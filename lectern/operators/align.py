@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions.metrics import half_even, macro
 from ..functions.text import let, normalise
 from ..sources import shared
 from . import page_table
+from .distance import between
 from .page_table import MATCH, SKIP_PRED, SKIP_TRUTH
 from .spread import spread
 
@@ -178,6 +180,29 @@ def _path(p: Column, g: Column, low_p: Column, low_g: Column) -> Column:
     return F.when(F.size(g) == 0, only_pred).when(F.size(p) == 0, only_truth).otherwise(F.struct(last["c"].alias("cost"), last["path"].alias("path")))
 
 
+def text_distances(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows with the distance of two of their text columns under each name, and without the texts; null where either is.
+
+    Distances of a batch are taken together, and of equal texts or pairs that come again once.
+    """
+    used = {c for pair in pairs.values() for c in pair}
+    kept = [c for c in rows.columns if c not in used]
+
+    def run(batches):
+        for batch in batches:
+            texts = {c: batch.column(c).to_pylist() for c in used}
+            both = [(x, y) for a, b in pairs.values() for x, y in zip(texts[a], texts[b], strict=True)]
+            there = [pair for pair in both if None not in pair]
+            d = iter(between([x for x, _ in there], [y for _, y in there]).tolist())
+            found = [None if None in pair else next(d) for pair in both]
+            n = batch.num_rows
+            out = [pa.array(found[i * n : (i + 1) * n], pa.int32()) for i in range(len(pairs))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out], names=[*kept, *pairs])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept]
+    return rows.mapInArrow(run, ", ".join([*fields, *(f"`{k}` int" for k in pairs)]))
+
+
 def align_pages(preds: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per prediction, in page order: its partner in the page's cheapest monotone alignment, or skipped.
 
@@ -192,11 +217,10 @@ def align_pages(preds: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def pair_rows(partners: DataFrame, *more: str) -> DataFrame:
-    """Rows of `page_table.PARTNERS` with distances, rates and flags, and `more` of their columns."""
-    hit, match = F.col("matched_gt_idx") >= 0, F.col("matched_gt")
-    distance = F.when(hit, F.levenshtein(F.lower("pred_text"), F.lower(match))).otherwise(F.length("pred_text"))
+    """Rows of `page_table.PARTNERS` with rates and flags, and `more` of their columns."""
+    hit, match, distance = F.col("matched_gt_idx") >= 0, F.col("matched_gt"), F.col("edit_distance")
     return partners.select(
-        "page_id", "pred_idx", "pred_text", "matched_gt", "matched_gt_idx", distance.alias("edit_distance"), half_even(distance / F.greatest(F.length(match), F.lit(1)), 4).alias("cer"),
+        "page_id", "pred_idx", "pred_text", "matched_gt", "matched_gt_idx", "edit_distance", half_even(distance / F.greatest(F.length(match), F.lit(1)), 4).alias("cer"),
         (hit & (F.col("matched_gt_idx") != F.col("pred_idx"))).alias("was_shifted"), (~hit).alias("skipped"), "path_cost", *more,
     )
 
@@ -218,11 +242,16 @@ def stage_rates(pairs: DataFrame, stages: DataFrame, names: list[str], *keys: st
     pairs: the alignment of the last stage; stages: page_id, pred_idx and a column of each name, in order.  Skipped lines and
     empty partners have no rate; with `most`, lines whose last stage has a higher rate are left out, and counted.
     """
-    rows = pairs.where("not skipped and matched_gt <> ''").join(stages, ["page_id", "pred_idx"])
-    rate = lambda x, y: F.levenshtein(x, y) / F.greatest(F.length(y), F.lit(1))
+    place = ["page_id", "pred_idx"]
+    rows = spread(pairs.where("not skipped and matched_gt <> ''"), *place).join(spread(stages, *place), place)
     gt = F.col("matched_gt")
-    out_ = rate(F.col(names[-1]), gt) > most if most is not None else F.lit(False)
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), rate(F.col(n), gt).alias("r"), rate(normalise(F.col(n)), normalise(gt)).alias("q")) for n in names]))
+    texts = {f"{k}{i}": f(F.col(n)) for i, n in enumerate(names) for k, f in (("r", lambda x: x), ("q", normalise))}
+    sizes = [F.greatest(F.length(y), F.lit(1)).alias(k) for k, y in (("gt_size", gt), ("norm_size", normalise(gt)))]
+    rows = rows.select(*keys, *sizes, gt.alias("gt_r"), normalise(gt).alias("gt_q"), *(x.alias(k) for k, x in texts.items()))
+    rows = text_distances(rows, {k: (k, f"gt_{k[0]}") for k in texts})
+    rate = lambda k: F.col(k) / F.col("gt_size" if k[0] == "r" else "norm_size")
+    out_ = rate(f"r{len(names) - 1}") > most if most is not None else F.lit(False)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), rate(f"r{i}").alias("r"), rate(f"q{i}").alias("q")) for i, n in enumerate(names)]))
     flat = rows.select(*keys, out_.alias("out"), each.alias("s")).select(*keys, "out", "s.*")
     return flat.groupBy(*keys, "stage").agg(macro(F.when(~F.col("out"), F.col("r"))).alias("cer"), macro(F.when(~F.col("out"), F.col("q"))).alias("norm_cer"), F.count_if(~F.col("out")).alias("lines"), F.count_if("out").alias("excluded"))
 

@@ -25,8 +25,9 @@ LINE = "page_id long, side string, idx int, text string, n_pred int, n_truth int
 def _aligned(page: int, sides: dict[str, dict[str, str]], complete: bool) -> pd.DataFrame:
     order = lambda s: [s[i] for i in sorted(s, key=int)]
     p, g = order(sides["pred"]), order(sides["truth"])
-    cost, match = Table(p, g).best()
-    return pd.DataFrame({"page_id": page, "pred_idx": range(len(p)), "pred_text": p, "matched_gt": [g[j] if j >= 0 else "" for j in match], "matched_gt_idx": match, "path_cost": cost, "complete": complete})
+    table = Table(p, g)
+    cost, match = table.best()
+    return pd.DataFrame({"page_id": page, "pred_idx": range(len(p)), "pred_text": p, "matched_gt": [g[j] if j >= 0 else "" for j in match], "matched_gt_idx": match, "path_cost": cost, "edit_distance": table.distances(), "complete": complete})
 
 
 def align_stream(lines: DataFrame, late: str = "30 minutes", wait: str = "10 minutes") -> DataFrame:

@@ -119,6 +119,42 @@ def test_a_long_page_takes_little():
     assert cost == len(p) + 50 * 40 and match.tolist() == [i for i in range(2000) if i % 50] and peak < 300 << 20
 
 
+def test_few_distances_of_a_page_are_taken(monkeypatch):
+    """Pages of 30 lines, with a shift and misread letters: as the whole table says, from a small part of its distances."""
+    r, asked = random.Random(9), []
+    take = page_table.between
+    monkeypatch.setattr(page_table, "between", lambda a, b: asked.extend(a) or take(a, b))
+    pages = []
+    for _ in range(12):
+        g = ["".join(r.choice("abcdefghij ") for _ in range(40)) for _ in range(30)]
+        pages.append((["heading", *(x[:9] + "z" + x[10:] for i, x in enumerate(g) if i % 7)], g))
+    for t, (p, g) in zip(page_table._tables(pages), pages, strict=True):
+        assert as_path(t) == path_of(p, g)
+        assert t.distances().tolist() == [len(x) if j < 0 else distance._by_rows(np.array([*x]), np.array([*g[j]])) for x, j in zip(p, t.best()[1], strict=True)]
+    assert 0 < len(asked) < 12 * 30 * 30 / 4
+
+
+def test_pages_that_are_not_settled_in_time(monkeypatch):
+    """Letters' counts that say nothing, and no rounds: the whole table is taken."""
+    monkeypatch.setattr(page_table, "ROUNDS", 0)
+    p, g = ["ab", "ba", "abab"], ["ba", "ab", "baba", "aabb"]
+    t = page_table.Table(p, g)
+    assert as_path(t) == path_of(p, g) and t.distances().tolist() == [len(x) if j < 0 else distance._by_rows(np.array([*x]), np.array([*g[j]])) for x, j in zip(p, t.best()[1], strict=True)]
+
+
+def test_stage_rates_of_texts_without_rows(spark):
+    """Distances of null, equal, repeated and long texts, and the rates from them, without one table of the JVM a pair."""
+    texts = [("abc", "abd"), ("abc", "abd"), (None, "x"), ("same", "same"), ("", "abc"), ("ñ" * 70, "n" * 70), ("a" * 5000, "b")]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "k int, a string, b string")
+    got = {r.k: r.d for r in align.text_distances(rows, {"d": ("a", "b")}).collect()}
+    assert got == {r.k: r.d for r in rows.select("k", F.levenshtein("a", "b").alias("d")).collect()}
+    p, g = spark.createDataFrame([(1, 0, "Éa", "ea")], "page_id long, pred_idx int, raw string, last string"), [(1, 0, "ea")]
+    pairs = align.align_pages(p.select("page_id", "pred_idx", F.col("last").alias("pred")), spark.createDataFrame(g, "page_id long, gt_idx int, gt string"))
+    out = align.stage_rates(pairs, p, ["raw", "last"], most=0.8)
+    assert "levenshtein" not in out._jdf.queryExecution().toString()
+    assert {(r.stage, r.cer, r.norm_cer, r.lines, r.excluded) for r in out.collect()} == {("raw", 0.5, 0.0, 1, 0), ("last", 0.0, 0.0, 1, 0)}
+
+
 def test_distances_by_bits():
     r = random.Random(6)
     s = ["".join(r.choice("abé日") for _ in range(r.choice([0, 1, 3, 63, 64, 65, 128, 129, 200]))) for _ in range(40)]
