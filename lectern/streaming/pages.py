@@ -16,18 +16,19 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import align
-from ..operators.page_table import PARTNERS, Table
+from ..operators.page_table import PARTNERS, partners
 
 #: A line of a page: side is pred or truth; n_pred and n_truth are the numbers of lines that the page has.
 LINE = "page_id long, side string, idx int, text string, n_pred int, n_truth int, ts timestamp"
 
 
-def _aligned(page: int, sides: dict[str, dict[str, str]], complete: bool) -> pd.DataFrame:
+#: A page that is done, with its lines in order.
+PAGE = "page_id long, p array<string>, g array<string>, complete boolean"
+
+
+def _page(page: int, sides: dict[str, dict[str, str]], complete: bool) -> pd.DataFrame:
     order = lambda s: [s[i] for i in sorted(s, key=int)]
-    p, g = order(sides["pred"]), order(sides["truth"])
-    table = Table(p, g)
-    cost, match = table.best()
-    return pd.DataFrame({"page_id": page, "pred_idx": range(len(p)), "pred_text": p, "matched_gt": [g[j] if j >= 0 else "" for j in match], "matched_gt_idx": match, "path_cost": cost, "edit_distance": table.distances(), "complete": complete})
+    return pd.DataFrame({"page_id": [page], "p": [order(sides["pred"])], "g": [order(sides["truth"])], "complete": [complete]})
 
 
 def align_stream(lines: DataFrame, late: str = "30 minutes", wait: str = "10 minutes") -> DataFrame:
@@ -44,7 +45,7 @@ def align_stream(lines: DataFrame, late: str = "30 minutes", wait: str = "10 min
             sides, done = json.loads(state.get[0]), state.get[1]
             state.remove()
             if not done:
-                yield _aligned(key[0], sides, False)
+                yield _page(key[0], sides, False)
             return
         sides, done, latest = ({"pred": {}, "truth": {}}, False, 0) if not state.exists else (json.loads(state.get[0]), state.get[1], state.get[2])
         need = None
@@ -55,13 +56,14 @@ def align_stream(lines: DataFrame, late: str = "30 minutes", wait: str = "10 min
                 for side, i, x in zip(rows.side, rows.idx, rows.text, strict=True):
                     sides[side].setdefault(str(i), "" if x is None else x)
         if not done and need and (len(sides["pred"]), len(sides["truth"])) == need:
-            yield _aligned(key[0], sides, True)
+            yield _page(key[0], sides, True)
             sides, done = {"pred": {}, "truth": {}}, True
         state.update((json.dumps(sides), done, latest))
         state.setTimeoutTimestamp(max(latest + gap, state.getCurrentWatermarkMs() + 1))
 
     known = lines.select("page_id", "side", "idx", "text", "n_pred", "n_truth", "ts").withWatermark("ts", late)
-    rows = known.groupBy("page_id").applyInPandasWithState(step, PARTNERS + ", complete boolean", "lines string, done boolean, latest long", "append", GroupStateTimeout.EventTimeTimeout)
+    done = known.groupBy("page_id").applyInPandasWithState(step, PAGE, "lines string, done boolean, latest long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = done.mapInArrow(partners, PARTNERS + ", complete boolean")  # pages of a batch are aligned together
     return align.pair_rows(rows, "complete")
 
 

@@ -83,3 +83,10 @@ def test_pages_whose_time_is_over_are_aligned_as_they_are(spark, tmp_path):
     pages.start(stream(spark, f"{tmp_path}/in", late="30 minutes", wait="10 minutes"), out, check).awaitTermination()
     got = {(r.page_id, r.pred_idx, r.pred_text, r.matched_gt, r.complete) for r in spark.read.parquet(out).collect()}
     assert got == {(1, 0, "ab", "ab", False), (2, 0, "x", "x", True)}
+
+
+def test_pages_of_a_batch_are_aligned_together(spark, arrived, tmp_path):
+    """Distances are taken by tasks that hold many pages, behind the state."""
+    write(spark, tmp_path, "all", arrived[1])
+    plan = stream(spark, tmp_path)._jdf.queryExecution().toString()
+    assert plan.index("MapInArrow") < plan.index("FlatMapGroupsInPandasWithState") and "levenshtein" not in plan
