@@ -584,6 +584,18 @@ def test_tfidf(spark, monkeypatch):
     assert df.select(tfidf.char_terms(F.lit("a bc")).alias("t")).first().t == [" a", "a ", " a ", " b", "bc", "c ", " bc", "bc ", " bc "]
 
 
+def test_terms_of_sent_vocabularies_are_not_shuffled(spark, monkeypatch):
+    """Rows that repeat a key, null texts and texts without terms; both ways say the same, and sent terms make no rows."""
+    df = spark.createDataFrame([(1, "uno dos", "uno tres"), (2, "tres", None), (3, "", ""), (1, "dos", "dos"), (4, "uno uno", "uno dos")], "k int, a string, b string")
+    out = tfidf.cosines(df, "k", "a", "b", tfidf.char_terms)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    got = {r.k: r.cosine for r in out.collect()}
+    assert out.count() == 4 and got[2] == got[3] == 0.0 and 0 < got[4] < 1
+    monkeypatch.setattr(tfidf, "SENT", 0)
+    assert {r.k: pytest.approx(r.cosine) for r in tfidf.cosines(df, "k", "a", "b", tfidf.char_terms).collect()} == got
+
+
 def test_stages(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "k int, t string")
     out = stages.run_stage(df, lambda: lambda s: s.str.upper(), "t", "u")
