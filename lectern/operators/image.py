@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signal
 
 
+#: Pages that are handed on at a time.
+DRAWN = 256
+
+
 def threshold(grey: np.ndarray) -> int:
     """Otsu's level: the one that parts the histogram with the largest variance between its sides."""
     n = np.bincount(grey.ravel(), minlength=256).astype(float)
@@ -22,8 +26,16 @@ def threshold(grey: np.ndarray) -> int:
 def median3(grey: np.ndarray) -> np.ndarray:
     """Median of each pixel's 3 x 3 neighbourhood, edges repeated."""
     p = np.pad(grey, 1, mode="edge")
-    h, w = grey.shape
-    return np.median([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0).astype(np.uint8)
+    a, b, c = p[:-2], p[1:-1], p[2:]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    columns = np.minimum(low, c), np.maximum(low, np.minimum(high, c)), np.maximum(high, c)  # each column's three in order
+    low, middle, high = ((x[:, :-2], x[:, 1:-1], x[:, 2:]) for x in columns)
+    least, most = np.maximum(np.maximum(low[0], low[1]), low[2]), np.minimum(np.minimum(high[0], high[1]), high[2])
+    return _middle(least, _middle(*middle), most)
+
+
+def _middle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
 
 
 def binarised(grey: np.ndarray) -> np.ndarray:
@@ -95,26 +107,31 @@ def boxes(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for df in batches:
+            out = []
             for r in df.itertuples():
                 ink = binarised(np.frombuffer(r.grey, np.uint8).reshape(r.height, r.width))
-                height, area = components(ink > 0)
-                likely = height[(area > 10) & (height > 3) & (height < 0.8 * r.height)]
+
+                def likely(ink=ink, page=r.height):
+                    height, area = components(ink > 0)
+                    return height[(area > 10) & (height > 3) & (height < 0.8 * page)]
+
                 found, period, sure, method = signal.segments(ink.sum(1, dtype=np.int64).astype(float), likely)
-                out = []
                 for i, (y1, y2) in enumerate(found):
                     x = np.flatnonzero(ink[y1 : y2 + 1].any(0))
                     x1, x2 = (int(x[0]), int(x[-1])) if len(x) else (0, r.width)
                     out.append((r.page_id, i, x1, y1, x2, y2, (x2 - x1) * (y2 - y1), r.height, r.width, period, sure, method))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in BOX.split(", ")])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in BOX.split(", ")])
 
     return pages.mapInPandas(run, BOX)
 
 
 def text_lines(pages: DataFrame) -> DataFrame:
-    """The boxes with their padded form, noise left out by each page's median area."""
+    """The boxes with their padded form, noise left out by each page's median area; pages are read once, and only boxes are shuffled."""
     line_h = F.greatest(F.lit(4), (F.col("period") * signal.RATIO).cast("int"))
     pad_v, pad_h = F.greatest(F.lit(2), (line_h * 0.15).cast("int")), F.greatest(F.lit(2), (F.col("page_width") * 0.05).cast("int"))
-    return signal.plausible(boxes(pages), "page_id", "area").withColumn("padded", signal.padded(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), pad_h, pad_v, F.col("page_width"), F.col("page_height")))
+    median = F.percentile("area", F.lit(0.5)).over(Window.partitionBy("page_id"))
+    kept = boxes(pages).where("page_id is not null").withColumn("__m", median).where(F.col("area") >= F.col("__m") * signal.NOISE).drop("__m")
+    return kept.withColumn("padded", signal.padded(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), pad_h, pad_v, F.col("page_width"), F.col("page_height")))
 
 
 def drawn(texts: DataFrame, page: str, lines: str, cell: tuple[int, int] = (6, 4), gap: int = 4) -> DataFrame:
@@ -125,7 +142,7 @@ def drawn(texts: DataFrame, page: str, lines: str, cell: tuple[int, int] = (6, 4
     high, wide = cell
 
     def run(batches):
-        for df in batches:
+        for df in (df[i : i + DRAWN] for df in batches for i in range(0, len(df), DRAWN)):
             out = []
             for page_id, rows in zip(df.page_id, df.lines, strict=True):
                 rows = [] if rows is None else list(rows)

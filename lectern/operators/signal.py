@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -160,8 +162,8 @@ def lagged(d: np.ndarray) -> np.ndarray:
     return np.round(out / out[0], 12) * out[0]
 
 
-def period(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[int, float, str]:
-    """Line period, confidence and method.
+def period(ink: np.ndarray, heights: np.ndarray | Callable[[], np.ndarray] | None = None) -> tuple[int, float, str]:
+    """Line period, confidence and method; heights may be a function, which is called only if they are needed.
 
     The most prominent peak of the autocorrelation if it is sure enough, else 1.5 times the upper quartile of the heights of
     `plausible_components`, if there are three, else a fraction of the page.
@@ -177,6 +179,7 @@ def period(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[int, flo
             best = p[prominences(part, p).argmax()]
             if part[best] >= 0.10:
                 return int(best) + 4, float(part[best]), "autocorrelation"
+    heights = heights() if callable(heights) else heights
     if heights is not None and len(heights) >= 3:
         return max(8, int(np.percentile(heights, 75) * 1.5)), 0.0, "cc_height"
     return max(8, n // 50), 0.0, "heuristic"
@@ -210,7 +213,7 @@ def by_level(ink: np.ndarray, line: int) -> list[tuple[int, int]]:
 SEGMENT = "page_id long, line_index int, y1 int, y2 int, period int, confidence double, method string"
 
 
-def segments(ink: np.ndarray, heights: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int, float, str]:
+def segments(ink: np.ndarray, heights: np.ndarray | Callable[[], np.ndarray] | None = None) -> tuple[list[tuple[int, int]], int, float, str]:
     """Begin and end of each text line of one profile, cut at the valleys of the smoothed one; period, confidence, method.
 
     A profile without ink has none.

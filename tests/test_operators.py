@@ -596,6 +596,22 @@ def test_terms_of_sent_vocabularies_are_not_shuffled(spark, monkeypatch):
     assert {r.k: pytest.approx(r.cosine) for r in tfidf.cosines(df, "k", "a", "b", tfidf.char_terms).collect()} == got
 
 
+def test_pages_are_read_once_for_their_lines(spark, monkeypatch):
+    """One pass over pixels gives boxes and medians, and shuffles no pixels; components are sought only where the profile doesn't tell."""
+    df = image.drawn(spark.createDataFrame([(1, ["un texto", "de tres", "lineas"]), (None, ["a"])], "k long, lines array<string>"), "k", "lines")
+    out = image.text_lines(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 2
+    assert {r.page_id for r in out.collect()} == {1}
+    r = np.random.default_rng(3)
+    for shape in [(1, 1), (1, 7), (9, 1), (2, 2), (17, 23)]:
+        grey = r.integers(0, 256, shape).astype(np.uint8)
+        p = np.pad(grey, 1, mode="edge")
+        want = np.median([p[i : i + shape[0], j : j + shape[1]] for i in range(3) for j in range(3)], axis=0)
+        assert np.array_equal(image.median3(grey), want)
+    assert signal.period(np.tile([0.0, 0, 9, 9, 9, 9, 0, 0, 0, 0], 8), lambda: 1 / 0)[2] == "autocorrelation"
+    assert signal.period(np.zeros(60), lambda: np.array([8, 8, 8])) == (12, 0.0, "cc_height")
+
+
 def test_stages(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "k int, t string")
     out = stages.run_stage(df, lambda: lambda s: s.str.upper(), "t", "u")
