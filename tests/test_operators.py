@@ -4,6 +4,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,26 @@ def test_rules(spark, x, y):
     assert rules.apply_rules(spark.createDataFrame([(1, x)], "k int, line string"), known, ["k"]).first().corrected == y
 
 
+def test_lines_are_not_shuffled_for_the_rules(spark, monkeypatch):
+    """Many ranges of changed tokens, odd white space, null and empty lines, repeated tokens; no line or token of one is dealt."""
+    monkeypatch.setattr(rules, "RANGE", 1)
+    known = rules.word_list(spark, "seruir vno fue como usar")
+    lines = [(1, "servir  uno\tfve "), (2, None), (3, ""), (4, "   "), (5, "nada uno, uno. (fve) como\u00a0vsar"), (6, "servir\nservir")]
+    out = rules.apply_rules(spark.createDataFrame(lines, "k int, line string"), known, ["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Aggregate", "Generate", "Repartition"))
+    assert {r.k: r.corrected for r in out.collect()} == {1: "seruir  vno\tfue ", 2: None, 3: "", 4: "   ", 5: "nada vno, vno. (fue) como\u00a0usar", 6: "seruir\nseruir"}
+
+
+def test_words_of_one_hash():
+    """Ranges that hold several words of a hash, words that only share one, and an empty range."""
+    table = lambda *rows: pa.table({"h": pa.array([r[0] for r in rows], pa.int64()), "token": pa.array([r[1] for r in rows], pa.string()), "corrected": pa.array([r[2] for r in rows], pa.string())}).combine_chunks()
+    ranges = {0: table((-4, "a", "A"), (-4, "b", "B"), (-4, "c", "C"), (8, "d", "D")), 1: table()}
+    words, h = pa.array(["c", "x", "d", "a", "e", "b", "f"]), np.array([-4, -4, 8, -4, 9, -4, 10])
+    place, new = rules._looked_up(words, h, ranges, 2)
+    assert {words[i].as_py(): w.as_py() for i, w in zip(place.tolist(), new, strict=True)} == {"a": "A", "b": "B", "c": "C", "d": "D"}
+
+
 def test_changes(spark):
     df = spark.createDataFrame([(1, "el rey fe fue", "el rey se fue"), (2, "Ano, dos", "ano dos"), (3, None, "x")], "k int, a string, b string")
     rows = {(r.k, r.original, r.corrected, r.is_ocr_error) for r in changes.change_rows(df, ["k"], "a", "b").collect()}
