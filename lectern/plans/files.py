@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import pixels, split, stages
+from ..operators.spread import widened
 from ..sources import crops, docx, readers, shared, writers
 from .oracle import CODED, LINES, LISTS, key, lev, swap, toks
 from .queries import exchanged, lines, pairs, table
@@ -182,8 +183,10 @@ def levelled_pages(spark, sf_dir):
 
 def crop_files(spark, sf_dir):
     """Bytes of pages' sources as grey rows, one row of crops a page for every eight rows, through PNG files and back."""
-    t = grey_pages(spark, sf_dir).withColumn("y1", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(8))))
-    box = {"x1": F.lit(CROP[0]), "x2": F.lit(CROP[1]), "y2": F.least(F.col("y1") + 8, F.col("height")), "folder": F.col("page_id").cast("string"), "name": F.concat(F.lit("line_"), "y1", F.lit(".png"))}
+    t = widened(grey_pages(spark, sf_dir)).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(8))))
+    rows = F.least(F.lit(8), F.col("height") - F.col("y")).cast("int")
+    own = F.substring("grey", (F.col("y") * PAGE_WIDTH + 1).cast("int"), rows * PAGE_WIDTH)  # a crop carries its rows only
+    box = {"grey": own, "x1": F.lit(CROP[0]), "x2": F.lit(CROP[1]), "y1": F.lit(0), "y2": rows, "folder": F.col("page_id").cast("string"), "name": F.concat(F.lit("line_"), "y", F.lit(".png"))}
     folder = shared.new_folder(spark, "crops")
     crops.write(t.withColumns(box), folder)
     number = lambda p: F.regexp_extract("path", p, 1).cast("int")

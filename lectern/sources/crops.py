@@ -9,13 +9,13 @@ import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from . import package
@@ -23,8 +23,8 @@ from . import package
 #: Columns of a write: where the crop goes below the path, the page's bytes and size, and the box (ends not included).
 COLUMNS = ("folder", "name", "grey", "width", "x1", "y1", "x2", "y2")
 MAGIC = b"\x89PNG\r\n\x1a\n"
-#: Files that are moved at a time when a write is committed.
-MOVES = 32
+#: Folders, or files of one, that are moved at a time when a write is committed; files that a task reads at a time, and folders a task.
+MOVES, FILES, FOLDERS = 32, 1024, 2048
 #: How often an abort takes its folder away again.
 TRIES = 20
 
@@ -64,12 +64,16 @@ def pixels(data: bytes) -> np.ndarray:
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[str]
+    task: str
+    folders: list[str]
 
 
 class CropWriter(DataSourceArrowWriter):
     """Tasks write below a folder of the write's own, each under a name of its own; the commit moves what finished tasks wrote
-    to its place, and an abort takes the folder away, with what lost or failed tasks left in it."""
+    to its place, and an abort takes the folder away, with what lost or failed tasks left in it.
+
+    A folder of crops that one task wrote and that isn't there yet is moved as a whole, others file by file.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         root = options["path"]
@@ -80,7 +84,7 @@ class CropWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, top = pafs.FileSystem.from_uri(self.root)
-        task, names, made = uuid.uuid4().hex, [], set()
+        task, folders, made = uuid.uuid4().hex, set(), set()
 
         def make(folder: str) -> None:
             """Level by level: a task that goes on after an abort finds no folder to write to, and fails."""
@@ -99,20 +103,42 @@ class CropWriter(DataSourceArrowWriter):
                 make(r["folder"])
                 with system.open_output_stream(f"{top}/{self.own}/{task}/{r['folder']}/{r['name']}") as f:
                     f.write(png(part))
-                names.append(f"{task}/{r['folder']}/{r['name']}")
-        return Written(names)
+                folders.add(r["folder"])
+        return Written(task, sorted(folders))
 
     def commit(self, messages: list[Written | None]) -> None:
         system, top = pafs.FileSystem.from_uri(self.root)
-        names = [n for m in messages if m for n in m.names]
         if self.overwrite:
             for f in system.get_file_info(pafs.FileSelector(top, allow_not_found=True)):
                 if f.base_name != self.own:
                     (system.delete_file if f.is_file else system.delete_dir)(f.path)
-        for folder in sorted({n.split("/", 1)[1].rsplit("/", 1)[0] for n in names}):
+        tasks: dict[str, list[str]] = {}
+        for m in messages:
+            for folder in m.folders if m else ():
+                tasks.setdefault(folder, []).append(m.task)
+        above = {f[:i] for f in tasks for i, c in enumerate(f) if c == "/"}
+        for parent in sorted(above) or [""]:
+            system.create_dir(f"{top}/{parent}".rstrip("/"), recursive=True)
+
+        def one_by_one(folder: str, task: str) -> None:
             system.create_dir(f"{top}/{folder}", recursive=True)
+            for f in system.get_file_info(pafs.FileSelector(f"{top}/{self.own}/{task}/{folder}")):
+                if f.is_file:
+                    system.move(f.path, f"{top}/{folder}/{f.base_name}")
+
+        def place(folder: str) -> None:
+            whole = folder and len(tasks[folder]) == 1 and folder not in above and system.get_file_info(f"{top}/{folder}").type == pafs.FileType.NotFound
+            if whole:
+                try:
+                    return system.move(f"{top}/{self.own}/{tasks[folder][0]}/{folder}", f"{top}/{folder}")
+                except (OSError, NotImplementedError):  # stores that move files only
+                    pass
+            for task in tasks[folder]:
+                one_by_one(folder, task)
+
         with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda n: system.move(f"{top}/{self.own}/{n}", f"{top}/{n.split('/', 1)[1]}"), names))
+            for _ in pool.map(place, tasks):
+                pass
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -152,13 +178,32 @@ def write(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, grey of the PNG files below a folder that `write` left."""
-    package.send(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
+    """path, height, width, grey of the PNG files below a folder that `write` left.
 
-    def run(batches):
+    Only the folders in the path are listed here; tasks list and read what is in them, many files a task.
+    """
+    package.send(spark)
+    root = (path if "://" in path else f"file://{path}").rstrip("/")
+    system, top = pafs.FileSystem.from_uri(root)
+    held = [(f.base_name, f.is_file) for f in system.get_file_info(pafs.FileSelector(top)) if not f.base_name.startswith(("_", "."))]
+    names = spark.createDataFrame(pa.table({"name": pa.array([n for n, _ in held], pa.string()), "is_file": pa.array([x for _, x in held], pa.bool_())}))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(held) // FOLDERS))
+
+    def below(system, top: str, batches) -> Iterator[str]:
+        """Paths of PNG files below the top."""
         for df in batches:
-            found = [pixels(c) for c in df.content]
-            yield pd.DataFrame({"path": df.path, "height": [x.shape[0] for x in found], "width": [x.shape[1] for x in found], "grey": [x.tobytes() for x in found]})
+            for name, is_file in zip(df.name, df.is_file, strict=True):
+                found = [name] if is_file else sorted(f.path[len(top) + 1 :] for f in system.get_file_info(pafs.FileSelector(f"{top}/{name}", recursive=True)) if f.is_file)
+                yield from (x for x in found if x.endswith(".png") and not any(p.startswith(("_", ".")) for p in x.split("/")))
 
-    return files.select("path", F.col("content")).mapInPandas(run, "path string, height int, width int, grey binary")
+    def run(batches):
+        system, top = pafs.FileSystem.from_uri(root)
+        files = below(system, top, batches)
+        while part := list(islice(files, FILES)):
+            found = []
+            for x in part:
+                with system.open_input_stream(f"{top}/{x}") as f:
+                    found.append(pixels(f.read()))
+            yield pd.DataFrame({"path": [f"{root}/{x}" for x in part], "height": [x.shape[0] for x in found], "width": [x.shape[1] for x in found], "grey": [x.tobytes() for x in found]})
+
+    return names.repartition(parts).mapInPandas(run, "path string, height int, width int, grey binary")

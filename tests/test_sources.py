@@ -128,6 +128,25 @@ def test_crops_are_all_there_or_none(spark, tmp_path):
     assert list(to.rglob("*.png")) == []
 
 
+def test_crops_are_read_many_a_task_and_moved_by_folder(spark, tmp_path):
+    """Small files don't get a task each; folders in folders, of several tasks, already there, and none; other files are let be."""
+    page, to = bytes(range(60)), tmp_path / "out"
+    row = lambda folder, name: (folder, name, page, 10, 2, 1, 7, 6, "")
+    rows = [row(f, f"{i}.png") for i, f in enumerate(["a", "a/b", "a/b/c", "d", ""] * 8)]
+    crops.write(boxes(spark, rows).repartition(4), str(to))
+    crops.write(boxes(spark, [row("d", "more.png"), row("e/f", "new.png")]).coalesce(1), str(to), "append")
+    (to / "a" / "note.txt").write_text("x")
+    back = crops.read(spark, str(to))
+    want = sorted([*(f"{f}/{n}".lstrip("/") for f, n, *_ in rows), "d/more.png", "e/f/new.png"])
+    assert sorted(r.path.split("/out/")[1] for r in back.collect()) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert crops.read(spark, str(to)).rdd.getNumPartitions() <= 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert not [p for p in to.rglob("_staged*")]
+
+
 def test_broken_images_are_refused():
     data = crops.png(np.arange(12, dtype=np.uint8).reshape(3, 4))
     assert (crops.pixels(data) == np.arange(12).reshape(3, 4)).all()
